@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -64,19 +63,16 @@ class Runs:
         rows.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name, path
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name, _ in level]
-
-    def merged(self, tables: list[DataFrame]) -> DataFrame:
-        # Dealt out explicitly: a union of bucketed tables may claim their partitioning after Spark has dropped bucketed scans.
-        rows = reduce(DataFrame.unionByName, tables).repartition(self.buckets, "hash")
+    def merged(self, level: list[tuple[str, str]]) -> DataFrame:
+        """One row per hash of these runs, read as plain files: a union of bucketed tables can lose rows."""
+        rows = self.spark.read.schema("hash binary, n long, holder long").parquet(*(path for _, path in level))
         return rows.groupBy("hash").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
     def add(self, keys: DataFrame) -> None:
         """keys: (hash, n, holder) of one batch. Fresh hashes keep their holder; of the others only the count is added."""
         known = F.lit(False)
-        for i, run in enumerate(self.tables()):
-            keys = keys.join(run.select("hash", F.lit(True).alias(f"in_{i}")), "hash", "left")
+        for i, (name, _) in enumerate(x for level in self.levels for x in level):
+            keys = keys.join(self.spark.table(name).select("hash", F.lit(True).alias(f"in_{i}")), "hash", "left")
             known = known | F.coalesce(f"in_{i}", F.lit(False))
         self.levels[0].append(self._write(keys.select("hash", "n", F.when(~known, F.col("holder")).alias("holder"))))
         self.compact()
@@ -86,7 +82,7 @@ class Runs:
             if len(level) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self.merged([self.spark.table(name) for name, _ in level])))
+                self.levels[k + 1].append(self._write(self.merged(level).repartition(self.buckets, "hash")))
                 self.drop(level)
                 self.levels[k] = []
 
@@ -107,7 +103,7 @@ def repeated_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, batches: int = B
         batch = hashes if above is None else hashes.where(F.col("id") > above)
         batch = batch if below is None else batch.where(F.col("id") <= below)
         runs.add(batch.groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("holder")))
-    found = shared.keep(runs.merged(runs.tables()).where(F.col("n") >= min_docs), "lines-repeated")
+    found = shared.keep(runs.merged([x for level in runs.levels for x in level]).where(F.col("n") >= min_docs), "lines-repeated")
     for level in runs.levels:
         runs.drop(level)
     return found
