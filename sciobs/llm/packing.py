@@ -41,8 +41,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text, path) + b"\0\0\0\0"
+            encoded = tokens.encode(batch.column(1).to_pylist(), path)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
