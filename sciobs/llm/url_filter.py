@@ -37,6 +37,10 @@ SEEDS = [
     ("https://ads-server.example.com/en/3", 1), ("http://www.ads-click.example.net/de/41", 1), ("https://click-track.example.com/fr/17", 1),
     ("https://adult-cams.example.net/en/6", 1), ("http://adult-date.example.com/es/12", 1), ("https://free-bets.example.net/de/3", 1),
     ("https://sports-bets.example.com/en/70", 1), ("https://garden-tools.example.com/en/70", 0), ("https://open-data.example.net/fr/9", 0),
+    ("https://thatchers.example.com/en/371", 0), ("https://www.thistle.example.net/en/28", 0), ("http://therapy.example.com/en/5/", 0),
+    ("https://thestage.example.net/de/16", 0), ("http://blog.tinworks.example.com/en/83.html", 0), ("https://m.anthem.example.net/es/2", 0),
+    ("https://northern.example.com/en/416?page=2&ref=x", 0), ("http://www.orchards.example.net/en/67/", 0), ("https://weather-station.example.com/en/254#top", 0),
+    ("http://heritage.example.net/fr/33", 0), ("https://blog.ingots.example.com/en/190", 0), ("https://edition.example.net/en/75.html", 0),
     ("https://porn-free.example.org/en/23", 1), ("http://m.crack-keygen.example.net/fr/81?utm_source=feed", 1), ("https://www.link-farm.example.com/de/99", 1),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
