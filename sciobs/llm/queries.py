@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, packing, quality, topk, url_filter
+from . import fingerprints, jaccard_join, line_dedup, mixing, packing, quality, shared, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,28 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+#: Shares of all tokens that the registered mixture aims at.
+MIXTURE = {"clean": 0.93, "junk": 0.05, "toxic": 0.02}
+
+
+def document_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixture: clean, junk (low quality) or toxic documents."""
+    domain = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train(docs, document_domains(table(spark, sf_dir, "labels")))
+    scored = shared.keep(mixing.with_posteriors(docs, model).select("doc_id", "tokens", "posterior"), "domains")
+    total = sum(mixing.domain_tokens(scored, model.domains))
+    mixed = mixing.mix(scored, [total * MIXTURE.get(d, 0) for d in model.domains])
+    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_url_filter": op5_url_filter,

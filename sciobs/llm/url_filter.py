@@ -41,6 +41,7 @@ SEEDS = [
     ("https://thestage.example.net/de/16", 0), ("http://blog.tinworks.example.com/en/83.html", 0), ("https://m.anthem.example.net/es/2", 0),
     ("https://northern.example.com/en/416?page=2&ref=x", 0), ("http://www.orchards.example.net/en/67/", 0), ("https://weather-station.example.com/en/254#top", 0),
     ("http://heritage.example.net/fr/33", 0), ("https://blog.ingots.example.com/en/190", 0), ("https://edition.example.net/en/75.html", 0),
+    ("https://adults-only.example.com/de/88", 1), ("http://x-adult.example.net/fr/60", 1),
     ("https://porn-free.example.org/en/23", 1), ("http://m.crack-keygen.example.net/fr/81?utm_source=feed", 1), ("https://www.link-farm.example.com/de/99", 1),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
