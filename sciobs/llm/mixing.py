@@ -191,16 +191,16 @@ def fit_rates(scored: DataFrame, targets: list[float], iterations: int = ITERATI
 def mix(scored: DataFrame, targets: list[float], snap: float = 0.0) -> DataFrame:
     """Adds ``rate`` (expected copies) and ``copies`` (the rate rounded up or down by a hash of doc_id, so that its expectation is the rate).
 
-    scored: rows with tokens and posterior, as of :func:`with_posteriors`. targets: expected tokens of each
+    scored: rows with tokens and posterior, as of :func:`with_posteriors`; it is read in every iteration,
+    so it should be a written table (``shared.keep``). targets: expected tokens of each
     domain. Targets that no rates reach are met as closely as found. Texts
     without tokens get the rate of their posterior. Rates within ``snap`` of 1
     mean exactly one copy (the totals then miss their targets by at most that share). Equal rows get equal rates.
     An empty table gives an empty table.
     """
-    kept = shared.keep(scored, "posteriors")
-    start, steps = fit_rates(kept.select("tokens", "posterior"), targets)
+    start, steps = fit_rates(scored.select("tokens", "posterior"), targets)
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return kept.drop("rate", "copies").withColumn("rate", _rate(start, steps)).withColumn("copies", F.when(F.abs(F.col("rate") - 1) < snap, 1).otherwise(F.floor(F.col("rate") + unit)).cast("int"))
+    return scored.drop("rate", "copies").withColumn("rate", _rate(start, steps)).withColumn("copies", F.when(F.abs(F.col("rate") - 1) < snap, 1).otherwise(F.floor(F.col("rate") + unit)).cast("int"))
 
 
 def domain_tokens(scored: DataFrame, domains: list[str]) -> list[float]:
