@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, packing, quality, shared, topk, url_filter
+from . import fingerprints, jaccard_join, line_dedup, mixing, packing, pii, quality, shared, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +65,17 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.coalesce(F.try_element_at("private", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", *counts, F.aggregate(F.map_values("private"), F.lit(0), lambda a, b: a + b).cast("long").alias("n_private"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_private_data": op4_private_data,
     "op5_url_filter": op5_url_filter,
     "op6_order_minhash": op6_order_minhash,
     "op7_quality_classifier": op7_quality_classifier,
