@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, packing, pii, quality, shared, topk, url_filter
+from . import fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,21 @@ def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, F.aggregate(F.map_values("private"), F.lit(0), lambda a, b: a + b).cast("long").alias("n_private"), "text")
 
 
+#: Documents of a directory in the tree that the licence scan sees.
+DOCUMENTS_A_DIRECTORY = 50
+
+
+def document_paths(docs: DataFrame) -> DataFrame:
+    """documents have no paths: source / thousands of ids / directories of 50 / file."""
+    i = F.col("doc_id")
+    return docs.withColumn("path", F.concat_ws("/", "source", F.floor(i / 1000).cast("string"), F.floor(i / DOCUMENTS_A_DIRECTORY).cast("string"), F.concat(i.cast("string"), F.lit(".txt"))))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_paths(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return licenses.scan(docs).select("doc_id", "path", "licence", "cosine", "how", "licence_dir")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_order_minhash": op6_order_minhash,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
