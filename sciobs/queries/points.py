@@ -81,10 +81,10 @@ def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.thin_points(points(spark, sf_dir), 500.0).select("source_index")
 
 
-@query("rebase_origin", _POINTS + " SELECT source_index, round(CAST(x - (SELECT min(x) FROM p) AS DOUBLE), 1) AS x, y - (SELECT min(y) FROM p) AS y FROM p")
+@query("rebase_origin", _POINTS + " SELECT source_index, CAST(CAST(x - (SELECT min(x) FROM p) AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y - (SELECT min(y) FROM p) AS FLOAT) AS DOUBLE) AS y FROM p")
 def rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = points(spark, sf_dir)
-    return p.rebase_origin(low).join(low.select("source_index", F.col("x").alias("x0")), "source_index").select("source_index", F.round(F.round(F.col("x").cast("double") * 100) / 100, 1).alias("x"), F.col("y").cast("double").alias("y"))
+    moved = p.rebase_origin(points(spark, sf_dir))
+    return moved.select("source_index", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
 
 @query("point_color", _POINTS + " SELECT source_index, CASE classification WHEN 2 THEN 166 WHEN 3 THEN 152 WHEN 4 THEN 74 WHEN 5 THEN 18 WHEN 6 THEN 198 WHEN 9 THEN 65 WHEN 17 THEN 130 ELSE 210 END AS red FROM p")
