@@ -84,7 +84,8 @@ def hashed(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
             inside = row[: len(b) - n + 1] == row[n - 1 :]
             buckets.append((h[inside] * np.uint32(0x9E3779B1)) >> np.uint32(18))
             owners.append(row[: len(b) - n + 1][inside])
-    return np.concatenate(buckets), np.concatenate(owners)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(buckets or none).astype(np.int64), np.concatenate(owners or none)
 
 
 def probabilities(hosts: list[str], paths: list[str], weights: np.ndarray) -> np.ndarray:

@@ -1,0 +1,110 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from sciobs.llm import pii
+
+from .helpers import awkward, documents, empty
+
+K = pii.KEY
+
+
+def stream(key, *parts):
+    return hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()
+
+
+def pair(a, b, m, n, key):
+    for i in range(1, pii.ROUNDS // 2 + 1):
+        a = (a + int(stream(key, i, "l", b)[:14], 16)) % m
+        b = (b + int(stream(key, i, "r", a)[:14], 16)) % n
+    return a, b
+
+
+def text_of(s, key, hexes=False):
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, pii.ROUNDS + 1):
+        hexs = "".join(stream(key, i, n, b) for n in range(3))
+        out = []
+        for k, c in enumerate(a):
+            for alphabet in (pii._HEX,) if hexes else (pii._LOWER, pii._UPPER, pii._DIGITS):
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + int(hexs[2 * k : 2 * k + 2], 16)) % len(alphabet)]
+                    break
+            out.append(c)
+        a, b = b, "".join(out)
+    return a + b
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s) if c.isdigit()]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def replaced(spark, texts):
+    rows = pii.pseudonymise(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    return [(r["text"], r["private"]) for r in rows]
+
+
+def test_against_brute_force(spark):
+    r = random.Random(1)
+    digits = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    mails = [f"{w}.{digits(2)}@mail{digits(1)}.example.com" for w in ("Anna", "bo_b", "x")]
+    phones = [f"+1 ({digits(3)}) 555-{digits(4)}" for _ in range(3)]
+    ips = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(3)]
+    keys = ["AKIA" + "".join(r.choice(pii._UPPER + pii._DIGITS) for _ in range(16)) for _ in range(2)]
+    secrets = [digits(6) + "abcdef" * 4 + digits(4), "Zx9-" + digits(12)]
+    texts = [*mails, *phones, *ips, *keys, *(f'token = "{s}"' for s in secrets)]
+    want = [m[: m.index("@")] and text_of(m[: m.index("@")], f"{K}|email") + m[m.index("@") :] for m in mails]
+    want += ["+1" + text_of(p[2:], f"{K}|phone") for p in phones]
+    for ip in ips:
+        n = list(map(int, ip.split(".")))
+        a, b = pair(n[0] * 256 + n[1], n[2] * 256 + n[3], 65536, 65536, f"{K}|ip")
+        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
+    want += ["AKIA" + text_of(k[4:], f"{K}|cloud") for k in keys]
+    want += [f'token = "{text_of(s, f"{K}|secret", bool(re.fullmatch("[0-9a-f]+", s)))}"' for s in secrets]
+    assert [t for t, _ in replaced(spark, texts)] == want
+
+
+def test_formats_and_validity(spark):
+    (text, found), (again, _), (other, _) = replaced(spark, ["card 4041894974608795, 4041-8949-7460-8795 ssn 123-45-6789 on 1999-02-28, 28.02.1999 and 02/28/1999", "4041894974608795", "4041894974608803"])
+    assert found == {"card": 2, "ssn": 1, "date": 3}
+    card = re.search(r"\d{16}", text)[0]
+    assert luhn(card) and card != "4041894974608795" and again == card and luhn(other)
+    day = date.fromisoformat(re.search(r"\d{4}-\d\d-\d\d(?!\d)", text.split("on ")[1])[0])
+    assert f"{day:%d.%m.%Y}" in text and f"{day:%m/%d/%Y}" in text
+    area, group, serial = re.search(r"(\d{3})-(\d\d)-(\d{4}) on", text).groups()
+    assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = ["1234567890123456", "1999-02-30", "000-12-1234", "999.1.1.1", "version 4.0 of 3.1415926535897932", "mail@host", "a token of thanks: yes", "password: no", "plain words", "12345678901234567890123"]
+    assert [t for t, _ in replaced(spark, texts)] == texts
+
+
+def test_permutations_are_one_to_one(spark):
+    rows = spark.range(319 * 229).select(pii.permute_pair(F.floor(F.col("id") / 229), F.col("id") % 229, 319, 229, "k").alias("p"))
+    assert rows.distinct().count() == 319 * 229
+    assert rows.where("p.l < 0 or p.l >= 319 or p.r < 0 or p.r >= 229").count() == 0
+    numbers = spark.range(10_000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 4, "0"), "k").alias("t"))
+    assert numbers.distinct().count() == 10_000
+
+
+def test_whole_long_texts_and_neighbours(spark):
+    values = ["70.123.182.155", "bosbt.42@mail8.example.com", "4041894974608795", "+1 (988) 555-2485"]
+    long = "word " * 20_000 + " ".join(values) + "### " + values[0] + "."
+    (text, found), *_ = replaced(spark, [long])
+    assert not any(v in text for v in values) and found == {"ip": 2, "email": 1, "card": 1, "phone": 1}
+    assert text.startswith("word " * 20_000) and text.endswith(".")
+
+
+def test_awkward_rows_and_columns(spark):
+    docs = documents(spark).withColumnsRenamed({"lang": "private", "source": "kind"})
+    out = pii.pseudonymise(docs)
+    assert out.columns == ["doc_id", "text", "kind", "n_chars", "private"]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(i), str(t)) for i, t, *_ in awkward())
+    assert pii.pseudonymise(empty(spark)).count() == 0
