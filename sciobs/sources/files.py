@@ -96,10 +96,20 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str | None = None)
     return rows.withColumnRenamed(column, "geometry").withColumnRenamed("source_index", "feature_index")
 
 
+def read_small(spark: SparkSession, path: str) -> str:
+    """Text of one small file, hidden ones too, through Spark's own file access."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def read_zarr_chunks(spark: SparkSession, path: str, array: str) -> DataFrame:
     """A Zarr (version 2) array -> chunk table. Raw, zlib and gzip chunks in C order; one task per chunk file, edge chunks cut to the array."""
     where = f"{path.rstrip('/')}/{array.strip('/')}".rstrip("/")
-    meta = json.loads(spark.read.text(f"{where}/.zarray", wholetext=True).first()["value"])
+    meta = json.loads(read_small(spark, f"{where}/.zarray"))
     compressor = (meta.get("compressor") or {}).get("id")
     if compressor not in (None, "zlib", "gzip") or meta.get("filters") or meta.get("order", "C") != "C":
         raise SpecError("only raw, zlib and gzip chunks in C order without filters are read")
