@@ -73,7 +73,7 @@ def world_to_pixel(x: Column, y: Column, t: Affine) -> tuple[Column, Column]:
 def parse_map_info(c: Column) -> Column:
     """ENVI map info text (``UTM, reference column and row from 1, easting, northing, x and y size, ...``) -> struct of the
     six affine terms; null for other projections, with rotation, or with sizes that are not positive."""
-    parts = F.transform(F.split(c, ","), F.trim)
+    parts = F.transform(F.split(c, ","), lambda x: F.trim(x))
     at = lambda i: finite(try_double(F.try_element_at(parts, F.lit(i + 1))))
     turned = F.exists(F.slice(parts, 8, 100), lambda x: F.coalesce(F.abs(try_double(F.regexp_extract(x, r"^[Rr]otation=\s*(\S+)$", 1))) > 0, F.lit(False)))
     ok = (F.size(parts) >= 7) & (F.upper(parts[0]) == "UTM") & ~turned & (at(5) > 0) & (at(6) > 0)

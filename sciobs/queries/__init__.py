@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import arrays, catalog, points, profiles, selections, table
+from . import arrays, catalog, files, metadata, points, profiles, selections, table
 
-MODULES = [table, profiles, arrays, points, selections, catalog]
+MODULES = [table, profiles, arrays, points, selections, catalog, metadata, files]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
