@@ -14,7 +14,7 @@ if not Path(SF).is_dir():
     pytest.skip("no test tables", allow_module_level=True)
 
 
-@pytest.mark.parametrize("name", ["profile_observations", "even_downsample", "rank_percentile", "spatial_join", "read_source_records", "thin_points", "resolve_time_selections", "plan_hash", "fingerprint_sets"])
+@pytest.mark.parametrize("name", ["profile_observations", "even_downsample", "rank_percentile", "spatial_join_exact", "read_source_records", "thin_points", "resolve_time_selections", "plan_hash", "fingerprint_sets"])
 def test_partitions_do_not_matter(spark, name):
     found = []
     before = spark.conf.get("spark.sql.shuffle.partitions")
