@@ -23,7 +23,7 @@ from . import shared, tokens
 
 CAPACITY = 2048
 #: Lengths above this share of the capacity are grouped; the rest is fitted in afterwards.
-LARGE = 0.125
+LARGE = 0.25
 #: Groups of equal cardinality that the large lengths are rounded up in.
 GROUPS = 64
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -163,20 +163,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             if not n:
                 continue
             like = [(made.new(n), n, 0)]
-            for k in np.flatnonzero(column):
-                for _copy in range(column[k]):  # substitute actual pieces for the rounded size
-                    runs, after = members[sizes[k]], []
-                    for first, many, used in like:
-                        while many:
-                            s, rank, left = runs[0]
-                            take = min(many, left)
-                            made.dealt.append((s, rank, take, first, used))
-                            after.append((first, take, used + s))
-                            first, many = first + take, many - take
-                            runs[0][1:] = rank + take, left - take
-                            if take == left:
-                                runs.pop(0)
-                    like = after
+            slots = np.repeat(np.arange(len(column)), column)
+            # Substitute actual pieces for the rounded sizes, all but a filling's smallest: what rounding has left
+            # free adds up in the room for that one, and best fit chooses an actual piece for the room.
+            for k in slots[: max(1, len(slots) - 1)]:
+                runs, after = members[sizes[k]], []
+                for first, many, used in like:
+                    while many:
+                        s, rank, left = runs[0]
+                        take = min(many, left)
+                        made.dealt.append((s, rank, take, first, used))
+                        after.append((first, take, used + s))
+                        first, many = first + take, many - take
+                        runs[0][1:] = rank + take, left - take
+                        if take == left:
+                            runs.pop(0)
+                like = after
             for x in like:
                 made.offer(*x)
     rest = [tuple(m) for runs in members.values() for m in runs] + [(s, 0, n) for s, n in histogram.items() if s <= large * capacity]

@@ -10,13 +10,12 @@ for which the cut below is proven by test, are encoded by the tokenizer whole.
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers in each of two generations, and words that are encoded at once.
-MEMO_WORDS, AT_ONCE = 250_000, 4000
+#: Words that a worker remembers, and words that are encoded at once.
+MEMO_WORDS, AT_ONCE = 500_000, 4000
 #: Characters outside this set, or a possible special token, send a text to the tokenizer itself.
 _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -28,6 +27,19 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+class _Words(dict):
+    """Word -> number; a new word gets the next one and waits to be encoded."""
+
+    def __init__(self, words: list[str] = ()):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        self.waiting.append(word)
+        return i
+
+
 class WordTokenizer:
     """Encodes texts with a word-end BPE tokenizer file."""
 
@@ -38,35 +50,66 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words together; each ends with the first id that ends a word."""
-        for at in range(0, len(words), AT_ONCE):
-            part = words[at : at + AT_ONCE]
+        self.words = _Words()
+        # ids of word i: ids[start[i] : start[i] + size[i]]
+        self.ids, self.start, self.size, self.uses = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self) -> None:
+        """Encodes the waiting words together; each ends with the first id that ends a word."""
+        waiting, self.words.waiting = self.words.waiting, []
+        parts, sizes = [self.ids], [self.size]
+        for at in range(0, len(waiting), AT_ONCE):
+            part = waiting[at : at + AT_ONCE]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.young.update((w, raw[a:b]) for w, a, b in zip(part, edges[:-1], edges[1:], strict=True))
-            else:
-                self.young.update((w, self.whole(w)) for w in part)
+            size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(size) != len(part) or size.sum() != len(ids):
+                each = [self.whole(w) for w in part]
+                ids, size = np.concatenate(each), np.array([len(e) for e in each])
+            parts.append(ids)
+            sizes.append(size)
+        self.ids, self.size = np.concatenate(parts), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
+        self.uses = np.concatenate([self.uses, np.zeros(len(waiting), np.int64)])
+
+    def forget(self) -> None:
+        """Keeps the words used most, at most half of the memo, none that was used once."""
+        order = np.argsort(-self.uses, kind="stable")[: MEMO_WORDS // 2]
+        kept = np.sort(order[self.uses[order] > 1])
+        names = list(self.words)
+        self.words = _Words([names[i] for i in kept])
+        self.ids = np.concatenate([self.ids[:0], *(self.ids[self.start[i] : self.start[i] + self.size[i]] for i in kept)])
+        self.size, self.uses = self.size[kept], self.uses[kept] // 2
+        self.start = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers; null: none."""
-        cut = [None if not t or _OTHER.search(t) else _WORD.findall(t.lower()) for t in texts]
-        need = set(chain.from_iterable(w for w in cut if w)) - self.young.keys()
-        if len(self.young) + len(need) > MEMO_WORDS:
-            self.old, self.young = self.young, {}
-            need = set(chain.from_iterable(w for w in cut if w))
-        self.young.update((w, self.old[w]) for w in need if w in self.old)
-        self.learn([w for w in need if w not in self.young])
-        get = self.young.__getitem__
-        return [(self.whole(t) if t else b"") if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+        if len(self.words) > MEMO_WORDS:
+            self.forget()
+        out: list[bytes] = [b""] * len(texts)
+        rows, found = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if _OTHER.search(text):
+                out[i] = self.whole(text).tobytes()
+                continue
+            words = _WORD.findall(text.lower())
+            rows.append(i)
+            found.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        if rows:
+            self.learn()
+            index = np.concatenate(found)
+            self.uses += np.bincount(index, minlength=len(self.uses))
+            size = self.size[index]
+            upto = np.cumsum(size)
+            raw = self.ids[np.repeat(self.start[index] - upto + size, size) + np.arange(size.sum())].tobytes()
+            edges = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum([len(f) for f in found])])] * 4
+            for i, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                out[i] = raw[a:b]
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
