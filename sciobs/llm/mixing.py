@@ -9,6 +9,7 @@ iteration sends only sums over all documents to the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,35 +26,17 @@ from . import shared
 SAMPLE, BUCKETS, FEATURES = 4000, 1 << 16, 2000
 EPOCHS, RATE, DECAY = 150, 0.3, 1e-3
 ITERATIONS, ENOUGH = 40, 1e-7
-_MEMO_WORDS = 300_000
+_WORD = re.compile(r"\w+|[^\w\s]+")
 
 
-class _Buckets(dict):
-    """Word -> buckets of the lowered word without signs, and of its shape."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        plain = word.strip(".,;:!?#$%&*|\"'()[]").lower() if not word.isalnum() else word.lower()
-        shape, last = [], ""
-        for c in word:
-            kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-            if kind != last:
-                shape.append(kind)
-            last = kind
-        found = (zlib.crc32(plain.encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"shape " + "".join(shape)[:16].encode("utf-8", "surrogatepass")) % BUCKETS)
-        if len(word) <= 32:
-            if len(self) >= _MEMO_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_buckets = _Buckets()
-
-
-def buckets(text: str | None) -> np.ndarray:
-    """The different buckets of a whole text."""
-    words = set((text or "").split())
-    return np.unique(np.array([b for w in words for b in _buckets[w]], np.int64))
+def buckets(text: str | None) -> tuple[int, np.ndarray]:
+    """White-space separated words of a whole text, and its different buckets: of lowered words, of runs of signs, and of how many words are in capitals or repeat."""
+    words = (text or "").split()
+    found = set(_WORD.findall(text.lower())) if text else set()
+    if words:
+        found.add(f"capitals {10 * sum(map(str.isupper, words)) // len(words)}")
+        found.add(f"repeated {10 * len(set(words)) // len(words)}")
+    return len(words), np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in found), np.int64, len(found)))
 
 
 @dataclass
@@ -62,8 +45,9 @@ class DomainModel:
     weights: np.ndarray  # (BUCKETS, domains); zero where a bucket is not kept
     bias: np.ndarray
 
-    def posteriors(self, texts: list[str | None]) -> np.ndarray:
-        found = [buckets(t) for t in texts]
+    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, posteriors) of each text."""
+        words, found = zip(*map(buckets, texts), strict=True) if texts else ((), ())
         sizes = np.array([len(f) for f in found])
         z = np.zeros((len(texts), len(self.domains)))
         if sizes.sum():
@@ -72,7 +56,7 @@ class DomainModel:
             for k in range(z.shape[1]):
                 z[:, k] = np.bincount(row, gained[:, k], len(texts))
         z = np.exp(np.clip(z + self.bias, -40, 40))
-        return z / z.sum(axis=1, keepdims=True)
+        return np.array(words, np.int64), z / z.sum(axis=1, keepdims=True)
 
 
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DomainModel:
@@ -91,7 +75,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DomainM
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            found = [buckets(t)[1].astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "domain", "x"])
 
     rows = sorted((r["doc_id"], r["domain"], bytes(r["x"])) for r in texts.mapInArrow(features, "doc_id long, domain string, x binary").collect())
@@ -103,7 +87,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DomainM
     one = np.eye(len(domains))[y]
     # documents of each domain that hold a bucket; kept are those that deviate most from independence
     held = np.zeros((BUCKETS, len(domains)))
-    sets = [np.frombuffer(x, np.int32) for *_, x in rows]
+    sets = [np.frombuffer(x, np.uint16) for *_, x in rows]
     for s, k in zip(sets, y, strict=True):
         held[s, k] += 1
     share, total = one.mean(axis=0), held.sum(axis=1, keepdims=True)
@@ -136,8 +120,8 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
     @F.pandas_udf("tokens long, posterior array<double>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        texts = texts.to_list()
-        return pd.DataFrame({"tokens": [len((t or "").split()) for t in texts], "posterior": list(model.posteriors(texts)) if texts else []})
+        words, shares = model.posteriors(texts.to_list())
+        return pd.DataFrame({"tokens": words, "posterior": list(shares)})
 
     made = docs.drop("tokens", "posterior").withColumn("__scored", scored("text"))
     return made.select("*", "__scored.tokens", "__scored.posterior").drop("__scored")
