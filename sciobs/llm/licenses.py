@@ -9,10 +9,13 @@ joins on directory paths. DataFrame functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: A line or document is a licence from this cosine on, and a licence file sets the licence of its directory from this cosine of the whole text on.
 HEADER, FILE = 0.6, 0.5
 
@@ -85,17 +88,29 @@ class Scanner:
             self.templates.append((name, {t: w / norm for t, w in weights.items()}))
 
     def best(self, text: Column) -> Column:
-        """struct(cosine, licence) of the nearest template; of equal ones the last name."""
-        words = terms(text)
-        known = F.array_intersect(F.array_distinct(words), F.array(*map(F.lit, self.vocabulary)))
+        """struct(cosine, licence) of the nearest template; of equal ones the last name; null without a template term."""
+        vocabulary = F.array(*map(F.lit, self.vocabulary))
         idf = F.create_map(*(F.lit(x) for t in self.vocabulary for x in (t, self.idf[t])))
-        weighted = F.transform(known, lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter(words, lambda w: w == t)).cast("double"))) * F.element_at(idf, t)).alias("w")))
-        # terms beyond the vocabulary only lengthen the vector
-        other = (F.size(F.array_distinct(words)) - F.size(known)) * F.lit(self.rare**2)
-        norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]) + other)
         table = F.array(*(F.struct(F.lit(name).alias("licence"), F.create_map(*(F.lit(x) for p in weights.items() for x in p)).alias("m")) for name, weights in self.templates))
-        scored = F.transform(table, lambda k: F.struct(F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(k["m"], x["t"]), F.lit(0.0))) / norm, 9).alias("cosine"), k["licence"].alias("licence")))
-        return F.when(F.size(known) > 0, F.array_max(scored))
+        total = lambda terms, value: F.aggregate(terms, F.lit(0.0), lambda a, x: a + value(x))
+
+        def nearest(weighted: Column, others: Column) -> Column:
+            # terms beyond the vocabulary only lengthen the vector
+            norm = F.sqrt(total(weighted, lambda x: x["w"] * x["w"]) + others * F.lit(self.rare**2))
+            dot = lambda k: total(weighted, lambda x: x["w"] * F.coalesce(F.try_element_at(k["m"], x["t"]), F.lit(0.0)))
+            return bind(norm, lambda n: F.array_max(F.transform(table, lambda k: F.struct(F.round(dot(k) / n, 9).alias("cosine"), k["licence"].alias("licence")))))
+
+        def weigh(words: Column, different: Column, known: Column) -> Column:
+            count = lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")
+            weighted = F.transform(known, lambda t: F.struct(t.alias("t"), ((1 + F.log(count(t))) * F.element_at(idf, t)).alias("w")))
+            return F.when(F.size(known) > 0, bind(weighted, lambda x: nearest(x, F.size(different) - F.size(known))))
+
+        return bind(terms(text), lambda words: bind(F.array_distinct(words), lambda different: bind(F.array_intersect(different, vocabulary), lambda known: weigh(words, different, known))))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; an expression named in a lambda is otherwise computed anew at each step."""
+    return F.transform(F.array(value), body)[0]
 
 
 def parent(path: Column) -> Column:
@@ -118,7 +133,9 @@ def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: floa
     new = ("licence", "cosine", "how", "licence_dir")
     columns = [c for c in docs.columns if c not in ("text", *new)]
     rows = docs.select(*columns, F.when(text.rlike(SCREEN), lines).alias("__lines"), F.when(text.rlike(SCREEN), text).alias("__text"), parent(F.col(path)).alias("__dir"))
+    # narrow, without texts: scanned once, read by both sides of the joins
     rows = rows.withColumns({"__header": F.array_max(F.transform("__lines", scanner.best)), "__file": F.when(F.col("__text").isNotNull(), scanner.best(F.col("__text")))}).drop("__lines", "__text")
+    rows = shared.keep(rows, "licences")
     best = F.when(F.col("__file.cosine") >= F.coalesce("__header.cosine", F.lit(0.0)), F.col("__file")).otherwise(F.col("__header"))
     rows = rows.withColumn("__own", F.when(best["cosine"] >= header, best))
     # directories are few against documents: inheritance is settled between directories first
