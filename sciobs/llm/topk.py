@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 K, SCALE = 10, 1024
-#: Vectors of a shard and of a leaf, and queries that travel together, about.
-SHARD, LEAF, QUERIES_AT_ONCE = 8192, 64, 256
+#: Most vectors of a shard, vectors of a leaf, and most queries that search a shard together. What is moved is
+#: vectors * blocks of queries + queries * shards, so both are as large as a task's memory allows; small tables
+#: are cut into two shards for each core instead.
+SHARD, LEAF, QUERIES_AT_ONCE = 32_768, 64, 16_384
 
 
 class Tree:
@@ -82,7 +84,7 @@ def whole(embedding: Column, scale: int = SCALE) -> Column:
     return F.when(~bad, F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v).cast("long")))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int | None = None) -> DataFrame:
     """The k vectors with the largest inner product for each query.
 
     vectors and queries: (vec_id long, v array<long>). Rows with a null id or
@@ -94,12 +96,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     vectors = vectors.where("vec_id is not null and v is not null")
     queries = queries.where("vec_id is not null and v is not null").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    shards = max(1, math.ceil(vectors.count() / shard))
+    n = vectors.count()
+    shard = shard or min(SHARD, max(1024, math.ceil(n / (2 * spark.sparkContext.defaultParallelism))))
+    shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
     dealt = vectors.select((F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)).alias("shard"), "vec_id", "v")
 
     def wave(asked: DataFrame) -> DataFrame:
-        """asked: (shard, query_id, q, floor). One task for each shard and block of queries, so that no shard waits for all queries."""
-        blocks = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE / 8))
+        """asked: (shard, query_id, q, floor). One task for each shard and block of queries."""
         block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
         trees = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
         rows = asked.select("shard", block.alias("block"), F.col("query_id").alias("vec_id"), F.col("q").alias("v"), "floor", F.lit(True).alias("asks"))

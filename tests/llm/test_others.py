@@ -131,8 +131,9 @@ def brute_top(vectors, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
-def test_top_k_against_brute_force(spark, shard):
+@pytest.mark.parametrize("shard,at_once", [(None, 16_384), (40, 16_384), (40, 2)])
+def test_top_k_against_brute_force(spark, monkeypatch, shard, at_once):
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", at_once)
     r = np.random.default_rng(2)
     vectors = [(i, [int(x) for x in r.integers(-1024, 1024, 12)]) for i in range(300)]
     vectors += [(1000 + i, [1024] * 12) for i in range(60)] + [(2000, [1] * 5), (2001, [2] * 5), (2002, [0] * 12)]  # ties, another dimension
