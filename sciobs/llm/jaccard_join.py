@@ -237,6 +237,8 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: i
     cuts = cuts.join(near, ["component", "step"], "left").select("component", "step", "blocks", F.coalesce("above", F.lit(0)).alias("above"))
     below = cuts.select("component", (F.col("step") + 1).alias("step"), F.col("blocks").alias("below"))
     cuts = cuts.join(below, ["component", "step"], "left").select("component", "step", "blocks", "above", F.coalesce("below", F.lit(0)).alias("below"))
+    # Written first: the join below then stands alone on its keys, and Spark can split a component that holds many of the rows.
+    cuts = shared.keep(cuts, "blocks")
     cut = bucketed.join(cuts, ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     me = F.col("block")
 
