@@ -1,7 +1,8 @@
 """Operator 8: licence scans by sparse TF-IDF cosine, with directory inheritance.
 
-Lines (headers) and whole documents (licence files) are compared to licence
-templates as TF-IDF vectors. A document without a licence of its own inherits
+Lines, runs of lines and paragraphs (headers) and whole documents (licence files)
+are compared to licence templates as TF-IDF vectors; the frequencies are those of
+all terms over all documents. A document without a licence of its own inherits
 the one of its nearest ancestor directory that has a licence file, found by
 joins on directory paths. DataFrame functions only.
 """
@@ -9,7 +10,6 @@ joins on directory paths. DataFrame functions only.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,53 +64,64 @@ def _template_terms() -> list[dict[str, int]]:
     return [{t: found.count(t) for t in found} for _, text in TEMPLATES for found in [re.findall(_TERM, text.lower())]]
 
 
-def inverse_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """log((1 + documents) / (1 + documents that hold the term)) + 1 of every template term, over all documents."""
-    words = F.array_intersect(F.array_distinct(terms(F.coalesce("text", F.lit("")))), F.array(*map(F.lit, vocabulary)))
-    held = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    total = docs.count()
-    found = {r["term"]: r["n"] for r in held.collect()}  # at most the vocabulary
-    return {t: math.log((1 + total) / (1 + found.get(t, 0))) + 1 for t in vocabulary}
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, held: documents that hold it) of all terms of all documents."""
+    words = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("held"))
+
 
+def inverse(held: float, total: int) -> float:
+    return math.log((1 + total) / (1 + held)) + 1
 
-class Scanner:
-    """Cosines to the templates as expressions; weights are 1 + log(count) times the inverse frequency."""
 
-    def __init__(self, docs: DataFrame):
-        counts = _template_terms()
-        self.vocabulary = sorted({t for c in counts for t in c})
-        self.idf = inverse_frequencies(docs, self.vocabulary)
-        self.rare = math.log(1 + docs.count()) + 1  # of a term that no template holds
-        self.templates = []
-        for (name, _), c in zip(TEMPLATES, counts, strict=True):
-            weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in c.items()}
-            norm = math.sqrt(sum(w * w for w in weights.values()))
-            self.templates.append((name, {t: w / norm for t, w in weights.items()}))
+def template_vectors(idf: dict[str, float]) -> dict[str, list[float]]:
+    """term -> its weight in every template; the templates' vectors have length 1."""
+    vectors: dict[str, list[float]] = {t: [0.0] * len(TEMPLATES) for t in idf}
+    for k, counts in enumerate(_template_terms()):
+        weights = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        for t, w in weights.items():
+            vectors[t][k] = w / norm
+    return vectors
 
-    def best(self, text: Column) -> Column:
-        """struct(cosine, licence) of the nearest template; of equal ones the last name; null without a template term."""
-        vocabulary = F.array(*map(F.lit, self.vocabulary))
-        idf = F.create_map(*(F.lit(x) for t in self.vocabulary for x in (t, self.idf[t])))
-        table = F.array(*(F.struct(F.lit(name).alias("licence"), F.create_map(*(F.lit(x) for p in weights.items() for x in p)).alias("m")) for name, weights in self.templates))
-        total = lambda terms, value: F.aggregate(terms, F.lit(0.0), lambda a, x: a + value(x))
 
-        def nearest(weighted: Column, others: Column) -> Column:
-            # terms beyond the vocabulary only lengthen the vector
-            norm = F.sqrt(total(weighted, lambda x: x["w"] * x["w"]) + others * F.lit(self.rare**2))
-            dot = lambda k: total(weighted, lambda x: x["w"] * F.coalesce(F.try_element_at(k["m"], x["t"]), F.lit(0.0)))
-            return bind(norm, lambda n: F.array_max(F.transform(table, lambda k: F.struct(F.round(dot(k) / n, 9).alias("cosine"), k["licence"].alias("licence")))))
+def units(text: Column) -> Column:
+    """The whole text, then its screened lines, runs of neighbouring screened lines, and paragraphs with a screened line."""
+    screened = lambda parts: F.filter(parts, lambda x: x.rlike(SCREEN))
+    lines = F.split(text, "\n")
+    marked = F.transform(lines, lambda x: F.when(x.rlike(SCREEN), F.translate(x, "\0", " ")).otherwise("\0"))
+    runs = F.split(F.array_join(marked, "\n"), "\0")
+    return F.concat(F.array(text), F.array_distinct(F.concat(screened(lines), screened(runs), screened(F.split(text, r"\n[ \t\r]*\n")))))
 
-        def weigh(words: Column, different: Column, known: Column) -> Column:
-            count = lambda t: F.size(F.filter(words, lambda w: w == t)).cast("double")
-            weighted = F.transform(known, lambda t: F.struct(t.alias("t"), ((1 + F.log(count(t))) * F.element_at(idf, t)).alias("w")))
-            return F.when(F.size(known) > 0, bind(weighted, lambda x: nearest(x, F.size(different) - F.size(known))))
 
-        return bind(terms(text), lambda words: bind(F.array_distinct(words), lambda different: bind(F.array_intersect(different, vocabulary), lambda known: weigh(words, different, known))))
+def cosines(docs: DataFrame) -> DataFrame:
+    """Of every different screened text: digest, __header (of its best part) and __file (of the whole text), each
+    struct(cosine, licence) of the nearest template; of equal ones the last name; null without a template term.
+
+    Weights are 1 + log(count) times the inverse document frequency; every term counts, of a template or not."""
+    vocabulary = sorted({t for c in _template_terms() for t in c})
+    text = F.col("text").cast("string")
+    texts = docs.where(text.rlike(SCREEN)).select(digest().alias("digest"), text.alias("text")).dropDuplicates(["digest"])
+    words = texts.select("digest", F.posexplode(units(F.col("text"))).alias("unit", "part")).select("digest", "unit", F.explode(terms(F.col("part"))).alias("term"))
+    words = shared.keep(words.groupBy("digest", "unit", "term").agg(F.count("*").alias("n")), "licence-terms")
+    asked = words.select("term").union(docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")).distinct()
+    held = shared.keep(document_frequencies(docs).join(asked, "term", "left_semi"), "licence-frequencies")
+    total = docs.count()
+    found = {r["term"]: r["held"] for r in held.where(F.col("term").isin(vocabulary)).collect()}  # at most the vocabulary
+    vectors = template_vectors({t: inverse(found.get(t, 0), total) for t in vocabulary})
+    table = F.create_map(*(x for t, v in vectors.items() for x in (F.lit(t), F.array(*map(F.lit, v)))))
+    weighed = words.join(held, "term").select(
+        "digest", "unit", ((1 + F.log(F.col("n").cast("double"))) * (F.log((1.0 + total) / (1 + F.col("held"))) + 1)).alias("w"), F.try_element_at(table, F.col("term")).alias("v")
+    )
+    dots = [F.sum(F.col("w") * F.col("v")[k]).alias(f"dot{k}") for k in range(len(TEMPLATES))]
+    scored = weighed.groupBy("digest", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots).where("dot0 is not null")
+    each = F.array(*(F.struct(F.round(F.col(f"dot{k}") / F.col("norm"), 9).alias("cosine"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(TEMPLATES)))
+    best = scored.select("digest", "unit", F.array_max(each).alias("best"))
+    return best.groupBy("digest").agg(F.max(F.when(F.col("unit") > 0, F.col("best"))).alias("__header"), F.max(F.when(F.col("unit") == 0, F.col("best"))).alias("__file"))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once; an expression named in a lambda is otherwise computed anew at each step."""
-    return F.transform(F.array(value), body)[0]
+def digest() -> Column:
+    return F.sha2(F.col("text").cast("string").cast("binary"), 256)
 
 
 def parent(path: Column) -> Column:
@@ -120,21 +131,23 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: float = FILE) -> DataFrame:
     """The rows of docs without text, with licence, cosine, how (``own``, ``inherited`` or null) and licence_dir.
 
-    Own: the best line of the whole text whose cosine reaches ``header``, or the
-    whole text's. A document whose whole text reaches ``file`` is a licence file
+    Own: the best line of the whole text whose cosine reaches ``header``, or a run
+    of neighbouring screened lines, a paragraph or the whole text. A document whose whole text reaches ``file`` is a licence file
     of its directory; of several the largest cosine, then the first name,
     counts. The others inherit from the nearest directory above them that has
     one, their own directory first. Null texts are empty; a null path is in no
     directory; columns of the new names are replaced; repeated rows stay.
     """
-    scanner = Scanner(docs)
+    best_of = cosines(docs)
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SCREEN))
     new = ("licence", "cosine", "how", "licence_dir")
     columns = [c for c in docs.columns if c not in ("text", *new)]
-    rows = docs.select(*columns, F.when(text.rlike(SCREEN), lines).alias("__lines"), F.when(text.rlike(SCREEN), text).alias("__text"), parent(F.col(path)).alias("__dir"))
     # narrow, without texts: scanned once, read by both sides of the joins
-    rows = rows.withColumns({"__header": F.array_max(F.transform("__lines", scanner.best)), "__file": F.when(F.col("__text").isNotNull(), scanner.best(F.col("__text")))}).drop("__lines", "__text")
+    rows = docs.select(*columns, F.when(text.rlike(SCREEN), digest()).alias("__digest"), parent(F.col(path)).alias("__dir"))
+    rows = shared.keep(rows, "licence-rows")
+    none = [F.lit(None).cast(best_of.schema[c].dataType).alias(c) for c in ("__header", "__file")]
+    screened = rows.where("__digest is not null").join(best_of.withColumnRenamed("digest", "__digest"), "__digest", "left")
+    rows = screened.drop("__digest").unionByName(rows.where("__digest is null").drop("__digest").select("*", *none))
     rows = shared.keep(rows, "licences")
     best = F.when(F.col("__file.cosine") >= F.coalesce("__header.cosine", F.lit(0.0)), F.col("__file")).otherwise(F.col("__header"))
     rows = rows.withColumn("__own", F.when(best["cosine"] >= header, best))
