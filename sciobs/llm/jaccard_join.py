@@ -88,8 +88,8 @@ def minhash(sets: list[np.ndarray], values: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def signatures(docs: DataFrame, n: int, values: int) -> DataFrame:
-    """(id, digest of the n-gram set, size, sig: MinHash values; null for an empty set)."""
+def signatures(docs: DataFrame, n: int, values: int, text_key: bool = False) -> DataFrame:
+    """(id, digest of the n-gram set, size, sig: MinHash values; null for an empty set), and with text_key the text's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +106,16 @@ def signatures(docs: DataFrame, n: int, values: int) -> DataFrame:
                     chunk, size = [], 0
             digests = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets]
             arrays = [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], names=["id", "digest", "size", "sig", *keys])
 
-    return docs.select(shared.id_key().alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, digest binary, size long, sig binary")
+    keys = ["text_key"] if text_key else []
+    schema = "id long, digest binary, size long, sig binary" + ", text_key string" * text_key
+    return docs.select(shared.id_key().alias("id"), F.col("text").cast("string"), *(_text_key().alias(k) for k in keys)).mapInArrow(run, schema)
+
+
+def _text_key():
+    """Tells texts apart, the null one too."""
+    return F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit(""))
 
 
 @lru_cache
@@ -204,10 +211,19 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: i
     nothing else. Repeated rows are copies. A null doc_id is below all others
     and is returned as null.
     """
+    sigs, known = _link(docs, n, threshold, bands, rows, tolerance)
+    null = lambda c: F.when(F.col(c) != shared.NO_ID, F.col(c)).alias(c)
+    return sigs.select(F.col("id").alias("doc_id"), "digest").join(known.drop("component"), "digest").select(
+        null("doc_id"), null("class_id"), (F.col("rows") - 1).alias("copies"), (F.col("links") + F.col("rows") - 1).alias("n_links")
+    )
+
+
+def _link(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE, text_key: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows; and of each different n-gram set: digest, component, rows, class_id, links."""
     spark = docs.sparkSession
     shared.prepare(spark)
     values = bands * rows
-    sigs = shared.keep(signatures(docs, n, values), "signatures")
+    sigs = shared.keep(signatures(docs, n, values, text_key), "signatures")
     groups = sigs.groupBy("digest").agg(F.count("*").alias("rows"), F.min("id").alias("rep"), F.max("size").alias("size"), F.max("sig").alias("sig"))
     classes = shared.keep(groups.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
@@ -286,18 +302,21 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: i
     final = components(linked.where("a <> b").select("a", "b"))
     labelled = classes.select("node", "digest", "rows", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = labelled.groupBy("component").agg(F.min("rep").alias("class_id"))
-    known = labelled.join(firsts, "component").join(counts, "node", "left").select("digest", "rows", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    null = lambda c: F.when(F.col(c) != shared.NO_ID, F.col(c)).alias(c)
-    return sigs.select(F.col("id").alias("doc_id"), "digest").join(known, "digest").select(
-        null("doc_id"), null("class_id"), (F.col("rows") - 1).alias("copies"), (F.col("links") + F.col("rows") - 1).alias("n_links")
-    )
+    return sigs, labelled.join(firsts, "component").join(counts, "node", "left").select("digest", "component", "rows", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class stays: the one with the smallest doc_id, and one row of it. All columns stay as they are.
+    """One row of each class stays. All columns stay as they are.
 
-    Rows that share a doc_id are one document."""
+    It is the one with the smallest doc_id (null first); of several rows with
+    that id the smallest n-gram digest, then the smallest digest of the text,
+    then of the whole row. Rows of other classes stay whatever id they share.
+    """
     columns = docs.columns
-    stay = join(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(shared.id_key().alias("__id")).distinct()
-    rows = docs.withColumn("__id", shared.id_key()).join(stay.hint("shuffle_hash"), "__id", "left_semi")
-    return rows.dropDuplicates(["__id"]).select(columns)
+    sigs, known = _link(docs, text_key=True, **options)
+    ones = sigs.groupBy("digest").agg(F.min(F.struct("id", "text_key")).alias("one")).join(known.select("digest", "component"), "digest")
+    stay = ones.groupBy("component").agg(F.min(F.struct("one.id", "digest", "one.text_key")).alias("one")).select(F.col("one.id").alias("__id"), F.col("one.text_key").alias("__key"))
+    rows = docs.withColumns({"__id": shared.id_key(), "__key": _text_key()}).join(stay.hint("shuffle_hash"), ["__id", "__key"], "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    order = F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return rows.groupBy("__id", "__key").agg(F.min_by(whole, order).alias("__row")).select("__row.*")

@@ -104,3 +104,17 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, 103: 100, 200: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_keep_one_keeps_every_different_text(spark, parts):
+    a, b, c, d = (sentence(k, 30) for k in range(4))
+    near = c.split()
+    near[-1] = "changed"
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "s", 1), (9, a, "en", "s", 1)]  # two texts without id, one of them three times
+    rows += [(1, c, "en", "s", 1), (2, " ".join(near), "en", "s", 1), (2, d, "en", "s", 1), (2, d, "fr", "s", 1)]  # a near copy and a text of its own share an id
+    rows += [(3, None, "en", "s", 1), (4, "", "en", "s", 1)]
+    docs = documents(spark, rows).repartition(parts)
+    got = sorted(((r["doc_id"], r["text"]) for r in jj.keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (2, d), (3, None)], key=str)
+    assert {r["lang"] for r in jj.keep_one(docs).where("doc_id = 2").collect()} == {r["lang"] for r in jj.keep_one(documents(spark, rows[::-1])).where("doc_id = 2").collect()}
