@@ -71,7 +71,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DomainM
         labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null")
         .groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(F.col("doc_id"), F.lit("domains")), "doc_id").limit(sample)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # at most `sample` rows
+    texts = shared.one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "domain")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,5 +53,12 @@ def id_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def one_text(rows: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label): one row of each doc_id; of several texts the one with the smallest digest, a null text first."""
+    order = F.coalesce(F.sha2(F.col("text").cast("string").cast("binary"), 256), F.lit(""))
+    found = rows.groupBy("doc_id", label).agg(F.min_by(F.struct("text"), order).alias("one"))
+    return found.select("doc_id", "one.text", label)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -77,3 +77,23 @@ def test_gradient():
         y = m.forward(np.concatenate(bags), np.cumsum(many) - many, many)[-1]
         loss.append(-np.log(np.where(labels > 0, y, 1 - y)).mean())
     assert loss[0] > loss[1] > loss[2]
+
+
+def test_a_document_repeated_thousands_of_times_is_learned_from_once(spark):
+    from pyspark.sql import functions as F
+
+    from sciobs.llm import mixing, shared
+
+    rows, labels = corpus(60)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    hot = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)  # not held out
+    again = docs.unionByName(docs.where(f"doc_id = {hot}").crossJoin(spark.range(3000)).drop("id"))
+    one, two = quality.train(docs, table), quality.train(again.repartition(5), table)
+    assert all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    domains = table.select("doc_id", F.col("quality").cast("string").alias("domain"))
+    one, two = mixing.train(docs, domains), mixing.train(again.repartition(5), domains)
+    assert (one.weights == two.weights).all() and (one.bias == two.bias).all()
+    other = docs.where("doc_id < 4").unionByName(docs.where("doc_id = 3").withColumn("text", F.lit(None).cast("string")))
+    kept = shared.one_text(other.select("doc_id", "text", "lang"), "lang").collect()
+    assert sorted((r["doc_id"], r["text"] is None) for r in kept) == [(0, False), (1, False), (2, False), (3, True)]
