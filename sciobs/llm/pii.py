@@ -18,7 +18,7 @@ _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQ
 
 #: What is looked for, in this order where matches begin at the same place.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?"?[A-Za-z0-9+/_-]{8,128}""",
+    "secret": r"""(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?"?(?=[^\s"]*[0-9])[^\s"]{8,}+""",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
@@ -52,28 +52,39 @@ def permute_pair(left: Column, right: Column, a: int, b: int, key: str) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), state, one)
 
 
+def _stream(key: str, i: Column, text: Column, length: Column) -> Column:
+    """Numbers of at most 8 bits, as many as asked for: keyed hashes of the text, or from the fourth on of the text's hash."""
+
+    def blocks(whole: Column) -> Column:
+        one = lambda n: F.when(n < 3, _hash(key, i, n, text)).otherwise(_hash(key, i, n, whole))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((length - 1) / 32).cast("int")), one), "")
+
+    # computed once; else it would be anew for each block
+    hexes = F.transform(F.array(F.when(length > 96, _hash(key, i, F.lit("long"), text))), blocks)[0]
+    return F.transform(F.slice(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), F.lit(1), length), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
 def _shift(text: Column, stream: Column, hexes: bool) -> Column:
-    """Every letter and digit moved within its alphabet by two hexadecimal digits of the stream; other characters stay."""
+    """Every letter and digit moved within its alphabet by a number of the stream; other characters stay."""
 
-    def char(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def char(c: Column, by: Column) -> Column:
         out = c
         for alphabet in (_HEX,) if hexes else (_LOWER, _UPPER, _DIGITS):
             at = F.instr(F.lit(alphabet), c)
             out = F.when(at > 0, F.substring(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(text, ""), char), "")
+    return F.array_join(F.zip_with(F.split(text, ""), stream, char), "")
 
 
 def permute_text(text: Column, key: str, hexes: bool = False) -> Column:
-    """A permutation of texts that keeps which characters are small or capital letters, digits or signs, and where. Up to 192 characters."""
+    """A permutation of texts of any length that keeps which characters are small or capital letters, digits or signs, and where."""
     half = F.floor(F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
 
     def one(s: Column, i: Column) -> Column:
-        stream = F.concat(*(_hash(key, i, F.lit(n), s["b"]) for n in range(3)))
-        return F.struct(s["b"].alias("a"), _shift(s["a"], stream, hexes).alias("b"))
+        moved = F.when(s["a"] == "", s["a"]).otherwise(_shift(s["a"], _stream(key, i, s["b"], F.length(s["a"])), hexes))
+        return F.struct(s["b"].alias("a"), moved.alias("b"))
 
     # an even number of rounds brings the halves back to their places
     return F.transform(F.array(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, one)), lambda s: F.concat(s["a"], s["b"]))[0]
@@ -130,9 +141,12 @@ def _card(m: Column, key: str) -> Column:
 
 def _found(m: Column, key: str) -> Column:
     """struct(kind: null where the match is not valid, text: the pseudonym or the match)."""
-    label = F.regexp_extract(m, '^[A-Za-z_]+ ?[=:] ?"?', 0)
-    value = F.substring(m, F.length(label) + 1, F.length(m))
-    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), permute_text(value, f"{key}|secret", hexes=True)).otherwise(permute_text(value, f"{key}|secret")))
+    label = F.regexp_extract(m, """^[A-Za-z_]+ ?[=:] ?["']?""", 0)
+    rest = F.substring(m, F.length(label) + 1, F.length(m))
+    # signs stay, so those at the end belong to the sentence: a secret has one pseudonym with and without them
+    value = F.regexp_replace(rest, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    tail = F.substring(rest, F.length(value) + 1, F.length(rest))
+    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), permute_text(value, f"{key}|secret", hexes=True)).otherwise(permute_text(value, f"{key}|secret")), tail)
     at = F.locate("@", m)
     email = F.concat(permute_text(F.substring(m, F.lit(1), at - 1), f"{key}|email"), F.substring(m, at, F.length(m)))
     country = F.regexp_extract(m, r"^(?:\+[0-9]{1,3})?", 0)
@@ -156,7 +170,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     A card number must pass the Luhn check (and passes it afterwards), a date
     must exist, an address's numbers be at most 255, a social security number be
-    one that can be issued, a secret hold a digit; all else stays. Null texts stay null,
+    one that can be issued, a secret hold a digit; all else stays. A secret is the
+    whole run without spaces and double quotes after its label; as everywhere, only
+    ASCII letters and digits are replaced. Null texts stay null,
     with an empty map; an existing column ``private`` is replaced. Equal rows stay equal.
     """
     columns = [c for c in docs.columns if c != "private"]

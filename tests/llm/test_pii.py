@@ -108,3 +108,37 @@ def test_awkward_rows_and_columns(spark):
     assert out.columns == ["doc_id", "text", "kind", "n_chars", "private"]
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(i), str(t)) for i, t, *_ in awkward())
     assert pii.pseudonymise(empty(spark)).count() == 0
+
+
+def long_text_of(s, key):
+    """text_of for any length: from the fourth hash on, of the hash of the half."""
+    a, b = s[: len(s) // 2], s[len(s) // 2 :]
+    for i in range(1, pii.ROUNDS + 1):
+        whole = stream(key, i, "long", b)
+        hexs = "".join(stream(key, i, n, b if n < 3 else whole) for n in range(-(-len(a) // 32)))
+        out = []
+        for k, c in enumerate(a):
+            for alphabet in (pii._LOWER, pii._UPPER, pii._DIGITS):
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + int(hexs[2 * k : 2 * k + 2], 16)) % len(alphabet)]
+                    break
+            out.append(c)
+        a, b = b, "".join(out)
+    return a + b
+
+
+def test_whole_secrets_of_any_length_and_sign(spark):
+    r = random.Random(4)
+    values = ["".join(r.choice(pii._LOWER + pii._UPPER + pii._DIGITS) for _ in range(n)) for n in (129, 192, 193, 194, 300, 5000)]
+    values += ["Sup3r$ecretPass", "eyJhbGciOi1.eyJzdWIiOiIx.c2lnbmF0dXJl", "a.b=c!d@e1", "ab1cdefg'rest'of=it==x"]
+    texts = [f'password={v} and "token = {v}", {v}' for v in values]
+    for v, (text, found) in zip(values, replaced(spark, texts), strict=True):
+        new = long_text_of(v, f"{K}|secret")
+        assert found == {"secret": 2} and text == f'password={new} and "token = {new}", {v}'
+        assert len(new) == len(v) and new != v
+        if len(v) > 128:
+            assert sum(a == b for a, b in zip(v[128:], new[128:], strict=True)) <= 1 + (len(v) - 128) // 4
+    (one, _), (two, _), (mail, found), (single, _) = replaced(spark, ["password=Sup3r$ecretPass!", "(secret: Sup3r$ecretPass).", "token:alice.smith@example.com", "token='Sup3r$ecretPass'"])
+    new = long_text_of("Sup3r$ecretPass", f"{K}|secret")
+    assert (one, two, single) == (f"password={new}!", f"(secret: {new}).", f"token='{new}'")
+    assert found == {"email": 1} and "alice" not in mail
