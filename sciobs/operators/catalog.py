@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.science import axis_role, cf_roles, coverage_polygon, field_role, finite, modality_from_cdm, modality_from_text, stable_id, try_double
@@ -266,19 +266,27 @@ def inspect_table(df: DataFrame) -> DataFrame:
 # ---- inventory and suggestions
 
 
-def union_components(*parts: DataFrame, cap: int = MAX_COMPONENTS) -> DataFrame:
-    """Components of several extractors: by id, each once, at most ``cap``."""
+def union_components(*parts: DataFrame, cap: int | None = None, each: int | None = MAX_COMPONENTS) -> DataFrame:
+    """Components of several extractors: each once, the first ``each`` by id of every dataset; ``truncated`` where a dataset has more. All without ``each``; with ``cap`` only so many of all, by id."""
     if not parts:
         raise SpecError("no components")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.dropDuplicates(["component_id"]).orderBy("component_id").limit(cap)
-
-
-def scientific_inventory(fields: DataFrame, cap: int = MAX_COMPONENTS) -> DataFrame:
-    """Field components with their QC fields, and whether a person must decide (a value of low confidence without one)."""
-    parts = union_components(field_components(fields), cap=cap)
+    out = out.dropDuplicates(["component_id"])
+    if each is None:
+        out = out.withColumn("truncated", F.lit(False))
+    else:
+        # one more than stays, to see whether there are more
+        place = F.row_number().over(Window.partitionBy("dataset_id").orderBy("component_id"))
+        out = out.withColumn("__place", place).where(F.col("__place") <= each + 1)
+        out = out.withColumn("truncated", F.max("__place").over(Window.partitionBy("dataset_id")) > each).where(F.col("__place") <= each).drop("__place")
+    return out if cap is None else out.orderBy("component_id").limit(cap)
+
+
+def scientific_inventory(fields: DataFrame, cap: int | None = None, each: int | None = MAX_COMPONENTS) -> DataFrame:
+    """Field components of every dataset with their QC fields, and whether a person must decide (a value of low confidence without one). For the limits see union_components."""
+    parts = union_components(field_components(fields), cap=cap, each=each)
     links = qc_links(fields).groupBy("dataset_id", "field").agg(F.min("qc_field").alias("qc_field"))
     joined = parts.join(links, ["dataset_id", "field"], "left")
     return joined.withColumn("unresolved", (F.col("role") == "value") & F.col("qc_field").isNull())
@@ -288,26 +296,30 @@ def scientific_inventory(fields: DataFrame, cap: int = MAX_COMPONENTS) -> DataFr
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 
 
-def rank_suggestions(suggestions: DataFrame, k: int = MAX_SUGGESTIONS) -> DataFrame:
-    """By confidence and panels descending, then id."""
+def rank_suggestions(suggestions: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
+    """By confidence and panels descending, then id: the first k, of every group if there is a column of groups."""
     order = F.lit(0)
     for name, n in CONFIDENCE.items():
         order = F.when(F.col("confidence") == name, n).otherwise(order)
-    return suggestions.orderBy(F.desc(order), F.desc("panels"), "suggestion_id").limit(k)
+    ranked = [F.desc(order), F.desc("panels"), F.asc("suggestion_id")]
+    if group is None:
+        return suggestions.orderBy(*ranked).limit(k)
+    return suggestions.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*ranked))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def suggest_views(inventory: DataFrame, k: int = MAX_SUGGESTIONS) -> DataFrame:
-    """View suggestions of datasets by the roles they have: profiles, maps, time series, tables; ranked."""
+def suggest_views(inventory: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
+    """View suggestions of datasets by the roles they have: profiles, maps, time series, tables; the first k of the ranking, for every asked group of datasets if there is a column of groups."""
+    keys = ["dataset_id"] if group is None else [group, "dataset_id"]
     has = lambda r: F.array_contains("roles", r)
-    per = inventory.groupBy("dataset_id").agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"))
+    per = inventory.groupBy(*keys).agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"))
     recipe = F.explode(F.array_compact(F.array(
         F.when(has("vertical") & (F.col("values") > 0), F.struct(F.lit("profile").alias("kind"), F.lit(2).alias("panels"), F.when(F.col("qc") > 0, "high").otherwise("medium").alias("confidence"))),
         F.when(has("latitude") & has("longitude"), F.struct(F.lit("map").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
         F.when(has("time") & (F.col("values") > 0), F.struct(F.lit("time_series").alias("kind"), F.lit(1).alias("panels"), F.lit("medium").alias("confidence"))),
         F.struct(F.lit("table").alias("kind"), F.lit(1).alias("panels"), F.lit("low").alias("confidence")),
     ))).alias("r")
-    made = per.select("dataset_id", recipe).select("dataset_id", "r.*")
-    return rank_suggestions(made.withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")])), k)
+    made = per.select(*keys, recipe).select(*keys, "r.*")
+    return rank_suggestions(made.withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")])), k, group)
 
 
 def validate_georef(cubes: DataFrame) -> DataFrame:

@@ -110,12 +110,12 @@ _ROLE = "CASE WHEN ends_with(lower(field), '_qc') THEN 'quality_control' ELSE 'v
 @query("scientific_inventory", _FIELDS + f""", r AS (SELECT dataset_id, field, {_ROLE} AS role, 'component-' || substr(sha256(dataset_id || chr(31) || field), 1, 16) AS component_id FROM f ORDER BY component_id LIMIT 256), q AS (SELECT dataset_id, field, min(qc_field) AS qc_field FROM l GROUP BY 1, 2)
     SELECT component_id, dataset_id, field, role, qc_field, role = 'value' AND qc_field IS NULL AS unresolved FROM r LEFT JOIN q USING (dataset_id, field)""")
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.scientific_inventory(_fields(spark, sf_dir)).select("component_id", "dataset_id", "field", "role", "qc_field", "unresolved")
+    return c.scientific_inventory(_fields(spark, sf_dir), cap=256, each=None).select("component_id", "dataset_id", "field", "role", "qc_field", "unresolved")
 
 
 @query("suggest_views", _FIELDS + """, d AS (SELECT DISTINCT dataset_id, 'view-' || substr(sha256(dataset_id || chr(31) || 'table'), 1, 16) AS suggestion_id FROM f) SELECT dataset_id, 'table' AS kind, suggestion_id FROM d ORDER BY suggestion_id LIMIT 12""")
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.suggest_views(c.scientific_inventory(_fields(spark, sf_dir), cap=100_000)).select("dataset_id", "kind", "suggestion_id")
+    return c.suggest_views(c.scientific_inventory(_fields(spark, sf_dir), each=None)).select("dataset_id", "kind", "suggestion_id")
 
 
 @query("profile_roles", "WITH v AS (SELECT p_brand AS dataset_id, p_name AS field, " + _case(5, "time", "vertical", "value", "value", "latitude") + " AS role FROM part) SELECT dataset_id, role, min(field) AS field FROM v GROUP BY 1, 2")

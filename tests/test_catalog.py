@@ -127,3 +127,13 @@ def test_streams(spark, tmp_path):
     r = Recipe("platform", "cycle", "pres", (ValueRole("temp", "qc", ("1",)),))
     s.append_parquet(s.stream_flags(stream, r), f"{tmp_path}/flags", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/flags").where("qc_accepted").count() == 5
+
+
+def test_inventory_and_suggestions_of_many_datasets(spark):
+    rows = [(f"g{d % 3}", f"d{d:03}", f"field_{k}") for d in range(60) for k in range(10)] + [("g0", "big", f"field_{k}") for k in range(300)]
+    fields = spark.createDataFrame(rows, "asked string, dataset_id string, field string")
+    got = {r["dataset_id"]: (r["n"], r["cut"]) for r in c.scientific_inventory(fields.drop("asked")).groupBy("dataset_id").agg(F.count("*").alias("n"), F.max("truncated").alias("cut")).collect()}
+    assert got == {**{f"d{d:03}": (10, False) for d in range(60)}, "big": (256, True)}
+    groups = fields.select("asked", "dataset_id").distinct()
+    views = c.suggest_views(c.scientific_inventory(fields.drop("asked")).join(groups, "dataset_id"), group="asked").groupBy("asked").count().collect()
+    assert {r["asked"]: r["count"] for r in views} == {"g0": 12, "g1": 12, "g2": 12}
