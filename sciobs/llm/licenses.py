@@ -1,25 +1,34 @@
 """Operator 8: licence scans by sparse TF-IDF cosine, with directory inheritance.
 
-Lines, runs of lines and paragraphs (headers) and whole documents (licence files)
-are compared to licence templates as TF-IDF vectors; the frequencies are those of
-all terms over all documents. A document without a licence of its own inherits
-the one of its nearest ancestor directory that has a licence file, found by
-joins on directory paths. DataFrame functions only.
+Parts of a text (lines and two neighbouring lines, paragraphs, windows of terms)
+and whole texts are compared to licence templates as TF-IDF vectors: headers and
+titles, and full licence texts. Frequencies are those of all terms over all
+documents. What no bound on the cosine excludes is compared; the bounds follow
+from the weights (Cauchy-Schwarz), so nothing is lost by them. A document without
+a licence of its own inherits that of its nearest ancestor directory that has a
+licence file, found by joins on directory paths. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: A line or document is a licence from this cosine on, and a licence file sets the licence of its directory from this cosine of the whole text on.
+#: A part of a text has a licence from the first cosine on; a whole text is a licence file, of its directory too, from the second.
 HEADER, FILE = 0.6, 0.5
+#: Terms of the windows that texts are cut into, each beginning at the half of the one before; templates longer than SHORT terms ask for windows.
+WINDOWS, SHORT = (32, 64, 128, 256, 512, 1024, 2048), 24
+#: Terms that at least this share of all documents hold are joined by broadcast; there are at most the mean number of terms / share of them.
+HOT_SHARE = 0.01
 
-#: Licence templates, (licence, text); the headers and titles that publishers ask for.
+#: The headers and titles of licences, (licence, text).
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -48,9 +57,17 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
 ]
-#: Every template line holds one of these; a line without any is no licence line.
-SCREEN = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain|rights reserved|creative commons"
+#: Full licence texts, one file each; read by the driver only.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Says that all is forbidden; whatever grants a licence goes before it.
+LAST = "Proprietary"
 _TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_WHOLE, _PARAGRAPH, _LINE, _PAIR, _WINDOW = range(5)
+
+
+def templates() -> list[tuple[str, str]]:
+    """(licence, text): the headers, then the full texts."""
+    return TEMPLATES + [(f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt"))]
 
 
 def terms(text: Column) -> Column:
@@ -58,12 +75,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
-def _template_terms() -> list[dict[str, int]]:
-    import re
-
-    return [{t: found.count(t) for t in found} for _, text in TEMPLATES for found in [re.findall(_TERM, text.lower())]]
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(term, held: documents that hold it) of all terms of all documents."""
     words = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
@@ -74,54 +85,83 @@ def inverse(held: float, total: int) -> float:
     return math.log((1 + total) / (1 + held)) + 1
 
 
-def template_vectors(idf: dict[str, float]) -> dict[str, list[float]]:
-    """term -> its weight in every template; the templates' vectors have length 1."""
-    vectors: dict[str, list[float]] = {t: [0.0] * len(TEMPLATES) for t in idf}
-    for k, counts in enumerate(_template_terms()):
-        weights = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+def template_vectors(known: list[tuple[str, str]], held: dict[str, int], total: int) -> list[dict[str, float]]:
+    """Of each template term -> weight: 1 + log(count) times the inverse document frequency, of length 1."""
+    out = []
+    for _, text in known:
+        weights = {t: (1 + math.log(n)) * inverse(held.get(t, 0), total) for t, n in Counter(re.findall(_TERM, text.lower())).items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
-        for t, w in weights.items():
-            vectors[t][k] = w / norm
-    return vectors
+        out.append({t: w / norm for t, w in weights.items()})
+    return out
 
 
-def units(text: Column) -> Column:
-    """The whole text, then its screened lines, runs of neighbouring screened lines, and paragraphs with a screened line."""
-    screened = lambda parts: F.filter(parts, lambda x: x.rlike(SCREEN))
-    lines = F.split(text, "\n")
-    marked = F.transform(lines, lambda x: F.when(x.rlike(SCREEN), F.translate(x, "\0", " ")).otherwise("\0"))
-    runs = F.split(F.array_join(marked, "\n"), "\0")
-    return F.concat(F.array(text), F.array_distinct(F.concat(screened(lines), screened(runs), screened(F.split(text, r"\n[ \t\r]*\n")))))
+def needed(vector: dict[str, float], cosine: float, spare: float = 1.0) -> tuple[set[str], int]:
+    """Terms of a template, and how many of them a text must hold to reach the cosine.
 
-
-def cosines(docs: DataFrame) -> DataFrame:
-    """Of every different screened text: digest, __header (of its best part) and __file (of the whole text), each
-    struct(cosine, licence) of the nearest template; of equal ones the last name; null without a template term.
-
-    Weights are 1 + log(count) times the inverse document frequency; every term counts, of a template or not."""
-    vocabulary = sorted({t for c in _template_terms() for t in c})
-    text = F.col("text").cast("string")
-    texts = docs.where(text.rlike(SCREEN)).select(digest().alias("digest"), text.alias("text")).dropDuplicates(["digest"])
-    words = texts.select("digest", F.posexplode(units(F.col("text"))).alias("unit", "part")).select("digest", "unit", F.explode(terms(F.col("part"))).alias("term"))
-    words = shared.keep(words.groupBy("digest", "unit", "term").agg(F.count("*").alias("n")), "licence-terms")
-    asked = words.select("term").union(docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")).distinct()
-    held = shared.keep(document_frequencies(docs).join(asked, "term", "left_semi"), "licence-frequencies")
-    total = docs.count()
-    found = {r["term"]: r["held"] for r in held.where(F.col("term").isin(vocabulary)).collect()}  # at most the vocabulary
-    vectors = template_vectors({t: inverse(found.get(t, 0), total) for t in vocabulary})
-    table = F.create_map(*(x for t, v in vectors.items() for x in (F.lit(t), F.array(*map(F.lit, v)))))
-    weighed = words.join(held, "term").select(
-        "digest", "unit", ((1 + F.log(F.col("n").cast("double"))) * (F.log((1.0 + total) / (1 + F.col("held"))) + 1)).alias("w"), F.try_element_at(table, F.col("term")).alias("v")
-    )
-    dots = [F.sum(F.col("w") * F.col("v")[k]).alias(f"dot{k}") for k in range(len(TEMPLATES))]
-    scored = weighed.groupBy("digest", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots).where("dot0 is not null")
-    each = F.array(*(F.struct(F.round(F.col(f"dot{k}") / F.col("norm"), 9).alias("cosine"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(TEMPLATES)))
-    best = scored.select("digest", "unit", F.array_max(each).alias("best"))
-    return best.groupBy("digest").agg(F.max(F.when(F.col("unit") > 0, F.col("best"))).alias("__header"), F.max(F.when(F.col("unit") == 0, F.col("best"))).alias("__file"))
-
-
-def digest() -> Column:
-    return F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    A cosine is at most the root of the summed squares of the shared terms'
+    weights. The lightest terms with a sum below ``spare`` of the cosine's square
+    are left out; of the others, so many as the heaviest need for the rest.
+    """
+    goal, dropped, kept = cosine**2 * (1 - 1e-9), 0.0, []
+    for w, t in sorted((w * w, t) for t, w in vector.items()):
+        if not kept and dropped + w < goal * spare:
+            dropped += w
+        else:
+            kept.append((w, t))
+    rest, many = goal - dropped, 0
+    for w, _ in reversed(kept):
+        many += 1
+        rest -= w
+        if rest <= 0:
+            break
+    return {t for _, t in kept}, max(1, many)
+
+
+def parts(texts: DataFrame, heavy: list[str]) -> DataFrame:
+    """(digest, kind, n, term): the terms of all parts that are compared. texts: (digest, text, windowed)."""
+    strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
+    lines = F.split("text", "\n")
+    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat_ws(" ", a, b))
+    out = texts.select("digest", F.lit(_WHOLE).alias("kind"), F.lit(0).alias("n"), F.explode(terms(F.col("text"))).alias("term"))
+    for kind, cut in ((_PARAGRAPH, F.split("text", r"\n[ \t\r]*\n")), (_LINE, lines), (_PAIR, pairs)):
+        each = texts.select("digest", F.lit(kind).alias("kind"), F.posexplode(cut).alias("n", "part")).select("digest", "kind", "n", terms(F.col("part")).alias("terms"))
+        if kind != _PARAGRAPH:  # no header without one of its heavy terms
+            each = each.where(F.arrays_overlap("terms", strings(heavy)))
+        out = out.unionByName(each.select("digest", "kind", "n", F.explode("terms").alias("term")))
+    placed = texts.where("windowed").select("digest", F.posexplode(terms(F.col("text"))).alias("at", "term"))
+    covering = [F.struct(F.lit(_WINDOW + k).alias("kind"), (F.floor(F.col("at") / (size // 2)).cast("int") - back).alias("n")) for k, size in enumerate(WINDOWS) for back in (0, 1)]
+    windows = placed.select("digest", F.explode(F.array(*covering)).alias("w"), "term").where("w.n >= 0").select("digest", "w.kind", "w.n", "term")
+    return out.unionByName(windows)
+
+
+def cosines(texts: DataFrame, known: list[tuple[str, str]], vectors: list[dict[str, float]], heavy: list[str], held: DataFrame, total: int, header: float, file: float) -> DataFrame:
+    """Of every text: digest, __header (of its best part) and __file (of the whole text), each struct(named, cosine, licence)
+    of the nearest template, null below the threshold; licences go before ``LAST``, of equal ones the last name counts."""
+    spark = texts.sparkSession
+    found = [(t, *([v.get(t, 0.0) for v in vectors],)) for t in sorted({t for v in vectors for t in v})]
+    # the templates' terms only: bounded, whatever the corpus
+    mine = spark.createDataFrame(found, "term string, v array<double>").join(F.broadcast(held.where("of_template")), "term", "left").select("term", "v", F.coalesce("held", F.lit(0)).alias("held"))
+    mine = shared.keep(mine, "licence-vocabulary")
+    weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + total) / (1 + F.col("held"))) + 1)
+    unit = ["digest", "kind", "n"]
+    counted = shared.keep(parts(texts, heavy).groupBy(*unit, "term").agg(F.count("*").alias("tf")), "licence-terms")
+    dots = [F.sum(F.col("w") * F.col("v")[k]).alias(f"dot{k}") for k in range(len(known))]
+    inside = counted.join(F.broadcast(mine), "term").withColumn("w", weight).groupBy(*unit).agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
+    # terms outside the templates only make a vector longer: parts that are too far without them need not be completed
+    least = min(header, file) * (1 - 1e-9)
+    inside = shared.keep(inside.where(F.greatest(*(F.col(f"dot{k}") for k in range(len(known)))) >= least * F.sqrt("square")), "licence-near")
+    rest = counted.join(F.broadcast(mine.select("term")), "term", "left_anti").join(inside.select(*unit), unit, "left_semi")
+    common = held.where(F.col("held") >= HOT_SHARE * total).select("term", "held")
+    weighed = rest.join(F.broadcast(common), "term").unionByName(rest.join(held.where(F.col("held") < HOT_SHARE * total).select("term", "held"), "term"))
+    outside = weighed.groupBy(*unit).agg(F.sum(weight * weight).alias("more"))
+    scored = inside.join(outside, unit, "left").withColumn("norm", F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0))))
+    score = lambda k: F.struct(F.lit(known[k][0] != LAST).alias("named"), F.round(F.col(f"dot{k}") / F.col("norm"), 9).alias("cosine"), F.lit(known[k][0]).alias("licence"))
+    least_of = F.when(F.col("kind") == _WHOLE, file).otherwise(header)
+    of = lambda ks: F.array_max(F.filter(F.array(*map(score, ks)), lambda s: s["cosine"] >= least_of))
+    long = [k for k, (_, x) in enumerate(known) if len(re.findall(_TERM, x.lower())) > SHORT]
+    nearest = F.when(F.col("kind").isin(_LINE, _PAIR), of(range(len(TEMPLATES)))).when(F.col("kind") >= _WINDOW, of(long)).otherwise(of(range(len(known))))
+    best = scored.select("digest", "kind", nearest.alias("best"))
+    return best.groupBy("digest").agg(F.max(F.when(F.col("kind") != _WHOLE, F.col("best"))).alias("__header"), F.max(F.when(F.col("kind") == _WHOLE, F.col("best"))).alias("__file"))
 
 
 def parent(path: Column) -> Column:
@@ -131,29 +171,54 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: float = FILE) -> DataFrame:
     """The rows of docs without text, with licence, cosine, how (``own``, ``inherited`` or null) and licence_dir.
 
-    Own: the best line of the whole text whose cosine reaches ``header``, or a run
-    of neighbouring screened lines, a paragraph or the whole text. A document whose whole text reaches ``file`` is a licence file
-    of its directory; of several the largest cosine, then the first name,
-    counts. The others inherit from the nearest directory above them that has
+    A whole text whose cosine to a template reaches ``file`` is a licence file;
+    lines and pairs of neighbouring lines are compared to the headers, windows to
+    the templates of more than SHORT terms, paragraphs to all, and count from
+    ``header`` on. Own: a licence
+    goes before "all rights reserved", then the whole text's before a part's.
+    A licence file sets the licence of its directory; of several one that grants
+    something, then the largest cosine, then the first name, counts. Documents
+    without an own licence inherit from the nearest directory above them that has
     one, their own directory first. Null texts are empty; a null path is in no
     directory; columns of the new names are replaced; repeated rows stay.
     """
-    best_of = cosines(docs)
-    text = F.coalesce("text", F.lit(""))
+    known = templates()
+    vocabulary = docs.sparkSession.createDataFrame([(t,) for t in sorted({t for _, x in known for t in re.findall(_TERM, x.lower())})], "term string")
+    held = shared.keep(document_frequencies(docs).join(F.broadcast(vocabulary.withColumn("of_template", F.lit(True))), "term", "left").select("term", "held", F.coalesce("of_template", F.lit(False)).alias("of_template")), "licence-frequencies")
+    total = docs.count()
+    vectors = template_vectors(known, {r["term"]: r["held"] for r in held.where("of_template").collect()}, total)  # at most the vocabulary
+    long = [v for (_, x), v in zip(known, vectors, strict=True) if len(re.findall(_TERM, x.lower())) > SHORT]
+    heavy, heavy_long = (sorted(set().union(*(needed(v, min(header, file))[0] for v in some))) for some in (vectors[: len(TEMPLATES)], long))
+
+    strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
     new = ("licence", "cosine", "how", "licence_dir")
     columns = [c for c in docs.columns if c not in ("text", *new)]
-    # narrow, without texts: scanned once, read by both sides of the joins
-    rows = docs.select(*columns, F.when(text.rlike(SCREEN), digest()).alias("__digest"), parent(F.col(path)).alias("__dir"))
-    rows = shared.keep(rows, "licence-rows")
+    held_here = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
+
+    def enough(ts: Column) -> Column:
+        """Whether a text holds enough of some long template; counted only where it holds a heavy term of one."""
+        each = [F.size(F.array_intersect(ts, strings(sorted(found)))) >= n for found, n in (needed(v, min(header, file), 0.5) for v in long)]
+        return F.when(F.arrays_overlap(ts, strings(heavy_long)), F.exists(F.array(*each), lambda x: x)).otherwise(False)
+
+    flags = F.transform(F.array(held_here), lambda ts: F.struct(F.arrays_overlap(ts, strings(heavy)).alias("short"), enough(ts).alias("long")))[0]
+    text = F.col("text").cast("string")
+    rows = docs.select(*columns, text.alias("text"), parent(F.col(path)).alias("__dir"), flags.alias("__may"))
+    may = F.col("__may.short") | F.col("__may.long")
+    # texts that may hold a licence are kept beside their rows: one pass, and no join to find them again
+    rows = shared.keep(rows.select(*columns, "__dir", F.when(may, F.unhex(F.md5(F.col("text").cast("binary")))).alias("__digest"), F.when(may, F.col("text")).alias("__text"), F.coalesce("__may.long", F.lit(False)).alias("__windowed")), "licence-rows")
+    texts = rows.where("__digest is not null").select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), F.col("__windowed").alias("windowed")).dropDuplicates(["digest"])
+    texts = shared.keep(texts, "licence-texts")
+    best_of = cosines(texts, known, vectors, heavy, held, total, header, file)
+    rows = rows.drop("__text", "__windowed")
     none = [F.lit(None).cast(best_of.schema[c].dataType).alias(c) for c in ("__header", "__file")]
     screened = rows.where("__digest is not null").join(best_of.withColumnRenamed("digest", "__digest"), "__digest", "left")
     rows = screened.drop("__digest").unionByName(rows.where("__digest is null").drop("__digest").select("*", *none))
     rows = shared.keep(rows, "licences")
-    best = F.when(F.col("__file.cosine") >= F.coalesce("__header.cosine", F.lit(0.0)), F.col("__file")).otherwise(F.col("__header"))
-    rows = rows.withColumn("__own", F.when(best["cosine"] >= header, best))
+    whole_first = F.array_max(F.array(*(F.struct(F.col(f"{c}.named").alias("named"), F.lit(c == "__file").alias("whole"), F.col(f"{c}.cosine").alias("cosine"), F.col(f"{c}.licence").alias("licence")) for c in ("__header", "__file"))))
+    rows = rows.withColumn("__own", F.when(F.coalesce("__file.cosine", "__header.cosine").isNotNull(), whole_first))
     # directories are few against documents: inheritance is settled between directories first
-    set_here = rows.where((F.col("__file.cosine") >= file) & F.col("__dir").isNotNull()).groupBy(F.col("__dir").alias("__above")).agg(
-        F.min(F.struct((-F.col("__file.cosine")).alias("c"), F.col("__file.licence").alias("licence"))).alias("__set")
+    set_here = rows.where(F.col("__file").isNotNull() & F.col("__dir").isNotNull()).groupBy(F.col("__dir").alias("__above")).agg(
+        F.min(F.struct((~F.col("__file.named")).alias("last"), (-F.col("__file.cosine")).alias("c"), F.col("__file.licence").alias("licence"))).alias("__set")
     )
     dirs = rows.where("__dir is not null").select("__dir").distinct()
     steps = F.split(F.col("__dir"), "/")

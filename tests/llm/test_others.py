@@ -1,18 +1,14 @@
-"""URL filters, licence scans and exact top-k against plain versions."""
+"""URL filters and exact top-k against plain versions."""
 
 from __future__ import annotations
 
-import math
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
 
-from sciobs.llm import licenses, queries, topk, url_filter
-
-from .helpers import awkward, documents, empty, sentence
+from sciobs.llm import topk, url_filter
 
 # ---- URLs
 
@@ -69,57 +65,6 @@ def test_url_classifier_held_out(spark):
     assert alone[-1] > 0 and not alone[:-1].any()
 
 
-# ---- licences
-
-
-def cosines(text, docs):
-    """Best (cosine, licence) of one text by the definition."""
-    words = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
-    templates = [(n, Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))) for n, t in licenses.TEMPLATES]
-    vocabulary = {t for _, c in templates for t in c}
-    sets = [set(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", (t or "").lower())) for t in docs]
-    idf = lambda t: math.log((1 + len(docs)) / (1 + sum(t in s for s in sets))) + 1
-    idfs = {t: idf(t) for t in vocabulary}
-    weigh = lambda c: {t: (1 + math.log(n)) * idfs[t] for t, n in c.items() if t in vocabulary}
-    mine = weigh(Counter(words))
-    norm = math.sqrt(sum(w * w for w in mine.values()) + len(set(words) - vocabulary) * (math.log(1 + len(docs)) + 1) ** 2)
-    out = []
-    for name, c in templates:
-        v = weigh(c)
-        size = math.sqrt(sum(w * w for w in v.values()))
-        out.append((round(sum(w * v.get(t, 0) for t, w in mine.items()) / size / norm, 9) if norm else 0, name))
-    return max(out)
-
-
-def tree():
-    mit, apache = licenses.TEMPLATES[1][1], licenses.TEMPLATES[2][1]
-    return [
-        (1, "a/LICENSE", mit), (2, "a/b/code.py", sentence(1, 30)), (3, "a/b/c/code.py", sentence(2, 30) + "\n" + apache + "\n" + sentence(3, 9)), (4, "a/b/c/d/LICENSE", apache), (5, "a/b/c/d/x", sentence(4, 9)),
-        (6, "other/x", sentence(5, 9)), (7, "top", sentence(6, 9)), (8, None, sentence(7, 9)), (9, "a/b/y", None), (10, "a/b/z", ""), (10, "a/b/z", ""), (11, "ab/x", "copyright permission of nothing in particular " + sentence(8, 40)),
-    ]
-
-
-def test_licences_and_inheritance(spark):
-    rows = tree()
-    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
-    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
-    texts = [t for *_, t in rows]
-    assert [(got[i]["licence"], got[i]["how"], got[i]["licence_dir"]) for i in range(1, 12)] == [
-        ("MIT", "own", None), ("MIT", "inherited", "a"), ("Apache-2.0", "own", None), ("Apache-2.0", "own", None), ("Apache-2.0", "inherited", "a/b/c/d"),
-        (None, None, None), (None, None, None), (None, None, None), ("MIT", "inherited", "a"), ("MIT", "inherited", "a"), (None, None, None),
-    ]
-    assert got[1]["cosine"] == pytest.approx(cosines(texts[0], texts)[0], abs=1e-8)
-    assert got[3]["cosine"] == pytest.approx(max(cosines(x, texts) for x in texts[2].split("\n"))[0], abs=1e-8)
-    assert licenses.scan(docs).count() == len(rows)
-
-
-def test_licence_awkward_rows(spark):
-    docs = queries.document_paths(documents(spark)).withColumnsRenamed({"lang": "licence", "n_chars": "cosine"})
-    out = licenses.scan(docs)
-    assert out.count() == len(awkward()) and out.columns == ["doc_id", "source", "path", "licence", "cosine", "how", "licence_dir"]
-    assert licenses.scan(queries.document_paths(empty(spark))).count() == 0
-
-
 # ---- top-k
 
 
