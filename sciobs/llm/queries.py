@@ -101,17 +101,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
-        WITH lines AS (
-            SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-            FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+        WITH rows AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents
+        ), lines AS (
+            SELECT r, doc_id, id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT r, doc_id, id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM rows)
         ), repeated AS (
-            SELECT key, max(doc_id) AS holder FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+            SELECT key, max(id) AS holder FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3
         ), marked AS (
-            SELECT doc_id, i, line, coalesce(doc_id < holder, false) AS gone FROM lines LEFT JOIN repeated USING (key)
+            SELECT r, doc_id, i, line, coalesce(id < holder, false) AS gone FROM lines LEFT JOIN repeated USING (key)
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id""",
+        FROM marked GROUP BY r, doc_id""",
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -48,6 +48,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def id_key(column: str = "doc_id"):
     """The id as a long that is never null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

@@ -66,10 +66,57 @@ def test_empty_and_clashing_columns(spark):
     assert out.count() == 9
 
 
-def test_compaction_keeps_counts(spark):
-    runs = line_dedup.Runs(spark, fanout=2)
-    for holder in (9, 8, 7, 6, 5):
-        runs.add(spark.createDataFrame([(b"a", 2, holder), (bytes([holder]), 1, holder)], "hash binary, n long, holder long"))
+def batches(spark, fanout=2):
+    """Five batches of one row a hash: a in all, b in the first and third, each batch's own, c twice at once and then again."""
+    runs = line_dedup.Runs(spark, 3, fanout)
+    for k, holder in enumerate((9, 8, 7, 6, 5)):
+        rows = [(b"a", 1, holder), (bytes([holder]), 1, holder)] + [(b"b", 1, holder)] * (k in (0, 2)) + [(b"c", 2, holder)] * (k in (1, 4)) + [(b"d", 3, holder)] * (k == 3)
+        runs.add(spark.createDataFrame(rows, "hash binary, n long, holder long"), k)
+    return runs, sorted((bytes(r["hash"]), r["holder"], r["batch"]) for r in runs.marks().collect())
+
+
+def test_marks_settle_waiting_batches_through_compactions(spark):
+    runs, marks = batches(spark)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    found = {bytes(r["hash"]): (r["n"], r["holder"]) for r in runs.merged([x for level in runs.levels for x in level]).collect()}
-    assert found[b"a"] == (10, 9) and found[bytes([5])] == (1, 5) and len(found) == 6
+    assert marks == [(b"a", 9, k) for k in range(5)] + [(b"c", 8, 1), (b"c", 8, 4), (b"d", 6, 3)]
+    (old,), (new,) = ([spark.table(n).where("part = 'run'").collect() for n, _ in level] for level in (runs.levels[2], runs.levels[0]))
+    state = {bytes(r["hash"]): (r["n"], r["holder"], list(r["waiting"])) for r in old}
+    assert state[b"a"] == (3, 9, []) and state[b"b"] == (2, 9, [0, 2]) and state[b"c"] == (2, 8, [1]) and state[bytes([9])] == (1, 9, [0])
+    # what is known to be repeated is not added again: only fresh hashes and those whose state changes
+    assert sorted(bytes(r["hash"]) for r in new) == [bytes([5]), b"c"]
+    runs.close()
+
+
+def test_without_the_join_the_result_is_another(spark, monkeypatch):
+    rows = shared_lines()
+    assert run(spark, rows, batches=5) == brute(rows)
+    monkeypatch.setattr(line_dedup.Runs, "known", lambda self, keys: keys.selectExpr("*", "CAST(null AS struct<n:long,holder:long,waiting:array<int>>) AS seen"))
+    assert run(spark, rows, batches=5) != brute(rows)
+
+
+def test_batches_grow_with_the_corpus(spark):
+    many = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    assert len(line_dedup.cut(many, None)) == 2 and len(line_dedup.cut(many.unionByName(many).unionByName(many), None)) == 4
+
+
+def test_sql_agrees_on_repeated_and_null_ids(spark):
+    import duckdb
+
+    from sciobs.llm import queries
+
+    line = "one line that all of these rows hold"
+    rows = [(i, t, *rest) for i, t, *rest in shared_lines() + awkward()] + [(k, f"{line}\nown {k}\n{line}", "en", "s", 1) for k in (20, 21, 21, 22, 22)] + [(None, f"{line}\n{k}", None, None, None) for k in range(3)]
+    docs = documents(spark, rows)
+    done = line_dedup.dedup_lines(docs)
+    got = sorted(map(str, done.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(cast(text as binary), 256)").toPandas().to_records(index=False).tolist()))
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.sql(queries.ORACLE_SQL["op3_line_dedup"]).df().astype({"doc_id": "float64"}).to_records(index=False).tolist()
+    assert got == sorted(map(str, want))
+
+
+def test_many_rows_without_id_are_not_one_group(spark):
+    rows = [(None, f"line number {k % 7} that is shared\n{sentence(k, 5)}", "en", "s", 1) for k in range(40)] + [(1, f"line number {k} that is shared", "en", "s", 1) for k in range(7)]
+    assert run(spark, rows) == brute(rows)
+    hashes = line_dedup.line_hashes(documents(spark, rows))
+    assert hashes.where(f"id = {-(2**63)}").select("key").distinct().count() == 40
