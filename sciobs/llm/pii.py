@@ -12,21 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Production reads the key from a secret store; this one keeps tests and registered queries repeatable.
-KEY = "sciobs-example-key"
-_LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: A character moves within its alphabet. Hexadecimal letters are their own, so that hexadecimal texts stay so and others stay others.
+ALPHABETS = ("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", _DIGITS)
 
 #: What is looked for, in this order where matches begin at the same place.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey) ?[=:] ?"?(?=[^\s"]*[0-9])[^\s"]{8,}+""",
-    "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"""(?<![A-Za-z0-9_-])(?i:[a-z_-]*(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[a-z_]*) ?[=:] ?"?(?=[^\s"]*[0-9])[^\s"]{8,}+""",
+    "cloud_key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-)[A-Za-z0-9_-]{20,}+|sk-[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "date": r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ -]?\([0-9]{2,4}\)[ -]?[0-9]{3}[ -][0-9]{4}|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9A-Za-z.-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4})(?![0-9])",
+    "phone": r"(?:(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?[()]?[ .-]?[0-9]){6,14}|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9A-Za-z.-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}|(?<![0-9A-Za-z.-])(?<![0-9] )[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?! [0-9]))(?![0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:[0-9]{13,19}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
+#: How country codes of phone numbers begin: one digit, two, or three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No match without one of these characters.
 _MARKS = "[0-9@=:]"
@@ -64,12 +68,12 @@ def _stream(key: str, i: Column, text: Column, length: Column) -> Column:
     return F.transform(F.slice(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), F.lit(1), length), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
-def _shift(text: Column, stream: Column, hexes: bool) -> Column:
+def _shift(text: Column, stream: Column) -> Column:
     """Every letter and digit moved within its alphabet by a number of the stream; other characters stay."""
 
     def char(c: Column, by: Column) -> Column:
         out = c
-        for alphabet in (_HEX,) if hexes else (_LOWER, _UPPER, _DIGITS):
+        for alphabet in ALPHABETS:
             at = F.instr(F.lit(alphabet), c)
             out = F.when(at > 0, F.substring(F.lit(alphabet), (at - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
         return out
@@ -77,13 +81,13 @@ def _shift(text: Column, stream: Column, hexes: bool) -> Column:
     return F.array_join(F.zip_with(F.split(text, ""), stream, char), "")
 
 
-def permute_text(text: Column, key: str, hexes: bool = False) -> Column:
-    """A permutation of texts of any length that keeps which characters are small or capital letters, digits or signs, and where."""
+def permute_text(text: Column, key: str) -> Column:
+    """A permutation of texts of any length that keeps which characters are small or capital letters, hexadecimal or not, digits or signs, and where."""
     half = F.floor(F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
 
     def one(s: Column, i: Column) -> Column:
-        moved = F.when(s["a"] == "", s["a"]).otherwise(_shift(s["a"], _stream(key, i, s["b"], F.length(s["a"])), hexes))
+        moved = F.when(s["a"] == "", s["a"]).otherwise(_shift(s["a"], _stream(key, i, s["b"], F.length(s["a"]))))
         return F.struct(s["b"].alias("a"), moved.alias("b"))
 
     # an even number of rounds brings the halves back to their places
@@ -132,32 +136,84 @@ def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     return valid, shown
 
 
+def _refill(form: Column, of: str, values: Column) -> Column:
+    """form with its characters of the class ``of`` replaced by those of values, in order: one value has one pseudonym in all notations."""
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+
+    def one(s: Column, c: Column) -> Column:
+        fits = c.rlike(of)
+        return F.struct(F.concat(s["out"], F.when(fits, F.substring(values, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + fits.cast("int")).alias("k"))
+
+    return F.aggregate(F.split(form, ""), start, one, lambda s: s["out"])
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _card(m: Column, key: str) -> Column:
     """All digits but the last are permuted; the last is the check digit again."""
-    body = permute_text(F.substring(m, F.lit(1), F.length(m) - 1), f"{key}|card")
-    check = lambda b: F.filter(F.array(*map(F.lit, _DIGITS)), lambda d: F.call_function("luhn_check", F.concat(_digits(b), d)))[0]
-    return F.transform(F.array(body), lambda b: F.concat(b, check(b)))[0]
+    digits = _digits(m)
+    body = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), f"{key}|card")
+    check = lambda b: F.filter(F.array(*map(F.lit, _DIGITS)), lambda d: F.call_function("luhn_check", F.concat(b, d)))[0]
+    return _once(body, lambda b: _refill(m, "[0-9]", F.concat(b, check(b))))
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The digits after the country code, which stays; a number has the same pseudonym with and without ``+1``."""
+    digits = _digits(m)
+    code = F.regexp_replace(F.regexp_extract(F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits), COUNTRY, 0), r"\+", "")
+    return _once(permute_text(F.substring(digits, F.length(code) + 1, F.length(digits)), f"{key}|phone"), lambda d: _refill(m, "[0-9]", F.concat(code, d)))
+
+
+def _ipv6(m: Column, key: str) -> tuple[Column, Column]:
+    """(valid, the address in full): 32 hexadecimal digits are permuted, whatever notation they came in."""
+    halves = F.split(m, "::")
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    left, right = groups(halves[0]), groups(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    digits = F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    valid = F.when(F.contains(m, F.lit("::")), missing >= 1).otherwise(missing == 0) & (F.length(m) - F.length(F.replace(m, F.lit("::"), F.lit(""))) <= 2)
+    return valid, _once(permute_text(digits, f"{key}|ipv6"), lambda d: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substring(d, k * 4 + 1, F.lit(4))), ":"))
+
+
+def _iban_rest(text: Column) -> Column:
+    """The remainder by 97 of an account number whose first four characters were put last; letters are 10 to 35."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: ((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def _iban(m: Column, key: str) -> tuple[Column, Column]:
+    """(valid, the pseudonym): country and length stay, the account is permuted, the check digits fit again."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, check, account = F.substring(plain, 1, 2), F.substring(plain, 3, 2), F.substring(plain, F.lit(5), F.length(plain))
+    valid = (_iban_rest(F.concat(account, country, check)) == 1) & check.between("02", "98")
+    new = lambda a: F.concat(country, F.lpad((98 - _iban_rest(F.concat(a, country, F.lit("00")))).cast("string"), 2, "0"), a)
+    return valid, _once(permute_text(account, f"{key}|iban"), lambda a: _refill(m, "[0-9A-Z]", new(a)))
 
 
 def _found(m: Column, key: str) -> Column:
     """struct(kind: null where the match is not valid, text: the pseudonym or the match)."""
-    label = F.regexp_extract(m, """^[A-Za-z_]+ ?[=:] ?["']?""", 0)
+    label = F.regexp_extract(m, """^[A-Za-z_-]+ ?[=:] ?["']?""", 0)
     rest = F.substring(m, F.length(label) + 1, F.length(m))
     # signs stay, so those at the end belong to the sentence: a secret has one pseudonym with and without them
     value = F.regexp_replace(rest, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     tail = F.substring(rest, F.length(value) + 1, F.length(rest))
-    secret = F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), permute_text(value, f"{key}|secret", hexes=True)).otherwise(permute_text(value, f"{key}|secret")), tail)
+    # with a label or as a bare key: the same permutation, so both stay linked
+    secret = F.concat(label, permute_text(value, f"{key}|secret"), tail)
     at = F.locate("@", m)
     email = F.concat(permute_text(F.substring(m, F.lit(1), at - 1), f"{key}|email"), F.substring(m, at, F.length(m)))
-    country = F.regexp_extract(m, r"^(?:\+[0-9]{1,3})?", 0)
-    phone = F.concat(country, permute_text(F.substring(m, F.length(country) + 1, F.length(m)), f"{key}|phone"))
-    cloud = F.concat(F.substring(m, 1, 4), permute_text(F.substring(m, F.lit(5), F.length(m)), f"{key}|cloud"))
     day, date = _date(m, key)
     ssn_valid, ssn = _ssn(m, key)
+    ipv6_valid, ipv6 = _ipv6(m, key)
+    iban_valid, iban = _iban(m, key)
     cases = [
-        ("secret", m.rlike(r'^[A-Za-z_]+ ?[=:] ?"?.') & value.rlike("[0-9]"), secret), ("cloud_key", m.rlike("^(AKIA|ASIA)"), cloud), ("email", at > 0, email), ("ip", m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _ip(m, key)),
+        ("secret", m.rlike(r'^[A-Za-z_-]+ ?[=:] ?"?.') & value.rlike("[0-9]") & ~m.rlike("^[0-9A-Fa-f:]+$"), secret), ("cloud_key", m.rlike("^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|eyJ)") & (at == 0), secret),
+        ("email", at > 0, email), ("ip", m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _ip(m, key)), ("ipv6", m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ipv6_valid, ipv6),
         ("date", m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})$") & day.isNotNull(), date), ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ssn_valid, ssn),
-        ("phone", m.rlike(r"^(\+|\()|^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$"), phone), ("card", m.rlike("^[0-9 -]{13,}$") & F.call_function("luhn_check", _digits(m)), _card(m, key)),
+        ("phone", m.rlike(r"^(\+|\()|^[0-9]{3}([-. ])[0-9]{3}\2[0-9]{4}$"), _phone(m, key)), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}") & iban_valid, iban), ("card", m.rlike("^[0-9 -]{13,}$") & F.call_function("luhn_check", _digits(m)), _card(m, key)),
     ]
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text"))
     for kind, fits, text in reversed(cases):
@@ -165,15 +221,21 @@ def _found(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs with pseudonyms in the whole text, and ``private``: map of kind -> number of values replaced.
 
-    A card number must pass the Luhn check (and passes it afterwards), a date
+    ``key`` belongs in a secret store: who has it can undo all. A card number must
+    pass the Luhn check and an IBAN its own (and they pass it afterwards), a date
     must exist, an address's numbers be at most 255, a social security number be
-    one that can be issued, a secret hold a digit; all else stays. A secret is the
-    whole run without spaces and double quotes after its label; as everywhere, only
-    ASCII letters and digits are replaced. Null texts stay null,
-    with an empty map; an existing column ``private`` is replaced. Equal rows stay equal.
+    one that can be issued, a secret hold a digit; all else stays. Cards, phone
+    numbers, IBANs and addresses keep their notation but are permuted without it,
+    so one value has one pseudonym however it is written (IPv6 is written in
+    full). Country codes and the domains of mail addresses stay in clear. Phone
+    numbers are found with ``+`` and 7 to 15 digits, or as three, three and four
+    digits. A secret is the whole run without spaces and double quotes after its
+    label, in any case, or a bare key of a known form; as everywhere, only ASCII
+    letters and digits are replaced. Null texts stay null, with an empty map; an
+    existing column ``private`` is replaced. Equal rows stay equal; texts of any length are read whole.
     """
     columns = [c for c in docs.columns if c != "private"]
     text = F.col("text")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from sciobs.llm import pii
 
 from .helpers import awkward, documents, empty
 
-K = pii.KEY
+K = "a key of tests"
 
 
 def stream(key, *parts):
@@ -25,13 +25,15 @@ def pair(a, b, m, n, key):
     return a, b
 
 
-def text_of(s, key, hexes=False):
+def text_of(s, key):
+    """Of any length: from the fourth hash on, of the hash of the half."""
     a, b = s[: len(s) // 2], s[len(s) // 2 :]
     for i in range(1, pii.ROUNDS + 1):
-        hexs = "".join(stream(key, i, n, b) for n in range(3))
+        whole = stream(key, i, "long", b)
+        hexs = "".join(stream(key, i, n, b if n < 3 else whole) for n in range(-(-len(a) // 32)))
         out = []
         for k, c in enumerate(a):
-            for alphabet in (pii._HEX,) if hexes else (pii._LOWER, pii._UPPER, pii._DIGITS):
+            for alphabet in pii.ALPHABETS:
                 if c in alphabet:
                     c = alphabet[(alphabet.index(c) + int(hexs[2 * k : 2 * k + 2], 16)) % len(alphabet)]
                     break
@@ -40,13 +42,51 @@ def text_of(s, key, hexes=False):
     return a + b
 
 
+def refill(form, values, fits=str.isdigit):
+    left = iter(values)
+    return "".join(next(left) if fits(c) else c for c in form)
+
+
+def card_of(m):
+    digits = "".join(filter(str.isdigit, m))
+    body = text_of(digits[:-1], f"{K}|card")
+    return refill(m, body + next(d for d in "0123456789" if luhn(body + d)))
+
+
+def phone_of(m, code=""):
+    digits = "".join(filter(str.isdigit, m))
+    return refill(m, code + text_of(digits[len(code) :], f"{K}|phone"))
+
+
+def ssn_of(m):
+    area, group, serial = map(int, m.split("-"))
+    a, b = pair(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, f"{K}|ssn")
+    return f"{a + (2 if a >= 665 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+
+
+def date_of(day, form):
+    n = (day - date(1900, 1, 1)).days
+    a, b = pair(n // 229, n % 229, 319, 229, f"{K}|date")
+    return (date(1900, 1, 1) + timedelta(days=a * 229 + b)).strftime(form)
+
+
+def iban_rest(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def iban_of(m):
+    plain = m.replace(" ", "")
+    account = text_of(plain[4:], f"{K}|iban")
+    return refill(m, f"{plain[:2]}{98 - iban_rest(account + plain[:2] + '00'):02d}{account}", str.isalnum)
+
+
 def luhn(s):
     d = [int(c) for c in reversed(s) if c.isdigit()]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
 def replaced(spark, texts):
-    rows = pii.pseudonymise(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), K).orderBy("doc_id").collect()
     return [(r["text"], r["private"]) for r in rows]
 
 
@@ -54,20 +94,51 @@ def test_against_brute_force(spark):
     r = random.Random(1)
     digits = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
     mails = [f"{w}.{digits(2)}@mail{digits(1)}.example.com" for w in ("Anna", "bo_b", "x")]
-    phones = [f"+1 ({digits(3)}) 555-{digits(4)}" for _ in range(3)]
     ips = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(3)]
-    keys = ["AKIA" + "".join(r.choice(pii._UPPER + pii._DIGITS) for _ in range(16)) for _ in range(2)]
-    secrets = [digits(6) + "abcdef" * 4 + digits(4), "Zx9-" + digits(12)]
-    texts = [*mails, *phones, *ips, *keys, *(f'token = "{s}"' for s in secrets)]
-    want = [m[: m.index("@")] and text_of(m[: m.index("@")], f"{K}|email") + m[m.index("@") :] for m in mails]
-    want += ["+1" + text_of(p[2:], f"{K}|phone") for p in phones]
+    keys = ["AKIA" + "".join(r.choice(pii._UPPER + pii._DIGITS) for _ in range(16)), "ghp_" + "aB3" * 12, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl"]
+    secrets = [digits(6) + "abcdef" * 4 + digits(4), "Zx9-" + digits(12), keys[1]]
+    labels = ["token", "PASSWORD", "aws_secret_access_key", "Api-Key", "my_passwd"]
+    cases = {m: text_of(m[: m.index("@")], f"{K}|email") + m[m.index("@") :] for m in mails}
     for ip in ips:
         n = list(map(int, ip.split(".")))
         a, b = pair(n[0] * 256 + n[1], n[2] * 256 + n[3], 65536, 65536, f"{K}|ip")
-        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
-    want += ["AKIA" + text_of(k[4:], f"{K}|cloud") for k in keys]
-    want += [f'token = "{text_of(s, f"{K}|secret", bool(re.fullmatch("[0-9a-f]+", s)))}"' for s in secrets]
-    assert [t for t, _ in replaced(spark, texts)] == want
+        cases[ip] = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    cases |= {k: text_of(k, f"{K}|secret") for k in keys}
+    cases |= {f'{name} = "{s}"': f'{name} = "{text_of(s, f"{K}|secret")}"' for s in secrets for name in labels}
+    cases |= {f"+1 ({digits(3)}) 555-{digits(4)}": None for _ in range(3)} | {f"+1-555-123-{digits(4)}": None} | {f"+1 555 123 {digits(4)}": None}
+    cases = {m: phone_of(m, "1") if want is None else want for m, want in cases.items()}
+    cases |= {m: phone_of(m, code) for m, code in (("+44 20 7946 0958", "44"), ("+4930123456", "49"), ("+380 44 123 4567", "380"), ("(555) 123-4567", ""), ("555.123.4567", ""), ("555 323 4567", ""))}
+    for _ in range(4):
+        body = digits(15)
+        m = body + next(d for d in "0123456789" if luhn(body + d))
+        for form in (m, "-".join(m[i : i + 4] for i in (0, 4, 8, 12)), " ".join(m[i : i + 4] for i in (0, 4, 8, 12))):
+            cases[form] = card_of(form)
+    cases |= {m: ssn_of(m) for m in ("123-45-6789", "001-01-0001", "665-99-9999", "667-01-0001", "899-99-9999")}
+    for day in (date(1900, 1, 1), date(2099, 12, 31), date(2000, 2, 29), date(1987, 6, 5)):
+        cases |= {day.strftime(form): date_of(day, form) for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")}
+    cases |= {m: iban_of(m) for m in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89370400440532013000", "NO9386011117947")}
+    full = "2001:0db8:0000:0000:0000:ff00:0042:8329"
+    new = text_of(full.replace(":", ""), f"{K}|ipv6")
+    cases |= dict.fromkeys((full, "2001:db8::ff00:42:8329", "2001:DB8:0:0:0:FF00:42:8329"), ":".join(new[i : i + 4] for i in range(0, 32, 4)))
+    got = dict(zip(cases, (t for t, _ in replaced(spark, [f"it is {c} here" for c in cases])), strict=True))
+    assert {c: t for c, t in got.items() if t != f"it is {cases[c]} here"} == {}
+
+
+def test_one_value_stays_linked_in_all_notations(spark):
+    (text, found), *_ = replaced(spark, ["4041894974608795, 4041-8949-7460-8795, 4041 8949 7460 8795; (555) 123-4567, 555-123-4567, +1 555 123 4567"])
+    cards, phones = text.split("; ")
+    plain = lambda part, n: {"".join(filter(str.isdigit, x))[-n:] for x in part.split(", ")}
+    assert len(plain(cards, 16)) == len(plain(phones, 10)) == 1 and found == {"card": 3, "phone": 3}
+
+
+def test_secrets_are_one_to_one(spark):
+    """Hexadecimal texts map to such, and only they."""
+    from itertools import product
+
+    texts = ["".join(p) for p in product("0afgzZ", repeat=4)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pii.permute_text(F.col("t"), K).alias("p")).collect()
+    assert len({r["p"] for r in rows}) == len(texts)
+    assert all(bool(re.fullmatch("[0-9a-f]+", r["t"])) == bool(re.fullmatch("[0-9a-f]+", r["p"])) for r in rows)
 
 
 def test_formats_and_validity(spark):
@@ -82,7 +153,7 @@ def test_formats_and_validity(spark):
 
 
 def test_what_is_not_valid_stays(spark):
-    texts = ["1234567890123456", "1999-02-30", "000-12-1234", "999.1.1.1", "version 4.0 of 3.1415926535897932", "mail@host", "a token of thanks: yes", "password: no", "plain words", "12345678901234567890123"]
+    texts = ["1234567890123456", "1999-02-30", "000-12-1234", "999.1.1.1", "version 4.0 of 3.1415926535897932", "mail@host", "GB82WEST12345698765433", "2001:db8:1", "at 10:20:30", "100 200 3000", "1 555 323 4567 9", "a+1234567", "+12345", "MyToken: none1", "a token of thanks: yes", "password: no", "plain words", "12345678901234567890123"]
     assert [t for t, _ in replaced(spark, texts)] == texts
 
 
@@ -104,41 +175,24 @@ def test_whole_long_texts_and_neighbours(spark):
 
 def test_awkward_rows_and_columns(spark):
     docs = documents(spark).withColumnsRenamed({"lang": "private", "source": "kind"})
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, K)
     assert out.columns == ["doc_id", "text", "kind", "n_chars", "private"]
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == sorted((str(i), str(t)) for i, t, *_ in awkward())
-    assert pii.pseudonymise(empty(spark)).count() == 0
-
-
-def long_text_of(s, key):
-    """text_of for any length: from the fourth hash on, of the hash of the half."""
-    a, b = s[: len(s) // 2], s[len(s) // 2 :]
-    for i in range(1, pii.ROUNDS + 1):
-        whole = stream(key, i, "long", b)
-        hexs = "".join(stream(key, i, n, b if n < 3 else whole) for n in range(-(-len(a) // 32)))
-        out = []
-        for k, c in enumerate(a):
-            for alphabet in (pii._LOWER, pii._UPPER, pii._DIGITS):
-                if c in alphabet:
-                    c = alphabet[(alphabet.index(c) + int(hexs[2 * k : 2 * k + 2], 16)) % len(alphabet)]
-                    break
-            out.append(c)
-        a, b = b, "".join(out)
-    return a + b
+    assert pii.pseudonymise(empty(spark), K).count() == 0
 
 
 def test_whole_secrets_of_any_length_and_sign(spark):
     r = random.Random(4)
     values = ["".join(r.choice(pii._LOWER + pii._UPPER + pii._DIGITS) for _ in range(n)) for n in (129, 192, 193, 194, 300, 5000)]
-    values += ["Sup3r$ecretPass", "eyJhbGciOi1.eyJzdWIiOiIx.c2lnbmF0dXJl", "a.b=c!d@e1", "ab1cdefg'rest'of=it==x"]
+    values += ["Sup3r$ecretPass", "xyJhbGciOi1.eyJzdWIiOiIx.c2lnbmF0dXJl", "a.b=c!d@e1", "ab1cdefg'rest'of=it==x"]
     texts = [f'password={v} and "token = {v}", {v}' for v in values]
     for v, (text, found) in zip(values, replaced(spark, texts), strict=True):
-        new = long_text_of(v, f"{K}|secret")
+        new = text_of(v, f"{K}|secret")
         assert found == {"secret": 2} and text == f'password={new} and "token = {new}", {v}'
         assert len(new) == len(v) and new != v
         if len(v) > 128:
             assert sum(a == b for a, b in zip(v[128:], new[128:], strict=True)) <= 1 + (len(v) - 128) // 4
     (one, _), (two, _), (mail, found), (single, _) = replaced(spark, ["password=Sup3r$ecretPass!", "(secret: Sup3r$ecretPass).", "token:alice.smith@example.com", "token='Sup3r$ecretPass'"])
-    new = long_text_of("Sup3r$ecretPass", f"{K}|secret")
+    new = text_of("Sup3r$ecretPass", f"{K}|secret")
     assert (one, two, single) == (f"password={new}!", f"(secret: {new}).", f"token='{new}'")
     assert found == {"email": 1} and "alice" not in mail
