@@ -22,11 +22,11 @@ from . import shared
 #: Bytes of a passage, and buckets of hashed byte trigrams.
 PASSAGE, BUCKETS = 512, 512
 HIDDEN, GATE = 24, 12
-#: Labelled documents that a model is fitted on at most, and evenly spaced passages of each.
-SAMPLE, SAMPLE_PASSAGES = 4000, 48
+#: Bounds of the labelled sample that a model is fitted on: documents, and passages of all of them together (whole documents only).
+SAMPLE, SAMPLE_PASSAGES = 4000, 48_000
 EPOCHS, RATE, DECAY = 30, 0.01, 1e-4
-#: Bytes that are worked on at once.
-CHUNK = 1 << 19
+#: Bytes that are worked on at once; whole passages.
+CHUNK = 1024 * PASSAGE
 _CLASSES = np.zeros(256, np.int64)
 for _i, _bytes in enumerate([b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b".,;:'\"?-()", bytes(range(128, 256)), b"!#$%&*+/<=>@[\\]^_`{|}~"], 1):
     _CLASSES[list(_bytes)] = _i
@@ -67,20 +67,48 @@ class Model:
 
     weights: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple:
+    def encode(self, x: np.ndarray) -> tuple:
+        """Of each passage: its encoding, the two sides of its gate, and its attention before it is weighed against the others."""
         m = self.weights
         h = np.tanh(x @ m["W"] + m["b"])
         t, g = np.tanh(h @ m["V"]), 1 / (1 + np.exp(-(h @ m["U"])))
-        s = (t * g) @ m["w"]
+        return h, t, g, (t * g) @ m["w"]
+
+    def pool(self, h: np.ndarray, s: np.ndarray, many: np.ndarray) -> tuple:
+        """Attention weights, weighted mean and score of documents of so many passages each."""
+        first = np.cumsum(many) - many
         a = np.exp(s - np.repeat(np.maximum.reduceat(s, first), many))
         a /= np.repeat(np.add.reduceat(a, first), many)
         z = np.add.reduceat(h * a[:, None], first)
-        y = 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["d"], -30, 30)))
-        return h, t, g, a, z, y
+        return a, z, 1 / (1 + np.exp(-np.clip(z @ self.weights["c"] + self.weights["d"], -30, 30)))
+
+    def gradients(self, x: np.ndarray, many: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of these documents."""
+        m, first = self.weights, np.cumsum(many) - many
+        h, t, g, s = self.encode(x)
+        a, z, y = self.pool(h, s, many)
+        e = ((y - labels) / len(labels)).astype(x.dtype)
+        dz = np.repeat(e[:, None] * m["c"], many, axis=0)
+        da = (dz * h).sum(axis=1)
+        ds = a * (da - np.repeat(np.add.reduceat(a * da, first), many))
+        dgate = ds[:, None] * m["w"]
+        dt, dg = dgate * g * (1 - t**2), dgate * t * g * (1 - g)
+        dh = (dz * a[:, None] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h**2)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": z.T @ e, "d": e.sum(keepdims=True)}
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        x, many = passages(texts)
-        return self.forward(x, np.cumsum(many) - many, many)[-1]
+        """Long texts are encoded piece by piece; of a passage only its encoding and attention are kept."""
+        pieces = [t[i : i + CHUNK] for t in texts for i in range(0, max(1, len(t)), CHUNK)]
+        found, group, size = [], [], 0
+        for k, piece in enumerate(pieces, 1):
+            group.append(piece)
+            size += len(piece)
+            if size >= CHUNK or k == len(pieces):
+                h, *_, s = self.encode(passages(group)[0])
+                found.append((h, s))
+                group, size = [], 0
+        many = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts])
+        return self.pool(np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found]), many)[-1]
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -101,16 +129,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
             batch = order[i : i + 64]
             x = np.concatenate([bags[j] for j in batch])
             many = np.array([len(bags[j]) for j in batch])
-            first = np.cumsum(many) - many
-            h, t, g, a, z, y = model.forward(x, first, many)
-            e = ((y - labels[batch]) / len(batch)).astype(np.float32)
-            dz = np.repeat(e[:, None] * m["c"], many, axis=0)
-            da = (dz * h).sum(axis=1)
-            ds = a * (da - np.repeat(np.add.reduceat(a * da, first), many))
-            dgate = ds[:, None] * m["w"]
-            dt, dg = dgate * g * (1 - t**2), dgate * t * g * (1 - g)
-            dh = (dz * a[:, None] + dt @ m["V"].T + dg @ m["U"].T) * (1 - h**2)
-            grads = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds, "c": z.T @ e, "d": e.sum(keepdims=True)}
+            grads = model.gradients(x, many, labels[batch])
             step += 1
             for k, grad in grads.items():
                 grad = grad + DECAY * m[k]
@@ -126,29 +145,41 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled documents, chosen by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Model:
+    """Fits on at most ``sample`` labelled documents with at most ``most`` passages together.
 
-    Held-out documents, null ids and null labels are left out. Where fewer than
-    two labels remain, every score is the share of good ones.
+    Documents are taken in the order of a hash of their id, each with all its
+    passages; one that does not fit any more is passed over. Held-out documents,
+    null ids and null labels are left out; of several labels of one id the
+    smallest counts, of several texts one. Where fewer than two labels remain,
+    every score is the share of good ones.
     """
     shared.prepare(docs.sparkSession)
+    place = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").limit(sample)
+        .orderBy(place, "doc_id").limit(sample)
     )
     texts = shared.one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "quality")
+    texts = shared.keep(texts, "labelled-texts")
+    sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), place.alias("place")).collect()  # at most `sample` rows of numbers
+    chosen, left = [], most
+    for r in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+        many = max(1, -(-r["size"] // PASSAGE))
+        if many <= left:
+            chosen.append((r["doc_id"],))
+            left -= many
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, quality in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x, _ = passages([text or b""])
-                x = x[np.unique(np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int))].astype(np.float16)
+                x = passages([text or b""])[0].astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([quality], pa.int32()), pa.array([x.tobytes()])], names=["doc_id", "quality", "x"])
 
-    rows = sorted(((r["doc_id"], r["quality"], bytes(r["x"])) for r in texts.mapInArrow(features, "doc_id long, quality int, x binary").collect()))
+    taken = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id").select("doc_id", "text", "quality")
+    rows = sorted(((r["doc_id"], r["quality"], bytes(r["x"])) for r in taken.mapInArrow(features, "doc_id long, quality int, x binary").collect()))
     bags = [np.frombuffer(x, np.float16).reshape(-1, WIDTH).astype(np.float32) for *_, x in rows]
     return fit(bags, np.array([q for _, q, _ in rows], np.float32))
 
@@ -174,6 +205,10 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Trains on labels and scores docs: doc_id, held_out, score, predicted. Repeated rows are scored each; empty tables give an empty one."""
+    """Trains on labels and scores docs: doc_id, held_out, score, predicted.
+
+    Repeated rows are scored each; other columns of docs take no part, whatever
+    their names; very long texts are encoded piece by piece; empty tables give an empty one.
+    """
     rows = score(docs.select("doc_id", "text"), train(docs, labels, sample))
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -65,20 +65,81 @@ def test_every_passage_counts():
     assert np.array_equal(x[: many[0]], again)
 
 
-def test_gradient():
-    """The step that fit() takes is down the slope of the log loss."""
+def plain(model, text):
+    """One document by the definition, passage by passage."""
+    m = {k: v.astype(float) for k, v in model.weights.items()}
+    cut = [text[i : i + quality.PASSAGE] for i in range(0, max(1, len(text)), quality.PASSAGE)]
+    hidden, weight = [], []
+    for passage in cut:
+        h = np.tanh(quality.passages([passage])[0][0].astype(float) @ m["W"] + m["b"])
+        hidden.append(h)
+        weight.append(np.exp(m["w"] @ (np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"]))))))
+    z = sum(w * h for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+    return 1 / (1 + np.exp(-(z @ m["c"] + m["d"][0])))
+
+
+def random_model(kind=float):
+    r = np.random.default_rng(1)
+    shapes = {k: v.shape for k, v in quality.fit([], np.zeros(0)).weights.items()}
+    return quality.Model({k: r.normal(0, 0.3, s).astype(kind) for k, s in shapes.items()})
+
+
+def test_scores_against_brute_force(monkeypatch):
+    model = random_model(np.float32)
+    texts = [sentence(k, n).encode() for k, n in enumerate((1, 40, 300, 2500))] + [b"", b"ab", "日本語 é ".encode() * 400, b"!" * 512, b"!" * 513]
+    want = [plain(model, t) for t in texts]
+    assert np.allclose(model.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(quality, "CHUNK", 2 * quality.PASSAGE)  # every longer text in pieces
+    assert np.allclose(model.score(texts), want, atol=1e-5)
+
+
+def test_gradients_against_finite_differences():
+    model, r = random_model(), np.random.default_rng(2)
+    many = np.array([1, 3, 2, 5])
+    x, labels = r.normal(size=(many.sum(), quality.WIDTH)), np.array([0.0, 1, 1, 0])
+
+    def loss():
+        h, *_, s = model.encode(x)
+        y = model.pool(h, s, many)[-1]
+        return -np.log(np.where(labels > 0, y, 1 - y)).mean()
+
+    for name, grad in model.gradients(x, many, labels).items():
+        w = model.weights[name]
+        for at in map(tuple, r.integers(0, w.shape, (12, w.ndim))):
+            old, step = w[at], 1e-5
+            w[at] = old + step
+            up = loss()
+            w[at] = old - step
+            down = loss()
+            w[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-6, (name, at)
+
+
+def test_loss_falls():
     r = np.random.default_rng(0)
     bags = [r.normal(size=(n, quality.WIDTH)).astype(np.float32) for n in (1, 3, 5, 2) * 8]
-    labels = np.array([0, 1, 1, 0] * 8, np.float32)
+    labels, many = np.array([0, 1, 1, 0] * 8, np.float32), np.array([len(b) for b in bags])
     loss = []
     for epochs in (0, 5, 25):
         m = quality.fit(bags, labels, epochs)
-        many = np.array([len(b) for b in bags])
-        y = m.forward(np.concatenate(bags), np.cumsum(many) - many, many)[-1]
+        h, *_, s = m.encode(np.concatenate(bags))
+        y = m.pool(h, s, many)[-1]
         loss.append(-np.log(np.where(labels > 0, y, 1 - y)).mean())
     assert loss[0] > loss[1] > loss[2]
 
 
+def test_all_passages_of_a_labelled_document_are_learned_from(spark, monkeypatch):
+    rows = [(i, sentence(i, 3000 if i % 4 else 20), "en", "s", 1) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    seen, model = [], random_model()
+    monkeypatch.setattr(quality, "fit", lambda bags, y, **_: seen.append([len(b) for b in bags]) or model)
+    quality.train(documents(spark, rows), labels)
+    learned = [i for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen[0] == [-(-len(rows[i][1]) // quality.PASSAGE) for i in learned]
+    quality.train(documents(spark, rows), labels, most=100)
+    assert sum(seen[1]) <= 100 and set(seen[1]) <= set(seen[0])
+
+
 def test_a_document_repeated_thousands_of_times_is_learned_from_once(spark):
     from pyspark.sql import functions as F
 
@@ -88,7 +149,7 @@ def test_a_document_repeated_thousands_of_times_is_learned_from_once(spark):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = documents(spark, rows)
     hot = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)  # not held out
-    again = docs.unionByName(docs.where(f"doc_id = {hot}").crossJoin(spark.range(3000)).drop("id"))
+    again = docs.unionByName(docs.where(f"doc_id = {hot}").crossJoin(spark.range(10_000)).drop("id"))
     one, two = quality.train(docs, table), quality.train(again.repartition(5), table)
     assert all((one.weights[k] == two.weights[k]).all() for k in one.weights)
     domains = table.select("doc_id", F.col("quality").cast("string").alias("domain"))
