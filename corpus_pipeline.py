@@ -33,7 +33,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, document_domains(table(spark, sf_dir, "labels")))
     scored = shared.keep(mixing.with_posteriors(docs, model), "domains")
     now = mixing.domain_tokens(scored, model.domains)
-    mixed = mixing.mix(scored, [t * WANTED.get(d, 1.0) for t, d in zip(now, model.domains, strict=True)], snap=0.05)
+    mixed = mixing.mix(scored, [t * WANTED.get(d, 1.0) for t, d in zip(now, model.domains, strict=True)])
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return mixed.where("copies > 0").select(*docs.columns, copies.alias("__copy")).drop("__copy")
 

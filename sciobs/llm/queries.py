@@ -65,8 +65,12 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *shares, "rate", "copies")
 
 
+#: Keeps the registered query repeatable; production reads its key from a secret store.
+EXAMPLE_KEY = "sciobs-example-key"
+
+
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)
     counts = [F.coalesce(F.try_element_at("private", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return done.select("doc_id", *counts, F.aggregate(F.map_values("private"), F.lit(0), lambda a, b: a + b).cast("long").alias("n_private"), "text")
 

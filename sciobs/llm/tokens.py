@@ -10,6 +10,7 @@ for which the cut below is proven by test, are encoded by the tokenizer whole.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 
@@ -21,6 +22,9 @@ _OTHER = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]|<\|")
 _WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
+_ANY_WORD = re.compile(r"[^\W\d_]+|[0-9]|[^\w\s]+|\w")
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,8 +55,9 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words = _Words()
-        # ids of word i: ids[start[i] : start[i] + size[i]]
+        # ids of word i: ids[start[i] : start[i] + size[i]]; sums: its CRC-32
         self.ids, self.start, self.size, self.uses = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.sums = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -73,6 +78,7 @@ class WordTokenizer:
         self.ids, self.size = np.concatenate(parts), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
         self.uses = np.concatenate([self.uses, np.zeros(len(waiting), np.int64)])
+        self.sums = np.concatenate([self.sums, np.array([zlib.crc32(w.encode()) for w in waiting], np.int64)])
 
     def forget(self) -> None:
         """Keeps the words used most, at most half of the memo, none that was used once."""
@@ -81,28 +87,36 @@ class WordTokenizer:
         names = list(self.words)
         self.words = _Words([names[i] for i in kept])
         self.ids = np.concatenate([self.ids[:0], *(self.ids[self.start[i] : self.start[i] + self.size[i]] for i in kept)])
-        self.size, self.uses = self.size[kept], self.uses[kept] // 2
+        self.size, self.uses, self.sums = self.size[kept], self.uses[kept] // 2, self.sums[kept]
         self.start = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers; null: none."""
+    def numbered(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], list[int]]:
+        """(rows, numbers of their words in order) of plain texts, and the rows that go to the tokenizer itself; null and empty ones are in neither."""
         if len(self.words) > MEMO_WORDS:
             self.forget()
-        out: list[bytes] = [b""] * len(texts)
-        rows, found = [], []
+        rows, found, others = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 continue
             if _OTHER.search(text):
-                out[i] = self.whole(text).tobytes()
+                others.append(i)
                 continue
             words = _WORD.findall(text.lower())
             rows.append(i)
             found.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         if rows:
             self.learn()
+            self.uses += np.bincount(np.concatenate(found), minlength=len(self.uses))
+        return rows, found, others
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; null: none."""
+        out: list[bytes] = [b""] * len(texts)
+        rows, found, others = self.numbered(texts)
+        for i in others:
+            out[i] = self.whole(texts[i]).tobytes()
+        if rows:
             index = np.concatenate(found)
-            self.uses += np.bincount(index, minlength=len(self.uses))
             size = self.size[index]
             upto = np.cumsum(size)
             raw = self.ids[np.repeat(self.start[index] - upto + size, size) + np.arange(size.sum())].tobytes()
@@ -111,11 +125,27 @@ class WordTokenizer:
                 out[i] = raw[a:b]
         return out
 
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of each text the number of its ids, and the CRC-32 of each of its words (lowered; runs of letters, single digits, runs of signs)."""
+        many, sums = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)] * len(texts)
+        rows, found, others = self.numbered(texts)
+        for i, index in zip(rows, found, strict=True):
+            many[i], sums[i] = self.size[index].sum(), self.sums[index]
+        for i in others:
+            words = _ANY_WORD.findall(texts[i].lower())
+            many[i] = len(self.whole(texts[i]))
+            sums[i] = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
+        return many, sums
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
+def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path].encode(texts)
+    return _tokenizers[path]
+
+
+def encode(texts: list[str | None], path: str) -> list[bytes]:
+    return tokenizer(path).encode(texts)

@@ -7,7 +7,7 @@ import pytest
 
 from sciobs.llm import mixing, shared
 
-from .helpers import documents, empty, sentence
+from .helpers import awkward, documents, empty, sentence
 
 
 def corpus(n=700):
@@ -39,9 +39,12 @@ def test_held_out_accuracy(scored):
     assert right >= 0.9 * len(rows)
 
 
-def test_tokens_and_posteriors(scored):
+def test_tokens_are_those_of_packing(scored):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(scored[0].path)
     for r in scored[1].collect():
-        assert r["tokens"] == len((r["text"] or "").split())
+        assert r["tokens"] == 1 + len(whole.encode(r["text"] or "", add_special_tokens=False).ids)
         assert abs(sum(r["posterior"]) - 1) < 1e-9
 
 
@@ -71,11 +74,48 @@ def test_against_a_dense_solution(scored):
     assert np.allclose([got[r["doc_id"], r["text"]] for r in rows], want, atol=1e-5)
 
 
-def test_snap_and_clashing_columns(scored):
+def test_clashing_columns_and_rows_without_id(scored):
+    _, table, _ = scored
+    targets = [t * 0.5 for t in mixing.domain_tokens(table, ["a", "b", "c"])]
+    rows = mixing.mix(table.withColumnsRenamed({"lang": "rate", "source": "copies"}), targets).collect()
+    assert {r["copies"] for r in rows} == {0, 1}
+    nameless = mixing.mix(table.selectExpr("cast(null as long) AS doc_id", "tokens", "posterior"), targets).collect()
+    assert {r["copies"] for r in nameless} == {0, 1}  # not one draw for all
+
+
+def test_rewriting_rates_changes_nothing(scored, monkeypatch):
     _, table, _ = scored
-    targets = mixing.domain_tokens(table, ["a", "b", "c"])
-    rows = mixing.mix(table.withColumnsRenamed({"lang": "rate", "source": "copies"}), targets, snap=0.05).collect()
-    assert {r["copies"] for r in rows} == {1}
+    targets = [t * f for t, f in zip(mixing.domain_tokens(table, ["a", "b", "c"]), (2.0, 0.0, 0.3), strict=True)]
+    once = mixing.fit_rates(table, targets, 12)
+    monkeypatch.setattr(mixing, "REWRITE", 1)
+    again = mixing.fit_rates(table, targets, 12)
+    assert len(once[1]) > 1 and np.allclose(once[1], again[1])
+
+
+def test_features_pack_and_unpack():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 500, 2047, 2049, 40_000, mixing.FEATURES):
+        found = np.sort(r.choice(mixing.FEATURES, n, replace=False))
+        raw = mixing.packed(found)
+        assert np.array_equal(mixing.unpacked(raw), found) and len(raw) <= 2 + mixing.FEATURES // 8
+
+
+def test_fit_in_parts_is_the_same(monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [mixing.packed(np.unique(r.integers(0, 400, 30) + 300 * (k % 3))) for k in range(60)]
+    y = np.arange(60) % 3
+    one = mixing.fit(rows, y, list("abc"), "")
+    monkeypatch.setattr(mixing, "AT_ONCE", 100)
+    two = mixing.fit(rows, y, list("abc"), "")
+    assert np.allclose(one.weights, two.weights, atol=1e-6) and (one.logits([mixing.unpacked(x) for x in rows]).argmax(axis=1) == y).all()
+
+
+def test_very_long_text(spark):
+    long = sentence(1, 60_000)
+    docs = documents(spark, [(1, long, "en", "s", 1), (2, "alpha", "en", "s", 1)])
+    model = mixing.train(docs, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, domain string"))
+    rows = {r["doc_id"]: r for r in mixing.with_posteriors(docs, model).collect()}
+    assert rows[1]["tokens"] > 60_000 and rows[1]["posterior"][0] > 0.5 > rows[2]["posterior"][0]
 
 
 def test_empty_and_no_labels(spark):
@@ -86,3 +126,13 @@ def test_empty_and_no_labels(spark):
     assert mixing.mix(table, [10.0]).count() == 0
     one = shared.keep(mixing.with_posteriors(documents(spark), model), "test")
     assert {round(r["posterior"][0], 9) for r in one.collect()} == {1.0}
+
+
+def test_counts_are_those_of_encoding():
+    from sciobs.llm import tokens
+
+    path = tokens.default_tokenizer_path()
+    texts = [t for _, t, *_ in awkward()] + [sentence(k, 50).upper() for k in range(5)]
+    many, sums = tokens.WordTokenizer(path).counts(texts)
+    assert many.tolist() == [len(x) // 4 for x in tokens.WordTokenizer(path).encode(texts)]
+    assert all((len(s) > 0) == bool((t or "").strip()) for s, t in zip(sums, texts, strict=True))
