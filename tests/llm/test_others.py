@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sciobs.llm import topk, url_filter
 
@@ -98,8 +99,39 @@ def test_top_k_of_awkward_vectors(spark):
 
 def test_tree_bounds():
     r = random.Random(1)
-    points = np.array([[r.randrange(-50, 50) for _ in range(6)] for _ in range(500)], float)
+    points = np.array([[r.randrange(-50, 50) for _ in range(6)] for _ in range(500)])
     t = topk.Tree(np.arange(500), points, leaf=16)
     for n, (a, b, *_) in enumerate(t.nodes):
-        assert (t.low[n] == t.points[a:b].min(axis=0)).all() and (t.high[n] == t.points[a:b].max(axis=0)).all()
-    assert sorted(t.ids.tolist()) == list(range(500))
+        assert (t.low[n] == t.turned[a:b].min(axis=0)).all() and (t.high[n] == t.turned[a:b].max(axis=0)).all()
+    assert sorted(t.ids.tolist()) == list(range(500)) and np.allclose(t.points @ t.axes, t.turned)
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    """Products that differ by one above 2**53, and sums above 2**62."""
+    big = 3_000_000_000
+    vectors = [(1, [big, 1]), (2, [big, 2]), (3, [big, 3]), (4, [-big, 3]), (10, [3_000_000_001, 1])]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<bigint>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id = 10")).collect()))
+    assert got == [(10, 1, 3, 9_000_000_003_000_000_003), (10, 2, 2, 9_000_000_003_000_000_002), (10, 3, 1, 9_000_000_003_000_000_001), (10, 4, 4, -9_000_000_002_999_999_997)]
+    r = np.random.default_rng(5)
+    many = [(i, [int(x) for x in r.integers(-(2**28), 2**28, 8)]) for i in range(400)]
+    df = spark.createDataFrame(many, "vec_id long, v array<bigint>")
+    want = [(q, n + 1, i, s) for q in (0, 100, 200, 300) for n, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(many[q][1], v, strict=True)), i) for i, v in many if i != q), key=lambda x: (-x[0], x[1]))[:10])]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0"), 10, 90).collect())) == want
+
+
+def test_a_score_beyond_a_long_is_an_error():
+    t = topk.Tree(np.arange(2), np.array([[2**62, 2**62], [1, 1]]))
+    with pytest.raises(OverflowError):
+        t.search(np.array([4, 4]), None, 1, None)
+
+
+def test_the_tree_prunes_where_vectors_cluster(spark):
+    r = np.random.default_rng(3)
+    centers = r.normal(0, 1000, (40, 16))
+    points = [(k * 60 + j, [int(x) for x in centers[k] + r.normal(0, 40, 16)]) for k in range(40) for j in range(60)]
+    df = spark.createDataFrame(points, "vec_id long, v array<bigint>").withColumn("query_id", F.lit(1)).withColumn("shard", F.lit(2))
+    asked = df.where("vec_id % 100 = 0")
+    row = topk.leaf_visits(df, asked, 10).groupBy().sum("visited", "leaves").first()
+    assert row["sum(visited)"] < 0.25 * row["sum(leaves)"]
+    assert sorted(map(tuple, topk.top_k(df, asked).collect())) == brute_top(points, [p for p in points if p[0] % 100 == 0], 10)
