@@ -1,14 +1,15 @@
 """Operator 10: similarity join on word n-grams with Bayesian candidate pruning.
 
 1. Documents with equal n-gram sets form a class; one of them stands for it.
-2. Classes that share a band of MinHash values are tied to the band's smallest
-   class, and connected components of these ties are the places where links can
-   be. Only their texts are read again.
-3. A component is cut into blocks by set size and hash. For every two blocks
-   that can hold a link, pairs are compared by their MinHash values, a few at a
-   time: a pair is dropped when the posterior probability that its similarity
-   reaches the threshold falls below the tolerance. The rest is verified exactly.
-   Pairs never leave the task: it returns each class's number of links and a
+2. Classes that share a band of MinHash values are candidates. Their pairs are
+   compared by MinHash values, a few at a time: a pair is dropped when the
+   posterior probability that its similarity reaches the threshold falls below
+   the tolerance. Pairs never leave the task: it returns a spanning forest of
+   those that stay. So classes that only share a template are not tied.
+3. Connected components of these ties are where links can be; only their texts
+   are read again. A component is cut into blocks by set size and hash; for every
+   two blocks that can hold a link, pairs are pruned in the same way and the rest
+   is verified exactly. A task returns each class's number of links and a
    spanning forest of them.
 """
 
@@ -33,7 +34,9 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: MinHash values per step of the comparison, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 20, 1e-6
-#: Classes and n-grams of a block, about.
+#: Classes of a block of one band bucket; buckets are cut into pairs of blocks.
+BUCKET_BLOCK = 2048
+#: Classes and n-grams of a block of a component, about.
 BLOCK, BLOCK_NGRAMS = 768, 600_000
 _MEMO_WORDS = 400_000
 
@@ -200,6 +203,83 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def ties_within(sigs: np.ndarray, block: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that stay, of one block or of two (then between them). What is tied already is not compared again."""
+    sides = np.unique(block)
+    open_, edges = np.ones(len(sigs), bool), []
+    for start in range(len(sigs)):
+        if not open_[start]:
+            continue
+        open_[start], front = False, np.array([start])
+        while len(front) and open_.any():
+            found = []
+            for side in sides:
+                mine = front if len(sides) == 1 else front[block[front] == side]
+                others = np.flatnonzero(open_ if len(sides) == 1 else open_ & (block != side))
+                if not len(mine) or not len(others):
+                    continue
+                i, j = candidate_pairs(sigs[mine], sigs[others], False, threshold, tolerance)
+                new, first = np.unique(j, return_index=True)
+                open_[others[new]] = False
+                edges += zip(mine[i[first]].tolist(), others[new].tolist(), strict=True)
+                found.append(others[new])
+            front = np.concatenate(found) if found else front[:0]
+    return edges
+
+
+def candidate_ties(classes: DataFrame, bands: int, rows: int, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of classes that share a band and that the posterior does not exclude. classes: (node, sig), a written table."""
+    width = 4 * rows
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
+    banded = shared.keep(classes.where(F.col("sig").isNotNull()).select("node", F.explode(band).alias("bucket")), "bands")
+    # buckets with the same members (known by their number and two sums of hashes) tell the same: one of them is enough
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    buckets = shared.keep(buckets.groupBy("n", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int").alias("blocks")), "buckets")
+    total = banded.count()
+    members = shared.join_spread(banded, buckets, "bucket", F.col("n") >= max(2.0, total * shared.HOT_SHARE))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))
+    tasks = members.withColumn("block", block).select("bucket", "node", "block", F.explode(pairs).alias("task"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lowest byte of each value: equal ones stay equal, so no pair is dropped by it."""
+        for batch in batches:
+            short = [np.frombuffer(x, "<u4").astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["node", "sig"])
+
+    signed = classes.where(F.col("sig").isNotNull()).select("node", "sig").mapInArrow(shorten, "node long, sig binary")
+    dealt = tasks.join(signed, "node").repartition("bucket", "task").sortWithinPartitions("bucket", "task", "node")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not len(held):
+                continue
+            bucket, i, j = (held[c].to_numpy() for c in ("bucket", "i", "j"))
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *cuts.tolist(), *([] if batch is not None else [len(held)])]  # the last group may go on
+            node, block = held["node"].to_numpy(), held["block"].to_numpy()
+            raw, out = held["sig"].to_pylist(), []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b - a < 2 or i[a] != j[a] and len(np.unique(block[a:b])) < 2:
+                    continue
+                sigs = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(b - a, -1)
+                out += [(node[a + x], node[a + y]) for x, y in ties_within(sigs, block[a:b], threshold, tolerance)]
+            held = held.slice(edges[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([int(e[k]) for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.select("bucket", "task.i", "task.j", "block", "node", "sig").mapInArrow(tie, "a long, b long")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE) -> DataFrame:
     """Links all rows whose n-gram sets have a Jaccard similarity of at least ``threshold``.
 
@@ -213,7 +293,9 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: i
     """
     sigs, known = _link(docs, n, threshold, bands, rows, tolerance)
     null = lambda c: F.when(F.col(c) != shared.NO_ID, F.col(c)).alias(c)
-    return sigs.select(F.col("id").alias("doc_id"), "digest").join(known.drop("component"), "digest").select(
+    known = shared.keep(known.drop("component"), "known")
+    hot = F.col("rows") >= max(2.0, sigs.count() * shared.HOT_SHARE)
+    return shared.join_spread(sigs.select(F.col("id").alias("doc_id"), "digest"), known, "digest", hot).select(
         null("doc_id"), null("class_id"), (F.col("rows") - 1).alias("copies"), (F.col("links") + F.col("rows") - 1).alias("n_links")
     )
 
@@ -227,11 +309,7 @@ def _link(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands:
     groups = sigs.groupBy("digest").agg(F.count("*").alias("rows"), F.min("id").alias("rep"), F.max("size").alias("size"), F.max("sig").alias("sig"))
     classes = shared.keep(groups.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
 
-    # ties: classes in one band bucket to the smallest of them
-    banded = classes.where(F.col("sig").isNotNull()).select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * rows) + 1, F.lit(4 * rows))))).alias("band", "bucket")).select("node", "bucket")
-    centers = banded.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").select("bucket", "center")
-    ties = banded.join(centers, "bucket").select(F.col("node").alias("a"), F.col("center").alias("b")).where("a <> b").distinct()
-    places = shared.keep(components(ties), "places")
+    places = shared.keep(components(candidate_ties(classes, bands, rows, threshold, tolerance)), "places")
 
     # texts of the classes that may have links, read once more
     members = shared.keep(classes.join(places, "node"), "members")

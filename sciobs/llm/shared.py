@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id wherever ids are compared: below every other.
@@ -65,5 +65,16 @@ def one_text(rows: DataFrame, label: str) -> DataFrame:
     return found.select("doc_id", "one.text", label)
 
 
+#: Keys with at least this share of all rows are joined by broadcast; there are at most 1 / share of them.
+HOT_SHARE = 0.001
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: str, hot: Column) -> DataFrame:
+    """Inner join with a right side of one row a key. The keys that ``hot`` (a condition on the right side)
+    marks are joined by broadcast, so that none of them meets in one task; how many they are must be bounded."""
+    some, rest = F.broadcast(right.where(hot)), right.where(~hot)
+    return left.join(some, on).unionByName(left.join(F.broadcast(right.where(hot).select(on)), on, "left_anti").join(rest, on))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -60,6 +60,7 @@ def near_copies(seed=1):
 @pytest.mark.parametrize("block", [768, 3])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "BUCKET_BLOCK", block)
     rows = near_copies()
     assert run(spark, rows) == brute(rows)
 
@@ -118,3 +119,48 @@ def test_keep_one_keeps_every_different_text(spark, parts):
     got = sorted(((r["doc_id"], r["text"]) for r in jj.keep_one(docs).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (1, c), (2, d), (3, None)], key=str)
     assert {r["lang"] for r in jj.keep_one(docs).where("doc_id = 2").collect()} == {r["lang"] for r in jj.keep_one(documents(spark, rows[::-1])).where("doc_id = 2").collect()}
+
+
+def ties(spark, texts):
+    sigs = jj.signatures(documents(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), 5, 140).selectExpr("id AS node", "sig")
+    return jj.candidate_ties(sigs, 28, 5, 0.8, 1e-6).collect()
+
+
+def test_a_shared_template_ties_nothing(spark):
+    """Texts that share bands but no link: none goes on to the components, however many there are."""
+    template = sentence(1, 140)
+    alike = [f"{template} {sentence(10 + k, 100)}" for k in range(300)]
+    chain = [f"{sentence(5000 + k, 60)} {sentence(5001 + k, 60)}" for k in range(300)]
+    assert ties(spark, alike + chain) == []
+
+
+def test_ties_are_a_forest_that_connects_the_copies(spark):
+    base = sentence(3, 300).split()
+    texts = [" ".join(base[:k] + [f"changed{k}"] + base[k + 1 :]) for k in range(60)] + [sentence(100 + k, 80) for k in range(20)]
+    found = ties(spark, texts)
+    assert len({frozenset((r["a"], r["b"])) for r in found}) >= 59 and {x for r in found for x in (r["a"], r["b"])} == set(range(60))
+    # each bucket gives at most a tree; of 28 bands buckets with the same members count once
+    assert len(found) <= 28 * 59
+
+
+def test_forest_between_two_blocks():
+    r = np.random.default_rng(1)
+    one, two = r.integers(0, 256, (2, 140)).astype(np.uint8)
+    sigs, block = np.array([one] * 4 + [two] * 4), np.array([0, 1, 0, 1, 0, 0, 0, 1])
+    edges = jj.ties_within(sigs, block, 0.8, 1e-6)
+    assert len(edges) == 6 and all(block[a] != block[b] and (a < 4) == (b < 4) for a, b in edges)
+
+
+def test_recall_of_the_bands(spark):
+    """True pairs just above the threshold, found by all against all."""
+    r = random.Random(4)
+    rows = []
+    for g in range(150):
+        base = sentence(g, 120).split()
+        w = list(base)
+        for at in r.sample(range(0, 120, 9), 2):
+            w[at] = "other"
+        rows += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join(w), "en", "s", 1)]
+    want = brute(rows)
+    linked = sum(n for *_, n in want)
+    assert linked >= 250 and run(spark, rows) == want
