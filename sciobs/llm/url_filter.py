@@ -17,33 +17,44 @@ from . import shared
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: Hashed n-grams: sizes, buckets; at most so many labelled URLs are used.
 GRAMS, BUCKETS, MOST = (3, 4, 5), 1 << 14, 20_000
-EPOCHS, RATE, DECAY = 200, 0.5, 1e-4
-
-#: A small labelled URL table, (url, label: 1 blocks).
-SEEDS = [
-    ("https://blog.garden.example.com/en/12", 0), ("https://www.library.example.net/fr/7.html", 0), ("http://news.weather.example.org/de/5/", 0),
-    ("https://m.travel.example.com/es/31?page=2", 0), ("http://recipes.example.net/en/44#top", 0), ("https://museum.example.org/fr/2", 0),
-    ("https://blog.physics.example.net/en/909", 0), ("http://www.school.example.com/de/61.html", 0), ("https://m.theatre.example.org/en/18/", 0),
-    ("https://forum.chess.example.net/en/52", 0), ("http://maps.example.com/fr/3?ref=x", 0), ("https://www.history.example.org/es/77", 0),
-    ("https://docs.compiler.example.com/en/101", 0), ("http://blog.music.example.net/de/15", 0), ("https://thread.example.com/en/9", 0),
-    ("https://m.ocean.example.org/fr/200/", 0), ("http://www.farming.example.net/es/8.html", 0), ("https://blog.rivers.example.com/en/640", 0),
-    ("https://health.example.org/en/23", 0), ("http://m.science.example.net/fr/81?utm_source=feed", 0), ("https://www.painting.example.com/de/99", 0),
-    ("https://spam-farm.example.org/en/12", 1), ("http://www.cheap-pills.example.com/en/7.html", 1), ("https://m.free-money.example.net/fr/5/", 1),
-    ("https://casino-bonus.example.com/es/31?page=2", 1), ("http://www.spam-farm.example.net/en/44#top", 1), ("https://hot-singles.example.org/fr/2", 1),
-    ("https://blog.cheap-pills.example.net/en/909", 1), ("http://xxx-videos.example.com/de/61.html", 1), ("https://m.spam-farm.example.com/en/18/", 1),
-    ("https://buy-followers.example.net/en/52", 1), ("http://cheap-pills.example.org/fr/3?ref=x", 1), ("https://www.casino-bonus.example.org/es/77", 1),
-    ("https://free-money.example.com/en/101", 1), ("http://blog.casino-online.example.net/de/15", 1), ("https://payday-loans.example.com/en/9", 1),
-    ("https://m.adult-chat.example.org/fr/200/", 1), ("http://www.win-prizes.example.net/es/8.html", 1), ("https://cheap-watches.example.com/en/640", 1),
-    ("https://ads-server.example.com/en/3", 1), ("http://www.ads-click.example.net/de/41", 1), ("https://click-track.example.com/fr/17", 1),
-    ("https://adult-cams.example.net/en/6", 1), ("http://adult-date.example.com/es/12", 1), ("https://free-bets.example.net/de/3", 1),
-    ("https://sports-bets.example.com/en/70", 1), ("https://garden-tools.example.com/en/70", 0), ("https://open-data.example.net/fr/9", 0),
-    ("https://thatchers.example.com/en/371", 0), ("https://www.thistle.example.net/en/28", 0), ("http://therapy.example.com/en/5/", 0),
-    ("https://thestage.example.net/de/16", 0), ("http://blog.tinworks.example.com/en/83.html", 0), ("https://m.anthem.example.net/es/2", 0),
-    ("https://northern.example.com/en/416?page=2&ref=x", 0), ("http://www.orchards.example.net/en/67/", 0), ("https://weather-station.example.com/en/254#top", 0),
-    ("http://heritage.example.net/fr/33", 0), ("https://blog.ingots.example.com/en/190", 0), ("https://edition.example.net/en/75.html", 0),
-    ("https://adults-only.example.com/de/88", 1), ("http://x-adult.example.net/fr/60", 1),
-    ("https://porn-free.example.org/en/23", 1), ("http://m.crack-keygen.example.net/fr/81?utm_source=feed", 1), ("https://www.link-farm.example.com/de/99", 1),
-]
+EPOCHS, RATE, DECAY = 300, 0.1, 1e-5
+
+#: Topics of sites that a corpus leaves out, and of sites that it wants; the second list has many that contain parts of the first.
+BAD_TOPICS = """casino poker roulette blackjack slots betting sportsbook jackpot lottery bingo gambling sweepstakes porn xxx sex adult nude camgirls webcams escorts
+    hentai erotic fetish viagra cialis pills steroids painkillers weightloss replica fakewatches knockoffs warez cracks keygen serials nulled torrents cheats aimbot
+    spam linkfarm backlinks traffic-exchange clickbait popunder adserver adclick banners clicktracker adtracker payday quickcash easyloans freemoney getrich doubler
+    forexsignals binaryoptions pumpcoins prizes winner giveaway rewards freegifts singles hookup dating milfs phishing malware botnet followers likes diplomas essaymill
+    miracle-cure detox psychic spellcaster""".split()
+GOOD_TOPICS = """library museum university school college academy science physics chemistry biology history geography archive journal news weather climate garden recipes
+    cooking kitchen travel hiking music orchestra theatre film cinema books poetry painting gallery design architecture engineering software docs developer compiler
+    database research laboratory hospital health clinic medicine nursing parliament city council government law court economy finance bank insurance market farming
+    forest river ocean mountain island bridge railway airport bicycle football tennis chess puzzle toys family children parenting pets horses birds insects flowers trees
+    energy solar water recycling charity community church festival heritage craft pottery knitting woodwork photography camera radio television podcast blog forum wiki
+    encyclopedia dictionary language translation maps atlas astronomy space telescope statistics mathematics geometry philosophy psychology sociology education teaching
+    students careers jobs business bookstore bakery restaurant hotel tourism camping sailing fishing skiing running yoga dance ballet opera essex sussex middlesex
+    therapist pharmacology pharmacist analysis classic assistant cocktail alphabet betterment address admiral advice adventure adulthood hackathon crackers tracks
+    railtracks linking slotcar timeslot spelling dates update candidate mandate signals moneybox primary lotus bingley pokerfish sextant sexton winery
+    prizewinning crackling serialport torrential cheating-prevention banner-making clicker followup likely diplomacy diploma essays miracles spellings exchange""".split()
+#: What stands around topics on either side.
+BEFORE, AFTER = ["", "", "best-", "the", "my", "online-", "city-", "world-", "free-", "top"], ["", "", "-online", "hub", "-world", "24", "-club", "zone", "-today", "s"]
+ENDS = ["com", "net", "org", "info", "de", "fr", "io", "co.uk"]
+PATHS = ["/", "", "/en/12", "/index.html", "/about", "/fr/7?page=2", "/2021/05/a-day-out", "/article/381#top", "/de/3/", "/products/list.php?id=9", "/blog/why", "/p/442"]
+SITES_A_TOPIC = 8
+
+
+def seed_urls() -> list[tuple[str, int, str]]:
+    """The small labelled URL table, (url, label: 1 blocks, site): topics of both kinds in the same surroundings, by rule."""
+    out = []
+    for label, topics in ((1, BAD_TOPICS), (0, GOOD_TOPICS)):
+        for i, topic in enumerate(topics):
+            for j in range(SITES_A_TOPIC):
+                k = 31 * i + 17 * j
+                site = f"{BEFORE[k % 10]}{topic}{AFTER[(k // 3 + j) % 10]}"
+                sub = ("", "www.", "m.", "blog.", "shop.")[(i + j) % 5]
+                out.append((f"{'https' if k % 3 else 'http'}://{sub}{site}.{ENDS[(i + 3 * j) % 8]}{PATHS[(5 * i + j) % 12]}", label, site))
+    return out
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,16 +118,21 @@ def train(labelled: DataFrame, most: int = MOST) -> np.ndarray:
         return weights
     bucket, row = hashed([r["host"] for r in rows], [r["path"] for r in rows])
     value = 1 / np.sqrt(np.bincount(row, minlength=len(y)))[row]
-    for _ in range(EPOCHS):
+    # both labels count alike, however many URLs have them
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    m1, m2 = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, EPOCHS + 1):
         z = np.bincount(row, weights[bucket] * value, len(y)) + weights[-1]
-        e = (1 / (1 + np.exp(-z)) - y) / len(y)
-        weights[:-1] -= RATE * 10 * (np.bincount(bucket, e[row] * value, BUCKETS) + DECAY * weights[:-1])
-        weights[-1] -= RATE * e.sum()
+        e = (1 / (1 + np.exp(-z)) - y) * share
+        grad = np.append(np.bincount(bucket, e[row] * value, BUCKETS) + DECAY * weights[:-1], e.sum())
+        m1 += 0.1 * (grad - m1)
+        m2 += 0.01 * (grad**2 - m2)
+        weights -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
     return weights
 
 
 def seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEEDS, "url string, label int")
+    return spark.createDataFrame([(url, label) for url, label, _ in seed_urls()], "url string, label int")
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] | None = None, url: str = "url") -> DataFrame:
@@ -125,7 +141,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple
     The longest fitting rule decides (rule is null where none fits); otherwise
     the classifier blocks from a probability of one half on. Null URLs and URLs
     without ``://`` have an empty host and path and are judged by the classifier.
-    Repeated rows are judged each.
+    Repeated rows are judged each; URLs of any length are read whole.
     """
     spark = pages.sparkSession
     shared.prepare(spark)
