@@ -84,9 +84,19 @@ def raster_overviews(pixels: DataFrame, rows: int, cols: int, no_data: float | N
         levels.append(level)
         level += 1
     v = valid_value(F.col("value"), no_data)
-    rows_ = pixels.select("band", "row", "col", v.alias("value"), F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
-    down = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level"))).cast("long")
-    return rows_.groupBy("level", "band", down("row").alias("row"), down("col").alias("col")).agg(F.avg("value").alias("value"))
+    cells = pixels.select("band", "row", "col", v.alias("sum"), F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("n"))
+    out, done = None, 0
+    # each tier is made of the sums and counts of the level before it, so pixels are aggregated once and not once a level
+    for tier in ([x for x in levels if x == 1], [x for x in levels if 1 < x <= 4], [x for x in levels if x > 4]):
+        if tier or out is None:
+            rows_ = cells.withColumn("level", F.explode(F.array(*map(F.lit, tier)) if tier else F.array().cast("array<int>")))
+            down = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level") - done)).cast("long")  # noqa: E731, B023
+            made = rows_.groupBy("level", "band", down("row").alias("row"), down("col").alias("col")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+            out = made if out is None else out.unionByName(made)
+            if tier:
+                done = tier[-1]
+                cells = made.where(F.col("level") == done).drop("level")
+    return out.select("level", "band", "row", "col", (F.col("sum") / F.nullif(F.col("n"), F.lit(0))).alias("value"))
 
 
 def band_image(pixels: DataFrame, band: int, rows: int, cols: int, max_edge: int = 1024) -> DataFrame:

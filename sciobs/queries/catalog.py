@@ -67,7 +67,11 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.plan_totals(_files(spark, sf_dir), ["plan_id"])
 
 
-@query("plan_hash")
+_PLAN_FILES = """'{"download_url":"https://data/' || o_custkey || '/' || o_orderstatus || '","name":"' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '","size":' || CAST(floor(o_totalprice) AS BIGINT) || ',"md5":"' || md5(CAST(o_orderkey AS VARCHAR)) || '"}'"""
+
+
+@query("plan_hash", f"""WITH d AS (SELECT o_custkey % 100 AS plan_id, sha256({_PLAN_FILES}) AS d FROM orders), r AS (SELECT plan_id, substr(d, 1, 2) AS r, sha256(string_agg(d, chr(10) ORDER BY d)) AS d FROM d GROUP BY 1, 2)
+    SELECT plan_id, sha256(string_agg(d, chr(10) ORDER BY r)) AS plan_hash FROM r GROUP BY 1""")
 def plan_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.plan_hash(_files(spark, sf_dir))
 

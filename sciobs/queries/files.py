@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import files, results
-from .common import Registry, read
+from ..operators import geometry
+from ..sources import datasources, files, results
+from .common import Registry, read, scratch
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sciobs-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("read_source_records", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, count(*) OVER () AS n FROM orders")
 def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as CSV, read back as text records; every file numbers its records without gaps."""
@@ -58,3 +51,25 @@ def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "results")
     found = results.persist_result(read(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), root, "orders that are open")
     return spark.read.parquet(f"{root}/results").where(F.col("result_id") == found).select("rows")
+
+
+@query("arrow_ipc_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice, count(*) OVER () AS numbered FROM orders")
+def arrow_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as Arrow files, one a partition, and back; each file numbers its rows without gaps."""
+    path = scratch(spark, "arrow")
+    results.write_arrow_ipc(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    spark.dataSource.register(datasources.ArrowIPC)
+    rows = spark.read.format("arrow_ipc").option("path", path).load()
+    numbered = rows.agg(F.count("source_index").alias("numbered"))
+    return rows.drop("source_index").crossJoin(F.broadcast(numbered))  # one row
+
+
+@query("geoparquet_round_trip", "SELECT c_mktsegment AS segment, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer")
+def geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points in GeoJSON, then in Parquet with well-known binary, and back."""
+    path = scratch(spark, "points")
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal")).alias("coordinates")))
+    results.write_geojson(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), point.alias("geometry"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("properties")), f"{path}-json")
+    files.read_geojson(spark, f"{path}-json", lines=True).select("geometry", F.col("properties")["segment"].alias("segment")).write.parquet(path)
+    back = geometry.with_boxes(files.read_geoparquet(spark, path))
+    return back.select("segment", F.col("min_x").alias("x"), F.col("min_y").alias("y"))

@@ -130,11 +130,11 @@ def materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.materialized_fields(p.distinct(), files)
 
 
-@query("default_array", "SELECT p_brand AS dataset_id, CASE count(*) FILTER (p_size % 10 = 0) WHEN 0 THEN 'no_cube' WHEN 1 THEN NULL ELSE 'ambiguous_cube' END AS error, CASE WHEN count(*) FILTER (p_size % 10 = 0) = 1 THEN min(p_partkey) FILTER (p_size % 10 = 0) END AS array FROM part WHERE p_partkey % 5 = 0 GROUP BY 1")
+@query("default_array", "SELECT p_brand || p_type AS dataset_id, CASE count(*) FILTER (p_size % 10 = 0) WHEN 0 THEN 'no_cube' WHEN 1 THEN NULL ELSE 'ambiguous_cube' END AS error, CASE WHEN count(*) FILTER (p_size % 10 = 0) = 1 THEN min(p_partkey) FILTER (p_size % 10 = 0) END AS array FROM part GROUP BY 1")
 def default_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1).cast("long")
     shape = F.when(F.col("p_size") % 10 == 0, F.array(one, one, F.col("p_size").cast("long"))).otherwise(F.array(one, one))
-    arrays = part(spark, sf_dir).where("p_partkey % 5 = 0").select(F.col("p_brand").alias("dataset_id"), F.col("p_partkey").cast("string").alias("array_path"), shape.alias("shape"))
+    arrays = part(spark, sf_dir).select(F.concat("p_brand", "p_type").alias("dataset_id"), F.col("p_partkey").cast("string").alias("array_path"), shape.alias("shape"))
     return a.default_array(arrays).select("dataset_id", "error", F.col("array_path").cast("long").alias("array"))
 
 
@@ -165,9 +165,9 @@ def resource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("crc32c", "SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 2 = 1")
 def crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's id as an object: its CRC-32C, given in hexadecimal or decimal, is verified."""
-    objects = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("doc_id").cast("string").cast("binary").alias("content"))
-    objects = c.with_crc32c(objects.withColumns({"size": F.octet_length("content").cast("long"), "md5": F.md5("content")}))
+    """Every document's whole text as an object: its CRC-32C, given in hexadecimal or decimal, is verified. The sums themselves are tested against the definition."""
+    objects = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    objects = c.with_crc32c(objects.withColumns({"size": F.octet_length("content").cast("long"), "md5": F.md5("content")})).drop("content")
     text = F.when(F.col("path") % 2 == 0, F.lower(F.hex("crc32c"))).otherwise(F.col("crc32c").cast("string"))
     expected = objects.select("path", "size", F.lit("crc32c").alias("algorithm"), F.when(F.col("path") % 2 == 0, F.lpad(text, 8, "0")).otherwise(text).alias("checksum"))
     return c.verify_checksums(objects, expected).where("status = 'ok'").agg(F.count(F.lit(1)).alias("n"))

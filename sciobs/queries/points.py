@@ -13,7 +13,7 @@ from ..operators import geometry as g
 from ..operators import points as p
 from ..plans.spec import Box
 from ..sources.files import read_parquet_indexed
-from .common import Registry, read, rnd
+from .common import Registry, read, rnd, scratch
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -67,11 +67,7 @@ def by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("indexed_point_region", _POINTS + f" SELECT source_index, classification FROM p WHERE {_IN} ORDER BY source_index LIMIT 100000")
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds the layout in the shared folder, then asks it."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sciobs-")
-    path = f"{shared.rstrip('/')}/point-index-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "point-index")
     p.build_point_index(points(spark, sf_dir), 5_000.0, path)
     return p.indexed_point_region(spark.read.parquet(path), 5_000.0, BOX)[0].select("source_index", "classification")
 

@@ -77,14 +77,27 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def geo_metadata(spark: SparkSession, path: str) -> dict:
-    """The ``geo`` entry of one Parquet footer: read by Spark's file access on one task, so any store works."""
+    """The ``geo`` entry of one Parquet footer; only the footer is read, by Spark's own file access."""
     import io
 
     import pyarrow.parquet as pq
 
-    one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).limit(1).select("content")
-    rows = one.mapInPandas(lambda it: (pd.DataFrame({"geo": [(pq.read_metadata(io.BytesIO(c)).metadata or {}).get(b"geo", b"{}").decode() for c in b["content"]]}) for b in it), "geo string").collect()
-    return json.loads(rows[0]["geo"]) if rows else {}
+    found = spark.read.parquet(path).inputFiles()
+    if not found:
+        return {}
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(found[0]))
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = store.getFileStatus(where).getLen()
+    stream = store.open(where)
+    try:
+        stream.seek(size - 8)
+        end = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 8))
+        length = int.from_bytes(end[:4], "little")
+        stream.seek(size - 8 - length)
+        footer = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+    finally:
+        stream.close()
+    return json.loads((pq.read_metadata(io.BytesIO(b"PAR1" + footer + end)).metadata or {}).get(b"geo", b"{}"))
 
 
 def read_geoparquet(spark: SparkSession, path: str, geometry: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_materialized_and_profile_roles(spark):
 
 
 def test_digests(spark):
-    assert c.crc32c(b"hello") == 0x9A71BB4C and c.crc32c(b"123456789") == 0xE3069283
+    assert c.crc32c([b"hello", b"123456789", b""]) == [0x9A71BB4C, 0xE3069283, 0]
     objects = c.with_crc32c(spark.createDataFrame([(p, 5, bytearray(b"hello")) for p in "abcdef"], "path string, size long, content binary")).withColumn("md5", F.md5("content"))
     four = 0x9A71BB4C.to_bytes(4, "big")
     expected = [("a", 5, "md5", "5D41402ABC4B2A76B9719D911017C592"), ("b", 5, "crc32c", "9a71bb4c"), ("c", 5, "CRC32C", str(0x9A71BB4C)), ("d", 5, "crc32c", base64.b64encode(four).decode()), ("e", 6, "md5", "5d41402abc4b2a76b9719d911017c592"), ("f", 5, "sha1", "x"), ("g", 5, "md5", "x")]
@@ -137,3 +138,17 @@ def test_inventory_and_suggestions_of_many_datasets(spark):
     groups = fields.select("asked", "dataset_id").distinct()
     views = c.suggest_views(c.scientific_inventory(fields.drop("asked")).join(groups, "dataset_id"), group="asked").groupBy("asked").count().collect()
     assert {r["asked"]: r["count"] for r in views} == {"g0": 12, "g1": 12, "g2": 12}
+
+
+def test_crc32c_by_lanes_against_the_definition():
+    def plain(data):
+        r = 0xFFFFFFFF
+        for byte in data:
+            r ^= byte
+            for _ in range(8):
+                r = r >> 1 ^ (0x82F63B78 if r & 1 else 0)
+        return r ^ 0xFFFFFFFF
+
+    random = np.random.default_rng(1)
+    objects = [random.bytes(n) for n in (0, 1, 3, 4, 5, 255, 256, 257, 511, 512, 1000, 5000)] + [bytes(300), b"\xff" * 300]
+    assert c.crc32c(objects) == [plain(o) for o in objects]
