@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: Keys that the edges of one node are dealt over.
+SALTS = 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, component: the smallest node it is connected to).
@@ -15,30 +18,25 @@ def components(edges: DataFrame) -> DataFrame:
     and a join: large-star ties every larger neighbour of a node to the smallest
     one, small-star does so for the smaller ones, until nothing changes. Rounds
     grow with the logarithm of the nodes. Every round is written to the shared
-    folder. A node's minimum is aggregated before the shuffle; a hub (a node with
-    at least HOT_SHARE of all edges, of which there are few) is joined by broadcast,
-    so that its edges stay where they are. Self loops and repeated edges are
-    allowed; nodes without edges do not appear.
+    folder. A node's minimum is aggregated before the shuffle; where a hub's edges
+    meet its minimum, they are dealt over SALTS keys and the minimum is repeated
+    for each (what is larger still, Spark splits as a skewed join). Self loops and
+    repeated edges are allowed; nodes without edges do not appear.
     """
     spark = edges.sparkSession
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = shared.keep(edges.distinct(), "edges")
     now, last = nodes.where("a <> b"), None
-    many, paths = nodes.count(), []
-
-    def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-
-    def joined(rows: DataFrame, to: DataFrame, many: int) -> DataFrame:
-        return shared.join_spread(rows, to, "a", F.col("n") >= max(2.0, many * shared.HOT_SHARE))
-
+    paths = []
     while True:
         # large-star: both directions, larger neighbours -> minimum of the neighbourhood and the node
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = least(both).select("a", F.least("a", "m").alias("m"), "n")
-        large = joined(both.where("b > a"), to, 2 * many).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        larger = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        large = larger.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small-star: a node's smaller neighbours and itself -> their minimum
-        small = joined(large, least(large), many).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = shared.keep(small, "stars")
         paths.append(now.inputFiles()[0].rpartition("/")[0] if now.inputFiles() else None)
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -47,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
             paths[-3] = None
         if sign == last:
             break
-        last, many = sign, sign[0]
+        last = sign
     ends = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     stars = now.groupBy("a").agg(F.min("b").alias("b"))
     return ends.join(stars, ends["node"] == stars["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
