@@ -144,13 +144,14 @@ def cosines(texts: DataFrame, known: list[tuple[str, str]], vectors: list[dict[s
     mine = shared.keep(mine, "licence-vocabulary")
     weight = (1 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + total) / (1 + F.col("held"))) + 1)
     unit = ["digest", "kind", "n"]
-    counted = shared.keep(parts(texts, heavy).groupBy(*unit, "term").agg(F.count("*").alias("tf")), "licence-terms")
+    counted = lambda rows: rows.groupBy(*unit, "term").agg(F.count("*").alias("tf"))
     dots = [F.sum(F.col("w") * F.col("v")[k]).alias(f"dot{k}") for k in range(len(known))]
-    inside = counted.join(F.broadcast(mine), "term").withColumn("w", weight).groupBy(*unit).agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
+    inside = counted(parts(texts, heavy).join(F.broadcast(mine.select("term")), "term")).join(F.broadcast(mine), "term").withColumn("w", weight).groupBy(*unit).agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
     # terms outside the templates only make a vector longer: parts that are too far without them need not be completed
     least = min(header, file) * (1 - 1e-9)
     inside = shared.keep(inside.where(F.greatest(*(F.col(f"dot{k}") for k in range(len(known)))) >= least * F.sqrt("square")), "licence-near")
-    rest = counted.join(F.broadcast(mine.select("term")), "term", "left_anti").join(inside.select(*unit), unit, "left_semi")
+    near = texts.join(inside.select("digest").distinct(), "digest", "left_semi")
+    rest = counted(parts(near, heavy).join(F.broadcast(mine.select("term")), "term", "left_anti").join(inside.select(*unit), unit, "left_semi"))
     common = held.where(F.col("held") >= HOT_SHARE * total).select("term", "held")
     weighed = rest.join(F.broadcast(common), "term").unionByName(rest.join(held.where(F.col("held") < HOT_SHARE * total).select("term", "held"), "term"))
     outside = weighed.groupBy(*unit).agg(F.sum(weight * weight).alias("more"))
