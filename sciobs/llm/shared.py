@@ -20,9 +20,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a local one."""
+    """The cluster's shared folder; a local one only where none is set and Spark itself is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sciobs-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
