@@ -228,7 +228,7 @@ def ties_within(sigs: np.ndarray, block: np.ndarray, threshold: float, tolerance
 
 
 def candidate_ties(classes: DataFrame, bands: int, rows: int, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b): a spanning forest of the pairs of classes that share a band and that the posterior does not exclude. classes: (node, sig), a written table."""
+    """(a, b): a spanning forest of the pairs of classes that share a band and that the posterior does not exclude. classes: (node, sig), a written table. The result is written too."""
     width = 4 * rows
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
     banded = shared.keep(classes.where(F.col("sig").isNotNull()).select("node", F.explode(band).alias("bucket")), "bands")
@@ -272,7 +272,10 @@ def candidate_ties(classes: DataFrame, bands: int, rows: int, threshold: float,
             held = held.slice(edges[-1])
             yield pa.RecordBatch.from_arrays([pa.array([int(e[k]) for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.select("bucket", "task.i", "task.j", "block", "node", "sig").mapInArrow(tie, "a long, b long")
+    ties = shared.keep(dealt.select("bucket", "task.i", "task.j", "block", "node", "sig").mapInArrow(tie, "a long, b long"), "ties")
+    shared.drop(banded)
+    shared.drop(buckets)
+    return ties
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -376,6 +379,8 @@ def _link(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands:
 
     linked = dealt.groupBy("component", "task").applyInPandas(link, "a long, b long, links long, copies long")
     linked = shared.keep(linked, "links")
+    for done in (places, members, cuts):
+        shared.drop(done)
     counts = linked.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     final = components(linked.where("a <> b").select("a", "b"))
     labelled = classes.select("node", "digest", "rows", "rep").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -50,6 +50,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table that ``keep`` wrote, once nothing that is still to run reads it."""
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

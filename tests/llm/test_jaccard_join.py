@@ -107,6 +107,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_nodes", [0, 10_000])
+def test_components_of_random_graphs(spark, broadcast_nodes):
+    """Against label spreading; a hub with the largest number, repeated edges and loops among them."""
+    for seed in range(3):
+        r = random.Random(seed)
+        edges = [(r.randrange(300), r.randrange(300)) for _ in range(130)] + [(999, 1000 + k) for k in range(50)] + [(5000, 2000 + k) for k in range(50)] + [(7, 7), (8000, 8000)]
+        edges += edges[:20]
+        want = {node: node for edge in edges for node in edge}
+        for _ in want:
+            for a, b in edges:
+                want[a] = want[b] = min(want[a], want[b])
+        got = components(spark.createDataFrame(edges, "a long, b long"), broadcast_nodes)
+        rows = got.collect()
+        assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_keep_one_keeps_every_different_text(spark, parts):
     a, b, c, d = (sentence(k, 30) for k in range(4))
