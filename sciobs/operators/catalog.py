@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.science import axis_role, cf_roles, coverage_polygon, field_role, finite, modality_from_cdm, modality_from_text, stable_id, try_double
@@ -296,11 +296,16 @@ def merge_file_metadata(files: DataFrame) -> DataFrame:
     return merged.join(crs, "dataset_id").select("dataset_id", "modalities", "cubes", "crs", F.array_compact(F.concat("warnings", F.array("warning"))).alias("warnings"))
 
 
-def inspect_table(df: DataFrame) -> DataFrame:
-    """One row: number of rows, fields with types, and whether a name suggests a time series."""
+def table_fields(df: DataFrame) -> tuple[Column, Column]:
+    """fields (name, type, role), and time_series: whether a name suggests one."""
     names = [c.lower() for c in df.columns]
     fields = F.array(*(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), field_role(F.lit(f.name))["role"].alias("role")) for f in df.schema))
-    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", fields.alias("fields"), F.lit(any("time" in n or "date" in n for n in names)).alias("time_series"))
+    return fields.alias("fields"), F.lit(any("time" in n or "date" in n for n in names)).alias("time_series")
+
+
+def inspect_table(df: DataFrame) -> DataFrame:
+    """One row: number of rows, fields with types, and whether a name suggests a time series. For Parquet files see sources.files.inspect_parquet()."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *table_fields(df))
 
 
 # ---- inventory and suggestions

@@ -45,12 +45,32 @@ def with_cells(points: DataFrame, cell: float) -> DataFrame:
 
 
 def build_point_index(points: DataFrame, cell: float, path: str, parts: int | None = None) -> None:
-    """A spatial layout of the points: one folder for each column of cells, sorted within by cell, so that a box reads few folders and row groups."""
-    laid = with_cells(points, cell)
-    laid = laid.repartition(parts, "cell_x") if parts else laid.repartition("cell_x")
+    """A spatial layout of the points: one folder for each column of cells, sorted within by cell, so that a box reads few folders and row groups.
+
+    Ranges of cells and points make the tasks, so a dense column, or one dense cell, is split into several files."""
+    laid, by = with_cells(points, cell), ("cell_x", "cell_y", "source_index")
+    laid = laid.repartitionByRange(parts, *by) if parts else laid.repartitionByRange(*by)
     laid.sortWithinPartitions("cell_x", "cell_y", "source_index").write.mode("overwrite").partitionBy("cell_x").parquet(path)
 
 
+def point_digest(points: DataFrame, cell: float) -> str:
+    """Tells a cloud and its cell size apart: count and two sums of row hashes (the rows' order does not count; null and empty clouds are fine), hashed."""
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), *sorted(points.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in (0, 1)]
+    parts = [F.lit(repr(float(cell))), F.lit(",".join(f"{n}:{t}" for n, t in sorted(points.dtypes))), F.count(F.lit(1)).cast("string"), *sums]
+    return points.agg(F.sha2(F.concat_ws("|", *parts), 256).alias("digest")).first()["digest"]
+
+
+def ensure_point_index(points: DataFrame, cell: float, root: str) -> tuple[str, bool]:
+    """(path, reused): the index of these points under ``root``, built only if none of the same digest is finished there."""
+    spark = points.sparkSession
+    path = f"{root.rstrip('/')}/{point_digest(points, cell)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return path, True
+    build_point_index(points, cell, path)
+    return path, False
+
+
 def indexed_point_region(index: DataFrame, cell: float, box: Box, classes: Sequence[int] = (), z_min: float | None = None, z_max: float | None = None, limit: int = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
     """point_region() through the index: cell predicates prune folders and row groups first."""
     import math

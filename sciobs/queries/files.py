@@ -73,3 +73,19 @@ def geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.read_geojson(spark, f"{path}-json", lines=True).select("geometry", F.col("properties")["segment"].alias("segment")).write.parquet(path)
     back = geometry.with_boxes(files.read_geoparquet(spark, path))
     return back.select("segment", F.col("min_x").alias("x"), F.col("min_y").alias("y"))
+
+
+@query("inspect_parquet", "SELECT count(*) AS rows, true AS grouped, 6 AS n_fields, true AS time_series, CAST(NULL AS VARCHAR) AS geometry_column, CAST(NULL AS VARCHAR) AS crs FROM orders")
+def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from their footers alone; any table with rows has a row group."""
+    found = files.inspect_parquet(spark, f"{sf_dir}/orders.parquet")
+    return found.select("rows", (F.col("row_groups") >= 1).alias("grouped"), F.size("fields").cast("long").alias("n_fields"), "time_series", "geometry_column", "crs")
+
+
+@query("result_preview", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+def previewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored preview of a result in its asked order."""
+    root = scratch(spark, "previews")
+    rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("rank"))
+    found = results.persist_result(rows, root, "dearest open orders", order=["rank", "o_orderkey"])
+    return spark.read.parquet(f"{root}/preview/{found}").drop("rank")

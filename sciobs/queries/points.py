@@ -66,9 +66,10 @@ def by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("indexed_point_region", _POINTS + f" SELECT source_index, classification FROM p WHERE {_IN} ORDER BY source_index LIMIT 100000")
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Builds the layout in the shared folder, then asks it."""
-    path = scratch(spark, "point-index")
-    p.build_point_index(points(spark, sf_dir), 5_000.0, path)
+    """Builds the layout in the shared folder, finds it again by the cloud's digest, then asks it."""
+    root = scratch(spark, "point-index")
+    p.ensure_point_index(points(spark, sf_dir), 5_000.0, root)
+    path, _ = p.ensure_point_index(points(spark, sf_dir), 5_000.0, root)
     return p.indexed_point_region(spark.read.parquet(path), 5_000.0, BOX)[0].select("source_index", "classification")
 
 

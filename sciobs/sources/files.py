@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.catalog import table_fields
 from ..operators.geometry import geometry_box, to_wkb
 from ..plans.spec import SpecError
 
@@ -76,16 +77,13 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return made.select("file_path", "feature_index", "id", "properties", "s.*")
 
 
-def geo_metadata(spark: SparkSession, path: str) -> dict:
-    """The ``geo`` entry of one Parquet footer; only the footer is read, by Spark's own file access."""
+def footer(spark: SparkSession, file: str):
+    """The Parquet footer of one file given as a URI; nothing else of it is read, and by Spark's own file access."""
     import io
 
     import pyarrow.parquet as pq
 
-    found = spark.read.parquet(path).inputFiles()
-    if not found:
-        return {}
-    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(found[0]))
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     size = store.getFileStatus(where).getLen()
     stream = store.open(where)
@@ -94,10 +92,46 @@ def geo_metadata(spark: SparkSession, path: str) -> dict:
         end = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 8))
         length = int.from_bytes(end[:4], "little")
         stream.seek(size - 8 - length)
-        footer = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+        body = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
     finally:
         stream.close()
-    return json.loads((pq.read_metadata(io.BytesIO(b"PAR1" + footer + end)).metadata or {}).get(b"geo", b"{}"))
+    return pq.read_metadata(io.BytesIO(b"PAR1" + body + end))
+
+
+def geo_metadata(spark: SparkSession, path: str) -> dict:
+    """The ``geo`` entry of the first Parquet footer."""
+    found = spark.read.parquet(path).inputFiles()
+    return json.loads((footer(spark, found[0]).metadata or {}).get(b"geo", b"{}")) if found else {}
+
+
+#: Files whose footers one inspection reads, on the driver.
+MAX_INSPECTED_FILES = 1000
+
+
+def geo_crs(column: dict) -> str | None:
+    """CRS of a geometry column's metadata: its authority and code, else its name; longitude and latitude where none is given, null where it is unknown."""
+    if "crs" not in column:
+        return "OGC:CRS84"
+    crs = column["crs"] or {}
+    found = crs.get("id") or {}
+    return f"{found['authority']}:{found['code']}" if "authority" in found and "code" in found else crs.get("name")
+
+
+def inspect_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """inspect_table() of Parquet files from their footers alone, with their number of row groups, the geometry column and its CRS.
+
+    Rows are not scanned. More than MAX_INSPECTED_FILES files are an error; no files give zeros."""
+    df = spark.read.parquet(path)
+    found = df.inputFiles()
+    if len(found) > MAX_INSPECTED_FILES:
+        raise SpecError(f"at most {MAX_INSPECTED_FILES} files are inspected at once")
+    footers = [footer(spark, f) for f in found]
+    geo = json.loads((footers[0].metadata or {}).get(b"geo", b"{}")) if footers else {}
+    column = geo.get("primary_column")
+    crs = geo_crs(geo.get("columns", {}).get(column, {})) if column else None
+    fields, series = table_fields(df)
+    sums = [F.lit(sum(getattr(m, n) for m in footers)).cast("long").alias(as_) for n, as_ in (("num_rows", "rows"), ("num_row_groups", "row_groups"))]
+    return spark.range(1).select(*sums, fields, series, F.lit(column).cast("string").alias("geometry_column"), F.lit(crs).cast("string").alias("crs"))
 
 
 def read_geoparquet(spark: SparkSession, path: str, geometry: str | None = None) -> DataFrame:
@@ -119,6 +153,16 @@ def read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Writes one small new file through Spark's own file access."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def read_zarr_chunks(spark: SparkSession, path: str, array: str) -> DataFrame:
     """A Zarr (version 2) array -> chunk table. Raw, zlib and gzip chunks in C order; one task per chunk file, edge chunks cut to the array."""
     where = f"{path.rstrip('/')}/{array.strip('/')}".rstrip("/")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spec import DEFAULT_PREVIEW_ROWS
+from .files import write_small
 
 
 def _text(f: T.StructField) -> Column:
@@ -50,14 +53,38 @@ def table_checksum(df: DataFrame) -> Column:
     return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum")
 
 
-def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEFAULT_PREVIEW_ROWS) -> str:
-    """Writes the data, a preview and one row of statistics under ``root``; returns the result's id."""
+def provenance(result_id: str, query: str, rows: int, checksum: str, schema: T.StructType, sources: Sequence[str] = ()) -> dict:
+    """A manifest of a result as an RO-Crate 1.1 document: its data and preview, the query that made it, what it read, rows, checksum and fields."""
+    now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+    ref = lambda i: {"@id": i}
+    data, preview = f"../../data/{result_id}/", f"../../preview/{result_id}/"
+    fields = [{"@id": f"#field-{k}", "@type": "PropertyValue", "name": f.name, "value": f.dataType.simpleString()} for k, f in enumerate(schema)]
+    graph = [
+        {"@id": "ro-crate-metadata.json", "@type": "CreativeWork", "conformsTo": ref("https://w3id.org/ro/crate/1.1"), "about": ref("./")},
+        {"@id": "./", "@type": "Dataset", "identifier": result_id, "name": query, "datePublished": now, "hasPart": [ref(data), ref(preview)], "mentions": ref("#query"), "variableMeasured": [ref(f["@id"]) for f in fields]},
+        {"@id": data, "@type": "Dataset", "encodingFormat": "application/vnd.apache.parquet", "size": rows, "identifier": f"checksum:{checksum}"},
+        {"@id": preview, "@type": "Dataset", "encodingFormat": "application/vnd.apache.parquet"},
+        {"@id": "#query", "@type": "CreateAction", "description": query, "object": [ref(x) for x in sources], "result": ref(data), "endTime": now},
+        *fields,
+        *({"@id": x, "@type": "Dataset"} for x in sources),
+    ]
+    return {"@context": "https://w3id.org/ro/crate/1.1/context", "@graph": graph}
+
+
+def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEFAULT_PREVIEW_ROWS, order: Sequence[str] = (), sources: Sequence[str] = ()) -> str:
+    """Writes the data, a preview, one row of statistics and a provenance document under ``root``; returns the result's id.
+
+    The preview holds the first rows by ``order``, then by all columns that can be sorted, so it is the same at every run.
+    ``sources`` are the addresses of what was read; the document names them. See provenance()."""
     spark, began = df.sparkSession, time.time()
     result_id = f"result-{uuid.uuid4().hex[:16]}"
     where = f"{root.rstrip('/')}/data/{result_id}"
     df.write.parquet(where)
     written = spark.read.parquet(where)
-    written.limit(preview_rows).write.parquet(f"{root.rstrip('/')}/preview/{result_id}")
-    row = written.agg(F.count(F.lit(1)).alias("rows"), table_checksum(written))
+    sortable = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    written.orderBy(*order, *sortable).limit(preview_rows).write.parquet(f"{root.rstrip('/')}/preview/{result_id}")
+    rows, checksum = written.agg(F.count(F.lit(1)).alias("rows"), table_checksum(written)).first()
+    write_small(spark, f"{root.rstrip('/')}/provenance/{result_id}/ro-crate-metadata.json", json.dumps(provenance(result_id, query, rows, checksum, df.schema, sources), indent=1))
+    row = spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(checksum).alias("checksum"))
     row.select(F.lit(result_id).alias("result_id"), F.lit(query).alias("query"), "rows", "checksum", F.lit(int((time.time() - began) * 1000)).cast("long").alias("elapsed_ms"), F.current_timestamp().alias("created_at"), F.lit(df.schema.json()).alias("schema")).write.mode("append").parquet(f"{root.rstrip('/')}/results")
     return result_id

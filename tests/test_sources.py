@@ -156,3 +156,35 @@ def test_persisted_results(spark, tmp_path):
     stats = {r["result_id"]: r for r in spark.read.parquet(f"{tmp_path}/results").collect()}
     assert stats[one]["rows"] == 1000 and stats[one]["checksum"] == stats[two]["checksum"]
     assert spark.read.parquet(f"{tmp_path}/preview/{one}").count() == 200 and spark.read.parquet(f"{tmp_path}/data/{two}").count() == 1000
+
+
+def test_provenance_and_order_of_the_preview(spark, tmp_path):
+    df = spark.range(1000).select(F.lit(1000) - F.col("id").alias("v"), F.create_map(F.lit("k"), F.lit("v")).alias("m")).toDF("v", "m").drop("m").repartition(5)
+    found = results.persist_result(df, str(tmp_path), "numbers", sources=["file:/data/x"])
+    assert [r["v"] for r in spark.read.parquet(f"{tmp_path}/preview/{found}").collect()] == list(range(1, 201))
+    crate = json.loads((tmp_path / "provenance" / found / "ro-crate-metadata.json").read_text())
+    parts = {p["@id"]: p for p in crate["@graph"]}
+    stats = spark.read.parquet(f"{tmp_path}/results").first()
+    data = parts[f"../../data/{found}/"]
+    assert parts["ro-crate-metadata.json"]["about"] == {"@id": "./"} and parts["./"]["name"] == "numbers"
+    assert data["size"] == stats["rows"] == 1000 and data["identifier"] == f"checksum:{stats['checksum']}"
+    assert parts["#query"]["object"] == [{"@id": "file:/data/x"}] and parts["file:/data/x"]["@type"] == "Dataset" and parts["#field-0"]["name"] == "v"
+    empty = results.persist_result(df.where("v < 0"), str(tmp_path), "none")
+    assert spark.read.parquet(f"{tmp_path}/results").where(F.col("result_id") == empty).first()["rows"] == 0
+
+
+def test_inspect_parquet(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    geo = {"version": "1.0.0", "primary_column": "shape", "columns": {"shape": {"encoding": "WKB", "crs": {"id": {"authority": "EPSG", "code": 32613}}}}}
+    table = pa.table({"shape": pa.array([b""] * 10, pa.binary()), "start_time": pa.array(range(10), pa.int64())}).replace_schema_metadata({"geo": json.dumps(geo)})
+    for k in range(2):
+        pq.write_table(table, tmp_path / f"{k}.parquet", row_group_size=4)
+    one = files.inspect_parquet(spark, str(tmp_path)).first()
+    assert (one["rows"], one["row_groups"], one["geometry_column"], one["crs"], one["time_series"]) == (20, 6, "shape", "EPSG:32613", True)
+    assert [f["name"] for f in one["fields"]] == ["shape", "start_time"]
+    assert files.geo_crs({}) == "OGC:CRS84" and files.geo_crs({"crs": None}) is None and files.geo_crs({"crs": {"name": "local"}}) == "local"
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    none = files.inspect_parquet(spark, f"{tmp_path}/none").first()
+    assert (none["rows"], none["row_groups"], none["geometry_column"], none["crs"]) == (0, 0, None, None)

@@ -42,6 +42,16 @@ def test_point_region(cloud, spark, tmp_path):
     assert p.point_region(cloud, Box(90, 90, 99, 99))[1].first()["count"] == 0
 
 
+def test_point_index_is_reused_by_digest(cloud, spark, tmp_path):
+    first, reused = p.ensure_point_index(cloud, 2.0, str(tmp_path))
+    assert not reused and p.ensure_point_index(cloud.repartition(3), 2.0, str(tmp_path)) == (first, True)
+    assert p.ensure_point_index(cloud, 3.0, str(tmp_path))[0] != first != p.ensure_point_index(cloud.where("source_index <> 2"), 2.0, str(tmp_path))[0]
+    again, _ = p.indexed_point_region(spark.read.parquet(first), 2.0, Box(2, 2, 5, 5))
+    assert [r["source_index"] for r in again.collect()] == [2, 3, 4, 5]
+    empty = p.ensure_point_index(cloud.where("false"), 2.0, str(tmp_path))[0]
+    assert p.ensure_point_index(cloud.where("false"), 2.0, str(tmp_path)) == (empty, True)
+
+
 def test_thinning(cloud):
     assert sorted(r["source_index"] for r in p.thin_points(cloud, 4.0).collect()) == [0, 2, 4, 6, 8]
     assert p.thin_points(cloud, level=0, extent=100.0).count() == 1
