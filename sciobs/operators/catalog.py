@@ -28,6 +28,35 @@ def field_components(fields: DataFrame) -> DataFrame:
     return fields.select(stable_id("component-", [F.col("dataset_id"), F.col("field")]).alias("component_id"), "dataset_id", "field", role["role"].alias("role"), role["confidence"].alias("confidence"))
 
 
+#: What a component of an array, a cloud or a layer may say of its place; null where its table does not.
+PLACE = {"crs": "string", "min_x": "double", "min_y": "double", "max_x": "double", "max_y": "double", "linkable": "boolean"}
+
+
+def _placed(rows: DataFrame, kind: str, name: str, role: Column, confidence: Column) -> DataFrame:
+    place = (F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in PLACE.items())
+    key = stable_id("component-", [F.col("dataset_id"), F.lit(kind), F.col(name)])
+    return rows.select(key.alias("component_id"), "dataset_id", F.col(name).alias("field"), role.alias("role"), confidence.alias("confidence"), F.lit(kind).alias("kind"), *place)
+
+
+def array_components(arrays: DataFrame) -> DataFrame:
+    """Arrays (dataset_id, array_path, axis_names; columns of PLACE if known) as components: spectral cubes with a spectral, an x and a y axis, rasters with the latter two, other arrays."""
+    roles = F.transform("axis_names", axis_role)
+    flat = F.array_contains(roles, "x") & F.array_contains(roles, "y")
+    role = F.when(flat & F.array_contains(roles, "spectral"), "spectral_cube").when(flat, "raster").otherwise("array")
+    return _placed(arrays, "array", "array_path", role, F.when(role == "array", "low").otherwise("high"))
+
+
+def cloud_components(clouds: DataFrame) -> DataFrame:
+    """Point clouds (dataset_id, path; columns of PLACE if known) as components."""
+    return _placed(clouds, "points", "path", F.lit("points"), F.lit("high"))
+
+
+def layer_components(layers: DataFrame) -> DataFrame:
+    """Vector layers (dataset_id, layer; columns of PLACE if known) as components; without a CRS of medium confidence."""
+    crs = F.col("crs") if "crs" in layers.columns else F.lit(None)
+    return _placed(layers, "vector", "layer", F.lit("geometry"), F.when(crs.isNotNull(), "high").otherwise("medium"))
+
+
 def variable_roles(variables: DataFrame) -> DataFrame:
     """Roles from attributes. variables (dataset_id, field, attrs)."""
     return variables.select("dataset_id", "field", cf_roles(F.col("field"), F.col("attrs")).alias("roles"))
@@ -329,11 +358,13 @@ def union_components(*parts: DataFrame, cap: int | None = None, each: int | None
     return out if cap is None else out.orderBy("component_id").limit(cap)
 
 
-def scientific_inventory(fields: DataFrame, cap: int | None = None, each: int | None = MAX_COMPONENTS) -> DataFrame:
-    """Field components of every dataset with their QC fields, and whether a person must decide (a value of low confidence without one). For the limits see union_components."""
-    parts = union_components(field_components(fields), cap=cap, each=each)
-    links = qc_links(fields).groupBy("dataset_id", "field").agg(F.min("qc_field").alias("qc_field"))
-    joined = parts.join(links, ["dataset_id", "field"], "left")
+def scientific_inventory(fields: DataFrame, cap: int | None = None, each: int | None = MAX_COMPONENTS, *, others: Sequence[DataFrame] = ()) -> DataFrame:
+    """Field components of every dataset with their QC fields, and whether a person must decide (a value of low confidence without one).
+
+    ``others``: results of array_components, cloud_components and layer_components. For the limits see union_components."""
+    parts = union_components(field_components(fields).withColumn("kind", F.lit("field")), *others, cap=cap, each=each)
+    links = qc_links(fields).groupBy("dataset_id", "field").agg(F.min("qc_field").alias("qc_field")).withColumn("kind", F.lit("field"))
+    joined = parts.join(links, ["dataset_id", "field", "kind"], "left")
     return joined.withColumn("unresolved", (F.col("role") == "value") & F.col("qc_field").isNull())
 
 
@@ -353,18 +384,55 @@ def rank_suggestions(suggestions: DataFrame, k: int = MAX_SUGGESTIONS, group: st
 
 
 def suggest_views(inventory: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
-    """View suggestions of datasets by the roles they have: profiles, maps, time series, tables; the first k of the ranking, for every asked group of datasets if there is a column of groups."""
+    """View suggestions of datasets by the roles they have: profiles, maps, time series, tables, point clouds, composites with spectra, rasters, vector maps, and clouds beside cubes of other datasets.
+
+    The first k of the ranking, for every asked group of datasets if there is a column of groups. Pairs are
+    made within a group, of its first k clouds and its first k cubes by dataset and component, and have
+    ``other_id`` (the cube's dataset) and ``link``: exact if the CRS is the same and known, the boxes
+    overlap and the cube is linkable, else unavailable."""
     keys = ["dataset_id"] if group is None else [group, "dataset_id"]
     has = lambda r: F.array_contains("roles", r)
-    per = inventory.groupBy(*keys).agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"))
+    placed = "crs" in inventory.columns
+    field = F.col("kind") == "field" if "kind" in inventory.columns else F.lit(True)
+    crs = F.bool_or(F.col("crs").isNotNull() & (F.col("role") == "geometry")) if placed else F.lit(False)
+    per = inventory.groupBy(*keys).agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"), F.count_if(field).alias("fields"), crs.alias("crs_known"))
     recipe = F.explode(F.array_compact(F.array(
         F.when(has("vertical") & (F.col("values") > 0), F.struct(F.lit("profile").alias("kind"), F.lit(2).alias("panels"), F.when(F.col("qc") > 0, "high").otherwise("medium").alias("confidence"))),
         F.when(has("latitude") & has("longitude"), F.struct(F.lit("map").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
         F.when(has("time") & (F.col("values") > 0), F.struct(F.lit("time_series").alias("kind"), F.lit(1).alias("panels"), F.lit("medium").alias("confidence"))),
-        F.struct(F.lit("table").alias("kind"), F.lit(1).alias("panels"), F.lit("low").alias("confidence")),
+        F.when(has("points"), F.struct(F.lit("point_cloud").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
+        F.when(has("spectral_cube"), F.struct(F.lit("composite_and_spectrum").alias("kind"), F.lit(2).alias("panels"), F.lit("high").alias("confidence"))),
+        F.when(has("raster"), F.struct(F.lit("raster").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
+        F.when(has("geometry"), F.struct(F.lit("vector_map").alias("kind"), F.lit(1).alias("panels"), F.when(F.col("crs_known"), "high").otherwise("medium").alias("confidence"))),
+        F.when(F.col("fields") > 0, F.struct(F.lit("table").alias("kind"), F.lit(1).alias("panels"), F.lit("low").alias("confidence"))),
     ))).alias("r")
-    made = per.select(*keys, recipe).select(*keys, "r.*")
-    return rank_suggestions(made.withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")])), k, group)
+    made = per.select(*keys, recipe).select(*keys, "r.*").withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")]))
+    if placed:
+        made = made.unionByName(_cloud_and_cube(inventory, k, group), allowMissingColumns=True)
+    return rank_suggestions(made, k, group)
+
+
+def _cloud_and_cube(inventory: DataFrame, k: int, group: str | None) -> DataFrame:
+    """Clouds beside cubes of other datasets in each group; a side is at most k components of a group."""
+    key = group or "__all"
+
+    def side(role: str, names: dict[str, str]) -> DataFrame:
+        rows, order = inventory.where(F.col("role") == role), ["dataset_id", "component_id"]
+        if group is None:
+            rows = rows.orderBy(*order).limit(k).withColumn(key, F.lit(0))
+        else:
+            rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__place") <= k)
+        return rows.select(key, *(F.col(c).alias(names.get(c, f"{role}_{c}")) for c in ("dataset_id", "component_id", *PLACE)))
+
+    pairs = side("points", {"dataset_id": "dataset_id"}).join(side("spectral_cube", {"dataset_id": "other_id"}), key).where("dataset_id <> other_id")
+    apart = " OR ".join(f"points_min_{a} > spectral_cube_max_{a} OR spectral_cube_min_{a} > points_max_{a}" for a in "xy")
+    exact = F.expr(f"points_crs = spectral_cube_crs AND spectral_cube_linkable AND NOT ({apart})")
+    made = pairs.select(
+        *([group] if group else []), "dataset_id", "other_id", F.lit("cloud_and_cube").alias("kind"), F.lit(3).alias("panels"), F.lit("high").alias("confidence"),
+        stable_id("view-", [F.col(c) for c in ("dataset_id", "other_id", "points_component_id", "spectral_cube_component_id")]).alias("suggestion_id"),
+        F.when(exact, "exact").otherwise("unavailable").alias("link"),
+    )
+    return made
 
 
 def validate_georef(cubes: DataFrame) -> DataFrame:

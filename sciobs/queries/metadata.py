@@ -171,3 +171,24 @@ def crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("path") % 2 == 0, F.lower(F.hex("crc32c"))).otherwise(F.col("crc32c").cast("string"))
     expected = objects.select("path", "size", F.lit("crc32c").alias("algorithm"), F.when(F.col("path") % 2 == 0, F.lpad(text, 8, "0")).otherwise(text).alias("checksum"))
     return c.verify_checksums(objects, expected).where("status = 'ok'").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BOUNDS = "min({0}_{1}key) AS min_x, max({0}_{1}key) AS max_x, min({0}_acctbal) AS min_y, max({0}_acctbal) AS max_y"
+
+
+@query("suggest_pairs", f"""WITH p AS (SELECT c_nationkey AS n, {_BOUNDS.format("c", "cust")} FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS n, {_BOUNDS.format("s", "supp")} FROM supplier GROUP BY 1)
+    SELECT a.n_regionkey AS asked, 'cloud-' || p.n AS dataset_id, 'cube-' || s.n AS other_id,
+        CASE WHEN p.min_x <= s.max_x AND s.min_x <= p.max_x AND p.min_y <= s.max_y AND s.min_y <= p.max_y THEN 'exact' ELSE 'unavailable' END AS link
+    FROM p JOIN nation a ON a.n_nationkey = p.n JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN s ON s.n = b.n_nationkey""")
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation as a cloud, its suppliers as a cube: which clouds and cubes of a region go together, and whether their boxes overlap."""
+
+    def bounds(name: str, k: str, key: str) -> DataFrame:
+        found = read(spark, sf_dir, name).groupBy(F.col(f"{k}_nationkey").alias("n_nationkey"))
+        return found.agg(F.min(key).alias("min_x"), F.max(key).alias("max_x"), F.min(f"{k}_acctbal").alias("min_y"), F.max(f"{k}_acctbal").alias("max_y")).withColumns({"crs": F.lit("EPSG:32613"), "linkable": F.lit(True)})
+
+    cloud = bounds("customer", "c", "c_custkey").withColumns({"dataset_id": F.concat(F.lit("cloud-"), "n_nationkey"), "path": F.lit("all")})
+    cube = bounds("supplier", "s", "s_suppkey").withColumns({"dataset_id": F.concat(F.lit("cube-"), "n_nationkey"), "array_path": F.lit("/all"), "axis_names": F.array(F.lit("band"), F.lit("y"), F.lit("x"))})
+    inventory = c.union_components(c.cloud_components(cloud), c.array_components(cube)).withColumn("qc_field", F.lit(None).cast("string"))
+    asked = read(spark, sf_dir, "nation").select(F.explode(F.array(*(F.concat(F.lit(x), "n_nationkey") for x in ("cloud-", "cube-")))).alias("dataset_id"), F.col("n_regionkey").alias("asked"))
+    return c.suggest_views(inventory.join(asked, "dataset_id"), 100, "asked").where("kind = 'cloud_and_cube'").select("asked", "dataset_id", "other_id", "link")

@@ -152,3 +152,30 @@ def test_crc32c_by_lanes_against_the_definition():
     random = np.random.default_rng(1)
     objects = [random.bytes(n) for n in (0, 1, 3, 4, 5, 255, 256, 257, 511, 512, 1000, 5000)] + [bytes(300), b"\xff" * 300]
     assert c.crc32c(objects) == [plain(o) for o in objects]
+
+
+def test_inventory_and_suggestions_of_all_kinds(spark):
+    fields = spark.createDataFrame([("t", "time"), ("t", "temp"), ("c", "/a")], "dataset_id string, field string")
+    arrays = spark.createDataFrame(
+        [("c", "/a", ["band", "y", "x"], "EPSG:1", 0.0, 0.0, 9.0, 9.0, True), ("c", "/b", ["y", "x"], None, None, None, None, None, None), ("far", "/a", ["wavelength", "lat", "lon"], "EPSG:1", 50.0, 0.0, 59.0, 9.0, True), ("t", "/n", ["n"], None, None, None, None, None, None)],
+        "dataset_id string, array_path string, axis_names array<string>, crs string, min_x double, min_y double, max_x double, max_y double, linkable boolean",
+    )
+    clouds = spark.createDataFrame([("p", "1.las", "EPSG:1", 5.0, 5.0, 20.0, 20.0), ("c", "own.las", None, None, None, None, None)], "dataset_id string, path string, crs string, min_x double, min_y double, max_x double, max_y double")
+    layers = spark.createDataFrame([("v", "roads")], "dataset_id string, layer string")
+    others = [c.array_components(arrays), c.cloud_components(clouds), c.layer_components(layers)]
+    inventory = c.scientific_inventory(fields, others=others)
+    rows = {(r["dataset_id"], r["kind"], r["field"]): r["role"] for r in inventory.collect()}
+    assert len(rows) == 10 and rows["c", "array", "/a"] == rows["far", "array", "/a"] == "spectral_cube" and rows["c", "array", "/b"] == "raster" and rows["t", "array", "/n"] == "array"
+    assert rows["p", "points", "1.las"] == "points" and rows["v", "vector", "roads"] == "geometry"
+    want = {
+        ("c", None, "composite_and_spectrum", "high", None), ("far", None, "composite_and_spectrum", "high", None), ("c", None, "raster", "high", None), ("c", None, "point_cloud", "high", None), ("p", None, "point_cloud", "high", None),
+        ("v", None, "vector_map", "medium", None), ("t", None, "time_series", "medium", None), ("t", None, "table", "low", None), ("c", None, "table", "low", None),
+        ("p", "c", "cloud_and_cube", "high", "exact"), ("p", "far", "cloud_and_cube", "high", "unavailable"), ("c", "far", "cloud_and_cube", "high", "unavailable"),
+    }
+    columns = ("dataset_id", "other_id", "kind", "confidence", "link")
+    for asked in (inventory, inventory.withColumn("asked", F.lit("q"))):
+        views = c.suggest_views(asked, 50, "asked" if "asked" in asked.columns else None).collect()
+        assert {tuple(r[x] for x in columns) for r in views} == want and len(views) == len(want) == len({r["suggestion_id"] for r in views})
+    assert [r["kind"] for r in c.suggest_views(inventory, 3).collect()] == ["cloud_and_cube"] * 3
+    none = c.scientific_inventory(fields.where("false"), others=[x.where("false") for x in others])
+    assert c.suggest_views(none).count() == 0
