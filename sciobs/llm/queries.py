@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, topk, url_filter
+from . import fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, sharding, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "path", "licence", "cosine", "how", "licence_dir")
 
 
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,8 +105,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_jump_shards": op12_jump_shards,
 }
 
+
+
+def _crc_byte(low: str) -> str:
+    """SQL of the CRC-32 of one byte, the low one of an expression: each bit counts with its own constant."""
+    found = "0"
+    for j in range(8):
+        c = 1 << j
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        found = f"xor({found}, (({low} >> {j}) & 1) * {c})"
+    return found
+
+
+#: z: what each byte of a CRC-32 becomes after 256 zero bytes.
+_CRC_TABLES = f"""z AS MATERIALIZED (
+            SELECT list(list_reduce(list_concat([(n & 255) << (8 * (n >> 8))], range(256)), lambda c, k: xor(c >> 8, {_crc_byte("c")})) ORDER BY n) AS z FROM range(1024) AS bytes(n)
+        )"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH rows AS (
@@ -127,4 +150,32 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_jump_shards": f"""
+        WITH RECURSIVE {_CRC_TABLES}, d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n,
+                   (CAST(coalesce(doc_id, -9223372036854775808) AS HUGEINT) + {2**64}) % {2**64} AS key
+            FROM documents
+        ), padded AS (
+            SELECT r, 256 * ((n + 255) // 256) - n AS pad, unnest(range((n + 255) // 256)) AS k, lpad(hex(encode(text)), CAST(512 * ((n + 255) // 256) AS INTEGER), '0') AS h FROM d
+        ), pieces AS (SELECT r, pad, k, substr(h, CAST(512 * k + 1 AS BIGINT), 512) AS h FROM padded
+        ), sums AS (
+            SELECT r, k, list_reduce(
+                list_concat([CAST(0 AS BIGINT)], list_transform(range(256), lambda i: xor(CASE WHEN 256 * k + i - pad BETWEEN 0 AND 3 THEN 255 ELSE 0 END, CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)))),
+                lambda c, x: xor(c >> 8, {_crc_byte('xor(c, x)')})) AS c FROM pieces
+        ), lists AS (SELECT r, list(c ORDER BY k) AS cs FROM sums GROUP BY r
+        ), crcs AS (
+            SELECT r, xor(4294967295, xor(4294967295 >> (8 * least(n, 4)), coalesce(list_reduce(list_concat([CAST(0 AS BIGINT)], cs),
+                lambda a, x: xor(x, xor(xor(z[(a & 255) + 1], z[((a >> 8) & 255) + 257]), xor(z[((a >> 16) & 255) + 513], z[(a >> 24) + 769])))), 0))) AS text_crc32
+            FROM d LEFT JOIN lists USING (r), z
+        ), jumps AS (
+            SELECT r, key, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, 0 AS i FROM d
+            UNION ALL
+            SELECT r, next, j, CAST(floor((j + 1) * (CAST(2147483648 AS DOUBLE) / CAST((next >> 33) + 1 AS DOUBLE))) AS BIGINT), i + 1
+            FROM (SELECT *, (key * {sharding.JUMP} + 1) % {2**64} AS next FROM jumps WHERE j <= {sharding.SHARDS})
+        ), found AS (
+            SELECT r, max(b) FILTER (b < {sharding.SHARDS}) AS shard, max(b) AS grown_shard, max(CAST(key >> 32 AS BIGINT)) FILTER (i = 1) AS high FROM jumps GROUP BY r
+        )
+        SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY xor(high, text_crc32), doc_id NULLS FIRST, text_crc32, n) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+        FROM d JOIN crcs USING (r) JOIN found USING (r)""",
 }
