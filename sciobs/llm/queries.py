@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, sharding, topk, url_filter
+from . import alignment, fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, sharding, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_aligned_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_soft_mixing": op1_soft_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op12_jump_shards": op12_jump_shards,
+    "op13_aligned_tokenizers": op13_aligned_tokenizers,
 }
 
 
