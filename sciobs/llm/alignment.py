@@ -28,13 +28,16 @@ from . import shared
 
 DEFAULT_A, DEFAULT_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Units that a worker remembers, and linked pairs that leave it at once.
-MEMO_UNITS, PAIRS_AT_ONCE = 400_000, 2_000_000
+MEMO_UNITS, PAIRS_AT_ONCE = 800_000, 2_000_000
+#: Units that are encoded together, and links of a group up to which its pairs are written one by one.
+UNITS_AT_ONCE, LINKS_AT_ONCE = 4000, 10_000
 #: Pairs that hold at least this share of all rows of pairs are joined by broadcast: at most 1 / share of them.
 FREQUENT_SHARE = 4e-6
 
 _UNIT = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 #: White space other than space, tab and newline, or the sign that B has for a space.
 _WHOLE = re.compile(r"[^\S \t\n]|▁")
+NONE = np.zeros(0, np.int64)
 _INNER_SPACE = re.compile(r"[^▁\s][▁ \t\n]")
 
 
@@ -58,6 +61,19 @@ def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(a_ends, common, "right"), np.searchsorted(b_ends, common, "right")
 
 
+class _Numbers(dict):
+    """Unit -> number; a new unit gets the next one and waits to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        i = self[unit] = len(self)
+        self.new.append(unit)
+        return i
+
+
 class Aligner:
     """Encodes texts with both tokenizers and aligns them."""
 
@@ -78,11 +94,10 @@ class Aligner:
         inner = any(_INNER_SPACE.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         before = any(p != "▁" and re.match("▁*[\t\n]", p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.by_units = not inner and not before and type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
-        self.numbers: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.numbers.clear()
+        self.numbers = _Numbers()
         self.groups: list[str] = []
         self.facts = np.zeros((0, 4), np.int64)  # of each unit: tokens of A and B, groups, links
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -112,49 +127,79 @@ class Aligner:
         return self.aligned(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), b" " + text.encode())
 
     def learn(self, units: list[str]) -> None:
-        """Encodes and aligns new units. B adds a space to what it gets: a unit's own first space is left out for it, or the added one afterwards."""
-        a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        own = [u[0] == " " for u in units]
-        b = self.b.encode([u[1:] if o else u for u, o in zip(units, own, strict=True)], num_threads=1)
+        """Encodes and aligns new units, many at once: joined, they are cut into themselves again, but for those that are only white space."""
+        known: dict[int, tuple] = {}
+        joined = [i for i, u in enumerate(units) if u[-1] not in " \t\n"]
+        for at in range(0, len(joined), UNITS_AT_ONCE):
+            some = joined[at : at + UNITS_AT_ONCE]
+            known |= zip(some, self.together([units[i] for i in some]) or map(self.alone, [units[i] for i in some]), strict=True)
         facts, sizes, pairs, links = [], [], [self.pairs], [self.links]
-        for unit, o, x, y in zip(units, own, a, b, strict=True):
-            if unit == " ":
-                y = [self.space]  # B adds nothing to an empty text
-            elif not o:
-                y = y[1:] if y[:1] == [self.space] else [0]
-            found = self.aligned(x, y, unit.encode())
-            if found is None:
-                facts.append((-1, 0, 0, 0))
-                sizes.append(0)
-                self.groups.append("")
-                continue
-            facts.append(found[0])
-            self.groups.append(found[1])
-            sizes.append(len(found[2]))
-            pairs.append(found[2])
-            links.append(found[3])
+        for i, unit in enumerate(units):
+            fact, groups, p, n = (known[i] if i in known else self.alone(unit)) or ((-1, 0, 0, 0), "", NONE, NONE)
+            facts.append(fact)
+            self.groups.append(groups)
+            sizes.append(len(p))
+            pairs.append(p)
+            links.append(n)
         self.facts = np.concatenate([self.facts, np.array(facts, np.int64).reshape(-1, 4)])
         self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
         self.start = np.cumsum(self.size) - self.size
         self.pairs, self.links = np.concatenate(pairs), np.concatenate(links)
 
+    def alone(self, unit: str):
+        """What ``aligned`` gives for one unit. B adds a space to what it gets: a unit's own first space is left out for it, or the added one afterwards."""
+        if unit == " ":
+            b = [self.space]  # B adds nothing to an empty text
+        elif unit[0] == " ":
+            b = self.b.encode(unit[1:])
+        else:
+            b = self.b.encode(unit)
+            b = b[1:] if b[:1] == [self.space] else []
+        return self.aligned(self.a.encode(unit, add_special_tokens=False).ids, b, unit.encode())
+
+    def together(self, units: list[str]) -> list[tuple] | None:
+        """The same for units that begin with white space and end without; None if one of them needs ``alone``."""
+        whole = " x" + "".join(units)
+        raw = whole.encode()
+        a, b = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(whole[1:])
+        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+            return None
+        ends = 2 + np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        a_upto, b_upto = align(np.fromiter(map(len, a_bytes), np.int64, len(a)), np.fromiter(map(len, b_bytes), np.int64, len(b)))
+        at = np.cumsum(np.fromiter(map(len, a_bytes), np.int64, len(a)))[a_upto - 1]  # the common ends
+        last = np.searchsorted(at, ends)
+        in_a, in_b = np.diff(a_upto, prepend=0), np.diff(b_upto, prepend=0)
+        links = in_a * in_b
+        if last[-1] >= len(at) or (at[last] != ends).any() or links.max() > LINKS_AT_ONCE or at[0] != 2:
+            return None
+        upto = np.cumsum(links)
+        group = np.repeat(np.arange(len(links)), links)
+        place = np.arange(upto[-1]) - (upto - links)[group]
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        pairs = (ids_a[(a_upto - in_a)[group] + place // in_b[group]] << 32) | ids_b[(b_upto - in_b)[group] + place % in_b[group]]
+        words_a, words_b, xs, ys = list(map(str, a)), list(map(str, b)), a_upto.tolist(), b_upto.tolist()
+        texts = [f"{','.join(words_a[i:x])}|{','.join(words_b[j:y])}" for i, x, j, y in zip([0, *xs], xs, [0, *ys], ys, strict=False)]
+        first = np.concatenate([[1], last[:-1] + 1])
+        facts = np.stack([a_upto[last] - a_upto[first - 1], b_upto[last] - b_upto[first - 1], last + 1 - first, upto[last] - upto[first - 1]], axis=1)
+        ones = np.ones(upto[-1], np.int64)
+        cut = [(x, y, i, j) for x, y, i, j in zip(first.tolist(), (last + 1).tolist(), upto[first - 1].tolist(), upto[last].tolist(), strict=True)]
+        return [(tuple(f), ";".join(texts[x:y]), pairs[i:j], ones[i:j]) for f, (x, y, i, j) in zip(facts.tolist(), cut, strict=True)]
+
     def of(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray] | None]:
         """What ``aligned`` gives for each text that is not empty."""
         if len(self.numbers) > MEMO_UNITS:
             self.clear()
         cut: list[np.ndarray | None] = []
-        new: list[str] = []
         for text in texts:
             if not self.by_units or _WHOLE.search(text):
                 cut.append(None)
                 continue
             units = _UNIT.findall(" " + text)
-            for u in set(units) - self.numbers.keys():
-                self.numbers[u] = len(self.numbers)
-                new.append(u)
             cut.append(np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units)))
-        if new:
-            self.learn(new)
+        if self.numbers.new:
+            self.learn(self.numbers.new)
+            self.numbers.new = []
         for text, index in zip(texts, cut, strict=True):
             if index is None:
                 yield self.whole(text)
@@ -188,7 +233,6 @@ def _linked(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return ((x << 32)[:, None] | y[None, :]).ravel(), (many_x[:, None] * many_y[None, :]).ravel()
 
 
-NONE = np.zeros(0, np.int64)
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 

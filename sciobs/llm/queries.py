@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprints, jaccard_join, licenses, line_dedup, mixing, packing, pii, quality, shared, sharding, topk, url_filter
+from . import alignment, fingerprints, jaccard_join, lexical, licenses, line_dedup, mixing, packing, pii, quality, shared, sharding, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "path", "licence", "cosine", "how", "licence_dir")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
     "op12_jump_shards": op12_jump_shards,
     "op13_aligned_tokenizers": op13_aligned_tokenizers,
 }
@@ -155,6 +160,26 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents WHERE text IS NOT NULL
+        ), sizes AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+        ), corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes
+        ), asked AS (
+            SELECT q, item_id, term, count(*) AS many FROM (
+                SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+                FROM (SELECT row_number() OVER () AS q, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL))
+            ) GROUP BY q, item_id, term
+        ), found AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM found, corpus GROUP BY term, docs
+        ), parts AS (
+            SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))) AS part FROM found JOIN sizes USING (r) JOIN weights USING (term), corpus
+        ), scores AS (
+            SELECT q, item_id, r, doc_id, CAST(sum(many * part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY q, item_id, r, doc_id
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20""",
     "op12_jump_shards": f"""
         WITH RECURSIVE {_CRC_TABLES}, d AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n,

@@ -49,9 +49,10 @@ class Plain:
         if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
             return []
         ends = [np.cumsum([len(x) for x in s]).tolist() for s in (bytes_a, bytes_b)]
-        cuts, out, i, j = sorted(set(ends[0]) & set(ends[1])), [], 0, 0
-        for cut in cuts:
-            x, y = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+        place = [{end: k + 1 for k, end in enumerate(e)} for e in ends]
+        out, i, j = [], 0, 0
+        for cut in sorted(place[0].keys() & place[1].keys()):
+            x, y = place[0][cut], place[1][cut]
             out.append((ids_a[i:x], ids_b[j:y]))
             i, j = x, y
         return out
@@ -119,6 +120,18 @@ def test_documents(spark, plain, monkeypatch, share, hot, at_once, memo):
     assert got == plain.measures([(i, t) for i, t, *_ in rows])
 
 
+@pytest.mark.parametrize("units, links", [(3, 10_000), (4000, 1)])
+def test_units_encoded_together_and_alone_agree(monkeypatch, units, links):
+    monkeypatch.setattr(alignment, "UNITS_AT_ONCE", units)
+    monkeypatch.setattr(alignment, "LINKS_AT_ONCE", links)
+    own, other = (alignment.Aligner(*alignment.default_paths()) for _ in range(2))
+    monkeypatch.setattr(other, "together", lambda units: None)
+    texts = [t for t in TEXTS if t]
+    for x, y in zip(own.of(texts), other.of(texts), strict=True):
+        assert (x is None) == (y is None)
+        assert x is None or (x[:2] == y[:2] and (x[2] == y[2]).all() and (x[3] == y[3]).all())
+
+
 def test_forgetting(monkeypatch, plain):
     monkeypatch.setattr(alignment, "MEMO_UNITS", 5)
     own = alignment.Aligner(*alignment.default_paths())
