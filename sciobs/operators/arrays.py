@@ -26,6 +26,31 @@ def explode_array_chunks(chunks: DataFrame, rank: int) -> DataFrame:
     return cells.select("array_path", F.array(*indices[::-1]).alias("indices"), "value")
 
 
+def chunk_cells(cells: DataFrame, shape: Sequence[int], chunk: Sequence[int]) -> DataFrame:
+    """Cell table (array_path, indices, value) -> chunk table on the grid of ``chunk``; edge chunks are cut to the array.
+
+    Cells that are missing or null are NaN, chunks without any cell give no row, cells out of the array are an error, and of
+    repeated cells the smallest value counts. A task holds one chunk at a time."""
+    if len(shape) != len(chunk) or any(c < 1 for c in chunk):
+        raise SpecError("one positive chunk length for each axis")
+    cell = lambda k: F.col("indices")[k]
+    outside = F.size("indices") != len(shape)
+    for k, n in enumerate(shape):
+        outside = outside | (cell(k) < 0) | (cell(k) >= n)
+    origin = F.array(*((cell(k) - cell(k) % c).cast("long") for k, c in enumerate(chunk)))
+    size = F.array(*(F.least(F.lit(c), F.lit(n) - F.col("origin")[k]).cast("long") for k, (c, n) in enumerate(zip(chunk, shape, strict=True))))
+    at = F.lit(0).cast("long")
+    for k in range(len(chunk)):
+        at = at * F.col("shape")[k] + (cell(k) - F.col("origin")[k])
+    placed = cells.where(F.when(outside, F.raise_error(F.lit("a cell lies out of the array"))).otherwise(F.lit(True)))
+    placed = placed.withColumn("origin", origin).withColumn("shape", size).withColumn("__at", at)
+    one = placed.groupBy("array_path", "origin", "shape", "__at").agg(F.min("value").cast("double").alias("value"))
+    held = one.groupBy("array_path", "origin", "shape").agg(F.map_from_entries(F.collect_list(F.struct("__at", "value"))).alias("held"))
+    length = F.aggregate("shape", F.lit(1).cast("long"), lambda a, b: a * b)
+    values = F.transform(F.sequence(F.lit(0).cast("long"), length - 1), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(float("nan"))))
+    return held.select("array_path", "origin", "shape", values.alias("values"))
+
+
 def slice_size(ranges: Sequence[AxisRange]) -> int:
     total = 1
     for r in ranges:

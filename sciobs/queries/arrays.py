@@ -9,7 +9,8 @@ from ..functions.science import decode_sample, ravel, stretch_u8, unravel, world
 from ..operators import arrays as a
 from ..operators import rasters as r
 from ..plans.spec import Affine, AxisRange, Box
-from .common import Registry, read, rnd, rounded
+from ..sources.files import read_zarr_chunks, read_zarr_slice, write_zarr_chunks
+from .common import Registry, read, rnd, rounded, scratch
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -54,6 +55,31 @@ def cube_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("indices")[0].alias("y"), F.col("indices")[1].alias("band"), "value")
 
 
+def _zarr(spark: SparkSession, sf_dir: str) -> str:
+    """The vectors as a Zarr array of chunks of 50 by 16, written to the shared folder by the tasks."""
+    e = read(spark, sf_dir, "embeddings")
+    rows = e.agg((F.max("vec_id") + 1).alias("n")).first()["n"]
+    cells = a.explode_array_chunks(chunks(spark, sf_dir), 2)
+    path = scratch(spark, "zarr")
+    write_zarr_chunks(a.chunk_cells(cells, [rows, WIDTH], [50, 16]), path, "vectors", [rows, WIDTH], [50, 16])
+    return path
+
+
+@query("read_zarr_chunks", _CELLS + " SELECT vec_id - vec_id % 50 AS row, band - band % 16 AS band, count(*) AS cells, round(sum(CAST(value AS DOUBLE)), 4) AS total FROM cells GROUP BY 1, 2")
+def zarr_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a chunk of the written array."""
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    found = read_zarr_chunks(spark, _zarr(spark, sf_dir), "vectors")
+    return found.select(F.col("origin")[0].alias("row"), F.col("origin")[1].alias("band"), F.size("values").cast("long").alias("cells"), rnd(total).alias("total"))
+
+
+@query("read_zarr_slice", _CELLS + " SELECT vec_id AS y, band, CAST(value AS DOUBLE) AS value FROM cells WHERE vec_id >= 120 AND vec_id < 300 AND (vec_id - 120) % 3 = 0 AND band >= 20 AND band < 31")
+def zarr_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the chunks of rows 100 to 300 and bands 16 to 32 are opened."""
+    out = read_zarr_slice(spark, _zarr(spark, sf_dir), "vectors", [AxisRange(120, 300, 3), AxisRange(20, 31, 1)])
+    return out.select(F.col("indices")[0].alias("y"), F.col("indices")[1].alias("band"), "value")
+
+
 @query("grid_subset", _CELLS + " SELECT vec_id AS y, band, CAST(value AS DOUBLE) AS value FROM cells WHERE vec_id >= 0 AND vec_id <= 90 AND vec_id % 10 = 0 AND band >= 10 AND band <= 30 AND (band - 10) % 2 = 0")
 def grid_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = a.grid_subset(chunks(spark, sf_dir), [(0, 10, 90), (10, 2, 30)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import pick_envelope, point_color
 from ..operators import geometry as g
+from ..operators import octree
 from ..operators import points as p
 from ..plans.spec import Box
 from ..sources.files import read_parquet_indexed
@@ -73,6 +74,25 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.indexed_point_region(spark.read.parquet(path), 5_000.0, BOX)[0].select("source_index", "classification")
 
 
+@query("leveled_point_region", _POINTS + f", first AS (SELECT min(source_index) AS source_index FROM p GROUP BY floor(x / 250), floor(y / 250), floor(z / 250)) SELECT source_index, x, y, classification FROM p JOIN first USING (source_index) WHERE {_IN} AND classification IN (1, 3) ORDER BY source_index LIMIT 100000")
+def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lays the cloud out by levels of 1000, 500, 250 ... in the shared folder, then reads those that a resolution of 300 needs."""
+    path = scratch(spark, "point-octree")
+    octree.build_point_octree(points(spark, sf_dir), path, 1_000.0, 8)
+    return octree.leveled_point_region(spark, path, BOX, resolution=300.0, classes=[1, 3])[0].select("source_index", "x", "y", "classification")
+
+
+@query("octree_nodes", _POINTS + """, v AS (SELECT source_index, z, CAST(floor(x / 125) AS BIGINT) AS vx, CAST(floor(y / 125) AS BIGINT) AS vy, CAST(floor(z / 125) AS BIGINT) AS vz FROM p),
+    stands AS (SELECT source_index, z, CASE WHEN source_index = min(source_index) OVER (PARTITION BY vx >> 3, vy >> 3, vz >> 3) THEN 0 WHEN source_index = min(source_index) OVER (PARTITION BY vx >> 2, vy >> 2, vz >> 2) THEN 1
+        WHEN source_index = min(source_index) OVER (PARTITION BY vx >> 1, vy >> 1, vz >> 1) THEN 2 WHEN source_index = min(source_index) OVER (PARTITION BY vx, vy, vz) THEN 3 ELSE 4 END AS level FROM v)
+    SELECT CAST(level AS INTEGER) AS level, count(*) AS points, min(z) AS z_min, max(z) AS z_max FROM stands GROUP BY level""")
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each level, from the nodes of a layout."""
+    path = scratch(spark, "point-octree")
+    octree.build_point_octree(points(spark, sf_dir), path, 1_000.0, 4)
+    return octree.octree_nodes(spark, path).groupBy("level").agg(F.sum("points").alias("points"), F.min("z_min").alias("z_min"), F.max("z_max").alias("z_max"))
+
+
 @query("thin_points", _POINTS + " SELECT min(source_index) AS source_index FROM p GROUP BY floor(x / 500), floor(y / 500), floor(z / 500)")
 def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.thin_points(points(spark, sf_dir), 500.0).select("source_index")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.catalog import table_fields
 from ..operators.geometry import geometry_box, to_wkb
-from ..plans.spec import SpecError
+from ..plans.spec import AxisRange, SpecError
 
 
 def separator(path: str) -> str:
@@ -163,28 +163,136 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def read_zarr_chunks(spark: SparkSession, path: str, array: str) -> DataFrame:
-    """A Zarr (version 2) array -> chunk table. Raw, zlib and gzip chunks in C order; one task per chunk file, edge chunks cut to the array."""
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own through Spark's file access."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Chunks along one axis that a slice names one by one; a wider range of chunks is listed whole.
+MAX_NAMED_CHUNKS = 2000
+
+
+def _zarr_array(spark: SparkSession, path: str, array: str) -> tuple[str, dict]:
+    """(folder, checked metadata) of a version 2 array."""
     where = f"{path.rstrip('/')}/{array.strip('/')}".rstrip("/")
     meta = json.loads(read_small(spark, f"{where}/.zarray"))
-    compressor = (meta.get("compressor") or {}).get("id")
-    if compressor not in (None, "zlib", "gzip") or meta.get("filters") or meta.get("order", "C") != "C":
+    if (meta.get("compressor") or {}).get("id") not in (None, "zlib", "gzip") or meta.get("filters") or meta.get("order", "C") != "C":
         raise SpecError("only raw, zlib and gzip chunks in C order without filters are read")
-    shape, chunk, dtype, dot = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta.get("dimension_separator", ".")
+    if meta.setdefault("dimension_separator", ".") not in (".", "/"):
+        raise SpecError(f"unknown dimension separator {meta['dimension_separator']!r}")
+    return where, meta
+
+
+def zarr_chunk_grid(shape: Sequence[int], chunk: Sequence[int], ranges: Sequence[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Of each axis the chunk numbers [first, end) that half-open index ranges touch; all without ranges."""
+    if ranges is None:
+        ranges = [(0, n) for n in shape]
+    if len(ranges) != len(shape):
+        raise SpecError("one range for each axis")
+    return [(max(0, a) // c, -(-min(b, n) // c) if min(b, n) > max(0, a) else max(0, a) // c) for (a, b), n, c in zip(ranges, shape, chunk, strict=True)]
+
+
+def read_zarr_chunks(spark: SparkSession, path: str, array: str, ranges: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """A Zarr (version 2) array -> chunk table. Raw, zlib and gzip chunks in C order; edge chunks are cut to the array.
+
+    With ``ranges`` (half-open, one for each axis) only chunks that overlap them are listed and opened: metadata is read on the
+    driver and the names of files follow from it. Tasks read and decode. A chunk without a file holds the fill value;
+    without a fill value it gives no row.
+    """
+    where, meta = _zarr_array(spark, path, array)
+    shape, chunk, dtype, dot = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta["dimension_separator"]
+    grid = zarr_chunk_grid(shape, chunk, ranges)
+    out = "array_path string, origin array<bigint>, shape array<bigint>, values array<double>"
+    if any(a >= b for a, b in grid):
+        return spark.createDataFrame([], out)
+    codec, rank = (meta.get("compressor") or {}).get("id"), len(shape)
+    inside = lambda axis: "[0-9]*" if axis[1] - axis[0] > MAX_NAMED_CHUNKS else "{" + ",".join(map(str, range(*axis))) + "}"
+    names = f"{where}/{dot.join(map(inside, grid))}"
+
+    def at(file: str) -> list[int]:
+        return [int(i) for i in file.replace("/", ".").split(".")[-rank:]]
+
+    @F.pandas_udf("array<bigint>")
+    def numbers(files: pd.Series) -> pd.Series:
+        return pd.Series([at(f) for f in files])
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress}[compressor]
+        unpack = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress}[codec]
         for pdf in batches:
             rows = []
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                at = [int(i) for i in file.rpartition(array.strip("/") + "/")[2].replace("/", ".").split(".")[-len(shape) :]]
-                origin = [i * c for i, c in zip(at, chunk, strict=True)]
+            for index, content in zip(pdf["index"], pdf["content"], strict=True):
+                origin = [int(i) * c for i, c in zip(index, chunk, strict=True)]
                 size = [min(c, n - o) for c, n, o in zip(chunk, shape, origin, strict=True)]
-                values = np.frombuffer(unpack(bytes(content)), dtype).reshape(chunk)[tuple(slice(0, s) for s in size)]
+                if content is None:
+                    values = np.full(size, float(meta["fill_value"]))
+                else:
+                    values = np.frombuffer(unpack(bytes(content)), dtype).reshape(chunk)[tuple(slice(0, s) for s in size)]
                 rows.append((array, origin, size, values.astype(float).ravel().tolist()))
             yield pd.DataFrame(rows, columns=["array_path", "origin", "shape", "values"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9]*").load(where)
-    if dot != "." and dot != "/":
-        raise SpecError(f"unknown dimension separator {dot!r}")
-    return files.select("path", "content").mapInPandas(decode, "array_path string, origin array<bigint>, shape array<bigint>, values array<double>")
+    matched = spark._jvm.org.apache.hadoop.fs.Path(names)
+    any_file = matched.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(matched)
+    found = spark.createDataFrame([], "index array<bigint>, content binary")
+    if any_file is not None and len(any_file):
+        found = spark.read.format("binaryFile").load(names).select(numbers("path").alias("index"), "content")
+        # an axis too wide to be named lists more
+        for k, (a, b) in enumerate(grid):
+            if b - a > MAX_NAMED_CHUNKS:
+                found = found.where(F.col("index")[k].between(a, b - 1))
+    if meta.get("fill_value") is not None:
+        total, sides = 1, [b - a for a, b in grid]
+        for n in sides:
+            total *= n
+        place, index = F.col("id"), []
+        for (a, _), n in zip(reversed(grid), reversed(sides), strict=True):
+            index.append((place % n + a).cast("long"))
+            place = F.floor(place / n)
+        every = spark.range(total).select(F.array(*index[::-1]).alias("index"))
+        found = found.unionByName(every.join(found.select("index"), "index", "left_anti").withColumn("content", F.lit(None).cast("binary")))
+    return found.mapInPandas(decode, out)
+
+
+def read_zarr_slice(spark: SparkSession, path: str, array: str, ranges: Sequence[AxisRange]) -> DataFrame:
+    """(array_path, indices, value) of half-open ranges with steps of a Zarr array, from the chunks that overlap them."""
+    from ..operators.arrays import cube_slice
+
+    shape = _zarr_array(spark, path, array)[1]["shape"]
+    return cube_slice(read_zarr_chunks(spark, path, array, [(r.start, r.end) for r in ranges]), ranges, shape)
+
+
+def write_zarr_chunks(chunks: DataFrame, path: str, array: str, shape: Sequence[int], chunk: Sequence[int], separator: str = ".", fill: float | None = 0.0) -> None:
+    """Writes a chunk table (origin on the grid, shape, values) as a Zarr (version 2) array of doubles with zlib chunks.
+
+    Each chunk is one file, written by the task that holds it under a name that only depends on its place, so that a task that
+    runs again writes the same file. Chunks that are missing are the fill value's.
+    """
+    spark = chunks.sparkSession
+    where = f"{path.rstrip('/')}/{array.strip('/')}".rstrip("/")
+    shape, chunk = list(map(int, shape)), list(map(int, chunk))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(where if "://" in where else f"file://{where}") if "/" in where else (None, None)
+        for pdf in batches:
+            names = []
+            for origin, size, values in zip(pdf["origin"], pdf["shape"], pdf["values"], strict=True):
+                if any(o % c or s != min(c, n - o) for o, s, c, n in zip(origin, size, chunk, shape, strict=True)):
+                    raise SpecError(f"the chunk at {list(origin)} is not one of the grid")
+                full = np.full(chunk, float("nan") if fill is None else fill, "<f8")
+                full[tuple(slice(0, int(s)) for s in size)] = np.asarray(values, float).reshape([int(s) for s in size])
+                name = separator.join(str(int(o) // c) for o, c in zip(origin, chunk, strict=True))
+                store.create_dir(f"{folder}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
+                    out.write(zlib.compress(full.tobytes()))
+                names.append(name)
+            yield pd.DataFrame({"name": names})
+
+    if where.startswith("file:/") and not where.startswith("file://"):
+        where = "file://" + where.removeprefix("file:")
+    written = chunks.select("origin", "shape", "values").mapInPandas(write, "name string").count()
+    if not written and fill is None:
+        raise SpecError("an array without chunks needs a fill value")
+    meta = {"zarr_format": 2, "shape": shape, "chunks": chunk, "dtype": "<f8", "order": "C", "compressor": {"id": "zlib", "level": 6}, "filters": None, "fill_value": fill, "dimension_separator": separator}
+    write_small(spark, f"{where}/.zarray", json.dumps(meta))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sciobs.operators import arrays as a
 from sciobs.operators import geometry as g
-from sciobs.plans.spec import SpecError
+from sciobs.plans.spec import AxisRange, SpecError
 from sciobs.sources import datasources, files, results
 
 
@@ -141,6 +141,46 @@ def test_zarr(spark, tmp_path, codec, sep):
     assert {tuple(r["indices"]): r["value"] for r in cells} == {(y, x): float(full[y, x]) for y in range(5) for x in range(7)}
 
 
+@pytest.mark.parametrize("sep", [".", "/"])
+def test_zarr_slices_open_overlapping_chunks_only(spark, tmp_path, monkeypatch, sep):
+    """A slice of rows 4 to 8 and columns 3 to 5: damage to all other chunks is not seen."""
+    full = np.arange(9 * 7, dtype=float).reshape(9, 7)
+    cells = spark.createDataFrame([("v", [y, x], float(full[y, x])) for y in range(9) for x in range(7) if (y, x) != (0, 0)], "array_path string, indices array<bigint>, value double")
+    table = a.chunk_cells(cells, [9, 7], [2, 3])
+    files.write_zarr_chunks(table, f"file://{tmp_path}/z", "v", [9, 7], [2, 3], sep)
+    whole = {tuple(r["indices"]): r["value"] for r in a.explode_array_chunks(files.read_zarr_chunks(spark, f"{tmp_path}/z", "v"), 2).collect()}
+    assert whole.pop((0, 0)) != whole.get((0, 1)) and whole == {(y, x): full[y, x] for y in range(9) for x in range(7) if (y, x) != (0, 0)}
+    needed = {f"{i}{sep}{j}" for i in (2, 3) for j in (1,)}
+    for file in (tmp_path / "z" / "v").rglob("[0-9]*"):
+        if file.is_file() and str(file.relative_to(tmp_path / "z" / "v")) not in needed:
+            file.write_bytes(b"no chunk")
+    ranges = [AxisRange(4, 8, 1), AxisRange(3, 5, 1)]
+    for named in (files.MAX_NAMED_CHUNKS, 1):
+        monkeypatch.setattr(files, "MAX_NAMED_CHUNKS", named)
+        got = files.read_zarr_slice(spark, f"{tmp_path}/z", "v", ranges).collect()
+        assert {tuple(r["indices"]): r["value"] for r in got} == {(y, x): full[y, x] for y in range(4, 8) for x in range(3, 5)}
+    opened = files.read_zarr_chunks(spark, f"{tmp_path}/z", "v", [(4, 8), (3, 5)])
+    assert opened.count() == 2
+    assert files.read_zarr_chunks(spark, f"{tmp_path}/z", "v", [(4, 4), (3, 5)]).count() == 0
+    with pytest.raises(SpecError):
+        files.read_zarr_chunks(spark, f"{tmp_path}/z", "v", [(0, 1)])
+
+
+def test_zarr_fill_values(spark, tmp_path):
+    """Chunks without a file hold the fill value; without one they give no row."""
+    one = spark.createDataFrame([("v", [2, 0], [2, 3], [1.0] * 6)], "array_path string, origin array<bigint>, shape array<bigint>, values array<double>")
+    files.write_zarr_chunks(one, f"{tmp_path}/z", "v", [5, 4], [2, 3], fill=7.5)
+    got = {tuple(r["origin"]): (tuple(r["shape"]), r["values"]) for r in files.read_zarr_chunks(spark, f"{tmp_path}/z", "v").collect()}
+    assert len(got) == 6 and got[2, 0] == ((2, 3), [1.0] * 6) and got[4, 3] == ((1, 1), [7.5]) and got[0, 0] == ((2, 3), [7.5] * 6)
+    files.write_zarr_chunks(one, f"{tmp_path}/n", "v", [5, 4], [2, 3], fill=None)
+    assert files.read_zarr_chunks(spark, f"{tmp_path}/n", "v").count() == 1
+    assert files.read_zarr_chunks(spark, f"{tmp_path}/n", "v", [(0, 1), (0, 1)]).count() == 0
+    files.write_zarr_chunks(one.limit(0), f"{tmp_path}/e", "v", [2, 2], [2, 2], fill=0.0)
+    assert files.read_zarr_chunks(spark, f"{tmp_path}/e", "v").first()["values"] == [0.0] * 4
+    with pytest.raises(Exception, match="out of the array"):
+        a.chunk_cells(spark.createDataFrame([("v", [5, 0], 1.0)], "array_path string, indices array<bigint>, value double"), [5, 4], [2, 3]).collect()
+
+
 def test_csv_and_strings(spark, tmp_path):
     df = spark.createDataFrame([(1, None, ["x", "y"], 'say "hi", you'), (2, 3.5, None, "")], "id int, v double, tags array<string>, note string").coalesce(1)
     results.write_csv(df, f"{tmp_path}/c")
