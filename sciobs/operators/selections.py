@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.science import decode_sample, pick_envelope, world_to_pixel
 from ..plans.spec import Affine
 from .geometry import spatial_join
-
-_DAY = 86_400
+from .intervals import interval_join
 
 
 def resolve_row_picks(picks: DataFrame, layers: DataFrame, data: DataFrame) -> DataFrame:
@@ -38,12 +37,9 @@ def resolve_row_picks(picks: DataFrame, layers: DataFrame, data: DataFrame) -> D
     return out.withColumn("error", F.coalesce("error", F.when(F.col("__there").isNull(), "row_out_of_range"))).drop("__there")
 
 
-def resolve_time_selections(selections: DataFrame, observations: DataFrame, time: str = "time", bucket_seconds: int = _DAY) -> DataFrame:
-    """Observations with start <= time <= end of every selection (selection_id, start, end): joined by buckets of time, then exactly."""
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c)) / bucket_seconds)
-    left = selections.where("start <= end").withColumn("__b", F.explode(F.sequence(bucket("start"), bucket("end"))))
-    joined = left.join(observations.withColumn("__b", bucket(time)), "__b")
-    return joined.where((F.col(time) >= F.col("start")) & (F.col(time) <= F.col("end"))).drop("__b")
+def resolve_time_selections(selections: DataFrame, observations: DataFrame, time: str = "time", tick_seconds: float = 60.0) -> DataFrame:
+    """Observations with start <= time <= end of every selection (selection_id, start, end), years and minutes alike: joined by blocks of time that cover the selections, then exactly."""
+    return interval_join(selections, observations, "start", "end", time, tick_seconds)
 
 
 def resolve_map_selections(regions: DataFrame, features: DataFrame, cell: float, exact: bool = True) -> DataFrame:
