@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import axis_role, cf_roles, coverage_polygon, field_role, finite, modality_from_cdm, modality_from_text, stable_id, try_double
 from ..plans.spec import MAX_COMPONENTS, MAX_SUGGESTIONS, SpecError
+from .quadtree import box_join
 
 # ---- fields and axes
 
@@ -373,66 +374,88 @@ CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 
 
 def rank_suggestions(suggestions: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
-    """By confidence and panels descending, then id: the first k, of every group if there is a column of groups."""
+    """By confidence and panels descending, exact links before others, then id: the first k, of every group if there is a column of groups."""
     order = F.lit(0)
     for name, n in CONFIDENCE.items():
         order = F.when(F.col("confidence") == name, n).otherwise(order)
-    ranked = [F.desc(order), F.desc("panels"), F.asc("suggestion_id")]
+    linked = [F.desc(F.coalesce(F.col("link") == "exact", F.lit(False)))] if "link" in suggestions.columns else []
+    ranked = [F.desc(order), F.desc("panels"), *linked, F.asc("suggestion_id")]
     if group is None:
         return suggestions.orderBy(*ranked).limit(k)
     return suggestions.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(*ranked))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def suggest_views(inventory: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
-    """View suggestions of datasets by the roles they have: profiles, maps, time series, tables, point clouds, composites with spectra, rasters, vector maps, and clouds beside cubes of other datasets.
+def _recipe(kind: str, panels: int, confidence: Column | str) -> Column:
+    confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
+    return F.struct(F.lit(kind).alias("kind"), F.lit(panels).alias("panels"), confidence.alias("confidence"))
+
 
-    The first k of the ranking, for every asked group of datasets if there is a column of groups. Pairs are
-    made within a group, of its first k clouds and its first k cubes by dataset and component, and have
-    ``other_id`` (the cube's dataset) and ``link``: exact if the CRS is the same and known, the boxes
-    overlap and the cube is linkable, else unavailable."""
+def suggest_views(inventory: DataFrame, k: int = MAX_SUGGESTIONS, group: str | None = None) -> DataFrame:
+    """View suggestions: profiles, maps, time series and tables of datasets by the roles of their fields; a point cloud, a composite with
+    spectrum, a raster or a vector map of each component of that role; and every cloud beside cubes of other datasets.
+
+    The first k of the ranking, for every asked group of datasets if there is a column of groups. ``component_id`` is the component's, of pairs the cloud's.
+    Pairs are made within a group and have ``other_id`` and ``other_component`` (the cube's), ``link`` (exact if the CRS is the same and known, the cube is
+    linkable and the boxes overlap strictly, else unavailable) and ``reason``, why a link is unavailable. ``unresolved`` is true where a person must decide:
+    about a value without quality flags, or a link that is not verified. All exact pairs are ranked; of the unavailable ones those of 2 k clouds
+    and 2 k cubes of a group, taken from its datasets in turn."""
     keys = ["dataset_id"] if group is None else [group, "dataset_id"]
     has = lambda r: F.array_contains("roles", r)
     placed = "crs" in inventory.columns
     field = F.col("kind") == "field" if "kind" in inventory.columns else F.lit(True)
-    crs = F.bool_or(F.col("crs").isNotNull() & (F.col("role") == "geometry")) if placed else F.lit(False)
-    per = inventory.groupBy(*keys).agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"), F.count_if(field).alias("fields"), crs.alias("crs_known"))
-    recipe = F.explode(F.array_compact(F.array(
-        F.when(has("vertical") & (F.col("values") > 0), F.struct(F.lit("profile").alias("kind"), F.lit(2).alias("panels"), F.when(F.col("qc") > 0, "high").otherwise("medium").alias("confidence"))),
-        F.when(has("latitude") & has("longitude"), F.struct(F.lit("map").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
-        F.when(has("time") & (F.col("values") > 0), F.struct(F.lit("time_series").alias("kind"), F.lit(1).alias("panels"), F.lit("medium").alias("confidence"))),
-        F.when(has("points"), F.struct(F.lit("point_cloud").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
-        F.when(has("spectral_cube"), F.struct(F.lit("composite_and_spectrum").alias("kind"), F.lit(2).alias("panels"), F.lit("high").alias("confidence"))),
-        F.when(has("raster"), F.struct(F.lit("raster").alias("kind"), F.lit(1).alias("panels"), F.lit("high").alias("confidence"))),
-        F.when(has("geometry"), F.struct(F.lit("vector_map").alias("kind"), F.lit(1).alias("panels"), F.when(F.col("crs_known"), "high").otherwise("medium").alias("confidence"))),
-        F.when(F.col("fields") > 0, F.struct(F.lit("table").alias("kind"), F.lit(1).alias("panels"), F.lit("low").alias("confidence"))),
+    per = inventory.groupBy(*keys).agg(
+        F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "value").alias("values"), F.count("qc_field").alias("qc"), F.count_if(field).alias("fields"),
+        F.count_if(field & (F.col("role") == "value") & F.col("qc_field").isNull()).alias("undecided"),
+    )
+    whole = F.explode(F.array_compact(F.array(
+        F.when(has("vertical") & (F.col("values") > 0), _recipe("profile", 2, F.when(F.col("qc") > 0, "high").otherwise("medium"))),
+        F.when(has("latitude") & has("longitude"), _recipe("map", 1, "high")),
+        F.when(has("time") & (F.col("values") > 0), _recipe("time_series", 1, "medium")),
+        F.when(F.col("fields") > 0, _recipe("table", 1, "low")),
     ))).alias("r")
-    made = per.select(*keys, recipe).select(*keys, "r.*").withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")]))
+    made = per.select(*keys, (F.col("undecided") > 0).alias("unresolved"), whole).select(*keys, "unresolved", "r.*")
+    made = made.withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind")]))
+    crs = F.when(F.col("crs").isNotNull(), "high").otherwise("medium") if placed else "medium"
+    role = F.col("role")
+    of_one = F.when(role == "points", _recipe("point_cloud", 1, "high")).when(role == "spectral_cube", _recipe("composite_and_spectrum", 2, "high"))
+    of_one = of_one.when(role == "raster", _recipe("raster", 1, "high")).when(role == "geometry", _recipe("vector_map", 1, crs))
+    each = inventory.select(*keys, "component_id", of_one.alias("r")).where("r is not null").select(*keys, "component_id", "r.*").withColumn("unresolved", F.lit(False))
+    each = each.withColumn("suggestion_id", stable_id("view-", [F.col("dataset_id"), F.col("kind"), F.col("component_id")]))
+    made = made.unionByName(each, allowMissingColumns=True)
     if placed:
         made = made.unionByName(_cloud_and_cube(inventory, k, group), allowMissingColumns=True)
     return rank_suggestions(made, k, group)
 
 
 def _cloud_and_cube(inventory: DataFrame, k: int, group: str | None) -> DataFrame:
-    """Clouds beside cubes of other datasets in each group; a side is at most k components of a group."""
+    """Clouds beside cubes of other datasets in each group: exact pairs by CRS and quadtree cells, and as many unavailable ones as a ranking may need."""
     key = group or "__all"
-
-    def side(role: str, names: dict[str, str]) -> DataFrame:
-        rows, order = inventory.where(F.col("role") == role), ["dataset_id", "component_id"]
-        if group is None:
-            rows = rows.orderBy(*order).limit(k).withColumn(key, F.lit(0))
-        else:
-            rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__place") <= k)
-        return rows.select(key, *(F.col(c).alias(names.get(c, f"{role}_{c}")) for c in ("dataset_id", "component_id", *PLACE)))
-
-    pairs = side("points", {"dataset_id": "dataset_id"}).join(side("spectral_cube", {"dataset_id": "other_id"}), key).where("dataset_id <> other_id")
-    apart = " OR ".join(f"points_min_{a} > spectral_cube_max_{a} OR spectral_cube_min_{a} > points_max_{a}" for a in "xy")
-    exact = F.expr(f"points_crs = spectral_cube_crs AND spectral_cube_linkable AND NOT ({apart})")
-    made = pairs.select(
-        *([group] if group else []), "dataset_id", "other_id", F.lit("cloud_and_cube").alias("kind"), F.lit(3).alias("panels"), F.lit("high").alias("confidence"),
-        stable_id("view-", [F.col(c) for c in ("dataset_id", "other_id", "points_component_id", "spectral_cube_component_id")]).alias("suggestion_id"),
-        F.when(exact, "exact").otherwise("unavailable").alias("link"),
+    rows = inventory if group else inventory.withColumn(key, F.lit(0))
+    box = ("min_x", "min_y", "max_x", "max_y")
+    names = {"points": {"dataset_id": "dataset_id", "component_id": "component_id"}, "spectral_cube": {"dataset_id": "other_id", "component_id": "other_component"}}
+
+    def side(role: str) -> DataFrame:
+        return rows.where(F.col("role") == role).select(key, *(F.col(c).alias(names[role].get(c, f"{role}_{c}")) for c in ("dataset_id", "component_id", *PLACE)))
+
+    clouds, cubes = side("points"), side("spectral_cube")
+    boxes = (tuple(f"{role}_{c}" for c in box) for role in names)
+    alike = clouds.withColumn("__crs", F.col("points_crs")), cubes.where("spectral_cube_linkable").withColumn("__crs", F.col("spectral_cube_crs"))
+    exact = box_join(*(df.where("__crs is not null") for df in alike), *boxes, on=[key, "__crs"], strict=True).drop("__crs").where("dataset_id <> other_id")
+    exact = exact.withColumns({"link": F.lit("exact"), "reason": F.lit(None).cast("string")})
+
+    def some(df: DataFrame, dataset: str, component: str) -> DataFrame:
+        """The first 2 k of each group, taken from its datasets in turn."""
+        turn = df.withColumn("__turn", F.row_number().over(Window.partitionBy(key, dataset).orderBy(component))).where(F.col("__turn") <= 2 * k)
+        return turn.withColumn("__place", F.row_number().over(Window.partitionBy(key).orderBy("__turn", dataset, component))).where(F.col("__place") <= 2 * k).drop("__turn", "__place")
+
+    pairs = some(clouds, "dataset_id", "component_id").join(some(cubes, "other_id", "other_component"), key).where("dataset_id <> other_id")
+    apart = " OR ".join(f"points_min_{a} >= spectral_cube_max_{a} OR spectral_cube_min_{a} >= points_max_{a}" for a in "xy")
+    reason = F.expr(f"CASE WHEN NOT coalesce(points_crs = spectral_cube_crs, false) THEN 'no_common_crs' WHEN NOT coalesce(spectral_cube_linkable, false) THEN 'no_transform' WHEN coalesce({apart}, true) THEN 'no_overlap' END")
+    others = pairs.withColumns({"link": F.lit("unavailable"), "reason": reason}).where("reason is not null")
+    return exact.unionByName(others.select(exact.columns)).select(
+        *([group] if group else []), "dataset_id", "component_id", "other_id", "other_component", F.lit("cloud_and_cube").alias("kind"), F.lit(3).alias("panels"), F.lit("high").alias("confidence"),
+        stable_id("view-", [F.col(c) for c in ("dataset_id", "other_id", "component_id", "other_component")]).alias("suggestion_id"), "link", "reason", (F.col("link") != "exact").alias("unresolved"),
     )
-    return made
 
 
 def validate_georef(cubes: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 import struct
 from collections.abc import Sequence
 
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import MAX_RESULT_ROWS, Box, SpecError
+from .quadtree import box_join
 
 #: WKB geometry types.
 _TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
@@ -256,49 +256,39 @@ def geometry_primitives(features: DataFrame) -> DataFrame:
     return features.select("feature_index", F.posexplode(cut("geometry")).alias("part", "p")).select("feature_index", "part", "p.kind", "p.coordinates")
 
 
-def cover(min_x: Column, min_y: Column, max_x: Column, max_y: Column, cell: float) -> Column:
-    """The grid cells that a box touches, as array<struct<cx, cy>>."""
-    at = lambda c: F.floor(c / cell).cast("long")
-    return F.flatten(F.transform(F.sequence(at(min_x), at(max_x)), lambda cx: F.transform(F.sequence(at(min_y), at(max_y)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+#: Parsed geometries that a task remembers of each side.
+MEMO_SHAPES = 2000
 
 
-def spatial_join(regions: DataFrame, features: DataFrame, cell: float, exact: bool = True, salt: int = 8) -> DataFrame:
-    """(region_id, feature_index) of regions and features that intersect.
+def spatial_join(regions: DataFrame, features: DataFrame, exact: bool = True) -> DataFrame:
+    """(region_id, feature_index) of regions and features that intersect, continents and plots alike.
 
-    Both have boxes; exact also compares their WKB geometries. Boxes are laid on
-    a grid and joined by cell; a pair is reported in the first cell they share
-    only. Features of a full cell are spread over ``salt`` keys, to each of
-    which the few regions of the cell go.
+    Both have boxes, which are joined by quadtree cells of their own sizes; exact also compares their WKB geometries.
     """
-    left = regions.select(F.col("region_id"), F.col("geometry").alias("__rg"), *(F.col(c).alias(f"r_{c}") for c in ("min_x", "min_y", "max_x", "max_y")))
-    boxes = [F.col(f"r_{c}") for c in ("min_x", "min_y", "max_x", "max_y")]
-    left = left.withColumn("__c", F.explode(cover(*boxes, cell))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    right = features.withColumn("__c", F.explode(cover(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), cell))).withColumn("__s", F.pmod(F.xxhash64("feature_index"), F.lit(salt)).cast("int"))
-    pairs = left.join(right, ["__c", "__s"]).where((F.col("r_min_x") <= F.col("max_x")) & (F.col("min_x") <= F.col("r_max_x")) & (F.col("r_min_y") <= F.col("max_y")) & (F.col("min_y") <= F.col("r_max_y")))
-    first = lambda a, b: F.floor(F.greatest(F.col(a), F.col(b)) / cell).cast("long")
-    pairs = pairs.where((F.col("__c.cx") == first("r_min_x", "min_x")) & (F.col("__c.cy") == first("r_min_y", "min_y")))
+    box = ("min_x", "min_y", "max_x", "max_y")
+    left = regions.select("region_id", F.col("geometry").alias("__rg"), *(F.col(c).cast("double").alias(f"__r_{c}") for c in box))
+    right = features.select("feature_index", F.col("geometry").alias("__fg"), *(F.col(c).cast("double").alias(f"__f_{c}") for c in box))
+    if not exact:
+        left, right = left.drop("__rg"), right.drop("__fg")
+    pairs = box_join(left, right, tuple(f"__r_{c}" for c in box), tuple(f"__f_{c}" for c in box))
     if exact:
 
         @F.pandas_udf("boolean")
         def test(a: pd.Series, b: pd.Series) -> pd.Series:
             known: dict[bytes, Parts] = {}
-            out = []
-            for x, y in zip(a, b, strict=True):
-                x = bytes(x)
-                if x not in known:
-                    known.clear()
-                    known[x] = parse_wkb(x)
-                out.append(intersects(known[x], parse_wkb(bytes(y))))
-            return pd.Series(out)
-
-        pairs = pairs.where(test("__rg", "geometry"))
-    return pairs.select("region_id", "feature_index")
 
+            def parts(data: bytes) -> Parts:
+                data = bytes(data)
+                if data not in known:
+                    if len(known) >= 2 * MEMO_SHAPES:
+                        known.clear()
+                    known[data] = parse_wkb(data)
+                return known[data]
+
+            return pd.Series([x is not None and y is not None and intersects(parts(x), parts(y)) for x, y in zip(a, b, strict=True)])
 
-def cell_for(regions: DataFrame, cells_a_region: int = 16) -> float:
-    """A cell size with about so many cells under a typical region."""
-    row = regions.agg(F.avg((F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))).alias("area")).first()
-    return max(1e-9, math.sqrt((row["area"] or 1.0) / cells_a_region))
+        pairs = pairs.where(test("__rg", "__fg"))
+    return pairs.select("region_id", "feature_index")
 
 
 def region_table(spark, regions: dict[str, dict]) -> DataFrame:

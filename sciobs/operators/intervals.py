@@ -19,7 +19,7 @@ from ..plans.spec import SpecError
 #: Blocks of a level that make one of the next, and levels: BASE^LEVELS ticks are the longest block.
 BASE_BITS, LEVELS = 2, 24
 BASE = 1 << BASE_BITS
-#: A block with more than this share of all values is salted: at most LEVELS / share blocks are listed.
+#: A block with more than this share of all values is salted: at most 1 / share of them are listed.
 HOT_SHARE = 0.002
 #: Values up to which a block is not salted, whatever its share.
 BLOCK_ROWS = 20_000
@@ -72,16 +72,20 @@ def interval_join(intervals: DataFrame, values: DataFrame, start: str, end: str,
     covered = covered.select(*intervals.columns, F.col("__c.level").alias("__level"), F.col("__c.block").alias("__block"))
     levels = sorted(r[0] for r in covered.select("__level").distinct().collect())  # at most LEVELS
     placed = values.withColumn("__b", F.explode(blocks_of(at(values, value), levels))).select(*values.columns, F.col("__b.level").alias("__level"), F.col("__b.block").alias("__block"))
-    # few blocks hold many values: their number is bounded by the share
-    held = placed.groupBy("__level", "__block").agg(F.count("*").alias("__n"))
+    joined = spread_join(covered, placed, ["__level", "__block"])
+    return joined.where(F.col(value).between(F.col(start), F.col(end))).select(*intervals.columns, *values.columns)
+
+
+def spread_join(few: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys. Where ``many`` has more than a share of its rows at one key, they are dealt over salts, to each of which that key's rows of ``few`` go."""
+    held = many.groupBy(*keys).agg(F.count("*").alias("__n"))
     total = held.agg(F.sum("__n")).first()[0] or 0
     limit = max(BLOCK_ROWS, math.ceil(total * HOT_SHARE))
-    hot = F.broadcast(held.where(F.col("__n") > limit).select("__level", "__block", F.ceil(F.col("__n") / limit).cast("int").alias("__salts")))
-    keys = ["__level", "__block"]
-    salted = placed.join(hot, keys, "left").withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
-    copied = covered.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    joined = copied.join(salted, [*keys, "__salt"]).where(F.col(value).between(F.col(start), F.col(end)))
-    return joined.select(*intervals.columns, *values.columns)
+    # at most 1 / HOT_SHARE keys
+    hot = F.broadcast(held.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__salts")))
+    salted = many.join(hot, keys, "left").withColumn("__salt", F.floor(F.rand(7) * F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    copied = few.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return copied.join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 def _number(df: DataFrame, name: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import finite_value
 from ..plans.spec import Recipe, SpecError
+from .lines import SEGMENT_EDGES, line_segments
 from .table import need
 
 
@@ -103,19 +104,18 @@ def value_ranges(df: DataFrame, r: Recipe) -> DataFrame:
     )
 
 
-def trajectory_lines(df: DataFrame, r: Recipe) -> DataFrame:
-    """(trajectory, points, line) of located rows that the first value's QC accepts, in source order; lines of two points and more."""
+def trajectory_lines(df: DataFrame, r: Recipe, edges: int = SEGMENT_EDGES) -> DataFrame:
+    """(trajectory, segment, points, line of (row, latitude, longitude)) of located rows that the first value's QC accepts, in source order; lines of two
+    points and more, longer ones than ``edges`` in segments."""
     first = r.values[0]
     accepted, _ = qc_flags(F.col(first.qc_field) if first.qc_field else None, first.accepted)
     rows = df.select(F.col(r.order).alias("row"), F.col(r.trajectory).alias("trajectory"), finite_value(F.col(r.latitude), r.fills).alias("latitude"), finite_value(F.col(r.longitude), r.fills).alias("longitude"), accepted.alias("ok"))
     rows = rows.where("ok and latitude is not null and longitude is not null and trajectory is not null")
-    lines = rows.groupBy("trajectory").agg(F.array_sort(F.collect_list(F.struct("row", "latitude", "longitude"))).alias("line"))
-    return lines.select("trajectory", F.size("line").alias("points"), "line").where("points >= 2")
+    return line_segments(rows, ["trajectory"], "row", ["latitude", "longitude"], edges)
 
 
-def profile_lines(df: DataFrame, r: Recipe) -> DataFrame:
-    """(field, trajectory, profile, points, line of (row, value, height)) of displayed and accepted rows; depths are negative heights."""
+def profile_lines(df: DataFrame, r: Recipe, edges: int = SEGMENT_EDGES) -> DataFrame:
+    """(field, trajectory, profile, segment, points, line of (row, value, height)) of displayed and accepted rows; depths are negative heights."""
     rows = profile_observations(df, r).where("displayed and qc_accepted")
     height = -F.col("vertical") if r.positive_down else F.col("vertical")
-    lines = rows.groupBy("field", "trajectory", "profile").agg(F.array_sort(F.collect_list(F.struct("row", "value", height.alias("height")))).alias("line"))
-    return lines.select("field", "trajectory", "profile", F.size("line").alias("points"), "line").where("points >= 2")
+    return line_segments(rows.withColumn("height", height), ["field", "trajectory", "profile"], "row", ["value", "height"], edges)

@@ -42,9 +42,9 @@ def resolve_time_selections(selections: DataFrame, observations: DataFrame, time
     return interval_join(selections, observations, "start", "end", time, tick_seconds)
 
 
-def resolve_map_selections(regions: DataFrame, features: DataFrame, cell: float, exact: bool = True) -> DataFrame:
+def resolve_map_selections(regions: DataFrame, features: DataFrame, exact: bool = True) -> DataFrame:
     """(region_id, feature_index) of map regions and features (exactly) or points (by box)."""
-    return spatial_join(regions, features, cell, exact)
+    return spatial_join(regions, features, exact)
 
 
 def resolve_pixel_spectra(selections: DataFrame, cells: DataFrame, wavelengths: DataFrame, scale: float = 1.0, offset: float = 0.0) -> DataFrame:

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where Spark itself is local."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="sciobs-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
+from ..sources.scratch import scratch  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -107,10 +107,12 @@ def qc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROLE = "CASE WHEN ends_with(lower(field), '_qc') THEN 'quality_control' ELSE 'value' END"
 
 
-@query("scientific_inventory", _FIELDS + f""", r AS (SELECT dataset_id, field, {_ROLE} AS role, 'component-' || substr(sha256(dataset_id || chr(31) || field), 1, 16) AS component_id FROM f ORDER BY component_id LIMIT 256), q AS (SELECT dataset_id, field, min(qc_field) AS qc_field FROM l GROUP BY 1, 2)
-    SELECT component_id, dataset_id, field, role, qc_field, role = 'value' AND qc_field IS NULL AS unresolved FROM r LEFT JOIN q USING (dataset_id, field)""")
+@query("scientific_inventory", _FIELDS + f""", r AS (SELECT dataset_id, field, {_ROLE} AS role, 'component-' || substr(sha256(dataset_id || chr(31) || field), 1, 16) AS component_id FROM f), q AS (SELECT dataset_id, field, min(qc_field) AS qc_field FROM l GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY component_id) AS place, count(*) OVER (PARTITION BY dataset_id) AS every FROM (SELECT DISTINCT * FROM r))
+    SELECT component_id, dataset_id, field, role, qc_field, role = 'value' AND qc_field IS NULL AS unresolved, every > 256 AS truncated FROM n LEFT JOIN q USING (dataset_id, field) WHERE place <= 256""")
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.scientific_inventory(_fields(spark, sf_dir), cap=256, each=None).select("component_id", "dataset_id", "field", "role", "qc_field", "unresolved")
+    """The components of every dataset, at most 256 each."""
+    return c.scientific_inventory(_fields(spark, sf_dir)).select("component_id", "dataset_id", "field", "role", "qc_field", "unresolved", "truncated")
 
 
 @query("suggest_views", _FIELDS + """, d AS (SELECT DISTINCT dataset_id, 'view-' || substr(sha256(dataset_id || chr(31) || 'table'), 1, 16) AS suggestion_id FROM f) SELECT dataset_id, 'table' AS kind, suggestion_id FROM d ORDER BY suggestion_id LIMIT 12""")
@@ -178,7 +180,7 @@ _BOUNDS = "min({0}_{1}key) AS min_x, max({0}_{1}key) AS max_x, min({0}_acctbal)
 
 @query("suggest_pairs", f"""WITH p AS (SELECT c_nationkey AS n, {_BOUNDS.format("c", "cust")} FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS n, {_BOUNDS.format("s", "supp")} FROM supplier GROUP BY 1)
     SELECT a.n_regionkey AS asked, 'cloud-' || p.n AS dataset_id, 'cube-' || s.n AS other_id,
-        CASE WHEN p.min_x <= s.max_x AND s.min_x <= p.max_x AND p.min_y <= s.max_y AND s.min_y <= p.max_y THEN 'exact' ELSE 'unavailable' END AS link
+        CASE WHEN p.min_x < s.max_x AND s.min_x < p.max_x AND p.min_y < s.max_y AND s.min_y < p.max_y THEN 'exact' ELSE 'unavailable' END AS link
     FROM p JOIN nation a ON a.n_nationkey = p.n JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN s ON s.n = b.n_nationkey""")
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of a nation as a cloud, its suppliers as a cube: which clouds and cubes of a region go together, and whether their boxes overlap."""
@@ -192,3 +194,28 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = c.union_components(c.cloud_components(cloud), c.array_components(cube)).withColumn("qc_field", F.lit(None).cast("string"))
     asked = read(spark, sf_dir, "nation").select(F.explode(F.array(*(F.concat(F.lit(x), "n_nationkey") for x in ("cloud-", "cube-")))).alias("dataset_id"), F.col("n_regionkey").alias("asked"))
     return c.suggest_views(inventory.join(asked, "dataset_id"), 100, "asked").where("kind = 'cloud_and_cube'").select("asked", "dataset_id", "other_id", "link")
+
+
+_COMPONENT = "'component-' || substr(sha256({0} || chr(31) || '{1}' || chr(31) || {2}), 1, 16)"
+
+
+@query("suggest_views_of_components", f"""WITH p AS (SELECT c_nationkey AS n, c_mktsegment AS path, 'cloud-' || c_nationkey AS d, {_BOUNDS.format("c", "cust")} FROM customer GROUP BY 1, 2), s AS (SELECT s_nationkey AS n, 'cube-' || s_nationkey AS d, {_BOUNDS.format("s", "supp")} FROM supplier GROUP BY 1),
+    cl AS (SELECT p.*, n_regionkey AS asked, {_COMPONENT.format("d", "points", "path")} AS c FROM p JOIN nation ON n_nationkey = n), cu AS (SELECT s.*, n_regionkey AS asked, {_COMPONENT.format("d", "array", "'/all'")} AS c FROM s JOIN nation ON n_nationkey = n),
+    every AS (
+        SELECT asked, 'point_cloud' AS kind, 1 AS panels, d AS dataset_id, c AS component_id, NULL AS other_id, NULL AS link, NULL AS reason, 'view-' || substr(sha256(d || chr(31) || 'point_cloud' || chr(31) || c), 1, 16) AS suggestion_id FROM cl
+        UNION ALL SELECT asked, 'composite_and_spectrum', 2, d, c, NULL, NULL, NULL, 'view-' || substr(sha256(d || chr(31) || 'composite_and_spectrum' || chr(31) || c), 1, 16) FROM cu
+        UNION ALL SELECT cl.asked, 'cloud_and_cube', 3, cl.d, cl.c, cu.d, CASE WHEN o THEN 'exact' ELSE 'unavailable' END, CASE WHEN same IS NULL THEN 'no_common_crs' WHEN NOT o THEN 'no_overlap' END,
+            'view-' || substr(sha256(cl.d || chr(31) || cu.d || chr(31) || cl.c || chr(31) || cu.c), 1, 16)
+        FROM cl JOIN cu ON cl.asked = cu.asked, LATERAL (SELECT CASE WHEN cl.path <> 'BUILDING' THEN 1 END AS same), LATERAL (SELECT coalesce(same = 1 AND cl.min_x < cu.max_x AND cu.min_x < cl.max_x AND cl.min_y < cu.max_y AND cu.min_y < cl.max_y, false) AS o)
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY panels DESC, coalesce(link = 'exact', false) DESC, suggestion_id) AS place FROM every)
+    SELECT asked, kind, dataset_id, component_id, other_id, link, reason, suggestion_id FROM ranked WHERE place <= 140""")
+def views_of_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation and segment as a cloud, a nation's suppliers as a cube; the segment BUILDING has another CRS. All kinds compete for 140 places in a region."""
+    customers = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("path"))
+    clouds = customers.agg(F.min("c_custkey").alias("min_x"), F.max("c_custkey").alias("max_x"), F.min("c_acctbal").alias("min_y"), F.max("c_acctbal").alias("max_y"))
+    clouds = clouds.withColumns({"dataset_id": F.concat(F.lit("cloud-"), "n_nationkey"), "crs": F.when(F.col("path") == "BUILDING", "EPSG:4326").otherwise("EPSG:32613")})
+    cubes = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_suppkey").alias("min_x"), F.max("s_suppkey").alias("max_x"), F.min("s_acctbal").alias("min_y"), F.max("s_acctbal").alias("max_y"))
+    cubes = cubes.withColumns({"dataset_id": F.concat(F.lit("cube-"), "n_nationkey"), "array_path": F.lit("/all"), "axis_names": F.array(F.lit("band"), F.lit("y"), F.lit("x")), "crs": F.lit("EPSG:32613"), "linkable": F.lit(True)})
+    inventory = c.union_components(c.cloud_components(clouds), c.array_components(cubes)).withColumn("qc_field", F.lit(None).cast("string"))
+    asked = read(spark, sf_dir, "nation").select(F.explode(F.array(*(F.concat(F.lit(x), "n_nationkey") for x in ("cloud-", "cube-")))).alias("dataset_id"), F.col("n_regionkey").alias("asked"))
+    return c.suggest_views(inventory.join(asked, "dataset_id"), 140, "asked").select("asked", "kind", "dataset_id", "component_id", "other_id", "link", "reason", "suggestion_id")

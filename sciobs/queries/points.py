@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import pick_envelope, point_color
 from ..operators import geometry as g
-from ..operators import octree
+from ..operators import octree, quadtree
 from ..operators import points as p
 from ..plans.spec import Box
 from ..sources.files import read_parquet_indexed
@@ -147,11 +147,24 @@ def primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_acctbal").alias("min_y"), F.max("s_acctbal").alias("max_y"))
     boxes = nations.select(F.concat(F.lit("nation "), "s_nationkey").alias("region_id"), F.lit(None).cast("binary").alias("geometry"), (F.col("s_nationkey") - 0.5).alias("min_x"), "min_y", (F.col("s_nationkey") + 1.5).alias("max_x"), "max_y")
-    return g.spatial_join(boxes, features(spark, sf_dir), 500.0, exact=False)
+    return g.spatial_join(boxes, features(spark, sf_dir), exact=False)
+
+
+@query("box_join_of_all_sizes", """WITH b AS (SELECT o_orderkey AS id, o_totalprice AS x0, o_custkey AS y0, o_totalprice + CASE o_orderkey % 97 WHEN 0 THEN 90000 WHEN 1 THEN 0 ELSE o_orderkey % 7 END AS x1, o_custkey + CASE o_orderkey % 89 WHEN 0 THEN 200 WHEN 1 THEN 0 ELSE 0.5 END AS y1 FROM orders)
+    SELECT l.id AS id, count(*) AS n, min(r.id) AS first_id, max(r.id) AS last_id FROM b l JOIN b r ON l.x0 <= r.x1 AND r.x0 <= l.x1 AND l.y0 <= r.y1 AND r.y0 <= l.y1 WHERE l.id % 11 = 0 GROUP BY 1""")
+def all_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of orders, from points to a third of the whole, each with all that it overlaps."""
+    n = F.col("o_orderkey")
+    wide, high = F.when(n % 97 == 0, 90_000).when(n % 97 == 1, 0).otherwise(n % 7), F.when(n % 89 == 0, 200).when(n % 89 == 1, 0).otherwise(0.5)
+    boxes = read(spark, sf_dir, "orders").select(n.alias("id"), F.col("o_totalprice").cast("double").alias("x0"), F.col("o_custkey").cast("double").alias("y0"), wide.alias("w"), high.alias("h"))
+    side = lambda k: boxes.select(F.col("id").alias(f"{k}_id"), F.col("x0").alias(f"{k}x0"), F.col("y0").alias(f"{k}y0"), (F.col("x0") + F.col("w")).alias(f"{k}x1"), (F.col("y0") + F.col("h")).alias(f"{k}y1"))
+    names = lambda k: tuple(f"{k}{c}" for c in ("x0", "y0", "x1", "y1"))
+    found = quadtree.box_join(side("l").where("l_id % 11 = 0"), side("r"), names("l"), names("r"))
+    return found.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"), F.min("r_id").alias("first_id"), F.max("r_id").alias("last_id"))
 
 
 @query("spatial_join_exact", "SELECT region_id, c_custkey AS feature_index FROM customer, (VALUES ('low', 0, 8, -500, 2500), ('high', 6, 20, 2000, 9000)) r(region_id, x0, x1, y0, y1) WHERE c_nationkey BETWEEN x0 AND x1 AND c_acctbal BETWEEN y0 AND y1")
 def spatial_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda a, b, c, d: {"type": "Polygon", "coordinates": [[[a, c], [b, c], [b, d], [a, d], [a, c]]]}
     regions = g.region_table(spark, {"low": box(0.0, 8.0, -500.0, 2500.0), "high": box(6.0, 20.0, 2000.0, 9000.0)})
-    return g.spatial_join(regions, features(spark, sf_dir), 500.0)
+    return g.spatial_join(regions, features(spark, sf_dir))

@@ -78,3 +78,13 @@ def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = p.profile_lines(_events(spark, sf_dir), RECIPE)
     height = F.aggregate(F.transform("line", lambda x: x["height"]), F.lit(0.0), lambda a, b: a + b)
     return lines.select("trajectory", "profile", F.col("points").cast("long").alias("points"), F.col("line")[0]["row"].alias("first_row"), F.element_at("line", -1)["row"].alias("last_row"), rnd(height).alias("height"))
+
+
+@query("trajectory_segments", _FLAGS + """, n AS (SELECT *, row_number() OVER (PARTITION BY trajectory ORDER BY row) - 1 AS i FROM f WHERE qc_accepted AND valid),
+    s AS (SELECT *, i // 7 AS segment FROM n UNION ALL SELECT *, i // 7 - 1 FROM n WHERE i % 7 = 0 AND i > 0)
+    SELECT trajectory, CAST(segment AS INTEGER) AS segment, count(*) AS points, min(row) AS first_row, max(row) AS last_row, round(sum(vertical), 4) AS total FROM s GROUP BY 1, 2 HAVING count(*) >= 2""")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in segments of seven edges."""
+    lines = p.trajectory_lines(_events(spark, sf_dir), RECIPE, 7)
+    total = F.aggregate(F.transform("line", lambda x: x["latitude"]), F.lit(0.0), lambda a, b: a + b)
+    return lines.select("trajectory", "segment", F.col("points").cast("long").alias("points"), F.col("line")[0]["row"].alias("first_row"), F.element_at("line", -1)["row"].alias("last_row"), rnd(total).alias("total"))

@@ -177,5 +177,50 @@ def test_inventory_and_suggestions_of_all_kinds(spark):
         views = c.suggest_views(asked, 50, "asked" if "asked" in asked.columns else None).collect()
         assert {tuple(r[x] for x in columns) for r in views} == want and len(views) == len(want) == len({r["suggestion_id"] for r in views})
     assert [r["kind"] for r in c.suggest_views(inventory, 3).collect()] == ["cloud_and_cube"] * 3
+    reasons = {(r["dataset_id"], r["other_id"]): (r["reason"], r["unresolved"]) for r in c.suggest_views(inventory, 50).where("kind = 'cloud_and_cube'").collect()}
+    assert reasons == {("p", "c"): (None, False), ("p", "far"): ("no_overlap", True), ("c", "far"): ("no_common_crs", True)}
     none = c.scientific_inventory(fields.where("false"), others=[x.where("false") for x in others])
     assert c.suggest_views(none).count() == 0
+
+
+PLACED = "dataset_id string, {} string, crs string, min_x double, min_y double, max_x double, max_y double"
+
+
+def _inventory(spark, clouds, cubes):
+    arrays = spark.createDataFrame(cubes, PLACED.format("array_path") + ", linkable boolean").withColumn("axis_names", F.array(*map(F.lit, ("band", "y", "x"))))
+    parts = c.union_components(c.cloud_components(spark.createDataFrame(clouds, PLACED.format("path"))), c.array_components(arrays))
+    return parts.withColumn("qc_field", F.lit(None).cast("string"))
+
+
+def test_all_exact_pairs_are_ranked_before_the_cut(spark):
+    """14 clouds and 14 cubes, of which the last two of each overlap."""
+    at = lambda i, far: (float(100 * i + far), 0.0, float(100 * i + far + 10), 10.0)
+    clouds = [(f"p{i:02}", "a", "EPSG:1", *at(i, 0)) for i in range(14)]
+    cubes = [(f"q{i:02}", "/a", "EPSG:1", *at(i, 0 if i >= 12 else 50), True) for i in range(14)]
+    for group in (None, "asked"):
+        inventory = _inventory(spark, clouds, cubes)
+        views = c.suggest_views(inventory.withColumn("asked", F.lit(1)) if group else inventory, 12, group).collect()
+        assert len(views) == 12 and sorted((r["dataset_id"], r["other_id"]) for r in views if r["link"] == "exact") == [("p12", "q12"), ("p13", "q13")]
+        assert {r["reason"] for r in views if r["link"] == "unavailable"} == {"no_overlap"}
+
+
+def test_each_component_has_its_suggestion(spark):
+    clouds = [("p", f"{i}.las", None, None, None, None, None) for i in range(3)]
+    views = c.suggest_views(_inventory(spark, clouds, [("q", "/a", "EPSG:1", 0.0, 0.0, 1.0, 1.0, False), ("q", "/b", "EPSG:1", 0.0, 0.0, 1.0, 1.0, None)]), 50).collect()
+    kinds = [r["kind"] for r in views]
+    assert (kinds.count("point_cloud"), kinds.count("composite_and_spectrum"), kinds.count("cloud_and_cube")) == (3, 2, 6)
+    assert len({r["suggestion_id"] for r in views}) == len(views)
+
+
+def test_boxes_that_touch_are_no_exact_link(spark):
+    """As register_point_cube has it, too."""
+    cloud, cube = ("p", "a", "EPSG:1", 0.0, 0.0, 5.0, 5.0), ("q", "/a", "EPSG:1", 5.0, 0.0, 9.0, 5.0, True)
+    view = c.suggest_views(_inventory(spark, [cloud], [cube]), 12).where("kind = 'cloud_and_cube'").first()
+    assert (view["link"], view["reason"]) == ("unavailable", "no_overlap")
+
+
+def test_pairs_come_from_all_datasets_in_turn(spark):
+    """Many cubes of the cloud's own dataset do not hide the one of another."""
+    cubes = [("a", f"/{i:03}", "EPSG:1", 0.0, 0.0, 1.0, 1.0, True) for i in range(60)] + [("z", "/a", "EPSG:2", 0.0, 0.0, 1.0, 1.0, True)]
+    views = c.suggest_views(_inventory(spark, [("a", "1.las", "EPSG:1", 0.0, 0.0, 1.0, 1.0)], cubes), 12).where("kind = 'cloud_and_cube'").collect()
+    assert [(r["other_id"], r["reason"]) for r in views] == [("z", "no_common_crs")]

@@ -94,9 +94,8 @@ def test_spatial_join_equals_all_pairs(spark):
     pts = [(i, POINT(r.uniform(0, 25), r.uniform(0, 25))) for i in range(150)]
     feats = g.with_boxes(spark.createDataFrame([(i, bytearray(g.to_wkb(q))) for i, q in pts], "feature_index long, geometry binary"))
     want = {(k, i) for k, a in shapes.items() for i, q in pts if g.intersects(g.geojson_parts(a), g.geojson_parts(q))}
-    for cell in (1.0, 4.0, 100.0):
-        got = [tuple(x) for x in g.spatial_join(g.region_table(spark, shapes), feats, cell).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [tuple(x) for x in g.spatial_join(g.region_table(spark, shapes), feats).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_features(spark):
