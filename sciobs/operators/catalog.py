@@ -196,6 +196,59 @@ def with_crc32c(objects: DataFrame, content: str = "content") -> DataFrame:
     return objects.withColumn("crc32c", digest(content))
 
 
+#: x^8 modulo the polynomial, of reflected registers (where x^0 is the highest bit): one zero byte.
+_ONE_BYTE = 1 << 23
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two reflected registers modulo the Castagnoli polynomial."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ (0x82F63B78 if b & 1 else 0)
+    return out
+
+
+@lru_cache
+def _zero_bytes(n: int) -> int:
+    """x^(8 n): what n zero bytes multiply a register by."""
+    out, square = 1 << 31, _ONE_BYTE
+    while n:
+        if n & 1:
+            out = _times(out, square)
+        square = _times(square, square)
+        n >>= 1
+    return out
+
+
+def crc32c_shift(crc: int, after: int) -> int:
+    """What a part's CRC-32C adds to the sum of a whole in which ``after`` bytes follow the part; sums of all parts are put together by exclusive or."""
+    return _times(_zero_bytes(after), crc)
+
+
+def crc32c_of_ranges(ranges: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """keys, size and crc32c of objects given in ranges (keys, size of the whole, offset, content), in any order and any tasks.
+
+    Each task shifts the sum of its range by the bytes behind it; sums meet as one number a task. ``crc32c`` is null where the ranges do
+    not add up to the size: one is missing, repeated or null. Ranges of no bytes count for nothing."""
+
+    @F.pandas_udf("long")
+    def part(content: pd.Series, after: pd.Series) -> pd.Series:
+        raw = [bytes(b) if b is not None else b"" for b in content]
+        return pd.Series([crc32c_shift(c, int(n)) if b and n >= 0 else 0 for b, c, n in zip(raw, crc32c(raw), after.fillna(-1), strict=True)])
+
+    length = F.octet_length("content").cast("long")
+    after = F.col("size") - F.col("offset") - length
+    rows = ranges.select(*keys, "size", "offset", length.alias("__length"), part("content", after).alias("__crc"))
+    # bytes and their places add up: no range is there twice in place of another
+    held = rows.groupBy(*keys, "size").agg(
+        F.bit_xor("__crc").alias("__crc"), F.sum("__length").alias("__bytes"), F.sum(F.col("__length").cast("decimal(38,0)") * (2 * F.col("offset") + F.col("__length"))).alias("__places"), F.count_if(F.col("__length").isNull()).alias("__nulls"),
+    )
+    whole = (F.col("__bytes") == F.col("size")) & (F.col("__places") == F.col("size").cast("decimal(38,0)") * F.col("size")) & (F.col("__nulls") == 0)
+    return held.select(*keys, "size", F.when(whole, F.col("__crc")).alias("crc32c"))
+
+
 def verify_checksums(objects: DataFrame, expected: DataFrame) -> DataFrame:
     """objects (path, size, md5, crc32c long), expected (path, size, algorithm, checksum text): (path, status ok, mismatch, unsupported or missing).
 
@@ -211,12 +264,21 @@ def verify_checksums(objects: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def fingerprint_files(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """files (path, content): SHA-256 of each; with keys, one digest of each set in path order."""
+    """files (path, content): SHA-256 of each; with keys, one digest of each set, whatever the order of its files.
+
+    A set's digest is a tree: files' lines (path:digest) are sorted and hashed within the 65,536 buckets of the first four digits of their
+    path's SHA-256, buckets within the 256 groups of the first two, groups and the number of files at the root. So a set of any size is hashed in many tasks.
+    """
     each = files.select(*keys, "path", F.sha2("content", 256).alias("digest"))
     if not keys:
         return each
-    line = F.concat_ws(":", "path", "digest")
-    return each.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"), F.lit("sha256").alias("algorithm"))
+    together = lambda lines: F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(lines))), 256).alias("digest")
+    files_in = F.sum("__files").alias("__files")
+    bucket = F.substring(F.sha2(F.col("path").cast("string"), 256), 1, 4)
+    buckets = each.groupBy(*keys, bucket.alias("__bucket")).agg(together(F.concat_ws(":", "path", "digest")), F.count(F.lit(1)).alias("__files"))
+    groups = buckets.groupBy(*keys, F.substring("__bucket", 1, 2).alias("__group")).agg(together(F.concat_ws(":", "__bucket", "digest")), files_in)
+    roots = groups.groupBy(*keys).agg(together(F.concat_ws(":", "__group", "digest")), files_in)
+    return roots.select(*keys, F.sha2(F.concat_ws("\n", F.col("__files").cast("string"), "digest"), 256).alias("digest"), F.lit("sha256").alias("algorithm"))
 
 
 # ---- provider documents

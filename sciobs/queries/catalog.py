@@ -39,7 +39,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.fingerprint_files(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
 
 
-@query("fingerprint_sets", "SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT source, lpad(CAST(doc_id AS VARCHAR), 9, '0') || ':' || sha256(text) AS line FROM documents) GROUP BY source")
+@query("fingerprint_sets", """WITH l AS (SELECT source, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, sha256(text) AS digest FROM documents),
+    b AS (SELECT source, substr(sha256(path), 1, 4) AS bucket, sha256(string_agg(path || ':' || digest, chr(10) ORDER BY path || ':' || digest)) AS digest, count(*) AS files FROM l GROUP BY 1, 2),
+    g AS (SELECT source, substr(bucket, 1, 2) AS part, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS digest, sum(files) AS files FROM b GROUP BY 1, 2)
+    SELECT source, sha256(CAST(sum(files) AS BIGINT) || chr(10) || sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part))) AS digest FROM g GROUP BY source""")
 def fingerprint_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("text").cast("binary").alias("content"))
     return c.fingerprint_files(files, ["source"]).select("source", "digest")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import science as h
 from ..operators import arrays as a
 from ..operators import catalog as c
-from .common import Registry, read
+from .common import Registry, crc_sql, read
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -165,14 +166,44 @@ def resource(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("dataset_id", F.array_join("modalities", ",").alias("modalities"), F.size("variables").cast("long").alias("n_variables"), ring[2][1].alias("north"))
 
 
-@query("crc32c", "SELECT count(*) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 2 = 1")
+CASTAGNOLI = 0x82F63B78
+_CRC = "WITH " + crc_sql("(SELECT doc_id AS r, encode(coalesce(text, '')) AS content FROM documents)", CASTAGNOLI)
+#: Public test vectors of CRC-32C: the check value, and those of 32 bytes of zeros, ones, and numbers up and down.
+VECTORS = {"313233343536373839": 0xE3069283, "00" * 32: 0x8A9136AA, "FF" * 32: 0x62A8AB43, bytes(range(32)).hex().upper(): 0x46DD794E, bytes(range(31, -1, -1)).hex().upper(): 0x113FDB5C}
+
+
+@query("crc32c", _CRC + " SELECT r AS path, crc AS crc32c, 'ok' AS status FROM crcs")
 def crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's whole text as an object: its CRC-32C, given in hexadecimal or decimal, is verified. The sums themselves are tested against the definition."""
+    """Every document's whole text as an object: its CRC-32C, and whether it is the one given in hexadecimal or decimal."""
     objects = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     objects = c.with_crc32c(objects.withColumns({"size": F.octet_length("content").cast("long"), "md5": F.md5("content")})).drop("content")
     text = F.when(F.col("path") % 2 == 0, F.lower(F.hex("crc32c"))).otherwise(F.col("crc32c").cast("string"))
     expected = objects.select("path", "size", F.lit("crc32c").alias("algorithm"), F.when(F.col("path") % 2 == 0, F.lpad(text, 8, "0")).otherwise(text).alias("checksum"))
-    return c.verify_checksums(objects, expected).where("status = 'ok'").agg(F.count(F.lit(1)).alias("n"))
+    return c.verify_checksums(objects, expected).join(objects.select("path", "crc32c"), "path").select("path", "crc32c", "status")
+
+
+@query("crc32c_of_ranges", _CRC + " SELECT r AS path, crc AS crc32c FROM crcs")
+def crc32c_of_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text in ranges of 700 bytes, summed apart and put together."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("whole"))
+    size = F.octet_length("whole").cast("long")
+    ranges = docs.withColumns({"size": size, "offset": F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(size - 1, F.lit(0)), F.lit(700).cast("long")))})
+    ranges = ranges.withColumn("content", F.substring(F.col("whole"), F.col("offset").cast("int") + 1, F.lit(700))).drop("whole")
+    return c.crc32c_of_ranges(ranges).select("path", "crc32c")
+
+
+@query("crc32c_vectors", "SELECT hex, crc FROM (VALUES " + ", ".join(f"('{h}', {v})" for h, v in VECTORS.items()) + ") v(hex, crc), (SELECT count(*) AS n FROM documents) WHERE n > 0")
+def crc32c_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public test vectors, each behind one half of every document's bytes and without them: exclusive or with the shifted sum of what stands before gives the vector's own."""
+    vectors = F.explode(F.array(*map(F.lit, VECTORS))).alias("hex")
+    docs = read(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).cast("binary").alias("before"), "doc_id", vectors).withColumn("content", F.unhex("hex"))
+
+    @F.pandas_udf("long")
+    def own(before: pd.Series, whole: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([x ^ c.crc32c_shift(b, int(k)) for b, x, k in zip(before, whole, n, strict=True)])
+
+    sums = c.with_crc32c(c.with_crc32c(docs.withColumn("both", F.concat("before", "content")), "before").withColumnRenamed("crc32c", "crc_before"), "both")
+    return sums.select("hex", own("crc_before", "crc32c", F.octet_length("content")).alias("crc")).distinct()
 
 
 _BOUNDS = "min({0}_{1}key) AS min_x, max({0}_{1}key) AS max_x, min({0}_acctbal) AS min_y, max({0}_acctbal) AS max_y"

@@ -163,6 +163,38 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+#: Bytes of a file that one row holds.
+RANGE_BYTES = 32 << 20
+
+
+def read_file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, size, offset, content: files of any length in ranges of at most ``range_bytes``, read by the tasks. Spark lists no files without bytes.
+
+    Names and sizes come from Spark's listing (a file, a folder or a pattern). Tasks open ranges with Arrow's file systems, so
+    the place must be one that both know: a shared folder, HDFS or an object store. A file that has become shorter is an error."""
+    if range_bytes < 1:
+        raise SpecError("a range has at least one byte")
+    listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    wanted = listed.withColumn("offset", F.explode(starts)).repartition("path", "offset")
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                store, name = fs.FileSystem.from_uri(row.path if "://" in row.path else row.path.replace("file:", "file://", 1))
+                want = int(min(range_bytes, row.size - row.offset))
+                with store.open_input_file(name) as file:
+                    file.seek(int(row.offset))
+                    content = file.read(want)
+                if len(content) != want:
+                    raise OSError(f"{row.path} ends before {row.size} bytes")
+                yield pd.DataFrame({"path": [row.path], "size": [row.size], "offset": [row.offset], "content": [content]})
+
+    return wanted.mapInPandas(fetch, "path string, size long, offset long, content binary")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this library's own through Spark's file access."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

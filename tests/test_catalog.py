@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sciobs.functions import science as h
 from sciobs.operators import catalog as c
+from sciobs.plans.spec import SpecError
 
 
 def value(spark, column):
@@ -224,3 +225,54 @@ def test_pairs_come_from_all_datasets_in_turn(spark):
     cubes = [("a", f"/{i:03}", "EPSG:1", 0.0, 0.0, 1.0, 1.0, True) for i in range(60)] + [("z", "/a", "EPSG:2", 0.0, 0.0, 1.0, 1.0, True)]
     views = c.suggest_views(_inventory(spark, [("a", "1.las", "EPSG:1", 0.0, 0.0, 1.0, 1.0)], cubes), 12).where("kind = 'cloud_and_cube'").collect()
     assert [(r["other_id"], r["reason"]) for r in views] == [("z", "no_common_crs")]
+
+
+def test_public_vectors_of_crc32c():
+    from sciobs.queries.metadata import VECTORS
+
+    assert {h: c.crc32c([bytes.fromhex(h)])[0] for h in VECTORS} == VECTORS
+
+
+def test_sums_of_ranges_are_sums_of_wholes(spark):
+    """In any order of ranges of any lengths; a missing, repeated or null range gives no sum."""
+    import random
+
+    r, rows, want = random.Random(8), [], {}
+    for i, n in enumerate([0, 1, 3, 4, 5, 255, 256, 257, 5000, 70_001]):
+        raw, at = r.randbytes(n), 0
+        want[i] = c.crc32c([raw])[0]
+        rows += [(i, n, 0, bytearray())] if n == 0 else []
+        while at < n:
+            size = min(n - at, r.choice([1, 7, 300, 9000]))
+            rows.append((i, n, at, bytearray(raw[at : at + size])))
+            at += size
+    r.shuffle(rows)
+    bad = [(100, 4, 0, bytearray(b"ab")), (101, 4, 0, bytearray(b"ab")), (101, 4, 0, bytearray(b"ab")), (102, 2, 0, bytearray(b"ab")), (102, 2, 2, None), (103, 4, 2, bytearray(b"abc")), (103, 4, 1, bytearray(b"a"))]
+    got = c.crc32c_of_ranges(spark.createDataFrame(rows + bad, "path long, size long, offset long, content binary").repartition(5))
+    assert {x["path"]: x["crc32c"] for x in got.collect()} == want | {i: None for i in (100, 101, 102, 103)}
+
+
+def test_files_in_ranges(spark, tmp_path):
+    """A file of many ranges, read by several tasks, has the sum of the whole; files without bytes are not listed."""
+    import random
+
+    from sciobs.sources.files import read_file_ranges
+
+    raw = random.Random(1).randbytes(100_003)
+    (tmp_path / "a.bin").write_bytes(raw)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        ranges = read_file_ranges(spark, path, 4096)
+        assert ranges.count() == 25 and ranges.select(F.spark_partition_id()).distinct().count() > 1
+        got = {x["path"].rpartition("/")[2]: (x["size"], x["crc32c"]) for x in c.crc32c_of_ranges(ranges).collect()}
+        assert got == {"a.bin": (len(raw), c.crc32c([raw])[0])}
+    with pytest.raises(SpecError):
+        read_file_ranges(spark, str(tmp_path), 0)
+
+
+def test_digests_of_sets_tell_sets_apart(spark):
+    rows = [(k, f"{i}.txt", bytearray(f"{k if i == 3 else ''}{i}".encode())) for k in ("a", "b") for i in range(400)] + [("c", "0.txt", bytearray(b"0"))]
+    files = spark.createDataFrame(rows, "k string, path string, content binary")
+    got = {r["k"]: r["digest"] for r in c.fingerprint_files(files, ["k"]).collect()}
+    again = {r["k"]: r["digest"] for r in c.fingerprint_files(files.orderBy(F.rand(1)), ["k"]).collect()}
+    assert got == again and len(set(got.values())) == 3
