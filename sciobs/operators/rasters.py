@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,31 +107,67 @@ def band_image(pixels: DataFrame, band: int, rows: int, cols: int, max_edge: int
     return plane.select((F.col("row") / sy).cast("long").alias("y"), (F.col("col") / sx).cast("long").alias("x"), "value")
 
 
-def rank_percentiles(df: DataFrame, value: str = "value", low: int = 2, high: int = 98, no_data: float | None = None, parts: int | None = None) -> DataFrame:
-    """(low, high): values at the whole ranks (n - 1) * percent / 100 of valid values; equal ones give low + 1.
+#: Bits of a key that a pass of the selection decides.
+RADIX_BITS = 16
 
-    Two passes without a global sort: values are counted, ranges of values are
-    added up, and only the ranges that hold the ranks are looked into.
+
+def order_key(value: Column) -> Column:
+    """A long in the order of doubles, which are not null: the bits of a number, those of negative ones turned over. 0 and -0 are equal."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def key_value(key: int) -> float:
+    """The double that has this key."""
+    return float(np.array(key ^ (2**63 - 1) if key < 0 else key, np.int64).view(np.float64))
+
+
+def select_ranks(values: DataFrame, value: str, ranks: Callable[[int], Sequence[int]]) -> list[float]:
+    """The values at ranks (from 0) of all values that are not null; ``ranks`` makes them of the number of values. Nothing without values.
+
+    Radix selection: each pass counts at most 2^RADIX_BITS buckets of the keys that begin as the wanted ones do, and goes on in the
+    bucket that holds a rank. Values are read again for each pass, but neither sorted nor exchanged: tasks send counts.
     """
-    v = df.select(valid_value(F.col(value), no_data).alias("v")).where("v is not null")
-    counted = v.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
-    within = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-    # one row a part
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("all"))
-    before = totals.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("all").over(Window.partitionBy()).alias("total"))
-    placed = within.join(F.broadcast(before), "part").withColumn("end", F.col("before") + F.col("upto"))
-    rank = lambda p: F.floor((F.col("total") - 1) * p / 100)
-    at = lambda p: F.max(F.when((rank(p) < F.col("end")) & (rank(p) >= F.col("end") - F.col("n")), F.col("v")))
-    found = placed.agg(at(low).alias("low"), at(high).alias("high"))
-    return found.select("low", F.when(F.col("high") > F.col("low"), F.col("high")).otherwise(F.col("low") + 1).alias("high"))
+    keys, wanted = values.where(F.col(value).isNotNull()).select(order_key(F.col(value)).alias("key")), None
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        rows = keys if wanted is None else keys.where(F.shiftright("key", shift + RADIX_BITS).isin(sorted({w[0] for w in wanted})))
+        counts = rows.groupBy(F.shiftright("key", shift).alias("bucket")).agg(F.count("*").alias("n")).collect()
+        buckets = sorted((r["bucket"], r["n"]) for r in counts)
+        if wanted is None:
+            total = sum(n for _, n in buckets)
+            if not total:
+                return []
+            asked = list(ranks(total))
+            wanted = [(None, r) for r in asked]
+        followed = []
+        for prefix, rank in wanted:
+            for bucket, n in buckets:
+                if prefix is not None and bucket >> RADIX_BITS != prefix:
+                    continue
+                if rank < n:
+                    followed.append((bucket, rank))
+                    break
+                rank -= n
+        wanted = followed
+    return [key_value(k) for k, _ in wanted]
+
+
+def rank_percentiles(df: DataFrame, value: str = "value", low: int = 2, high: int = 98, no_data: float | None = None) -> DataFrame:
+    """(low, high): values at the whole ranks (n - 1) * percent / 100 of valid values; equal ones give low + 1, no values give nulls. See select_ranks()."""
+    v = df.select(valid_value(F.col(value), no_data).alias("v"))
+    ends = select_ranks(v, "v", lambda n: [(n - 1) * p // 100 for p in (low, high)])
+    a, b = ends if ends else (None, None)
+    if ends and b <= a:
+        b = a + 1
+    return df.sparkSession.range(1).select(F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"))
 
 
 def rgb_composite(pixels: DataFrame, bands: tuple[int, int, int], rows: int, cols: int, no_data: float | None = None, max_edge: int = 1024) -> DataFrame:
     """(y, x, r, g, b) with one stretch for the three bands together."""
-    planes = [band_image(pixels, b, rows, cols, max_edge).withColumn("channel", F.lit(c)) for b, c in zip(bands, "rgb", strict=True)]
-    together = planes[0].unionByName(planes[1]).unionByName(planes[2])
+    sy, sx = -(-rows // max_edge), -(-cols // max_edge)
+    channels = F.array_compact(F.array(*(F.when(F.col("band") == b, c) for b, c in zip(bands, "rgb", strict=True))))  # a band may serve several
+    seen = pixels.where(F.col("band").isin(*bands) & (F.col("row") % sy == 0) & (F.col("col") % sx == 0))
+    together = seen.select((F.col("row") / sy).cast("long").alias("y"), (F.col("col") / sx).cast("long").alias("x"), "value", F.explode(channels).alias("channel"))
     stretch = rank_percentiles(together, no_data=no_data)
     levels = together.crossJoin(F.broadcast(stretch)).withColumn("level", stretch_u8(valid_value(F.col("value"), no_data), F.col("low"), F.col("high")))
     return levels.groupBy("y", "x").pivot("channel", list("rgb")).agg(F.first("level"))

@@ -103,7 +103,10 @@ def bounded_limit(df: DataFrame, n: int) -> DataFrame:
 
 @dataclass
 class TableResult:
-    """A result and the facts about it; counting is left to the caller of facts()."""
+    """A result and the facts about it; counting is left to the caller of facts().
+
+    facts() reads the source once: a result that is not grouped has as many rows as match, up to its limit, and
+    of a grouped one the groups are counted with their rows."""
 
     data: DataFrame
     matched: DataFrame
@@ -111,7 +114,12 @@ class TableResult:
     deterministic_order: bool
 
     def facts(self) -> dict:
-        returned, matched = self.data.count(), self.matched.first()["matched_rows"]
+        if self.grouped:
+            groups, matched = self.groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+            returned = min(groups, self.limit)
+        else:
+            matched = self.matched.first()["matched_rows"]
+            returned = min(matched, self.limit)
         schema = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in self.data.schema]
         return {
             "columns": self.data.columns, "schema": schema, "returned_rows": returned, "matched_rows": matched,
@@ -119,6 +127,8 @@ class TableResult:
         }
 
     grouped: bool = False
+    #: Of a grouped result: its groups with the numbers of their rows.
+    groups: DataFrame | None = None
 
 
 def table_query(df: DataFrame, q: TableQuery) -> TableResult:
@@ -131,7 +141,7 @@ def table_query(df: DataFrame, q: TableQuery) -> TableResult:
     made = group_aggregate(rows, q.group_by, q.aggregates) if q.aggregates else rows
     ordered = order_by(made, q.order_by)
     data = bounded_limit(ordered if q.aggregates else project(ordered, q.select), q.limit)
-    return TableResult(data, matched_count(df, q.filters), max(1, min(q.limit, MAX_RESULT_ROWS)), bool(q.order_by) or bool(q.aggregates) and not q.group_by, bool(q.aggregates))
+    return TableResult(data, matched_count(df, q.filters), max(1, min(q.limit, MAX_RESULT_ROWS)), bool(q.order_by) or bool(q.aggregates) and not q.group_by, bool(q.aggregates), rows.groupBy(*q.group_by).agg(F.count(F.lit(1)).alias("__rows")) if q.aggregates else None)
 
 
 def preview(df: DataFrame, limit: int, index: str = "source_index") -> DataFrame:

@@ -165,6 +165,8 @@ def write_small(spark: SparkSession, path: str, text: str) -> None:
 
 #: Bytes of a file that one row holds.
 RANGE_BYTES = 32 << 20
+#: Tasks that read ranges, at most.
+MAX_TASKS = 100_000
 
 
 def read_file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -176,7 +178,9 @@ def read_file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BY
         raise SpecError("a range has at least one byte")
     listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    wanted = listed.withColumn("offset", F.explode(starts)).repartition("path", "offset")
+    many = listed.agg(F.sum(F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)))).first()[0] or 1
+    # a given number: rows of the listing are small, and would be put together by their size
+    wanted = listed.withColumn("offset", F.explode(starts)).repartition(min(int(many), MAX_TASKS), "path", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs

@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,11 +79,12 @@ def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEF
     spark, began = df.sparkSession, time.time()
     result_id = f"result-{uuid.uuid4().hex[:16]}"
     where = f"{root.rstrip('/')}/data/{result_id}"
-    df.write.parquet(where)
+    seen = Observation()  # rows and checksum are added up by the job that writes
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), table_checksum(df).alias("checksum")).write.parquet(where)
     written = spark.read.parquet(where)
     sortable = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     written.orderBy(*order, *sortable).limit(preview_rows).write.parquet(f"{root.rstrip('/')}/preview/{result_id}")
-    rows, checksum = written.agg(F.count(F.lit(1)).alias("rows"), table_checksum(written)).first()
+    rows, checksum = seen.get["rows"], seen.get["checksum"]
     write_small(spark, f"{root.rstrip('/')}/provenance/{result_id}/ro-crate-metadata.json", json.dumps(provenance(result_id, query, rows, checksum, df.schema, sources), indent=1))
     row = spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(checksum).alias("checksum"))
     row.select(F.lit(result_id).alias("result_id"), F.lit(query).alias("query"), "rows", "checksum", F.lit(int((time.time() - began) * 1000)).cast("long").alias("elapsed_ms"), F.current_timestamp().alias("created_at"), F.lit(df.schema.json()).alias("schema")).write.mode("append").parquet(f"{root.rstrip('/')}/results")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sciobs.operators import arrays as a
 from sciobs.operators import rasters as r
 from sciobs.plans.spec import Affine, AxisRange, Box, SpecError
@@ -108,7 +110,25 @@ def test_percentiles_by_rank(spark, parts):
 
     values = [random.Random(3).choice([0.0, 1.0, 2.5, 7.0, 9.0]) for _ in range(3)] + [random.Random(k).gauss(0, 1) for k in range(331)]
     s = sorted(values)
-    got = r.rank_percentiles(spark.createDataFrame([(v,) for v in values + [float("nan"), -9999.0]] + [(None,)], "value double"), no_data=-9999.0, parts=parts).first()
+    got = r.rank_percentiles(spark.createDataFrame([(v,) for v in values + [float("nan"), -9999.0]] + [(None,)], "value double").repartition(parts), no_data=-9999.0).first()
     assert (got["low"], got["high"]) == (s[(len(s) - 1) * 2 // 100], s[(len(s) - 1) * 98 // 100])
     flat = r.rank_percentiles(spark.createDataFrame([(4.0,)] * 5, "value double")).first()
     assert (flat["low"], flat["high"]) == (4.0, 5.0)
+
+
+def test_ranks_by_radix_selection(spark):
+    """Against a sort: negative numbers, both zeros, ties, extremes, nulls; and without an exchange of values."""
+    import random
+
+    from sciobs.operators import rasters
+
+    r = random.Random(6)
+    rows = [r.choice([r.uniform(-5, 5), float(r.randrange(-3, 3)), -0.0, 10 ** r.uniform(-300, 300), -(10 ** r.uniform(-300, 300)), 5e-324, -1.7e308]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in rows] + [(None,)] * 9, "v double").repartition(5)
+    ranks = [0, 1, 60, 1500, 1500, 2940, 2999]
+    assert rasters.select_ranks(df, "v", lambda n: ranks) == [sorted(rows)[i] for i in ranks]
+    assert rasters.select_ranks(df.where("v is null"), "v", lambda n: ranks) == []
+    values = [(v,) for v in (0.0, -0.0, 1.0, -1.0, 2.5, -1e-300)]
+    keys = spark.createDataFrame(values, "v double").select("v", rasters.order_key(F.col("v")).alias("k")).collect()
+    assert all(rasters.key_value(x.k) == x.v for x in keys) and len({x.k for x in keys}) == 5
+    assert rasters.rank_percentiles(df.where("v is null"), "v").first() == (None, None)
