@@ -18,7 +18,7 @@ ALPHABETS = ("abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ",
 
 #: What is looked for, in this order where matches begin at the same place.
 PATTERNS = {
-    "secret": r"""(?<![A-Za-z0-9_-])(?i:[a-z_-]*(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[a-z_]*) ?[=:] ?"?(?=[^\s"]*[0-9])[^\s"]{8,}+""",
+    "secret": r"""(?<![A-Za-z0-9_-])(?i:[a-z_-]*(?:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[a-z_]*)"? ?[=:] ?"?(?=[^\s"]*[0-9])[^\s"]{8,}+|(?<![A-Za-z0-9_-])(?i:bearer) (?=[^\s"]*[0-9])[^\s"]{16,}+""",
     "cloud_key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-)[A-Za-z0-9_-]{20,}+|sk-[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
@@ -32,8 +32,8 @@ PATTERNS = {
 #: How country codes of phone numbers begin: one digit, two, or three.
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: No match without one of these characters.
-_MARKS = "[0-9@=:]"
+#: No match without one of these: a digit or a sign that all other patterns need, or how a bare key begins. A text without any is not searched.
+_MARKS = "[0-9@=:]|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|eyJ"
 KINDS = list(PATTERNS)
 
 
@@ -196,7 +196,7 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
 
 def _found(m: Column, key: str) -> Column:
     """struct(kind: null where the match is not valid, text: the pseudonym or the match)."""
-    label = F.regexp_extract(m, """^[A-Za-z_-]+ ?[=:] ?["']?""", 0)
+    label = F.regexp_extract(m, """^(?:(?i:bearer) |[A-Za-z_-]+"? ?[=:] ?["']?)""", 0)
     rest = F.substring(m, F.length(label) + 1, F.length(m))
     # signs stay, so those at the end belong to the sentence: a secret has one pseudonym with and without them
     value = F.regexp_replace(rest, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
@@ -210,7 +210,7 @@ def _found(m: Column, key: str) -> Column:
     ipv6_valid, ipv6 = _ipv6(m, key)
     iban_valid, iban = _iban(m, key)
     cases = [
-        ("secret", m.rlike(r'^[A-Za-z_-]+ ?[=:] ?"?.') & value.rlike("[0-9]") & ~m.rlike("^[0-9A-Fa-f:]+$"), secret), ("cloud_key", m.rlike("^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|eyJ)") & (at == 0), secret),
+        ("secret", m.rlike(r'^(?:(?i:bearer) |[A-Za-z_-]+"? ?[=:] ?"?.)') & value.rlike("[0-9]") & ~m.rlike("^[0-9A-Fa-f:]+$"), secret), ("cloud_key", m.rlike("^(AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|eyJ)") & (at == 0), secret),
         ("email", at > 0, email), ("ip", m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _ip(m, key)), ("ipv6", m.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & ipv6_valid, ipv6),
         ("date", m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4})$") & day.isNotNull(), date), ("ssn", m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ssn_valid, ssn),
         ("phone", m.rlike(r"^(\+|\()|^[0-9]{3}([-. ])[0-9]{3}\2[0-9]{4}$"), _phone(m, key)), ("iban", m.rlike("^[A-Z]{2}[0-9]{2}") & iban_valid, iban), ("card", m.rlike("^[0-9 -]{13,}$") & F.call_function("luhn_check", _digits(m)), _card(m, key)),
@@ -233,7 +233,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     full). Country codes and the domains of mail addresses stay in clear. Phone
     numbers are found with ``+`` and 7 to 15 digits, or as three, three and four
     digits. A secret is the whole run without spaces and double quotes after its
-    label, in any case, or a bare key of a known form; as everywhere, only ASCII
+    label (which may be quoted, as in JSON), in any case, or after "Bearer", or a bare key of a known form; as everywhere, only ASCII
     letters and digits are replaced. Null texts stay null, with an empty map; an
     existing column ``private`` is replaced. Equal rows stay equal; texts of any length are read whole.
     """
