@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry
 from ..sources import datasources, files, results
+from ..sources.geojson_ranges import read_large_geojson
 from .common import Registry, read, scratch
 
 query = Registry()
@@ -39,6 +40,21 @@ def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", F.col("properties")["segment"].alias("segment"), F.col("min_x").alias("x"), F.col("min_y").alias("y"))
 
 
+@query("read_large_geojson", """SELECT c_custkey // 500 AS block, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) - 1 AS feature_index, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment || '"]}\\ ' || c_name AS segment, c_acctbal AS y FROM customer""")
+def large_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 500 customers as collections, with signs of JSON in their texts, read in ranges that cut features."""
+    path = scratch(spark, "collections")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal")).alias("coordinates"))
+    segment = F.concat("c_mktsegment", F.lit('"]}\\ '), "c_name")
+    feature = F.struct("c_custkey", F.struct(F.lit("Feature").alias("type"), F.col("c_custkey").alias("id"), F.struct(segment.alias("segment")).alias("properties"), point.alias("geometry")).alias("f"))
+    found = read(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("block")).agg(F.transform(F.array_sort(F.collect_list(feature)), lambda x: x["f"]).alias("features"))
+    other = F.array(F.struct(F.lit("no feature").alias("type")))
+    found.select("block", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), other.alias("others"), "features", other.alias("more")))).write.partitionBy("block").text(path)
+    back = read_large_geojson(spark, f"{path}/*/*", 2000)
+    block = F.regexp_extract("file_path", "block=([0-9]+)", 1).cast("long")
+    return back.select(block.alias("block"), "feature_index", "id", F.col("properties")["segment"].alias("segment"), F.col("min_y").alias("y"))
+
+
 @query("write_parquet_strings", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "strings")

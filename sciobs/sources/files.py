@@ -52,18 +52,30 @@ def read_parquet_indexed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("source_index"))
 
 
+FEATURE = "type string, id string, properties map<string,string>, geometry string"
+
+
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(file_path, feature_index, id, properties map, geometry WKB, boxes) of FeatureCollections, Features or geometries; with ``lines`` one Feature per line."""
+    """(file_path, feature_index, id, properties map, geometry WKB, boxes) of FeatureCollections, Features or geometries; with ``lines`` one Feature per line.
+
+    A file without ``lines`` is one value of one task; for collections beyond that see ``geojson_ranges.read_large_geojson``."""
     text = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file_path"))
     if lines:
         text = text.where(F.trim("value") != "")
-    feature = "type string, id string, properties map<string,string>, geometry string"
-    one = feature + ", features array<string>"
-    parsed = text.select("file_path", "value", F.from_json("value", one).alias("j"))
-    each = F.when(F.col("j.type") == "FeatureCollection", F.transform("j.features", lambda f: F.from_json(f, feature)))
+    parsed = text.select("file_path", "value", F.from_json("value", FEATURE + ", features array<string>").alias("j"))
+    each = F.when(F.col("j.type") == "FeatureCollection", F.transform("j.features", lambda f: F.from_json(f, FEATURE)))
     alone = F.when(F.col("j.type") == "Feature", F.struct(F.col("j.type").alias("type"), F.col("j.id").alias("id"), F.col("j.properties").alias("properties"), F.col("j.geometry").alias("geometry")))
     bare = F.struct(F.lit("Feature").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("map<string,string>").alias("properties"), F.col("value").alias("geometry"))
-    rows = parsed.select("file_path", F.posexplode(F.coalesce(each, F.array(F.coalesce(alone, bare)))).alias("feature_index", "f"))
+    return _shaped(parsed.select("file_path", F.posexplode(F.coalesce(each, F.array(F.coalesce(alone, bare)))).alias("feature_index", "f")))
+
+
+def feature_rows(texts: DataFrame) -> DataFrame:
+    """The rows of read_geojson() from the text of each Feature: (file_path, feature_index, text)."""
+    return _shaped(texts.select("file_path", "feature_index", F.from_json("text", FEATURE).alias("f")))
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    """Features (file_path, feature_index, f) with geometries as WKB and boxes."""
 
     @F.pandas_udf("geometry binary, min_x double, min_y double, max_x double, max_y double")
     def shapes(texts: pd.Series) -> pd.DataFrame:
@@ -178,9 +190,10 @@ def read_file_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BY
         raise SpecError("a range has at least one byte")
     listed = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
-    many = listed.agg(F.sum(F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)))).first()[0] or 1
+    size, many = listed.agg(F.sum("size"), F.sum(F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1)))).first()
+    tasks = max(1, min(int(many or 1), max(spark.sparkContext.defaultParallelism, -(-int(size or 0) // RANGE_BYTES), 1), MAX_TASKS))
     # a given number: rows of the listing are small, and would be put together by their size
-    wanted = listed.withColumn("offset", F.explode(starts)).repartition(min(int(many), MAX_TASKS), "path", "offset")
+    wanted = listed.withColumn("offset", F.explode(starts)).repartition(tasks, "path", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
