@@ -20,6 +20,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.spec import MAX_RESULT_ROWS, Box, SpecError
 from ..sources.files import read_small, remove_path, write_small
@@ -107,7 +108,8 @@ def build_point_octree(points: DataFrame, path: str, spacing: float, levels: int
     rows = rows.withColumns({"node": interleave(*nodes), "tile": interleave(*tiles)})
     laid = rows.repartitionByRange("level", "tile", "node", "source_index").sortWithinPartitions("level", "tile", "node", "source_index")
     laid.write.partitionBy("level", "tile").parquet(path)
-    write_small(spark, f"{path.rstrip('/')}/{_FILE}", json.dumps(asdict(tree)))
+    # the schema, too: a layout without points has no file to tell it
+    write_small(spark, f"{path.rstrip('/')}/{_FILE}", json.dumps({**asdict(tree), "schema": rows.schema.jsonValue()}))
     remove_path(spark, scratch)
     return tree
 
@@ -122,9 +124,15 @@ def open_point_octree(spark: SparkSession, path: str) -> Octree:
     return Octree(facts["spacing"], facts["levels"], tuple(facts["root"]))
 
 
+def octree_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a layout with their level, tile and node."""
+    facts = json.loads(read_small(spark, f"{path.rstrip('/')}/{_FILE}"))
+    return spark.read.schema(T.StructType.fromJson(facts["schema"])).parquet(path)
+
+
 def octree_nodes(spark: SparkSession, path: str) -> DataFrame:
     """level, node, points and the z range of every node that is not empty."""
-    return spark.read.parquet(path).groupBy("level", "node").agg(F.count("*").alias("points"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    return octree_rows(spark, path).groupBy("level", "node").agg(F.count("*").alias("points"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
 
 
 def _tiles(tree: Octree, level: int, box: Box) -> list[int] | None:
@@ -166,7 +174,7 @@ def leveled_points(spark: SparkSession, path: str, box: Box, resolution: float |
         # points without a coordinate lie in tile 0 of the last level, outside of every box
         wanted = wanted | ((F.col("level") == k) & own)
     inside = F.col("x").between(box.min_x, box.max_x) & F.col("y").between(box.min_y, box.max_y)
-    return spark.read.parquet(path).where((F.col("level") <= last) & wanted & inside).drop("tile", "node")
+    return octree_rows(spark, path).where((F.col("level") <= last) & wanted & inside).drop("tile", "node")
 
 
 def leveled_point_region(spark: SparkSession, path: str, box: Box, resolution: float | None = None, level: int | None = None, classes: Sequence[int] = (), z_min: float | None = None, z_max: float | None = None, limit: int = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
