@@ -27,9 +27,10 @@ from . import shared
 #: A line's key loses these at both ends.
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Batches of about sqrt(documents * UNIT) documents: their number grows with the root of the corpus, as does their size,
-#: because a batch is merged with all that came before it. A run of the next level is made of so many.
-UNIT, FANOUT = 5000, 3
+#: A batch holds about as many documents as all before it, since it is merged with all of them: runs are read less than once a
+#: document in all, and batches grow with the logarithm of the corpus. The first holds about UNIT, or a 2^(MAX_BATCHES - 1)th of all.
+#: A run of the next level is made of FANOUT.
+UNIT, MAX_BATCHES, FANOUT = 5000, 12, 3
 #: A key with at least this share of all (document, key) rows in one batch is joined by broadcast; there are at most 1 / share of them.
 HOT_SHARE = 0.001
 
@@ -74,9 +75,11 @@ class Runs:
         self.spark, self.least, self.fanout, self.levels = spark, least, fanout, [[]]
         self.buckets = shared.shuffle_partitions(spark)
         self.paths: list[str] = []
+        self.written: list[str] = []
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = shared.new_path(self.spark, "run")
+        self.written.append(path)
         name = path.rpartition("/")[2].replace("-", "_")
         rows.write.partitionBy("part").bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name, path
@@ -149,8 +152,11 @@ class Runs:
             shared.remove(self.spark, f"{path}/part=run")
 
     def close(self) -> None:
+        """Deletes every run and all marks."""
         for level in self.levels:
             self.drop(level)
+        for path in self.written:
+            shared.remove(self.spark, path)
 
 
 ROW_SCHEMA = "hash binary, n long, holder long, waiting array<int>, batch int"
@@ -158,10 +164,11 @@ ROW = "struct<part:string,hash:binary,n:bigint,holder:bigint,waiting:array<int>,
 
 
 def cut(docs: DataFrame, batches: int | None) -> list[int]:
-    """Ids, descending, at or below which the next batch begins; batches hold about equally many documents."""
+    """Ids, descending, at or below which the next batch begins; each batch holds about as many documents as all before it."""
     many = docs.count()
-    batches = batches or max(3, math.ceil(math.sqrt(many / UNIT)))
-    cuts = docs.select(shared.id_key().alias("id")).agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10 * batches).alias("c")).first()["c"] if batches > 1 else []
+    batches = batches or min(MAX_BATCHES, max(3, 1 + math.ceil(math.log2(max(many, 1) / UNIT))))
+    parts = [1 - 0.5**i for i in range(1, batches)]
+    cuts = docs.select(shared.id_key().alias("id")).agg(F.percentile_approx("id", parts, 10 * 2**batches).alias("c")).first()["c"] if parts else []
     return sorted(set(cuts or []), reverse=True)
 
 
@@ -178,6 +185,7 @@ def repeated_lines(hashes: DataFrame, batches: int, min_docs: int = MIN_DOCS, fa
         return shared.keep(runs.marks(), "line-marks")
     finally:
         runs.close()
+        shared.drop(counted)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:

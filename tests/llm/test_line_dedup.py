@@ -94,9 +94,34 @@ def test_without_the_join_the_result_is_another(spark, monkeypatch):
     assert run(spark, rows, batches=5) != brute(rows)
 
 
-def test_batches_grow_with_the_corpus(spark):
-    many = spark.range(40_000).withColumnRenamed("id", "doc_id")
-    assert len(line_dedup.cut(many, None)) == 2 and len(line_dedup.cut(many.unionByName(many).unionByName(many), None)) == 4
+def sizes(many, cuts):
+    """Rows of each batch of ids from 0 to many - 1."""
+    ends = [many - 1, *cuts, -1]
+    return [a - b for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@pytest.mark.parametrize("many, batches", [(2_000, 3), (40_000, 4), (160_000, 6), (900_000, 9)])
+def test_batches_double_so_runs_are_read_linearly(spark, many, batches):
+    """Every batch is merged with all that came before it; together that is less than the corpus once."""
+    held = sizes(many, line_dedup.cut(spark.range(many).withColumnRenamed("id", "doc_id"), None))
+    assert len(held) == batches and sum(held) == many
+    read = sum(sum(held[:k]) for k in range(len(held)))
+    assert read <= 1.1 * many
+    assert all(0.8 <= held[k] / sum(held[:k]) <= 1.25 for k in range(1, len(held)))
+
+
+def test_an_id_with_a_third_of_all_rows_is_in_one_batch(spark):
+    ids = spark.range(9_000).selectExpr("if(id % 3 = 0, 4500, id) AS doc_id")
+    cuts = line_dedup.cut(ids, 6)
+    assert cuts == sorted(set(cuts), reverse=True) and len(cuts) <= 5
+
+
+def test_nothing_but_its_inputs_is_left(spark, tmp_path, monkeypatch):
+    """Runs, marks and counts go when the lines to drop are written."""
+    monkeypatch.setattr(line_dedup.shared, "shared_dir", lambda spark: str(tmp_path))
+    assert run(spark, shared_lines(), batches=5, fanout=2) == brute(shared_lines())
+    assert sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == ["line-marks", "lines"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
 
 
 def test_sql_agrees_on_repeated_and_null_ids(spark):
