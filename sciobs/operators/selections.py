@@ -12,6 +12,7 @@ from ..functions.science import decode_sample, pick_envelope, world_to_pixel
 from ..plans.spec import Affine
 from .geometry import spatial_join
 from .intervals import interval_join
+from .pyramid import window_statistics
 
 
 def resolve_row_picks(picks: DataFrame, layers: DataFrame, data: DataFrame) -> DataFrame:
@@ -101,13 +102,10 @@ def resolve_point_picks(picks: DataFrame, layers: DataFrame, points: DataFrame,
     return exact.select("selection_id", "how", *points.columns).unionByName(near.select("selection_id", F.lit("envelope").alias("how"), *points.columns))
 
 
-def resolve_raster_selections(selections: DataFrame, pixels: DataFrame, affine: Affine, rows: int, cols: int, no_data: float | None = None) -> DataFrame:
+def resolve_raster_selections(selections: DataFrame, pixels: DataFrame, affine: Affine, rows: int, cols: int, no_data: float | None = None, pyramid: DataFrame | None = None) -> DataFrame:
     """selections (selection_id, min_x, min_y, max_x, max_y; nulls without world geometry) -> statistics of every band in each window.
 
-    Windows are joined by tiles of rows and columns, then exactly."""
-    from .rasters import valid_value
-
-    size = 64
+    Windows are covered by squares of a pyramid of sums, which ``raster_pyramid`` makes and may have stored; only pixels along their borders are read for them."""
     clip = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), c)).cast("long")
     window = selections.select(
         "selection_id", F.col("min_x").isNull().alias("__none"),
@@ -116,12 +114,7 @@ def resolve_raster_selections(selections: DataFrame, pixels: DataFrame, affine:
     )
     error = F.when(F.col("__none"), "no_world_geometry").when((F.col("c0") >= F.col("c1")) | (F.col("r0") >= F.col("r1")), "empty_window")
     window = window.withColumn("error", error)
-    tile = lambda c: F.floor(c / size).cast("long")
-    tiled = window.where("error is null").withColumn("__tr", F.explode(F.sequence(tile(F.col("r0")), tile(F.col("r1") - 1)))).withColumn("__tc", F.explode(F.sequence(tile(F.col("c0")), tile(F.col("c1") - 1))))
-    laid = pixels.withColumns({"__tr": tile(F.col("row")), "__tc": tile(F.col("col"))})
-    inside = (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r1")) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1"))
-    v = valid_value(F.col("value"), no_data)
-    stats = tiled.join(laid, ["__tr", "__tc"]).where(inside).groupBy("selection_id", "band").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"))
+    stats = window_statistics(window.where("error is null"), pixels, rows, cols, no_data, pyramid)
     bad = window.where("error is not null").select("selection_id", "error")
     return stats.unionByName(bad, allowMissingColumns=True)
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import selections as s
+from ..operators.pyramid import raster_pyramid, window_statistics
 from ..plans.spec import Affine
 from ..sources.files import read_parquet_indexed
 from .arrays import AFFINE, WIDTH, _rows, cells, pixels, wavelengths
-from .common import Registry, read, rnd, rounded
+from .common import Registry, read, rnd, rounded, scratch
 from .points import points
 
 query = Registry()
@@ -103,6 +104,21 @@ def raster_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("selection_id", "band", "count", "mean"), "mean", digits=6)
 
 
+@query("overlapping_raster_windows", """WITH px AS (SELECT vec_id // 4 AS row, i AS col, vec_id % 4 AS band, CAST(v AS DOUBLE) AS value FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, 64)) AS i FROM embeddings)),
+    n AS (SELECT max(row) + 1 AS rows FROM px), w AS (SELECT c_custkey AS selection_id, (c_custkey * 37) % rows AS r0, c_custkey % 50 AS h, (c_custkey * 11) % 60 AS c0, c_custkey % 40 AS w FROM customer, n)
+    SELECT selection_id, band, count(*) AS count, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM w JOIN px ON row BETWEEN r0 AND r0 + h AND col BETWEEN c0 AND c0 + w GROUP BY 1, 2""")
+def overlapping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window for every customer over one raster, whose pyramid is written first."""
+    rows = _rows(spark, sf_dir)
+    k = F.col("c_custkey")
+    r0, c0 = (k * 37) % rows, (k * 11) % 60
+    windows = read(spark, sf_dir, "customer").select(k.alias("selection_id"), r0.alias("r0"), F.least(r0 + k % 50 + 1, F.lit(rows)).alias("r1"), c0.alias("c0"), F.least(c0 + k % 40 + 1, F.lit(WIDTH)).alias("c1"))
+    data = pixels(spark, sf_dir).drop("label")
+    path = scratch(spark, "pyramid")
+    raster_pyramid(data, rows, WIDTH, tile_bits=3).write.parquet(path)
+    return rounded(window_statistics(windows, data, rows, WIDTH, pyramid=spark.read.parquet(path), tile_bits=3), "mean", "stddev", digits=6)
+
+
 @query("resolve_spectral_selections", """SELECT event_id AS selection_id, band, 400.0 + 10 * band AS wavelength, v AS value FROM events JOIN (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS band FROM embeddings) ON vec_id = user_id % 300
     WHERE event_type = 'click' AND 400 + 10 * band BETWEEN 450 + user_id % 100 AND 600""")
 def spectral_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
