@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import pick_envelope, point_color
 from ..operators import geometry as g
-from ..operators import octree, quadtree
+from ..operators import octree, packed, quadtree
 from ..operators import points as p
 from ..plans.spec import Box
 from ..sources.files import read_parquet_indexed
@@ -126,6 +126,16 @@ def vector_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.vector_region(features(spark, sf_dir), square)[0].select("feature_index")
 
 
+@query("packed_vector_region", "SELECT c_custkey AS feature_index, c_mktsegment AS segment FROM customer WHERE c_nationkey BETWEEN 3 AND 12 AND c_acctbal BETWEEN -500 AND 7000")
+def packed_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored in curve order; the region reads the nodes that it touches, and the exact test decides."""
+    path = scratch(spark, "packed")
+    packed.build_packed_features(features(spark, sf_dir), path, 256)
+    square = {"type": "Polygon", "coordinates": [[[3.0, -500.0], [12.0, -500.0], [12.0, 7000.0], [3.0, 7000.0], [3.0, -500.0]]]}
+    near = packed.packed_candidates(spark, path, g.geometry_box(square))
+    return near.where(g.intersects_constant(F.col("geometry"), square)).select("feature_index", F.col("properties")["segment"].alias("segment"))
+
+
 @query("layer_bounds", "SELECT min(c_nationkey)::DOUBLE AS min_x, min(c_acctbal) AS min_y, max(c_nationkey)::DOUBLE AS max_x, max(c_acctbal) AS max_y FROM customer")
 def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.layer_bounds(g.with_boxes(features(spark, sf_dir).drop("min_x", "min_y", "max_x", "max_y")))
