@@ -80,6 +80,20 @@ def arrow_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("source_index").crossJoin(F.broadcast(numbered))  # one row
 
 
+@query("las_round_trip", """SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS x, CAST(round(l_quantity * 100) AS BIGINT) AS y, CAST(round(l_discount * 100) AS BIGINT) AS z,
+    CAST(l_partkey % 65536 AS BIGINT) AS intensity, CAST(l_linenumber AS BIGINT) AS classification, count(*) OVER () AS numbered FROM lineitem""")
+def las(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as points in LAS files, one a partition, and back in hundredths."""
+    path = scratch(spark, "las")
+    items = read(spark, sf_dir, "lineitem")
+    results.write_las(items.select(F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.col("l_discount").alias("z"), (F.col("l_partkey") % 65536).cast("int").alias("intensity"), F.col("l_linenumber").cast("int").alias("classification")), path)
+    spark.dataSource.register(datasources.LAS)
+    rows = spark.read.format("las").option("path", path).load()
+    numbered = rows.agg(F.count("source_index").alias("numbered"))
+    whole = [F.round(F.col(c) * 100).cast("long").alias(c) for c in "xyz"]
+    return rows.crossJoin(F.broadcast(numbered)).select(*whole, F.col("intensity").cast("long").alias("intensity"), F.col("classification").cast("long").alias("classification"), "numbered")  # one row
+
+
 @query("geoparquet_round_trip", "SELECT c_mktsegment AS segment, CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer")
 def geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as points in GeoJSON, then in Parquet with well-known binary, and back."""

@@ -1,4 +1,4 @@
-"""Python data sources: Arrow IPC (read and write) and uncompressed LAS.
+"""Python data sources: Arrow IPC and uncompressed LAS, read and written.
 
 ``spark.dataSource.register(ArrowIPC)``, then ``spark.read.format("arrow_ipc").schema(...).load(path)``. Paths are opened where the task runs, so they must be on storage that every executor mounts.
 """
@@ -153,6 +153,10 @@ class LAS(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _LasReader(self.options["path"])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        triple = lambda k, default: tuple(map(float, self.options.get(k, default).split(",")))
+        return _LasWriter(self.options["path"], triple("scale", "0.01,0.01,0.01"), triple("offset", "0,0,0"))
+
 
 class _LasReader(DataSourceReader):
     def __init__(self, path: str):
@@ -172,3 +176,70 @@ class _LasReader(DataSourceReader):
             xyz = [p[a] * s + o for a, s, o in zip("xyz", h["scale"], h["offset"], strict=True)]
             c = p["c"] if new else p["c"] & 31
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *map(pa.array, xyz), pa.array(p["i"].astype(np.int32)), pa.array(c.astype(np.int32))], names=["source_index", "x", "y", "z", "intensity", "classification"])
+
+
+#: Length of a version 1.4 header; fields of a point of format 6; and places of other header fields.
+_HEAD_14, _POINT_6 = 375, [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("returns", "u1"), ("flags", "u1"), ("classification", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("time", "<f8")]
+_LAS_MORE = {"encoding": (6, "<H"), "major": (24, "<B"), "head": (94, "<H"), "bounds": (179, "<6d"), "first_returns": (255, "<Q")}
+
+
+class _LasWriter(DataSourceArrowWriter):
+    """One LAS 1.4 file of points of format 6 per partition; coordinates are rounded to the scale."""
+
+    def __init__(self, path: str, scale: tuple[float, ...], offset: tuple[float, ...]):
+        if len(scale) != 3 or len(offset) != 3 or min(scale) <= 0:
+            raise ValueError("scale and offset have three numbers, and scales are positive")
+        self.path, self.scale, self.offset = path.removeprefix("file://"), scale, offset
+
+    def _points(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows, np.dtype(_POINT_6))
+        out["returns"] = 0x11  # the first of one return
+        for k, axis in enumerate("xyz"):
+            whole = np.round((batch.column(axis).to_numpy(zero_copy_only=False).astype(np.float64) - self.offset[k]) / self.scale[k])
+            if not (np.abs(whole) < 2**31).all():
+                raise ValueError(f"{axis} is null, not finite, or too large for this scale and offset")
+            out[axis] = whole
+        for name, most in (("intensity", 65535), ("classification", 255)):
+            if name in batch.schema.names:
+                v = batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+                if len(v) and not (0 <= v.min() and v.max() <= most):
+                    raise ValueError(f"{name} lies outside of 0 to {most}")
+                out[name] = v
+        return out
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Wrote:
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.las")
+        count, low, high = 0, np.full(3, np.inf), np.full(3, -np.inf)
+        with open(name + ".tmp", "wb") as file:
+            file.write(bytes(_HEAD_14))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                points = self._points(batch)
+                file.write(points.tobytes())
+                count += len(points)
+                for k, axis in enumerate("xyz"):
+                    low[k], high[k] = min(low[k], points[axis].min()), max(high[k], points[axis].max())
+            file.seek(0)
+            file.write(self._header(count, low, high))
+        if not count:
+            os.remove(name + ".tmp")
+            return _Wrote(None)
+        return _Wrote(name)
+
+    def _header(self, count: int, low: np.ndarray, high: np.ndarray) -> bytes:
+        """The legacy count stays 0, as points of this format ask for."""
+        ends = [e[k] * self.scale[k] + self.offset[k] for k in range(3) for e in (high, low)] if count else [0.0] * 6
+        head = bytearray(_HEAD_14)
+        head[:4] = b"LASF"
+        size = np.dtype(_POINT_6).itemsize
+        known = {"data": _HEAD_14, "format": 6, "length": size, "points": 0, "minor": 4, "points_14": count, "scale": self.scale, "offset": self.offset}
+        known |= {"encoding": 16, "major": 1, "head": _HEAD_14, "bounds": ends, "first_returns": count}
+        for key, value in known.items():
+            at, code = (_LAS | _LAS_MORE)[key]
+            struct.pack_into(code, head, at, *(value if isinstance(value, (tuple, list)) else [value]))
+        return bytes(head)
+
+    commit = _ArrowWriter.commit
+    abort = _ArrowWriter.abort

@@ -48,6 +48,18 @@ def write_arrow_ipc(df: DataFrame, path: str) -> None:
     df.write.format("arrow_ipc").mode("append").option("path", path).save()
 
 
+def write_las(points: DataFrame, path: str, scale: Sequence[float] = (0.01, 0.01, 0.01), offset: Sequence[float] = (0.0, 0.0, 0.0)) -> None:
+    """One uncompressed LAS 1.4 file per partition of points (x, y, z, and intensity and classification where they are there); needs the ``las`` data source.
+
+    Coordinates are kept to the scale. One that is null, not finite or too far from the offset is an error; null intensities and classes are 0. Partitions without points give no file."""
+    from .datasources import LAS
+
+    points.sparkSession.dataSource.register(LAS)
+    columns = [c for c in ("x", "y", "z", "intensity", "classification") if c in points.columns]
+    numbers = lambda v: ",".join(repr(float(x)) for x in v)
+    points.select(*columns).write.format("las").mode("append").option("path", path).option("scale", numbers(scale)).option("offset", numbers(offset)).save()
+
+
 def table_checksum(df: DataFrame) -> Column:
     """An order-independent checksum of all rows, as an aggregate."""
     return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum")

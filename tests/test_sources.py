@@ -228,3 +228,25 @@ def test_inspect_parquet(spark, tmp_path):
     spark.range(0).write.parquet(f"{tmp_path}/none")
     none = files.inspect_parquet(spark, f"{tmp_path}/none").first()
     assert (none["rows"], none["row_groups"], none["geometry_column"], none["crs"]) == (0, 0, None, None)
+
+
+def test_las_written_and_read(spark, tmp_path):
+    rows = [(i, 500_000.25 + i, -12.5 - i / 4, i / 100, i % 65536, i % 32) for i in range(2000)] + [(2000, 500_000.0, 0.0, 0.0, None, None)]
+    frame = spark.createDataFrame(rows, "id long, x double, y double, z double, intensity int, classification int").repartition(3, "id")
+    results.write_las(frame.unionByName(frame.where("false")), str(tmp_path / "las"), (0.01, 0.25, 0.01), (500_000.0, 0.0, 0.0))
+    spark.dataSource.register(datasources.LAS)
+    got = sorted((round(r.x, 6), r.y, round(r.z, 6), r.intensity, r.classification) for r in spark.read.format("las").option("path", str(tmp_path / "las")).load().collect())
+    assert got == sorted((round(x, 6), y, round(z, 6), i or 0, c or 0) for _, x, y, z, i, c in rows)
+    names = sorted((tmp_path / "las").iterdir())
+    assert len(names) == 3 and all(n.suffix == ".las" for n in names)
+    heads = [datasources.las_header(str(n)) for n in names]
+    assert sum(h["points"] for h in heads) == 2001 and {h["scale"] for h in heads} == {(0.01, 0.25, 0.01)}
+    assert all(n.stat().st_size == 375 + 30 * h["points"] for n, h in zip(names, heads, strict=True))
+
+
+@pytest.mark.parametrize("row", [(None, 1.0, 1.0), (float("nan"), 1.0, 1.0), (1e9, 1.0, 1.0)])
+def test_las_refuses_what_does_not_fit(spark, tmp_path, row):
+    frame = spark.createDataFrame([row], "x double, y double, z double")
+    with pytest.raises(Exception, match="too large for this scale"):
+        results.write_las(frame, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("*.las"))
