@@ -90,23 +90,53 @@ def regular_summary(axes: DataFrame) -> DataFrame:
 # ---- datasets against each other
 
 
+def _crs_key() -> Column:
+    """Authority and code, else the WKT."""
+    key = F.coalesce(F.concat_ws(":", F.lower("authority"), F.lower("code")), F.lit(""))
+    return F.when(F.col("code").isNotNull() & F.col("authority").isNotNull(), key).otherwise(F.col("wkt"))
+
+
+_EDGES = ("min_x", "min_y", "max_x", "max_y")
+
+
+def _registered(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    return df.select(F.col("dataset_id").alias(name), _crs_key().alias("__crs"), *(F.col(c).cast("double").alias(f"{prefix}_{c}") for c in _EDGES))
+
+
 def register_point_cube(points: DataFrame, cubes: DataFrame) -> DataFrame:
     """points and cubes (dataset_id, authority, code, wkt, min_x, min_y, max_x, max_y): (point_id, cube_id, status, reason).
 
     Pairs of equal CRS (authority and code, else WKT) are joined by that key;
     pairs whose boxes do not overlap strictly stay as ``unavailable``. Datasets
-    without a partner stay with the reason ``no_common_crs``.
+    without a partner stay with the reason ``no_common_crs``. The result has a row
+    for every pair of a CRS; point_cube_links() counts those that do not overlap.
     """
-    key = F.coalesce(F.concat_ws(":", F.lower("authority"), F.lower("code")), F.lit(""))
-    crs = F.when(F.col("code").isNotNull() & F.col("authority").isNotNull(), key).otherwise(F.col("wkt"))
-    p = points.select(F.col("dataset_id").alias("point_id"), crs.alias("__crs"), *(F.col(c).alias(f"p_{c}") for c in ("min_x", "min_y", "max_x", "max_y")))
-    c = cubes.select(F.col("dataset_id").alias("cube_id"), crs.alias("__crs"), *(F.col(x).alias(f"c_{x}") for x in ("min_x", "min_y", "max_x", "max_y")))
-    pairs = p.join(c, "__crs", "left")
+    pairs = _registered(points, "point_id", "p").join(_registered(cubes, "cube_id", "c"), "__crs", "left")
     overlap = (F.col("p_min_x") < F.col("c_max_x")) & (F.col("c_min_x") < F.col("p_max_x")) & (F.col("p_min_y") < F.col("c_max_y")) & (F.col("c_min_y") < F.col("p_max_y"))
     reason = F.when(F.col("cube_id").isNull(), "no_common_crs").when(~F.coalesce(overlap, F.lit(False)), "no_overlap")
     return pairs.select("point_id", "cube_id", F.when(reason.isNull(), "available").otherwise("unavailable").alias("status"), reason.alias("reason"))
 
 
+def point_cube_links(points: DataFrame, cubes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """register_point_cube() for many datasets of one CRS: (pairs that are available, a row for each point_id with the numbers of others).
+
+    Pairs (point_id, cube_id) are found by CRS and quadtree cells, so those that lie apart are never made. The second table holds point_id,
+    available, unavailable (pairs of equal CRS without strict overlap; boxes with a null, or turned around, overlap nothing) and the reason why a point_id
+    has no link: ``no_common_crs`` or ``no_overlap``. Repeated rows count as often as they are there.
+    """
+    p, c = _registered(points, "point_id", "p"), _registered(cubes, "cube_id", "c")
+    names = [tuple(f"{side}_{e}" for e in _EDGES) for side in "pc"]
+    known = [df.where("__crs is not null") for df in (p, c)]
+    pairs = box_join(*known, *names, on=["__crs"], strict=True).select("point_id", "cube_id")
+    partners = known[1].groupBy("__crs").agg(F.count(F.lit(1)).alias("n"))  # a row for each CRS
+    possible = p.join(partners, "__crs", "left").groupBy("point_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("possible"))
+    linked = pairs.groupBy("point_id").agg(F.count(F.lit(1)).alias("available"))
+    same = possible["point_id"].eqNullSafe(linked["point_id"])
+    found = possible.join(linked, same, "left").select(possible["point_id"], "possible", F.coalesce("available", F.lit(0)).alias("available"))
+    reason = F.when(F.col("possible") == 0, "no_common_crs").when(F.col("available") == 0, "no_overlap")
+    return pairs, found.select("point_id", "available", (F.col("possible") - F.col("available")).alias("unavailable"), reason.alias("reason"))
+
+
 # ---- plans and objects
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import science as h
@@ -26,6 +26,35 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("point_id", "cube_id", "reason")
 
 
+_LINKED = """WITH p AS (SELECT s_suppkey AS k, s_nationkey % 7 AS crs, s_acctbal AS x0, s_acctbal + 300 AS x1, s_suppkey * 10 AS y0, s_suppkey * 10 + 150 AS y1 FROM supplier),
+    q AS (SELECT c_custkey AS k, c_nationkey % 7 AS crs, c_acctbal AS x0, c_acctbal + 20 + c_custkey % 40 * 50 AS x1, c_custkey AS y0, c_custkey + 1 + c_custkey % 30 AS y1 FROM customer),
+    j AS (SELECT p.k AS point_id, q.k AS cube_id, p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1 AS overlap FROM p LEFT JOIN q ON p.crs = q.crs AND p.crs <> 6)"""
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as clouds and customers as cubes, large ones beside small ones; those of one remainder share no CRS."""
+
+    def laid(table: str, key: str, nation: str, other: int, x: Column, x1: Column, y: Column, y1: Column) -> DataFrame:
+        code = F.when(F.col(nation) % 7 == 6, F.lit(other)).otherwise(F.col(nation) % 7).cast("string")
+        return read(spark, sf_dir, table).select(F.col(key).alias("dataset_id"), F.lit("EPSG").alias("authority"), code.alias("code"), F.lit(None).cast("string").alias("wkt"), x.alias("min_x"), x1.alias("max_x"), y.alias("min_y"), y1.alias("max_y"))
+
+    s, k = F.col("s_suppkey"), F.col("c_custkey")
+    clouds = laid("supplier", "s_suppkey", "s_nationkey", 90, F.col("s_acctbal"), F.col("s_acctbal") + 300, s * 10, s * 10 + 150)
+    cubes = laid("customer", "c_custkey", "c_nationkey", 91, F.col("c_acctbal"), F.col("c_acctbal") + 20 + k % 40 * 50, k, k + 1 + k % 30)
+    return c.point_cube_links(clouds, cubes)
+
+
+@query("point_cube_links", _LINKED + " SELECT point_id, cube_id FROM j WHERE overlap")
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)[0]
+
+
+@query("point_cube_counts", _LINKED + """ SELECT point_id, CAST(count(*) FILTER (WHERE overlap) AS BIGINT) AS available, CAST(count(*) FILTER (WHERE NOT overlap) AS BIGINT) AS unavailable,
+    CASE WHEN count(cube_id) = 0 THEN 'no_common_crs' WHEN count(*) FILTER (WHERE overlap) = 0 THEN 'no_overlap' END AS reason FROM j GROUP BY 1""")
+def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)[1]
+
+
 @query("verify_checksums", "SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'mismatch' WHEN doc_id % 11 = 0 THEN 'unsupported' ELSE 'ok' END AS status FROM documents")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

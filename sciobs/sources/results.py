@@ -65,8 +65,10 @@ def table_checksum(df: DataFrame) -> Column:
     return F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("checksum")
 
 
-def provenance(result_id: str, query: str, rows: int, checksum: str, schema: T.StructType, sources: Sequence[str] = ()) -> dict:
-    """A manifest of a result as an RO-Crate 1.1 document: its data and preview, the query that made it, what it read, rows, checksum and fields."""
+def provenance(result_id: str, query: str, rows: int, checksum: str, schema: T.StructType, sources: Sequence[str] = (), citation: str | None = None, license: str | None = None, call: dict | None = None) -> dict:
+    """A manifest of a result as an RO-Crate 1.1 document: its data and preview, the query that made it, what it read, rows, checksum and fields.
+
+    ``citation`` and ``license`` are those of what was read. ``call`` (function and arguments, as JSON) makes the result again."""
     now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
     ref = lambda i: {"@id": i}
     data, preview = f"../../data/{result_id}/", f"../../preview/{result_id}/"
@@ -80,14 +82,19 @@ def provenance(result_id: str, query: str, rows: int, checksum: str, schema: T.S
         *fields,
         *({"@id": x, "@type": "Dataset"} for x in sources),
     ]
+    graph[1] |= {k: v for k, v in (("citation", citation), ("license", license)) if v is not None}
+    if call is not None:
+        text = json.dumps(call, sort_keys=True, default=str)
+        graph.append({"@id": "#reproduction", "@type": "SoftwareSourceCode", "programmingLanguage": "JSON", "text": text})
+        next(g for g in graph if g["@id"] == "#query")["instrument"] = ref("#reproduction")
     return {"@context": "https://w3id.org/ro/crate/1.1/context", "@graph": graph}
 
 
-def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEFAULT_PREVIEW_ROWS, order: Sequence[str] = (), sources: Sequence[str] = ()) -> str:
+def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEFAULT_PREVIEW_ROWS, order: Sequence[str] = (), sources: Sequence[str] = (), citation: str | None = None, license: str | None = None, call: dict | None = None) -> str:
     """Writes the data, a preview, one row of statistics and a provenance document under ``root``; returns the result's id.
 
     The preview holds the first rows by ``order``, then by all columns that can be sorted, so it is the same at every run.
-    ``sources`` are the addresses of what was read; the document names them. See provenance()."""
+    ``sources`` are the addresses of what was read; the document names them, with their citation, license and the call that makes the result again. See provenance()."""
     spark, began = df.sparkSession, time.time()
     result_id = f"result-{uuid.uuid4().hex[:16]}"
     where = f"{root.rstrip('/')}/data/{result_id}"
@@ -97,7 +104,7 @@ def persist_result(df: DataFrame, root: str, query: str, preview_rows: int = DEF
     sortable = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     written.orderBy(*order, *sortable).limit(preview_rows).write.parquet(f"{root.rstrip('/')}/preview/{result_id}")
     rows, checksum = seen.get["rows"], seen.get["checksum"]
-    write_small(spark, f"{root.rstrip('/')}/provenance/{result_id}/ro-crate-metadata.json", json.dumps(provenance(result_id, query, rows, checksum, df.schema, sources), indent=1))
+    write_small(spark, f"{root.rstrip('/')}/provenance/{result_id}/ro-crate-metadata.json", json.dumps(provenance(result_id, query, rows, checksum, df.schema, sources, citation, license, call), indent=1))
     row = spark.range(1).select(F.lit(rows).cast("long").alias("rows"), F.lit(checksum).alias("checksum"))
     row.select(F.lit(result_id).alias("result_id"), F.lit(query).alias("query"), "rows", "checksum", F.lit(int((time.time() - began) * 1000)).cast("long").alias("elapsed_ms"), F.current_timestamp().alias("created_at"), F.lit(df.schema.json()).alias("schema")).write.mode("append").parquet(f"{root.rstrip('/')}/results")
     return result_id

@@ -276,3 +276,34 @@ def test_digests_of_sets_tell_sets_apart(spark):
     got = {r["k"]: r["digest"] for r in c.fingerprint_files(files, ["k"]).collect()}
     again = {r["k"]: r["digest"] for r in c.fingerprint_files(files.orderBy(F.rand(1)), ["k"]).collect()}
     assert got == again and len(set(got.values())) == 3
+
+
+def test_point_cube_links_agree_with_all_pairs(spark):
+    import random
+
+    r = random.Random(12)
+    schema = "dataset_id string, authority string, code string, wkt string, min_x double, min_y double, max_x double, max_y double"
+
+    def some(kind, n):
+        rows = []
+        for k in range(n):
+            x, y, w = r.randrange(100), r.randrange(100), r.choice([0, 1, 5, 60])
+            rows.append((f"{kind}{k}", *r.choice([("EPSG", "1", None), ("epsg", "1", "w"), (None, None, "w"), ("EPSG", "2", None)]), float(x), float(y), float(x + w), float(y + w)))
+        return rows + [(f"{kind}-null", "EPSG", "1", None, None, 1.0, 2.0, 2.0), (f"{kind}-alone", "EPSG", kind, None, 0.0, 0.0, 9.0, 9.0), (f"{kind}-none", None, None, None, 0.0, 0.0, 9.0, 9.0)]
+
+    points, cubes = (spark.createDataFrame(some(k, n), schema) for k, n in (("p", 40), ("c", 60)))
+    every = c.register_point_cube(points, cubes).collect()
+    pairs, counts = c.point_cube_links(points, cubes)
+    assert sorted(map(tuple, pairs.collect())) == sorted((x.point_id, x.cube_id) for x in every if x.status == "available")
+    got = {x.point_id: (x.available, x.unavailable, x.reason) for x in counts.collect()}
+    assert set(got) == {x.point_id for x in every}
+    for name, (available, unavailable, reason) in got.items():
+        mine = [x for x in every if x.point_id == name]
+        assert available == sum(x.status == "available" for x in mine) and unavailable == sum(x.reason == "no_overlap" for x in mine)
+        assert reason == (None if available else mine[0].reason)
+
+
+def test_point_cube_links_of_nothing(spark):
+    none = spark.createDataFrame([], "dataset_id string, authority string, code string, wkt string, min_x double, min_y double, max_x double, max_y double")
+    pairs, counts = c.point_cube_links(none, none)
+    assert pairs.count() == counts.count() == 0

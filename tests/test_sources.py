@@ -209,7 +209,12 @@ def test_provenance_and_order_of_the_preview(spark, tmp_path):
     assert parts["ro-crate-metadata.json"]["about"] == {"@id": "./"} and parts["./"]["name"] == "numbers"
     assert data["size"] == stats["rows"] == 1000 and data["identifier"] == f"checksum:{stats['checksum']}"
     assert parts["#query"]["object"] == [{"@id": "file:/data/x"}] and parts["file:/data/x"]["@type"] == "Dataset" and parts["#field-0"]["name"] == "v"
-    empty = results.persist_result(df.where("v < 0"), str(tmp_path), "none")
+    assert "license" not in parts["./"] and "instrument" not in parts["#query"]
+    empty = results.persist_result(df.where("v < 0"), str(tmp_path), "none", citation="Doe et al.", license="CC-BY-4.0", call={"function": "filter_range", "arguments": {"column": "v", "max": 0}})
+    crate = json.loads((tmp_path / "provenance" / empty / "ro-crate-metadata.json").read_text())
+    parts = {p["@id"]: p for p in crate["@graph"]}
+    assert (parts["./"]["citation"], parts["./"]["license"]) == ("Doe et al.", "CC-BY-4.0")
+    assert json.loads(parts[parts["#query"]["instrument"]["@id"]]["text"])["arguments"] == {"column": "v", "max": 0}
     assert spark.read.parquet(f"{tmp_path}/results").where(F.col("result_id") == empty).first()["rows"] == 0
 
 
