@@ -1,8 +1,9 @@
 """Operator 8: licence scans by sparse TF-IDF cosine, with directory inheritance.
 
-Parts of a text (lines and two neighbouring lines, paragraphs, windows of terms)
-and whole texts are compared to licence templates as TF-IDF vectors: headers and
-titles, and full licence texts. Frequencies are those of all terms over all
+Parts of a text (lines and two neighbouring lines, their sentences, paragraphs,
+windows of terms) are compared to licence templates as TF-IDF vectors: headers and
+titles, and full licence texts; whole texts are compared to full licence texts.
+Frequencies are those of all terms over all
 documents. What no bound on the cosine excludes is compared; the bounds follow
 from the weights (Cauchy-Schwarz), so nothing is lost by them. A document without
 a licence of its own inherits that of its nearest ancestor directory that has a
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -62,12 +64,18 @@ TEXTS = Path(__file__).parent / "licence_texts"
 #: Says that all is forbidden; whatever grants a licence goes before it.
 LAST = "Proprietary"
 _TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
-_WHOLE, _PARAGRAPH, _LINE, _PAIR, _WINDOW = range(5)
+#: Where a sentence of a line ends; what says that a part grants nothing; a tag that names a licence.
+SENTENCE_END = "(?<=[.;!?])[ \\t]+(?=[A-Z])"
+NEGATED = "(?:^|[^A-Za-z])(?i:not|never|no longer)[ \\t]+(?i:be[ \\t]+|been[ \\t]+)?(?i:licensed|released|distributed|dedicated|published)(?:$|[^A-Za-z])"
+TAG = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.-]+?)(?:-only|-or-later|\+)?(?:$|[^A-Za-z0-9.+-])"
+_WHOLE, _PARAGRAPH, _LINE, _PAIR, _SENTENCE, _WRAPPED, _WINDOW = range(7)
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, text): the headers, then the full texts."""
-    return TEMPLATES + [(f.stem, f.read_text()) for f in sorted(TEXTS.glob("*.txt"))]
+    """(licence, text): the headers, then the full texts. That of AGPL-3.0 is GPL-3.0's with the other name."""
+    texts = {f.stem: f.read_text() for f in TEXTS.glob("*.txt")}
+    texts["AGPL-3.0"] = re.sub(r"(?i)\bgnu general public\b", "GNU Affero General Public", texts["GPL-3.0"])
+    return TEMPLATES + sorted(texts.items())
 
 
 def terms(text: Column) -> Column:
@@ -117,21 +125,23 @@ def needed(vector: dict[str, float], cosine: float, spare: float = 1.0) -> tuple
     return {t for _, t in kept}, max(1, many)
 
 
-def parts(texts: DataFrame, heavy: list[str]) -> DataFrame:
-    """(digest, kind, n, term): the terms of all parts that are compared. texts: (digest, text, windowed)."""
+def parts(texts: DataFrame, heavy: list[str], pick: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(digest, kind, n, term): the terms that ``pick`` leaves of all parts that are compared. texts: (digest, text, windowed)."""
     strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
     lines = F.split("text", "\n")
     pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.concat_ws(" ", a, b))
+    # a line of one sentence is compared as a line
+    several = lambda found: F.flatten(F.filter(F.transform(found, lambda x: F.split(x, SENTENCE_END)), lambda x: F.size(x) > 1))
     out = texts.select("digest", F.lit(_WHOLE).alias("kind"), F.lit(0).alias("n"), F.explode(terms(F.col("text"))).alias("term"))
-    for kind, cut in ((_PARAGRAPH, F.split("text", r"\n[ \t\r]*\n")), (_LINE, lines), (_PAIR, pairs)):
-        each = texts.select("digest", F.lit(kind).alias("kind"), F.posexplode(cut).alias("n", "part")).select("digest", "kind", "n", terms(F.col("part")).alias("terms"))
+    for kind, cut in ((_PARAGRAPH, F.split("text", r"\n[ \t\r]*\n")), (_LINE, lines), (_PAIR, pairs), (_SENTENCE, several(lines)), (_WRAPPED, several(pairs))):
+        each = texts.select("digest", F.lit(kind).alias("kind"), F.posexplode(cut).alias("n", "part")).select("digest", "kind", "n", "part", terms(F.col("part")).alias("terms"))
         if kind != _PARAGRAPH:  # no header without one of its heavy terms
             each = each.where(F.arrays_overlap("terms", strings(heavy)))
-        out = out.unionByName(each.select("digest", "kind", "n", F.explode("terms").alias("term")))
-    placed = texts.where("windowed").select("digest", F.posexplode(terms(F.col("text"))).alias("at", "term"))
+        out = out.unionByName(each.where(~F.col("part").rlike(NEGATED)).select("digest", "kind", "n", F.explode("terms").alias("term")))
+    placed = pick(texts.where("windowed").select("digest", F.posexplode(terms(F.col("text"))).alias("at", "term")))
     covering = [F.struct(F.lit(_WINDOW + k).alias("kind"), (F.floor(F.col("at") / (size // 2)).cast("int") - back).alias("n")) for k, size in enumerate(WINDOWS) for back in (0, 1)]
     windows = placed.select("digest", F.explode(F.array(*covering)).alias("w"), "term").where("w.n >= 0").select("digest", "w.kind", "w.n", "term")
-    return out.unionByName(windows)
+    return pick(out).select("digest", "kind", "n", "term").unionByName(windows)
 
 
 def cosines(texts: DataFrame, known: list[tuple[str, str]], vectors: list[dict[str, float]], heavy: list[str], held: DataFrame, total: int, header: float, file: float) -> DataFrame:
@@ -146,12 +156,12 @@ def cosines(texts: DataFrame, known: list[tuple[str, str]], vectors: list[dict[s
     unit = ["digest", "kind", "n"]
     counted = lambda rows: rows.groupBy(*unit, "term").agg(F.count("*").alias("tf"))
     dots = [F.sum(F.col("w") * F.col("v")[k]).alias(f"dot{k}") for k in range(len(known))]
-    inside = counted(parts(texts, heavy).join(F.broadcast(mine.select("term")), "term")).join(F.broadcast(mine), "term").withColumn("w", weight).groupBy(*unit).agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
+    inside = counted(parts(texts, heavy, lambda rows: rows.join(F.broadcast(mine.select("term")), "term"))).join(F.broadcast(mine), "term").withColumn("w", weight).groupBy(*unit).agg(F.sum(F.col("w") * F.col("w")).alias("square"), *dots)
     # terms outside the templates only make a vector longer: parts that are too far without them need not be completed
     least = min(header, file) * (1 - 1e-9)
     inside = shared.keep(inside.where(F.greatest(*(F.col(f"dot{k}") for k in range(len(known)))) >= least * F.sqrt("square")), "licence-near")
     near = texts.join(inside.select("digest").distinct(), "digest", "left_semi")
-    rest = counted(parts(near, heavy).join(F.broadcast(mine.select("term")), "term", "left_anti").join(inside.select(*unit), unit, "left_semi"))
+    rest = counted(parts(near, heavy, lambda rows: rows.join(F.broadcast(mine.select("term")), "term", "left_anti")).join(inside.select(*unit), unit, "left_semi"))
     common = held.where(F.col("held") >= HOT_SHARE * total).select("term", "held")
     weighed = rest.join(F.broadcast(common), "term").unionByName(rest.join(held.where(F.col("held") < HOT_SHARE * total).select("term", "held"), "term"))
     outside = weighed.groupBy(*unit).agg(F.sum(weight * weight).alias("more"))
@@ -160,7 +170,7 @@ def cosines(texts: DataFrame, known: list[tuple[str, str]], vectors: list[dict[s
     least_of = F.when(F.col("kind") == _WHOLE, file).otherwise(header)
     of = lambda ks: F.array_max(F.filter(F.array(*map(score, ks)), lambda s: s["cosine"] >= least_of))
     long = [k for k, (_, x) in enumerate(known) if len(re.findall(_TERM, x.lower())) > SHORT]
-    nearest = F.when(F.col("kind").isin(_LINE, _PAIR), of(range(len(TEMPLATES)))).when(F.col("kind") >= _WINDOW, of(long)).otherwise(of(range(len(known))))
+    nearest = F.when(F.col("kind").isin(_LINE, _PAIR, _SENTENCE, _WRAPPED), of(range(len(TEMPLATES)))).when(F.col("kind") >= _WINDOW, of(long)).when(F.col("kind") == _WHOLE, of(range(len(TEMPLATES), len(known)))).otherwise(of(range(len(known))))
     best = scored.select("digest", "kind", nearest.alias("best"))
     return best.groupBy("digest").agg(F.max(F.when(F.col("kind") != _WHOLE, F.col("best"))).alias("__header"), F.max(F.when(F.col("kind") == _WHOLE, F.col("best"))).alias("__file"))
 
@@ -172,11 +182,14 @@ def parent(path: Column) -> Column:
 def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: float = FILE) -> DataFrame:
     """The rows of docs without text, with licence, cosine, how (``own``, ``inherited`` or null) and licence_dir.
 
-    A whole text whose cosine to a template reaches ``file`` is a licence file;
-    lines and pairs of neighbouring lines are compared to the headers, windows to
-    the templates of more than SHORT terms, paragraphs to all, and count from
-    ``header`` on. Own: a licence
-    goes before "all rights reserved", then the whole text's before a part's.
+    A whole text whose cosine to a full licence text reaches ``file`` is a licence
+    file; lines, pairs of neighbouring lines and sentences of both are compared to
+    the headers, windows to the templates of more than SHORT terms, paragraphs to
+    all, and count from ``header`` on. Lines, pairs, sentences and paragraphs that
+    say of something that it is not licensed or released count for nothing. The
+    first SPDX tag that names a licence of the templates is a header of cosine 1.
+    Own: a licence goes before "all rights reserved", then the whole text's before
+    a part's.
     A licence file sets the licence of its directory; of several one that grants
     something, then the largest cosine, then the first name, counts. Documents
     without an own licence inherit from the nearest directory above them that has
@@ -189,7 +202,7 @@ def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: floa
     total = docs.count()
     vectors = template_vectors(known, {r["term"]: r["held"] for r in held.where("of_template").collect()}, total)  # at most the vocabulary
     long = [v for (_, x), v in zip(known, vectors, strict=True) if len(re.findall(_TERM, x.lower())) > SHORT]
-    heavy, heavy_long = (sorted(set().union(*(needed(v, min(header, file))[0] for v in some))) for some in (vectors[: len(TEMPLATES)], long))
+    heavy, heavy_long = (sorted(set().union(*(needed(v, least)[0] for v in some))) for some, least in ((vectors[: len(TEMPLATES)], header), (long, min(header, file))))
 
     strings = lambda found: F.array(*map(F.lit, found)).cast("array<string>")
     new = ("licence", "cosine", "how", "licence_dir")
@@ -203,10 +216,13 @@ def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: floa
 
     flags = F.transform(F.array(held_here), lambda ts: F.struct(F.arrays_overlap(ts, strings(heavy)).alias("short"), enough(ts).alias("long")))[0]
     text = F.col("text").cast("string")
-    rows = docs.select(*columns, text.alias("text"), parent(F.col(path)).alias("__dir"), flags.alias("__may"))
+    names = F.create_map(*(F.lit(x) for name in sorted({n for n, _ in known} - {LAST}) for x in (name.lower(), name)))
+    tagged = F.filter(F.transform(F.regexp_extract_all(text, F.lit(TAG), F.lit(1)), lambda x: names[F.lower(x)]), lambda x: x.isNotNull())
+    tag = F.when(F.contains(text, F.lit("SPDX-License-Identifier:")), F.get(tagged, F.lit(0)))
+    rows = docs.select(*columns, text.alias("text"), parent(F.col(path)).alias("__dir"), flags.alias("__may"), tag.alias("__tag"))
     may = F.col("__may.short") | F.col("__may.long")
     # texts that may hold a licence are kept beside their rows: one pass, and no join to find them again
-    rows = shared.keep(rows.select(*columns, "__dir", F.when(may, F.unhex(F.md5(F.col("text").cast("binary")))).alias("__digest"), F.when(may, F.col("text")).alias("__text"), F.coalesce("__may.long", F.lit(False)).alias("__windowed")), "licence-rows")
+    rows = shared.keep(rows.select(*columns, "__dir", "__tag", F.when(may, F.unhex(F.md5(F.col("text").cast("binary")))).alias("__digest"), F.when(may, F.col("text")).alias("__text"), F.coalesce("__may.long", F.lit(False)).alias("__windowed")), "licence-rows")
     texts = rows.where("__digest is not null").select(F.col("__digest").alias("digest"), F.col("__text").alias("text"), F.col("__windowed").alias("windowed")).dropDuplicates(["digest"])
     texts = shared.keep(texts, "licence-texts")
     best_of = cosines(texts, known, vectors, heavy, held, total, header, file)
@@ -215,6 +231,8 @@ def scan(docs: DataFrame, path: str = "path", header: float = HEADER, file: floa
     screened = rows.where("__digest is not null").join(best_of.withColumnRenamed("digest", "__digest"), "__digest", "left")
     rows = screened.drop("__digest").unionByName(rows.where("__digest is null").drop("__digest").select("*", *none))
     rows = shared.keep(rows, "licences")
+    by_tag = F.struct(F.lit(True).alias("named"), F.lit(1.0).alias("cosine"), F.col("__tag").alias("licence"))
+    rows = rows.withColumn("__header", F.when(F.col("__tag").isNotNull(), by_tag).otherwise(F.col("__header")))
     whole_first = F.array_max(F.array(*(F.struct(F.col(f"{c}.named").alias("named"), F.lit(c == "__file").alias("whole"), F.col(f"{c}.cosine").alias("cosine"), F.col(f"{c}.licence").alias("licence")) for c in ("__header", "__file"))))
     rows = rows.withColumn("__own", F.when(F.coalesce("__file.cosine", "__header.cosine").isNotNull(), whole_first))
     # directories are few against documents: inheritance is settled between directories first

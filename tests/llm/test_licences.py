@@ -35,6 +35,9 @@ def table(n):
         ("bsd/LICENSE", BSD_FILE), ("bsd/deep/er/x.c", sentence(6, 30)), ("apache/LICENSE.txt", APACHE_FILE), ("apache/y.c", sentence(7, 30)), ("e/1", code("Released under CC BY 4.0.", 10)),
         ("e/2", code("Distributed under CC BY-SA 4.0.", 11)), ("e/3", code("CC BY 4.0", 12)), ("e/4", code("All rights reserved.", 13)), ("e/5", code("Copyright 2020 Jane Doe. All rights reserved.\nReleased under the MIT License.", 14)),
         ("f/1", code(MIT, 15, "\n")), ("f/2", code(APACHE, 16, "\n")), ("f/3", " ".join(MIT.split())), ("gpl/COPYING", TEXT["GPL-2.0"]), ("gpl/z", None), ("e/6", code("# This file is licensed under the BSD 3-Clause\n# License", 17)), ("g/4", None), (None, MIT),
+        ("h/1", code("This package parses dates and numbers. Released under the MIT License. See the project page of all its authors and other readers.", 18)), ("h/2", code("# Copyright 2020 Foo. Licensed under the Apache License, Version 2.0. Contributions are welcome; write to the authors of the garden.", 19)),
+        ("agpl/COPYING", re.sub("(?i)gnu general public", "GNU Affero General Public", TEXT["GPL-3.0"])), ("agpl/z", sentence(8, 30)), ("gpl3/COPYING", TEXT["GPL-3.0"]), ("un/LICENSE", TEXT["Unlicense"]),
+        ("i/1", "Permission is hereby granted, free of charge, to any person obtaining a copy"), ("i/2", sentence(9, 30)), ("j/1", "THE SOFTWARE IS NOT licensed under the MIT License."), ("j/2", sentence(10, 30)),
     ]
     return rows + [(10_001 + k, *p) for k, p in enumerate(parts)]
 
@@ -58,15 +61,19 @@ def brute(texts):
         scored = [(known[k][0] != licenses.LAST, round(sum(x * known[k][1].get(w, 0) for w, x in mine.items()) / size / sizes[k], 9), known[k][0]) for k in ks] if size else []
         return max((s for s in scored if s[1] >= least), default=None)
 
+    grants = lambda x: not re.search(licenses.NEGATED, x)
+    full = range(len(licenses.TEMPLATES), len(known))
     headers, every, long = range(len(licenses.TEMPLATES)), range(len(known)), [k for k, x in enumerate(known) if x[2] > licenses.SHORT]
     done = {}
     for text in set(texts):
         lines, ts = text.split("\n"), find(text)
-        found = [best(find(x), headers, licenses.HEADER) for x in lines + [f"{a} {b}" for a, b in zip(lines, lines[1:], strict=False)]]
-        found += [best(find(x), every, licenses.HEADER) for x in re.split(r"\n[ \t\r]*\n", text)]
+        pairs = [f"{a} {b}" for a, b in zip(lines, lines[1:], strict=False)]
+        sentences = [x for line in lines + pairs for x in re.split(licenses.SENTENCE_END, line)]
+        found = [best(find(x), headers, licenses.HEADER) for x in lines + pairs + sentences if grants(x)]
+        found += [best(find(x), every, licenses.HEADER) for x in re.split(r"\n[ \t\r]*\n", text) if grants(x)]
         for size in licenses.WINDOWS:
             found += [best(ts[a : a + size], long, licenses.HEADER) for a in range(0, len(ts), size // 2)]
-        done[text] = (max((f for f in found if f), default=None), best(ts, every, licenses.FILE))
+        done[text] = (max((f for f in found if f), default=None), best(ts, full, licenses.FILE))
     return [done[t] for t in texts]
 
 
@@ -89,6 +96,9 @@ def test_every_part_against_brute_force(spark, n):
     assert name["apache/LICENSE.txt"][:2] == name["c/c.py"][:2] == name["f/2"][:2] == ("Apache-2.0", "own") and name["apache/y.c"] == ("Apache-2.0", "inherited", "apache")
     assert name["e/1"][0] == name["e/3"][0] == "CC-BY-4.0" and name["e/2"][0] == "CC-BY-SA-4.0" and name["e/4"][:2] == ("Proprietary", "own")
     assert name["gpl/COPYING"][:2] == ("GPL-2.0", "own") and name["gpl/z"] == ("GPL-2.0", "inherited", "gpl") and name["mit/src/a.py"] == ("MIT", "inherited", "mit")
+    assert name["h/1"][:2] == ("MIT", "own") and name["h/2"][:2] == ("Apache-2.0", "own") and name["un/LICENSE"][:2] == ("Unlicense", "own")
+    assert name["agpl/COPYING"][:2] == ("AGPL-3.0", "own") and name["agpl/z"] == ("AGPL-3.0", "inherited", "agpl") and name["gpl3/COPYING"][:2] == ("GPL-3.0", "own")
+    assert name["i/2"] == name["j/1"] == name["j/2"] == (None, None, None)  # neither is a licence file
     assert all(got[k]["licence"] is None for k in range(n)) and name["g/4"] == (None, None, None) and name[None][:2] == ("MIT", "own")
 
 
@@ -111,6 +121,19 @@ def test_nearest_directory_and_repeated_rows(spark):
     assert got[5] == got[6] == got[7] == (None, None, None)
 
 
+def test_tags_and_denials(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-2.0-or-later\nx = 1": "GPL-2.0", "SPDX-License-Identifier: Foo-1.0": None, "SPDX-License-Identifier: Foo-1.0\nSPDX-License-Identifier: (apache-2.0 OR MIT)": "Apache-2.0",
+        "SPDX-License-Identifier: MITX": None, "SPDX-License-Identifier: LGPL-3.0+ and more": "LGPL-3.0", "This is not released under the MIT License.": None, "It was never licensed under the Apache License, Version 2.0. It is released under the MIT License.": "MIT", "a" * 50_000: None, "": None,
+    }
+    filler = [(100 + k, f"f/{k}", sentence(k, 40)) for k in range(60)]
+    docs = spark.createDataFrame(filler + [(k, f"d{k}/x", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for k, (text, licence) in enumerate(texts.items()):
+        assert got[k]["licence"] == licence, text[:80]
+        assert got[k]["licence_dir"] is None
+
+
 def test_licence_awkward_rows(spark):
     docs = queries.document_paths(documents(spark)).withColumnsRenamed({"lang": "licence", "n_chars": "cosine"})
     out = licenses.scan(docs)
