@@ -28,25 +28,71 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part")
 
 
-@query("field_role", "SELECT p_partkey, " + _case(8, "time", "latitude", "longitude", "vertical", "quality_control", "uncertainty", "identifier", "value") + " AS role, " + _case(8, "medium", "medium", "medium", "medium", "medium", "low", "low", "low") + " AS confidence FROM part")
+#: What names of fields, axes and attributes are put together of; words, ends and signs vary independently over the parts.
+STEMS = ("time", "Timestamp", "date", "LAT", "longitude", "lng", "Pres", "depth", "altitude", "qc", "temperature", "platform", "station_nr", "uncertain", "wave", "channel", "band", "Easting", "y", "Z", "elevation", "member")
+ENDS = ("", "", "_QC", "_error", "_std", "_time", "_id", "_adjusted")
+SIGNS = ("", "", "_", "#")
+
+
+def _pick(texts: tuple[str, ...], over: int = 1, key: str = "p_partkey") -> Column:
+    """One of the texts by the key divided by ``over``."""
+    return F.element_at(F.array(*map(F.lit, texts)), (F.floor(F.col(key) / over) % len(texts) + 1).cast("int"))
+
+
+def _picked(texts: tuple[str | None, ...], over: int = 1, key: str = "p_partkey") -> str:
+    return f"([{', '.join('NULL' if t is None else repr(t) for t in texts)}])[({key} // {over}) % {len(texts)} + 1]"
+
+
+def made_name() -> Column:
+    """A part's name as a field: every third one begins with the part's own words."""
+    own = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"))).otherwise("")
+    return F.concat(_pick(SIGNS, 5), own, _pick(STEMS, key="p_size"), _pick(ENDS, 2), _pick(SIGNS, 7))
+
+
+_NAME = f"{_picked(SIGNS, 5)} || CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') || '_' ELSE '' END || {_picked(STEMS, key='p_size')} || {_picked(ENDS, 2)} || {_picked(SIGNS, 7)}"
+_NAMED = f"n AS (SELECT *, lower(name) AS low, regexp_replace(lower(name), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS bare FROM (SELECT *, {_NAME} AS name FROM part))"
+_ROLE_OF_NAME = """CASE WHEN bare IN ('time', 'timestamp', 'datetime', 'date') OR ends_with(low, '_time') THEN 'time'
+    WHEN bare IN ('lat', 'latitude') THEN 'latitude' WHEN bare IN ('lon', 'lng', 'longitude') THEN 'longitude'
+    WHEN bare IN ('depth', 'pressure', 'pres', 'height', 'elevation', 'altitude') THEN 'vertical'
+    WHEN bare = 'qc' OR ends_with(low, '_qc') OR contains(low, 'quality_control') THEN 'quality_control'
+    WHEN ends_with(low, '_error') OR ends_with(low, '_std') OR contains(low, 'uncert') THEN 'uncertainty'
+    WHEN ends_with(low, '_id') OR regexp_matches(low, 'identifier|site|station|platform|profile|cycle') THEN 'identifier' ELSE 'value' END"""
+
+
+@query("field_role", f"WITH {_NAMED} SELECT p_partkey, role, CASE WHEN role IN ('uncertainty', 'identifier', 'value') THEN 'low' ELSE 'medium' END AS confidence FROM (SELECT p_partkey, {_ROLE_OF_NAME} AS role FROM n)")
 def field_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = h.field_role(choose(8, "sample_time", "LAT", "_lng_", "Pres", "temp_QC", "temp_error", "platform_name", "temperature"))
+    r = h.field_role(made_name())
     return part(spark, sf_dir).select("p_partkey", r["role"].alias("role"), r["confidence"].alias("confidence"))
 
 
+#: CF attributes, each with its values (null: not given) and what the key is divided by.
+ATTRS = {
+    "standard_name": (("time", None, "sea_water_pressure", "", "Latitude", "longitude", None, "sea_water_temperature", "depth"), 1), "axis": ((None, "T", None, "z", None, "X", ""), 4),
+    "_CoordinateAxisType": ((None, None, "Lat", "Lon", None, "Time", "Height", None), 3), "variable_type": ((None, "environmental", None, "quality_control", None), 6), "cf_role": ((None, None, None, "profile_id"), 11),
+}
+
+
 def _attrs() -> Column:
-    standard = choose(5, "time", "sea_water_pressure", "sea_water_temperature", "", "latitude")
-    return F.create_map(F.lit("standard_name"), standard, F.lit("axis"), choose(5, "T", "Z", "", "", ""), F.lit("variable_type"), choose(5, "", "", "environmental", "", ""))
+    given = F.create_map(*(x for k, (texts, over) in ATTRS.items() for x in (F.lit(k), _pick(texts, over))))
+    return F.map_filter(given, lambda _, v: v.isNotNull())
 
 
-@query("cf_roles", "SELECT p_partkey, " + _case(5, "time", "vertical", "value", "value", "latitude") + " AS roles FROM part")
+_GIVEN = ", ".join(f"{'' if k == 'cf_role' else 'lower('}{_picked(*of)}{'' if k == 'cf_role' else ')'} AS a{i}" for i, (k, of) in enumerate(ATTRS.items()))
+_CF = f"""{_NAMED}, g AS (SELECT *, {_GIVEN} FROM n),
+    t AS (SELECT *, concat_ws(',', CASE WHEN a0 = 'time' OR a1 = 't' OR a2 = 'time' THEN 'time' END, CASE WHEN a0 = 'latitude' OR a2 = 'lat' THEN 'latitude' END, CASE WHEN a0 = 'longitude' OR a2 = 'lon' THEN 'longitude' END,
+        CASE WHEN a0 = 'depth' OR contains(a0, 'pressure') OR a1 = 'z' OR a2 = 'height' THEN 'vertical' END, CASE WHEN a3 = 'quality_control' OR ends_with(low, '_qc') THEN 'quality_control' END, CASE WHEN a4 IS NOT NULL THEN 'identifier' END) AS told FROM g),
+    c AS (SELECT p_partkey, p_brand, name, low, coalesce(nullif(concat_ws(',', nullif(told, ''), CASE WHEN a3 = 'environmental' OR a0 <> '' AND told = '' THEN 'value' END), ''), {_ROLE_OF_NAME}) AS roles FROM t)"""
+
+
+@query("cf_roles", f"WITH {_CF} SELECT p_partkey, roles FROM c")
 def cf_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(spark, sf_dir).select("p_partkey", F.array_join(h.cf_roles(F.lit("v"), _attrs()), ",").alias("roles"))
+    return part(spark, sf_dir).select("p_partkey", F.array_join(h.cf_roles(made_name(), _attrs()), ",").alias("roles"))
 
 
-@query("axis_role", "SELECT p_partkey, " + _case(7, "x", "y", "z", "time", "spectral", "channel", "other") + " AS role FROM part")
+@query("axis_role", f"""WITH {_NAMED} SELECT p_partkey, CASE WHEN low IN ('x', 'lon', 'longitude', 'easting') THEN 'x' WHEN low IN ('y', 'lat', 'latitude', 'northing') THEN 'y' WHEN low = 'z' OR regexp_matches(low, 'height|elevation|depth') THEN 'z'
+    WHEN regexp_matches(low, 'time|date') THEN 'time' WHEN low = 'band' OR regexp_matches(low, 'wave|spectral') THEN 'spectral' WHEN contains(low, 'channel') THEN 'channel' ELSE 'other' END AS role FROM n""")
 def axis_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(spark, sf_dir).select("p_partkey", h.axis_role(choose(7, "Easting", "lat", "water_depth", "date_time", "Wavelength", "channel_1", "member")).alias("role"))
+    return part(spark, sf_dir).select("p_partkey", h.axis_role(made_name()).alias("role"))
 
 
 @query("modality_from_text", "SELECT p_partkey, " + _case(4, "hyperspectral,raster", "point_cloud", "tabular,time_series", "tabular") + " AS modalities FROM part")
@@ -55,14 +101,22 @@ def from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(spark, sf_dir).select("p_partkey", F.array_join(h.modality_from_text(text), ",").alias("modalities"))
 
 
-@query("modality_from_cdm", "SELECT p_partkey, " + _case(4, "raster,tensor", "vector,time_series,tabular", "vector,tabular", "tabular") + " AS modalities FROM part")
+CDM_TYPES = ("Grid", "grid", "Trajectory", "PROFILE", "TrajectoryProfile", "TimeSeriesProfile", "TimeSeries", "Point", "Other", "Swath", "")
+UNITS = ("nm", "NM", "nanometer", "Nanometers", "um", "µm", "micrometer", "MICROMETERS", "m", "inch", "nmm", "")
+
+
+@query("modality_from_cdm", f"""SELECT p_partkey, CASE WHEN t = 'grid' THEN 'raster,tensor' WHEN t IN ('trajectory', 'profile', 'trajectoryprofile', 'timeseriesprofile') THEN 'vector,time_series,tabular' WHEN t = 'timeseries' THEN 'time_series,tabular'
+    WHEN t = 'point' THEN 'vector,tabular' ELSE 'tabular' END AS modalities FROM (SELECT p_partkey, lower(CASE WHEN p_partkey % 13 = 0 THEN p_name ELSE {_picked(CDM_TYPES, key="p_size")} END) AS t FROM part)""")
 def from_cdm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(spark, sf_dir).select("p_partkey", F.array_join(h.modality_from_cdm(choose(4, "Grid", "Profile", "Point", "Other")), ",").alias("modalities"))
+    given = F.when(F.col("p_partkey") % 13 == 0, F.col("p_name")).otherwise(_pick(CDM_TYPES, key="p_size"))
+    return part(spark, sf_dir).select("p_partkey", F.array_join(h.modality_from_cdm(given), ",").alias("modalities"))
 
 
-@query("wavelength_factor", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1000.0 WHEN 2 THEN 1000.0 END::DOUBLE AS factor FROM part")
+@query("wavelength_factor", f"""SELECT p_partkey, CASE WHEN u IN ('nm', 'nanometer', 'nanometers') THEN 1.0 WHEN u IN ('um', 'µm', 'micrometer', 'micrometers') THEN 1000.0 END::DOUBLE AS factor
+    FROM (SELECT p_partkey, lower(trim(repeat(' ', (p_partkey % 3)::INT) || {_picked(UNITS, key="p_size")} || repeat(' ', (p_partkey % 4)::INT))) AS u FROM part)""")
 def wavelength_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part(spark, sf_dir).select("p_partkey", h.wavelength_factor(choose(4, " NM", "um", "micrometers", "inch")).alias("factor"))
+    blanks = lambda n: F.repeat(F.lit(" "), (F.col("p_partkey") % n).cast("int"))
+    return part(spark, sf_dir).select("p_partkey", h.wavelength_factor(F.concat(blanks(3), _pick(UNITS, key="p_size"), blanks(4))).alias("factor"))
 
 
 @query("parse_map_info", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey * 100.0 - 1 END AS a, CASE WHEN s_suppkey % 3 > 0 THEN 2000.0 + s_suppkey + 1 END AS d FROM supplier")
@@ -121,9 +175,10 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.suggest_views(c.scientific_inventory(_fields(spark, sf_dir), each=None)).select("dataset_id", "kind", "suggestion_id")
 
 
-@query("profile_roles", "WITH v AS (SELECT p_brand AS dataset_id, p_name AS field, " + _case(5, "time", "vertical", "value", "value", "latitude") + " AS role FROM part) SELECT dataset_id, role, min(field) AS field FROM v GROUP BY 1, 2")
+@query("profile_roles", f"""WITH {_CF}, e AS (SELECT p_brand AS dataset_id, name AS field, contains(low, 'adjusted') AS late, unnest(string_split(roles, ',')) AS role FROM c),
+    o AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, role ORDER BY late, field) AS place FROM e) SELECT dataset_id, role, field FROM o WHERE place = 1""")
 def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.profile_roles(part(spark, sf_dir).select(F.col("p_brand").alias("dataset_id"), F.col("p_name").alias("field"), _attrs().alias("attrs")))
+    return c.profile_roles(part(spark, sf_dir).select(F.col("p_brand").alias("dataset_id"), made_name().alias("field"), _attrs().alias("attrs")))
 
 
 @query("materialized_fields", "SELECT DISTINCT p_brand AS dataset_id, p_name AS field FROM part JOIN (SELECT p_brand AS b, min(p_name) AS lo, max(p_name) AS hi FROM part GROUP BY 1) ON p_brand = b AND p_name IN (lo, hi)")
