@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.science import finite, pixel_to_world, stretch_u8
 from ..plans.spec import MAX_RASTER_PIXELS, Affine, Box, SpecError
+from ..sources.scratch import kept
 
 _STATISTICS = {"count": lambda v: F.count(v), "min": F.min, "max": F.max, "mean": F.avg, "stddev": F.stddev_pop}
 
@@ -168,6 +169,7 @@ def rgb_composite(pixels: DataFrame, bands: tuple[int, int, int], rows: int, col
     channels = F.array_compact(F.array(*(F.when(F.col("band") == b, c) for b, c in zip(bands, "rgb", strict=True))))  # a band may serve several
     seen = pixels.where(F.col("band").isin(*bands) & (F.col("row") % sy == 0) & (F.col("col") % sx == 0))
     together = seen.select((F.col("row") / sy).cast("long").alias("y"), (F.col("col") / sx).cast("long").alias("x"), "value", F.explode(channels).alias("channel"))
+    together = kept(together, "composite")  # at most three times max_edge squared: the raster is scanned once
     stretch = rank_percentiles(together, no_data=no_data)
     levels = together.crossJoin(F.broadcast(stretch)).withColumn("level", stretch_u8(valid_value(F.col("value"), no_data), F.col("low"), F.col("high")))
     return levels.groupBy("y", "x").pivot("channel", list("rgb")).agg(F.first("level"))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..operators.catalog import table_fields
 from ..operators.geometry import geometry_box, to_wkb
 from ..plans.spec import AxisRange, SpecError
+from .scratch import kept
 
 
 def separator(path: str) -> str:
@@ -33,7 +34,8 @@ def read_source_records(spark: SparkSession, path: str, columns: Sequence[str],
 
     Ragged rows and repeated headers are errors. The index comes from the blocks
     a file is read in: rows are numbered within each block, and blocks are
-    offset by the rows of those before. Quoted newlines need ``multiline``, which
+    offset by the rows of those before. Numbered rows are written once, to the
+    shared folder: they are counted and joined as they are there. Quoted newlines need ``multiline``, which
     reads a file as one block.
     """
     if len({c.lower() for c in columns}) != len(columns):
@@ -41,6 +43,7 @@ def read_source_records(spark: SparkSession, path: str, columns: Sequence[str],
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("sep", sep or separator(path)).option("multiLine", multiline).csv(path)
     rows = rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    rows = kept(rows, "numbered")
     blocks = rows.groupBy("file_path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("file_path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file_path", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
