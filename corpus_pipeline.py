@@ -1,4 +1,12 @@
-"""A corpus from raw documents to packed sequences, by operators of sciobs.llm."""
+"""A corpus from raw documents to packed sequences, by operators of sciobs.llm.
+
+Null and empty texts are documents like others: the classifier scores them, one
+of all of them stays, and each is packed as one token. A null doc_id is below
+all others. Repeated rows are near copies, of which one stays; ties go to the
+smallest doc_id. Very long texts are read whole. Other columns stay as they are,
+whatever their names, but for n_chars, which follows the text. Empty tables give
+an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +20,12 @@ from sciobs.llm.queries import document_domains, table
 WANTED = {"clean": 1.0, "junk": 1.0, "toxic": 0.1}
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Columns beside doc_id and text under names that no operator uses, and their own names."""
+    own = {f"__other{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed({c: k for k, c in own.items()}), own
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below one half go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -20,7 +34,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs).select(docs.columns)
+    plain, own = _aside(docs)
+    done = line_dedup.dedup_lines(plain).select(plain.columns).withColumnsRenamed(own)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
@@ -30,12 +45,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fewer toxic documents; a document comes as often as its rate says."""
-    model = mixing.train(docs, document_domains(table(spark, sf_dir, "labels")))
-    scored = shared.keep(mixing.with_posteriors(docs, model), "domains")
+    plain, own = _aside(docs)
+    model = mixing.train(plain, document_domains(table(spark, sf_dir, "labels")))
+    scored = shared.keep(mixing.with_posteriors(plain, model), "domains")
     now = mixing.domain_tokens(scored, model.domains)
     mixed = mixing.mix(scored, [t * WANTED.get(d, 1.0) for t, d in zip(now, model.domains, strict=True)])
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.where("copies > 0").select(*docs.columns, copies.alias("__copy")).drop("__copy")
+    return mixed.where("copies > 0").select(*plain.columns, copies.alias("__copy")).drop("__copy").withColumnsRenamed(own)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
