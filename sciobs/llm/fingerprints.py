@@ -171,8 +171,10 @@ def edit_test(docs: DataFrame, k: int = KMER, size: int = TUPLE, sketches: int =
     doc_id (the first follows the last). Null texts are empty; an empty text's
     fingerprint is zeros and equals only that of empty texts; a null doc_id
     comes after all others; rows of equal doc_id are ordered by a hash of their
-    text; every row gives one row. Fingerprints are ``sketches`` numbers of
-    eight hexadecimal digits.
+    text; every row gives one row. Very long texts are read whole, in
+    chunks of texts with about CHUNK characters; other columns are not read,
+    whatever their names. Fingerprints are ``sketches`` numbers of eight
+    hexadecimal digits.
     """
     shared.prepare(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -102,3 +102,14 @@ def test_single_and_empty(spark):
     (r,) = fp.edit_test(documents(spark, [(1, "abcdef", "en", "s", 6)])).collect()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and r["near_next"] == 1.0
     assert fp.edit_test(empty(spark)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rows = [(k, sentence(k, 60_000 if k % 4 == 0 else 5), "en", "s", 1) for k in range(9)]
+    plain = sorted(map(tuple, fp.edit_test(documents(spark, rows)).collect()))
+    clash = documents(spark, rows).selectExpr("*", "'x' AS p", "1 AS ahead", "2 AS id", "'y' AS fingerprint", "3 AS at", "4 AS near_next")
+    assert sorted(map(tuple, fp.edit_test(clash).collect())) == plain
+    assert {r[0]: [tuple(r[1:3])] for r in plain} == brute(rows)
+    for i, _, _, mark, *_ in plain:
+        alone = fp.fingerprints([rows[i][1]])[0]
+        assert mark == alone.astype(">u4").tobytes().hex()

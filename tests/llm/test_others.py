@@ -116,6 +116,17 @@ def test_top_k_of_awkward_vectors(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [None, 60])
+def test_one_id_repeated_many_times_and_clashing_columns(spark, shard):
+    """An id with a third of all rows, of equal and of different vectors; each row is searched."""
+    r = np.random.default_rng(8)
+    vectors = [(i, [int(x) for x in r.integers(-100, 100, 6)]) for i in range(1, 301)]
+    vectors += [(7, [90] * 6)] * 40 + [(7, [int(x) for x in r.integers(-100, 100, 6)]) for _ in range(110)]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<bigint>").selectExpr("*", "'a' AS shard", "1 AS block", "'b' AS q", "2 AS floor", "3 AS score", "'c' AS rank", "4 AS asks", "5 AS query_id")
+    asked = [x for x in vectors if x[0] % 50 == 0]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), 10, shard).collect())) == brute_top(vectors, asked, 10)
+
+
 def test_tree_bounds():
     r = random.Random(1)
     points = np.array([[r.randrange(-50, 50) for _ in range(6)] for _ in range(500)])
