@@ -144,7 +144,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, shard: int | None) -
     n = vectors.count()
     shard = shard or min(SHARD, max(1024, math.ceil(n / (2 * spark.sparkContext.defaultParallelism))))
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
-    dealt = vectors.select((F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)).alias("shard"), "vec_id", "v")
+    dealt = vectors.select((F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)).alias("shard"), "vec_id", "v")
 
     def wave(asked: DataFrame) -> DataFrame:
         """asked: (shard, query_id, q, floor). One task for each shard and block of queries."""
