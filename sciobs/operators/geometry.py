@@ -201,14 +201,15 @@ def points_in_polygon(x: Column, y: Column, geometry: dict) -> Column:
     return hit
 
 
-def vector_region(features: DataFrame, geometry: dict, limit: int = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(up to ``limit`` features that intersect, number of all that do).
+def vector_region(features: DataFrame, geometry: dict, limit: int | None = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(up to ``limit`` features that intersect, number of all that do). With None all of them, in no order.
 
     features: (feature_index, geometry WKB, min_x, min_y, max_x, max_y, ...). The box test prunes row groups before the exact one."""
     box = geometry_box(geometry)
     near = features.where((F.col("max_x") >= box.min_x) & (F.col("min_x") <= box.max_x) & (F.col("max_y") >= box.min_y) & (F.col("min_y") <= box.max_y))
     found = near.where(intersects_constant(F.col("geometry"), geometry))
-    return found.orderBy("feature_index").limit(max(1, min(limit, MAX_RESULT_ROWS))), found.agg(F.count(F.lit(1)).alias("matched_features"))
+    rows = found if limit is None else found.orderBy("feature_index").limit(max(1, min(limit, MAX_RESULT_ROWS)))
+    return rows, found.agg(F.count(F.lit(1)).alias("matched_features"))
 
 
 def with_boxes(features: DataFrame, geometry: str = "geometry") -> DataFrame:

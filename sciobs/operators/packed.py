@@ -137,6 +137,6 @@ def packed_candidates(spark: SparkSession, path: str, box: Box, most: int = MAX_
     return features.where(wanted).drop("curve", "node")
 
 
-def packed_region(spark: SparkSession, path: str, geometry: dict, limit: int = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """vector_region() of stored features: (up to ``limit`` features that intersect, number of all that do), reading few row groups."""
+def packed_region(spark: SparkSession, path: str, geometry: dict, limit: int | None = MAX_RESULT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """vector_region() of stored features: (up to ``limit`` features that intersect, or all with None; number of all that do), reading few row groups."""
     return vector_region(packed_candidates(spark, path, geometry_box(geometry)), geometry, limit)

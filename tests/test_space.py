@@ -108,6 +108,17 @@ def test_features(spark):
     assert [(x["kind"], len(x["coordinates"])) for x in lines] == [("line", 5), ("line", 5)]
 
 
+def test_a_region_query_gives_all_that_match(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sciobs.queries.points import QUERIES
+
+    n = 100_500  # more than MAX_RESULT_ROWS, which the query's SQL does not have
+    rows = spark.range(n).select(F.col("id").alias("c_custkey"), F.lit(7).alias("c_nationkey"), (F.col("id") % 5000).cast("double").alias("c_acctbal"), F.lit("A").alias("c_mktsegment"))
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    assert QUERIES["vector_region"](spark, str(tmp_path)).distinct().count() == n
+
+
 PICK = "selection_id string, dataset_id string, entity_path string, instance_id long, mapping_kind string, version string"
 
 
