@@ -64,3 +64,35 @@ def test_covers_are_bounded(spark):
     rows = [b for b in boxes(5, 400) if sound(b)]
     sizes = frame(spark, rows, "l").select(F.size(q.cells(q.own_level(L), L)).alias("n")).collect()
     assert max(r.n for r in sizes) <= q.MAX_CELLS
+
+
+def test_long_flat_boxes_meet_few_others(spark, monkeypatch):
+    """Rows that share a cell, before the exact test: some for each row, not a square as wide as the longest boxes."""
+    met = []
+    join = q.spread_join
+
+    def counted(*args):
+        out = join(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(q, "spread_join", counted)
+    r = random.Random(9)
+    places = [(r.uniform(0, 1000), r.uniform(0, 1000)) for _ in range(3000)]
+    many = [(i, x, y, x + 0.5, y + 0.5) for i, (x, y) in enumerate(places)]
+    few = [(i, x, y, x + 400.0, y + 0.5) for i, (x, y) in enumerate(places[:150])]
+    got = {(x.l_id, x.r_id) for x in q.box_join(frame(spark, few, "l"), frame(spark, many, "r"), L, R).collect()}
+    assert got == {(a[0], b[0]) for a in few for b in many if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    assert sum(met) < 20 * len(few) + 4 * len(many)
+
+
+def test_crowded_places_and_many_sizes(spark, monkeypatch):
+    """Boxes far closer to each other than their mean distance, and more sizes than there may be classes."""
+    monkeypatch.setattr(q, "MAX_CLASSES", 5)
+    r = random.Random(10)
+    rows = []
+    for i in range(400):
+        x, y = (c + r.uniform(0, 1e-3) for c in r.choice([(0.0, 0.0), (5e4, 9e4), (-7e4, 3e3)]))
+        rows.append((i, x, y, x + r.choice([0.0, 10 ** r.uniform(-6, -2)]), y + r.choice([0.0, 10 ** r.uniform(-6, -2)])))
+    got = Counter((x.l_id, x.r_id) for x in q.box_join(frame(spark, rows[:200], "l"), frame(spark, rows, "r"), L, R).collect())
+    assert got == Counter((a[0], b[0]) for a in rows[:200] for b in rows if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
