@@ -53,19 +53,21 @@ class Octree:
         return min(self.levels, max(0, math.ceil(math.log2(self.spacing / resolution) - 1e-12)))
 
 
+#: Bits of a coordinate that one look into the table of spread numbers takes.
+TABLE_BITS = 10
+
+
 def interleave(*axes: Column) -> Column:
-    """Morton key of coordinates from 0 to 2^KEY_BITS - 1: bit i of axis k becomes bit 3 i + k."""
-
-    def spread(c: Column) -> Column:
-        bit = lambda i: F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1).cast("long")), 3 * i)
-        out = bit(0)
-        for i in range(1, KEY_BITS):
-            out = out.bitwiseOR(bit(i))
-        return out
-
-    out = spread(axes[0])
-    for k, axis in enumerate(axes[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(spread(axis), k))
+    """Morton key of coordinates from 0 to 2^KEY_BITS - 1: bit i of axis k becomes bit 3 i + k.
+
+    Numbers of TABLE_BITS bits are looked up with their bits three apart, so an axis is named KEY_BITS / TABLE_BITS times only."""
+    table = F.array(*(F.lit(sum((v >> i & 1) << 3 * i for i in range(TABLE_BITS))).cast("long") for v in range(1 << TABLE_BITS)))
+    low = F.lit((1 << TABLE_BITS) - 1).cast("long")
+    out = None
+    for k, axis in enumerate(axes):
+        for at in range(0, KEY_BITS, TABLE_BITS):
+            part = F.shiftleft(F.get(table, F.shiftright(axis, at).bitwiseAND(low).cast("int")), 3 * at + k)
+            out = part if out is None else out.bitwiseOR(part)
     return out
 
 
@@ -104,8 +106,10 @@ def build_point_octree(points: DataFrame, path: str, spacing: float, levels: int
     rows = points.join(standing, "source_index", "left").withColumn("level", F.coalesce("level", F.lit(levels)))
     up = F.lit(levels - 1) - F.least("level", F.lit(levels - 1)) + NODE_BITS
     nodes = [_shifted(F.coalesce(v - r, F.lit(0).cast("long")), up) for v, r in zip(cube.values(), root, strict=True)]
-    tiles = [F.shiftright(n, TILE_LEVELS) for n in nodes]
-    rows = rows.withColumns({"node": interleave(*nodes), "tile": interleave(*tiles)})
+    # a node's coordinates are made once and looked up many times; a tile's key is the node's without its last bits
+    rows = rows.withColumns({f"__n{k}": n for k, n in enumerate(nodes)})
+    rows = rows.withColumn("node", interleave(*(F.col(f"__n{k}") for k in range(3)))).drop("__n0", "__n1", "__n2")
+    rows = rows.withColumn("tile", F.shiftright("node", 3 * TILE_LEVELS))
     laid = rows.repartitionByRange("level", "tile", "node", "source_index").sortWithinPartitions("level", "tile", "node", "source_index")
     laid.write.partitionBy("level", "tile").parquet(path)
     # the schema, too: a layout without points has no file to tell it
@@ -116,7 +120,7 @@ def build_point_octree(points: DataFrame, path: str, spacing: float, levels: int
 
 def _shifted(value: Column, bits: Column) -> Column:
     """value >> bits, where bits is a column."""
-    return F.floor(value / F.pow(F.lit(2.0), bits)).cast("long")
+    return F.call_function("shiftright", value, bits.cast("int"))
 
 
 def open_point_octree(spark: SparkSession, path: str) -> Octree:

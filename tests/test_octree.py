@@ -101,3 +101,9 @@ def test_morton_keys(spark):
     rows = [tuple(r.randrange(2**octree.KEY_BITS) for _ in range(3)) for _ in range(50)]
     got = spark.createDataFrame(rows, "a long, b long, c long").select("a", "b", "c", octree.interleave(F.col("a"), F.col("b"), F.col("c")).alias("k")).collect()
     assert all(g.k == sum((v >> i & 1) << (3 * i + k) for k, v in enumerate((g.a, g.b, g.c)) for i in range(octree.KEY_BITS)) for g in got)
+
+
+def test_a_key_names_its_coordinates_few_times():
+    """Spark makes an expression anew where its name stands, so a key of many bits must not name it for each."""
+    key = str(octree.interleave(F.col("axis_a"), F.col("axis_b"), F.col("axis_c")))
+    assert key.count("axis_a") == key.count("axis_c") == 2
