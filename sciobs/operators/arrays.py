@@ -45,9 +45,14 @@ def chunk_cells(cells: DataFrame, shape: Sequence[int], chunk: Sequence[int]) ->
     placed = cells.where(F.when(outside, F.raise_error(F.lit("a cell lies out of the array"))).otherwise(F.lit(True)))
     placed = placed.withColumn("origin", origin).withColumn("shape", size).withColumn("__at", at)
     one = placed.groupBy("array_path", "origin", "shape", "__at").agg(F.min("value").cast("double").alias("value"))
-    held = one.groupBy("array_path", "origin", "shape").agg(F.map_from_entries(F.collect_list(F.struct("__at", "value"))).alias("held"))
+    held = one.groupBy("array_path", "origin", "shape").agg(F.sort_array(F.collect_list(F.struct("__at", F.coalesce("value", F.lit(float("nan"))).alias("value")))).alias("held"))
     length = F.aggregate("shape", F.lit(1).cast("long"), lambda a, b: a * b)
-    values = F.transform(F.sequence(F.lit(0).cast("long"), length - 1), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(float("nan"))))
+    gap = lambda n: F.array_repeat(F.lit(float("nan")), n.cast("int"))
+    # cells in their order; only where some are missing, each is led by the gap before it
+    before = lambda i: F.when(i == 0, F.lit(-1).cast("long")).otherwise(F.get("held", i - 1)["__at"])
+    led = F.flatten(F.transform("held", lambda c, i: F.concat(gap(c["__at"] - before(i) - 1), F.array(c["value"]))))
+    filled = F.concat(led, gap(length - 1 - F.element_at("held", -1)["__at"]))
+    values = F.when(F.size("held") == length, F.transform("held", lambda c: c["value"])).otherwise(filled)
     return held.select("array_path", "origin", "shape", values.alias("values"))
 
 

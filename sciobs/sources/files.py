@@ -262,12 +262,8 @@ def read_zarr_chunks(spark: SparkSession, path: str, array: str, ranges: Sequenc
     inside = lambda axis: "[0-9]*" if axis[1] - axis[0] > MAX_NAMED_CHUNKS else "{" + ",".join(map(str, range(*axis))) + "}"
     names = f"{where}/{dot.join(map(inside, grid))}"
 
-    def at(file: str) -> list[int]:
-        return [int(i) for i in file.replace("/", ".").split(".")[-rank:]]
-
-    @F.pandas_udf("array<bigint>")
-    def numbers(files: pd.Series) -> pd.Series:
-        return pd.Series([at(f) for f in files])
+    # the last parts of a name are the chunk's numbers
+    numbers = F.slice(F.split("path", "[./]"), -rank, rank).cast("array<bigint>")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = {None: bytes, "zlib": zlib.decompress, "gzip": gzip.decompress}[codec]
@@ -287,7 +283,10 @@ def read_zarr_chunks(spark: SparkSession, path: str, array: str, ranges: Sequenc
     any_file = matched.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(matched)
     found = spark.createDataFrame([], "index array<bigint>, content binary")
     if any_file is not None and len(any_file):
-        found = spark.read.format("binaryFile").load(names).select(numbers("path").alias("index"), "content")
+        # names within one folder are told apart while it is listed once; as paths, each would be listed for itself
+        files = spark.read.format("binaryFile")
+        files = files.load(names) if dot == "/" else files.option("pathGlobFilter", names.rpartition("/")[2]).load(where)
+        found = files.select(numbers.alias("index"), "content")
         # an axis too wide to be named lists more
         for k, (a, b) in enumerate(grid):
             if b - a > MAX_NAMED_CHUNKS:

@@ -255,3 +255,23 @@ def test_las_refuses_what_does_not_fit(spark, tmp_path, row):
     with pytest.raises(Exception, match="too large for this scale"):
         results.write_las(frame, str(tmp_path / "bad"))
     assert not list((tmp_path / "bad").glob("*.las"))
+
+
+def test_large_chunks_with_gaps_and_one_listing(spark, tmp_path):
+    """Cells go to their places without a search for each, and a folder of chunks is listed once."""
+    want = np.full((300, 250), np.nan)
+    want[3:120:2, 7:] = 2.5
+    want[299, 249] = 4.0
+    cells = spark.createDataFrame([("v", [int(y), int(x)], float(want[y, x])) for y, x in np.argwhere(np.isfinite(want))], "array_path string, indices array<long>, value double")
+    chunks = a.chunk_cells(cells, [300, 250], [200, 200])
+    assert "map_from_entries" not in chunks._jdf.queryExecution().optimizedPlan().toString()
+    files.write_zarr_chunks(chunks, f"{tmp_path}/z", "v", [300, 250], [200, 200])
+    read = files.read_zarr_chunks(spark, f"{tmp_path}/z", "v", [(0, 300), (0, 250)])
+    assert "InMemoryFileIndex(1 paths)" in read._jdf.queryExecution().executedPlan().toString()
+    got = np.zeros((300, 250))
+    for r in read.collect():
+        (y, x), (h, w) = r["origin"], r["shape"]
+        got[y : y + h, x : x + w] = np.reshape(r["values"], (h, w))
+    # a chunk without a cell is the fill value
+    assert np.array_equal(got[:200, :200], want[:200, :200], equal_nan=True) and np.array_equal(got[200:, 200:], want[200:, 200:], equal_nan=True) and np.array_equal(got[:200, 200:], want[:200, 200:], equal_nan=True)
+    assert not got[200:, :200].any()
