@@ -9,6 +9,8 @@ maxima: windows, squares and pixels are added up before they are exchanged.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .rasters import valid_value
 
 #: An edge of a tile is 2^TILE_BITS pixels.
 TILE_BITS = 6
+#: Windows, tiles or squares of windows, and pixels of one task.
+TASK_WINDOWS, TASK_TILES, TASK_PIXELS = 20_000, 50_000, 500_000
 _PARTS = ("n", "s1", "s2", "low", "high", "pixels")
 
 
@@ -115,20 +119,31 @@ def window_statistics(windows: DataFrame, pixels: DataFrame, rows: int, cols: in
     border, squares = window_cover(rows, cols, tile_bits)
     some = windows.select("selection_id", *(F.col(c).cast("long").alias(c) for c in ("r0", "r1", "c0", "c1"))).where("r0 < r1 and c0 < c1")
     key = ["level", "tile_row", "tile_col"]
-    whole = some.select("selection_id", F.explode(squares).alias("t")).select("selection_id", "t.*").join(pyramid, key)
+    # a task adds up the windows that it meets, so their number sets the number of tasks, however few files hold them
+    high, wide = (F.shiftright(F.col(b) - 1, tile_bits) - F.shiftright(F.col(a), tile_bits) + 1 for a, b in (("r0", "r1"), ("c0", "c1")))
+    asked, touched = some.agg(F.count("*"), F.sum(F.least(high * wide, (high + wide) * 4))).first()
+    least = pixels.sparkSession.sparkContext.defaultParallelism
+    tasks = lambda n, most: max(least, math.ceil((n or 0) / most))
+    some = some.repartition(tasks(asked, TASK_WINDOWS), "selection_id", "r0", "c0")
+    held = pyramid.where(F.col("level") == pyramid_levels(rows, cols, tile_bits) - 1).agg(F.sum("pixels")).first()[0]
+    parts = max(tasks(touched, TASK_TILES), tasks(held, TASK_PIXELS))
+    whole = some.select("selection_id", F.explode(squares).alias("t")).select("selection_id", "t.*")
+    whole = whole.repartition(parts, *key).join(pyramid.repartition(parts, *key), key)
     # pixels of the border, each window's added up by band; the shifts are the pyramid's own
     shifts = pyramid.where(F.col("level") == pyramid_levels(rows, cols, tile_bits) - 1).select("band", "shift").distinct()
     tile = lambda c: F.shiftright(F.col(c).cast("long"), tile_bits)
     laid = pixels.select("row", "col", "band", valid_value(F.col("value"), no_data).alias("v"), tile("row").alias("tile_row"), tile("col").alias("tile_col"))
     edges = some.select("*", F.explode(border).alias("t")).select("selection_id", "r0", "r1", "c0", "c1", "t.tile_row", "t.tile_col")
     inside = (F.col("row") >= F.col("r0")) & (F.col("row") < F.col("r1")) & (F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1"))
-    cut = edges.join(laid, ["tile_row", "tile_col"]).where(inside).join(F.broadcast(shifts), "band")
-    parts = whole.select("selection_id", "band", "shift", *_PARTS).unionByName(_summed(cut, "selection_id", "band", "shift"))
+    place = ["tile_row", "tile_col"]
+    # pixels grow when they are read, so a small file does not make them fit for a broadcast
+    cut = edges.repartition(parts, *place).join(laid.repartition(parts, *place).hint("shuffle_hash"), place).where(inside).join(F.broadcast(shifts), "band")
+    found = whole.select("selection_id", "band", "shift", *_PARTS).unionByName(_summed(cut, "selection_id", "band", "shift"))
     n = F.nullif(F.col("n"), F.lit(0))
     mean = F.col("s1") / n
     one = F.col("low") == F.col("high")  # exact where all values are equal, however far from the band's mean
     spread = F.when(one, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / n - mean * mean)))
-    return _added(parts, "selection_id", "band", "shift").select(
+    return _added(found, "selection_id", "band", "shift").select(
         "selection_id", "band", F.col("n").alias("count"), F.col("low").alias("min"), F.col("high").alias("max"),
         F.when(one, F.col("low")).otherwise(mean + F.col("shift")).alias("mean"), F.when(n.isNotNull(), spread).alias("stddev"),
     )

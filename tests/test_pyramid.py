@@ -102,3 +102,14 @@ def test_no_windows_and_no_pixels(spark):
     pixels = table(spark, raster()[:, :4, :4])
     assert p.window_statistics(spark.createDataFrame([], schema), pixels, 4, 4).count() == 0
     assert p.window_statistics(spark.createDataFrame([("a", 0, 4, 0, 4)], schema), pixels.where("false"), 4, 4).count() == 0
+
+
+def test_tasks_grow_with_the_windows(spark, monkeypatch):
+    """However few files hold the windows, and however small the pixels' file is."""
+    for name in ("TASK_WINDOWS", "TASK_TILES"):
+        monkeypatch.setattr(p, name, 2)
+    values, asked = raster(), windows(40)
+    frame = spark.createDataFrame(asked, "selection_id string, r0 long, r1 long, c0 long, c1 long").coalesce(1)
+    plan = p.window_statistics(frame, table(spark, values), ROWS, COLS, -9999.0, tile_bits=3)._jdf.queryExecution().executedPlan().toString()
+    sizes = [int(line.split("), REPARTITION_BY_NUM")[0].rpartition(", ")[2]) for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(sizes) == 6 and min(sizes) >= 23 and "BroadcastHashJoin [tile_row" not in plan
