@@ -173,13 +173,56 @@ def intersects(one: Parts, two: Parts) -> bool:
     return False
 
 
+#: WKB of a little-endian point without z and m, and how many comparisons of points and segments are made at once.
+_POINT = np.dtype([("head", "S5"), ("xy", "<f8", 2)])
+_POINT_HEAD, MAX_COMPARED = struct.pack("<BI", 1, 1), 1 << 20
+
+
+def points_intersect(xy: np.ndarray, region: Parts) -> np.ndarray:
+    """intersects() of many points with one geometry."""
+    hit = np.zeros(len(xy), bool)
+    for q in region[0]:
+        hit |= (xy == q).all(axis=1)
+    px, py, most = xy[:, :1], xy[:, 1:], max(1, MAX_COMPARED // max(1, len(xy)))
+
+    def blocks(a: np.ndarray, b: np.ndarray):
+        return ((a[k : k + most], b[k : k + most]) for k in range(0, len(a), most))
+
+    for a, b in blocks(*_segments(region)):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        inside = (low[:, 0] <= px) & (px <= high[:, 0]) & (low[:, 1] <= py) & (py <= high[:, 1])
+        hit |= (inside & ((b[:, 0] - a[:, 0]) * (py - a[:, 1]) - (b[:, 1] - a[:, 1]) * (px - a[:, 0]) == 0)).any(axis=1)
+    for rings in region[2]:
+        odd = np.zeros(len(xy), bool)
+        for ring in rings:
+            for a, b in blocks(ring[:-1], ring[1:]):
+                slanted = a[:, 1] != b[:, 1]
+                a, b = a[slanted], b[slanted]
+                at = a[:, 0] + (py - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+                odd ^= (((a[:, 1] > py) != (b[:, 1] > py)) & (at > px)).sum(axis=1) % 2 == 1
+        hit |= odd
+    return hit & np.isfinite(xy).all(axis=1)
+
+
+def shapes_intersect(shapes: Sequence, region: Parts) -> np.ndarray:
+    """intersects() of WKB geometries with one geometry; plain points all at once."""
+    shapes = [None if data is None else bytes(data) for data in shapes]
+    plain = np.array([data is not None and len(data) == _POINT.itemsize and data.startswith(_POINT_HEAD) for data in shapes], bool)
+    out = np.zeros(len(shapes), bool)
+    if plain.any():
+        out[plain] = points_intersect(np.frombuffer(b"".join(data for data, p in zip(shapes, plain, strict=True) if p), _POINT)["xy"], region)
+    for k in np.flatnonzero(~plain):
+        out[k] = shapes[k] is not None and intersects(parse_wkb(shapes[k]), region)
+    return out
+
+
 def intersects_constant(wkb: Column, geometry: dict) -> Column:
     """Whether WKB geometries intersect one GeoJSON geometry."""
     region = geojson_parts(geometry)
 
     @F.pandas_udf("boolean")
     def test(shapes: pd.Series) -> pd.Series:
-        return pd.Series([data is not None and intersects(parse_wkb(bytes(data)), region) for data in shapes])
+        return pd.Series(shapes_intersect(shapes, region))
 
     return test(wkb)
 

@@ -36,23 +36,36 @@ class Packed:
     node_rows: int
 
 
-def hilbert(x: Column, y: Column, bits: int = CURVE_BITS) -> Column:
-    """Place on the Hilbert curve of whole coordinates from 0 to 2^bits - 1.
+def _curve_table(bits: int) -> list[int]:
+    """For each turn of the curve and whole coordinates of so many bits: (place on the curve) * 4 + turn within.
+
+    Turns are 0 none, 1 along the diagonal, 2 across it, 3 both: bits of lower quarters lie on their side, the left one along the diagonal, the right one across it."""
+    out = []
+    for turn in range(4):
+        for xy in range(4**bits):
+            x, y, now, place = xy >> bits, xy & ((1 << bits) - 1), turn, 0
+            for k in reversed(range(bits)):
+                right, upper = x >> k & 1, y >> k & 1
+                right, upper = ((right, upper), (upper, right), (1 - upper, 1 - right), (1 - right, 1 - upper))[now]
+                place = place * 4 + ((0, 1), (3, 2))[right][upper]
+                now ^= 0 if upper else 2 if right else 1
+            out.append(place * 4 + now)
+    return out
 
-    From the highest bit down, a quarter's number is added and the rest of the coordinates is turned as the curve within it is."""
-    state = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
 
-    def step(s: Column, k: Column) -> Column:
-        side = F.pow(F.lit(2.0), k).cast("long")
-        right, upper = s["x"] >= side, s["y"] >= side
-        quarter = F.when(right, F.when(upper, 2).otherwise(3)).otherwise(F.when(upper, 1).otherwise(0))
-        px, py = F.when(right, s["x"] - side).otherwise(s["x"]), F.when(upper, s["y"] - side).otherwise(s["y"])
-        # lower quarters lie on their side: the left one along the diagonal, the right one across it
-        turned_x = F.when(upper, px).when(right, side - 1 - py).otherwise(py)
-        turned_y = F.when(upper, py).when(right, side - 1 - px).otherwise(px)
-        return F.struct(turned_x.alias("x"), turned_y.alias("y"), (s["d"] * 4 + quarter).alias("d"))
+def hilbert(x: Column, y: Column, bits: int = CURVE_BITS) -> Column:
+    """Place on the Hilbert curve of whole coordinates from 0 to 2^bits - 1.
 
-    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), state, step, lambda s: s["d"])
+    From the highest bits down, a few are looked up at once: their place within a square of the curve, and how the curve is turned in it."""
+    step = next(n for n in (4, 2, 1) if bits % n == 0)
+    table = F.array(*(F.lit(v).cast("long") for v in _curve_table(step)))
+    turn, place = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for at in range(bits - step, -1, -step):
+        part = lambda c, at=at: F.shiftright(c.cast("long"), at).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+        found = F.get(table, ((turn * (1 << step) + part(x)) * (1 << step) + part(y)).cast("int"))
+        place = place + F.shiftleft(F.shiftright(found, 2), 2 * at)
+        turn = found.bitwiseAND(F.lit(3).cast("long"))
+    return place
 
 
 def build_packed_features(features: DataFrame, path: str, node_rows: int = NODE_ROWS) -> Packed:

@@ -154,3 +154,17 @@ def test_raster_selections_without_geometry(spark):
 
 def test_geojson_text():
     assert json.loads(g.geojson_text(SQUARE)) == SQUARE
+
+
+def test_points_at_once_are_points_one_by_one(monkeypatch):
+    r = random.Random(12)
+    places = [(float(r.randrange(-1, 11)), float(r.randrange(-1, 11))) for _ in range(150)] + [(r.uniform(-1, 11), r.uniform(-1, 11)) for _ in range(150)]
+    regions = [RING, SQUARE, POINT(*places[0]), LINE((0, 0), (9, 9), (9, 3)), {"type": "GeometryCollection", "geometries": [RING, LINE((-1, 10), (10, 10)), POINT(*places[1])]}]
+    shapes = [g.to_wkb(POINT(*q)) for q in places] + [None, g.to_wkb(POINT(float("nan"), 1.0))]
+    for region in map(g.geojson_parts, regions):
+        want = [data is not None and g.intersects(g.parse_wkb(data), region) for data in shapes]
+        with monkeypatch.context() as m:
+            m.setattr(g, "MAX_COMPARED", 700)
+            m.setattr(g, "intersects", None)  # plain points do not need it
+            assert list(g.shapes_intersect(shapes, region)) == want
+    assert list(g.shapes_intersect([g.to_wkb(SQUARE), g.to_wkb(POINT(5, 5))], g.geojson_parts(RING))) == [True, False]
