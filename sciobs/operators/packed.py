@@ -78,6 +78,8 @@ def build_packed_features(features: DataFrame, path: str, node_rows: int = NODE_
     if taken := {"node", "curve"} & set(features.columns):
         raise SpecError(f"{sorted(taken)} are columns of the layout")
     spark, root = features.sparkSession, path.rstrip("/")
+    # a small file is one task, though each of its features has to be placed
+    features = features.repartition(spark.sparkContext.defaultParallelism)
     boxed = F.lit(True)
     for c in BOX:
         boxed = boxed & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
