@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.science import decode_sample, pick_envelope, world_to_pixel
-from ..plans.spec import Affine
+from ..plans.spec import Affine, Aggregate
 from .geometry import spatial_join
-from .intervals import interval_join
+from .intervals import interval_join, interval_summaries
 from .pyramid import window_statistics
 
 
@@ -43,6 +43,11 @@ def resolve_time_selections(selections: DataFrame, observations: DataFrame, time
     return interval_join(selections, observations, "start", "end", time, tick_seconds)
 
 
+def summarize_time_selections(selections: DataFrame, observations: DataFrame, aggregates: list[Aggregate], time: str = "time") -> DataFrame:
+    """Every selection (selection_id, start, end) that holds observations, with aggregates of those with start <= time <= end: added up by blocks, so that long selections don't repeat what they share."""
+    return interval_summaries(selections, observations, "start", "end", time, aggregates)
+
+
 def resolve_map_selections(regions: DataFrame, features: DataFrame, exact: bool = True) -> DataFrame:
     """(region_id, feature_index) of map regions and features (exactly) or points (by box)."""
     return spatial_join(regions, features, exact)
